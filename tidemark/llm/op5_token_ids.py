@@ -106,10 +106,10 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept = {"": b""}
 
     def encode(self, text: str) -> bytes:
-        words, kept = text.split(), self.kept
+        words, kept = text.replace("\n", " ").split(" "), self.kept
         try:
             return b"".join(map(kept.__getitem__, words))
         except KeyError:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_mixing
+from tidemark.llm import op1_mixing, op2_tokens, op5_token_ids
 
-_QUERIES = (op1_mixing.op1_mixing,)
+_QUERIES = (op1_mixing.op1_mixing, op2_tokens.op2_tokens, op5_token_ids.op5_token_ids)
 _SQL = {"op1_mixing": op1_mixing.SQL}
 
 
