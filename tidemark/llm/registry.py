@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_mixing, op2_tokens, op5_token_ids
+from tidemark.llm import op1_mixing, op2_tokens, op5_token_ids, op10_decontamination
 
-_QUERIES = (op1_mixing.op1_mixing, op2_tokens.op2_tokens, op5_token_ids.op5_token_ids)
-_SQL = {"op1_mixing": op1_mixing.SQL}
+_QUERIES = (op1_mixing.op1_mixing, op2_tokens.op2_tokens, op5_token_ids.op5_token_ids, op10_decontamination.op10_decontamination)
+_SQL = {"op1_mixing": op1_mixing.SQL, "op10_decontamination": op10_decontamination.SQL}
 
 
 def queries() -> dict:
