@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_mixing, op2_tokens, op3_near_dups, op4_fingerprints, op5_token_ids, op10_decontamination
+from tidemark.llm import op1_mixing, op2_tokens, op3_near_dups, op4_fingerprints, op5_token_ids, op6_quality, op9_toxicity, op10_decontamination
 
-_QUERIES = (op1_mixing.op1_mixing, op2_tokens.op2_tokens, op3_near_dups.op3_near_dups, op4_fingerprints.op4_fingerprints, op5_token_ids.op5_token_ids, op10_decontamination.op10_decontamination)
+_QUERIES = (
+    op1_mixing.op1_mixing,
+    op2_tokens.op2_tokens,
+    op3_near_dups.op3_near_dups,
+    op4_fingerprints.op4_fingerprints,
+    op5_token_ids.op5_token_ids,
+    op6_quality.op6_quality,
+    op9_toxicity.op9_toxicity,
+    op10_decontamination.op10_decontamination,
+)
 _SQL = {"op1_mixing": op1_mixing.SQL, "op10_decontamination": op10_decontamination.SQL}
 
 
