@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_mixing, op2_tokens, op3_near_dups, op4_fingerprints, op5_token_ids, op6_quality, op9_toxicity, op10_decontamination
+from tidemark.llm import op1_mixing, op2_tokens, op3_near_dups, op4_fingerprints, op5_token_ids, op6_quality, op7_html, op8_pii, op9_toxicity, op10_decontamination
 
 _QUERIES = (
     op1_mixing.op1_mixing,
@@ -11,6 +11,8 @@ _QUERIES = (
     op4_fingerprints.op4_fingerprints,
     op5_token_ids.op5_token_ids,
     op6_quality.op6_quality,
+    op7_html.op7_html,
+    op8_pii.op8_pii,
     op9_toxicity.op9_toxicity,
     op10_decontamination.op10_decontamination,
 )
