@@ -2,10 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.functions import indicators
+from tidemark.operators import integrity, labeling, lattice, ratios
+from tidemark.plans import base
+from tidemark.plans.frames import query
+from tidemark.sources import bars, catalog
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, template: str, view: str = "walk_h", frames: tuple[str, ...] = ("bars",)) -> None:
+    """A query whose Spark form and SQL are one template over frames of a view."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = {f: base.frame(spark, sf_dir, f, view) for f in frames if "{" + f + "}" in template}
+        return query(template, **used) if used else spark.sql(template)
+
+    _QUERIES[name] = run
+    _SQL[name] = f"{base.with_sql(view, frames)} SELECT * FROM ({template.format(bars=view, pivots='pivots', ind='ind')}) AS answer"
+
+
+def _own(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
+
+_P, _BI = ("pivots",), ("bars", "ind")
+
+# ---- bars ----
+_COLUMNS = "source, symbol, timeframe, bar_idx, ts_sec, open, high, low, close, volume"
+_add("bars_walk_d", f"SELECT {_COLUMNS} FROM {{bars}}", "walk_d")
+_add("bars_walk_i", f"SELECT {_COLUMNS} FROM {{bars}}", "walk_i")
+_add("bars_resample_1h", f"SELECT {_COLUMNS} FROM {{bars}}", "walk_h")
+
+
+def _resampled(view: str, timeframe: str, bin_sql: str, as_of: int | None = None) -> tuple:
+    run = lambda spark, sf_dir: bars.resample(base.frame(spark, sf_dir, "bars", view), timeframe, as_of)
+    late = f" WHERE bin + {bars.SECONDS[timeframe]} <= {as_of}" if as_of else ""
+    sql = f"""{base.with_sql(view, ())} SELECT source, symbol, '{timeframe}' AS timeframe, (row_number() OVER (PARTITION BY source, symbol ORDER BY bin) - 1)::INTEGER AS bar_idx, bin::BIGINT AS ts_sec, open, high, low, close, volume
+FROM (SELECT source, symbol, {bin_sql} AS bin, arg_min(open, ts_sec) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts_sec) AS close, sum(volume) AS volume FROM {view} GROUP BY source, symbol, bin) b{late}"""
+    return run, sql
+
+
+_own("bars_resample_4h_from_1h", *_resampled("walk_h", "4h", "ts_sec // 14400 * 14400"))
+_own("bars_resample_weekly", *_resampled("walk_d", "1w", "(ts_sec - 259200) // 604800 * 604800 + 259200"))
+_own("bars_drop_incomplete", *_resampled("walk_h", "4h", "ts_sec // 14400 * 14400", 1_706_000_000))
+
+
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(integrity.DIRTY, bars=base.frame(spark, sf_dir, "bars", "walk_i"))
+
+
+_DIRTY_SQL = base.with_sql("walk_i", ()) + f", raw AS ({integrity.DIRTY.format(bars='walk_i')})"
+_own(
+    "bars_dedupe_keep_last",
+    lambda spark, sf_dir: bars.normalized(_dirty(spark, sf_dir)),
+    f"""{_DIRTY_SQL} SELECT source, symbol, timeframe, ts_sec, open, high, low, close, coalesce(volume, 0) AS volume, (row_number() OVER (PARTITION BY source, symbol, timeframe ORDER BY ts_sec) - 1)::INTEGER AS bar_idx
+FROM (SELECT *, row_number() OVER (PARTITION BY source, symbol, timeframe, ts_sec ORDER BY ingest_seq DESC) AS n FROM raw) r WHERE n = 1 AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL""",
+)
+for _name, _template in (("report", integrity.ISSUES), ("verdict", integrity.VERDICT), ("flatlines", integrity.FLATLINES), ("gaps_top3", integrity.WORST_GAPS), ("splits", integrity.SPLIT_DAYS)):
+    _own(f"integrity_{_name}", lambda spark, sf_dir, t=_template: query(t, raw=_dirty(spark, sf_dir)), f"{_DIRTY_SQL} SELECT * FROM ({_template.format(raw='raw')}) AS answer")
+_add("catalog_manifest", catalog.MANIFEST, "walk_i")
+_add("catalog_usable", catalog.usable_sql(1000, ("click",)), "walk_i")
+_own("universe_holdout_anti", lambda spark, sf_dir: spark.sql(catalog.TRAINING), catalog.TRAINING_SQL)
+_own("content_hash", lambda spark, sf_dir: catalog.content_hash(base.frame(spark, sf_dir, "bars", "walk_h")))
+
+# ---- indicators ----
+_add("ind_true_range", indicators.TRUE_RANGE, "walk_d")
+_add("ind_log_returns", indicators.LOG_RETURNS, "walk_d")
+_add("ind_rolling_min_periods", indicators.ROLLING, "walk_d")
+_add("ind_linreg", indicators.LINREG, "walk_h")
+_add("ind_squeeze", indicators.SQUEEZE, "walk_h")
+_add("ind_atr", indicators.ATR, "walk_d", ("ind",))
+_add("ind_rsi", indicators.RSI, "walk_d", ("ind",))
+_add("ind_macd", indicators.MACD, "walk_d", ("ind",))
+
+# ---- turning points ----
+_POINTS = "source, symbol, timeframe, scale, seq, idx, price, kind, confirmed_idx, is_anchor"
+_add("pivots_level0", f"SELECT {_POINTS} FROM {{pivots}} WHERE scale = 0", "walk_i", _P)
+_add("pivots_all_levels", f"SELECT {_POINTS} FROM {{pivots}}", "walk_i", _P)
+_add("pivots_with_times", lattice.FRAME, "walk_h", ("bars", "pivots"))
+_add("lattice_summary", lattice.SUMMARY, "walk_h", _P)
+_add("lattice_violations", lattice.VIOLATIONS, "walk_i", _P)
+_add("lag_analysis", lattice.LAGS, "walk_i", _P)
+_add("lag_by_scale", lattice.LAGS_BY_SCALE, "walk_h", _P)
+
+# ---- patterns ----
+_add("labelings_by_pattern", labeling.BY_PATTERN, "walk_h", _P)
+_add("labelings_substructure", labeling.SUBSTRUCTURE, "walk_h", _P)
+_add("labelings_as_of", labeling.as_of_sql(400), "walk_h", _P)
+_add("hypotheses_as_of", labeling.hypotheses_sql(400), "walk_h", _P)
+_add("hypotheses_alive", labeling.alive_sql(400), "walk_h", ("bars", "pivots"))
+_add("wave_ratios", ratios.RATIOS, "walk_h", _P)
+_add("fib_hit_rate", ratios.HIT_RATE, "walk_h", _P)
+_add("fib_coverage", ratios.coverage_sql(0.1, 3.0), "walk_h", ())
+_add("surrogate_series", f"SELECT source, symbol, timeframe, bar_idx, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close FROM ({ratios.surrogate_sql()}) s", "walk_h")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
