@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import indicators
-from tidemark.operators import integrity, labeling, lattice, ratios
+from tidemark.operators import execution, integrity, labeling, lattice, ratios, signals
 from tidemark.plans import base
 from tidemark.plans.frames import query
 from tidemark.sources import bars, catalog
@@ -105,6 +105,56 @@ _add("fib_coverage", ratios.coverage_sql(0.1, 3.0), "walk_h", ())
 _add("surrogate_series", f"SELECT source, symbol, timeframe, bar_idx, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close FROM ({ratios.surrogate_sql()}) s", "walk_h")
 
 
+# ---- signals and trades ----
+_BP, _BPI = ("bars", "pivots"), ("bars", "pivots", "ind")
+_add("as_of_context_pair", signals.pairs_at_sql(400), "walk_h", _P)
+_SIGNAL = "source, symbol, timeframe, bar, direction, context_scale, trigger_scale, i0, p0, i1, p1, ti, tp, round(stop, 8) AS stop, round(retrace, 8) AS retrace"
+_add("signals_rule", f"SELECT {_SIGNAL} FROM ({signals.signals_sql()}) s", "walk_h", _BP)
+_add("signals_trigger", f"SELECT {_SIGNAL} FROM ({signals.signals_sql('trigger', offset=1)}) s", "walk_h", _BP)
+_add("signal_guidelines", signals.GUIDELINES, "walk_h", _BPI)
+_add("signal_scores", signals.SCORES, "walk_h", _BPI)
+_add("guideline_summary", signals.SUMMARY, "walk_h", _BPI)
+_TRADE = "source, symbol, timeframe, bar, context_scale, trigger_scale, direction, entry_bar, exit_bar, entry, round(exit, 8) AS exit, round(stop, 8) AS stop, reason, round(r, 7) AS r"
+_add("exit_first_hit", f"SELECT {_TRADE} FROM ({execution.CANDIDATES}) c", "walk_h", _BP)
+_add("placebo_market", execution.PLACEBO, "walk_h", _BP)
+
+_TRADES_SQL = execution.greedy_sql(execution.CANDIDATES.format(bars="walk_h", pivots="pivots"))
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
+    return base.kept(spark, sf_dir, "trades", lambda: execution.backtest(**frames))
+
+
+def _on_trades(name: str, template: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = {"trades": _trades(spark, sf_dir)}
+        if "{bars}" in template:
+            used["bars"] = base.frame(spark, sf_dir, "bars", "walk_h")
+        return query(template, **used)
+
+    _own(name, run, f"{base.with_sql('walk_h', _P)}, trades AS ({_TRADES_SQL}) SELECT * FROM ({template.format(trades='trades', bars='walk_h')}) AS answer")
+
+
+_on_trades("backtest_market", f"SELECT {_TRADE} FROM {{trades}}")
+_on_trades("backtest_by_reason", execution.BY_REASON)
+_on_trades("backtest_percentiles", execution.PERCENTILES)
+_on_trades("backtest_by_symbol", execution.BY_SYMBOL)
+_on_trades("metrics_portfolio", execution.metrics_sql(tried=6))
+_on_trades("welch_by_direction", execution.WELCH)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = query(signals.SCORES, **{f: base.frame(spark, sf_dir, f, "walk_h") for f in _BPI})
+    return execution.with_scores(_trades(spark, sf_dir), scores)
+
+
+_SCORED_SQL = f"""{base.with_sql('walk_h', ('pivots', 'ind'))}, trades AS ({_TRADES_SQL}), scores AS ({signals.SCORES.format(bars='walk_h', pivots='pivots', ind='ind')}),
+scored AS (SELECT t.*, s.score FROM trades t JOIN scores s ON t.source = s.source AND t.symbol = s.symbol AND t.timeframe = s.timeframe AND t.bar = s.bar AND t.context_scale = s.context_scale)"""
+for _name, _template in (("quality_spearman", execution.SPEARMAN), ("quality_by_score", execution.BY_SCORE)):
+    _own(_name, lambda spark, sf_dir, t=_template: query(t, scored=_scored(spark, sf_dir)), f"{_SCORED_SQL} SELECT * FROM ({_template.format(scored='scored')}) AS answer")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
