@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import indicators
-from tidemark.operators import execution, integrity, labeling, lattice, ratios, signals
+from tidemark.operators import execution, integrity, labeling, lattice, ratios, signals, zones
 from tidemark.plans import base
 from tidemark.plans.frames import query
 from tidemark.sources import bars, catalog
@@ -155,6 +155,32 @@ for _name, _template in (("quality_spearman", execution.SPEARMAN), ("quality_by_
     _own(_name, lambda spark, sf_dir, t=_template: query(t, scored=_scored(spark, sf_dir)), f"{_SCORED_SQL} SELECT * FROM ({_template.format(scored='scored')}) AS answer")
 
 
+# ---- zones and limit orders ----
+_ORDER = "source, symbol, timeframe, bar, direction, context_scale, i1, round(limit_price, 7) AS limit_price, round(stop, 7) AS stop, round(target, 7) AS target, extended, expiry_bar, round(rr, 6) AS rr, n_supporting"
+_FATE = "source, symbol, timeframe, bar, context_scale, direction, status, entry_bar, exit_bar, round(entry, 7) AS entry, round(exit, 7) AS exit, reason, round(r, 6) AS r"
+_add("zone_orders", f"SELECT {_ORDER} FROM ({zones.ORDERS}) o", "walk_h", _BP)
+_add("zone_confluence", f"SELECT context_scale, n_supporting, count(*) AS n, round(avg(confluence), 6) AS confluence FROM ({zones.ORDERS}) o GROUP BY context_scale, n_supporting", "walk_h", _BP)
+_add("correction_decomposition", zones.DECOMPOSITIONS, "walk_h", _BP)
+_add("substructure_orders", f"SELECT {_ORDER} FROM ({zones.SUB_ORDERS}) o", "walk_h", _BP)
+_add("limit_fills", f"SELECT {_FATE} FROM ({zones.fates_sql(zones.ORDERS)}) o", "walk_h", _BP)
+
+
+def _on_fates(name: str, template: str, which: str = zones.ORDERS) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
+        return query(template, fates=base.kept(spark, sf_dir, f"fates {which == zones.ORDERS}", lambda: zones.backtest(**frames, which=which)))
+
+    fates = zones.in_turn_sql(zones.fates_sql(which).format(bars="walk_h", pivots="pivots"))
+    _own(name, run, f"{base.with_sql('walk_h', _P)}, fates AS ({fates}) SELECT * FROM ({template.format(fates='fates')}) AS answer")
+
+
+_on_fates("backtest_limit", f"SELECT {_FATE} FROM {{fates}}")
+_on_fates("limit_order_fates", zones.FATE_COUNTS)
+_on_fates("limit_by_confluence", zones.BY_CONFLUENCE)
+_on_fates("limit_by_extension", zones.BY_EXTENSION)
+_on_fates("backtest_substructure", f"SELECT {_FATE} FROM {{fates}}", zones.SUB_ORDERS)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
