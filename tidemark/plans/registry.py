@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import indicators
-from tidemark.operators import execution, integrity, labeling, lattice, ratios, signals, zones
+from tidemark.operators import execution, features, integrity, labeling, lattice, ratios, risk, signals, zones
 from tidemark.plans import base
 from tidemark.plans.frames import query
 from tidemark.sources import bars, catalog
@@ -181,6 +181,54 @@ _on_fates("limit_by_extension", zones.BY_EXTENSION)
 _on_fates("backtest_substructure", f"SELECT {_FATE} FROM {{fates}}", zones.SUB_ORDERS)
 
 
+# ---- features, labels, folds ----
+_TRENDS = ("ret_5", "ret_20", "ret_60", "ret_120", "atr_rel", "atr_trend", "rsi", "macd_hist_norm", "dist_ma50", "dist_ma200", "vol_rel", "dist_high60", "dist_low60")
+_add("features_trend", f"SELECT source, symbol, timeframe, bar_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _TRENDS)}, squeeze_on FROM ({features.TREND}) t", "walk_h", ("ind",))
+_NUMBERS = [f"{n}_s{s}" for s in features.SCALES for n in ("retrace", "size_atr", "time")] + ["scale_agree", "length_ratio", "duration_ratio"]
+_WHOLE = [f"{n}_s{s}" for s in features.SCALES for n in ("dir", "subwaves")] + ["n_scales_up"]
+_add("features_structure", f"SELECT source, symbol, timeframe, bar_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _NUMBERS)}, {', '.join(f'cast({c} as bigint) AS {c}' for c in _WHOLE)} FROM ({features.STRUCTURE}) t", "walk_h", ("pivots", "ind"))
+_add("labels_triple_barrier", features.BARRIERS, "walk_h", ("ind",))
+_add("labels_forward", features.LABELS, "walk_h", ("ind",))
+_add("fold_membership", features.folds_sql(), "walk_h", ("ind",))
+
+
+def _walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.dataset(base.frame(spark, sf_dir, "ind", "walk_h"), base.frame(spark, sf_dir, "pivots", "walk_h"))
+    return query(features.REPORT, predicted=features.walk_forward(rows))
+
+
+_own("gbt_walk_forward", _walk_forward)
+
+# ---- risk ----
+_add("correlation_pairs", risk.CORRELATIONS, "walk_d")
+_add("challenge_no_edge", risk.NO_EDGE, "walk_h", ())
+_STATES = "(SELECT * FROM (VALUES (0, 0e0, 0e0, 0, 0e0), (0, 0e0, 0e0, 3, 0.8e0), (6, 0e0, 0e0, 0, 0e0), (2, 0.035e0, 0e0, 0, 0e0), (2, 0.01e0, 0.015e0, 1, 0.2e0), (1, 0.05e0, 0e0, 0, 1e0)) AS v(n_open, heat, cluster_heat, losses, drawdown_used))"
+_add("risk_allowance", risk.allowance_sql(_STATES), "walk_h", ())
+_on_trades("required_r", risk.REQUIRED)
+
+
+def _challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
+    every = query(execution.CANDIDATES, **frames).select("r").limit(10_000).toPandas().r.tolist()  # results to draw from, a bounded sample
+    return risk.challenge(spark, every or [0.0] * 20, risk.Rules(), [0.01, 0.02, 0.03, 0.05], 1.0)
+
+
+_own("challenge_mc", _challenge)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import tempfile
+
+    from tidemark.streaming import points
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return points.replayed(base.frame(spark, sf_dir, "bars", "walk_h"), folder)
+
+
+_add("stream_pivots", "SELECT source, symbol, timeframe, scale, idx, price, kind, confirmed_idx, is_anchor FROM {pivots}", "walk_h", _P)
+_QUERIES["stream_pivots"] = _stream
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
