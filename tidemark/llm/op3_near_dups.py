@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, stored, whole_text
+from tidemark.llm.common import documents, stored, stored_by, whole_text
 
 WORDS = 5
 LIKE = 0.8
@@ -237,7 +237,7 @@ def classes(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.lit("text"), F.col("text"))
     keyed = stored(rows.select("doc_id", key.alias("id")), "keys")
     # of equal texts one row is kept, without sending all of them to one task
-    texts = stored(rows.select(key.alias("id"), "text").dropDuplicates(["id"]), "texts")
+    texts = stored_by(rows.select(key.alias("id"), "text").dropDuplicates(["id"]), "texts", "id")
     signed = stored(texts.mapInArrow(_signed, "id bigint, bands array<bigint>, registers binary"), "signed")
     buckets = signed.select("id", F.posexplode("bands").alias("band", "key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
