@@ -11,7 +11,6 @@ Both samples are bounded (MOST_TOXIC, MOST_UNLABELLED); scoring goes over every
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, whole_text
+from tidemark.llm.common import documents, stored, whole_text
 from tidemark.llm.labelled import fold, sample, with_texts
 
 #: The samples from which the classifier is learned.
@@ -50,21 +49,20 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and word number of each entry."""
-    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], np.int64)
+def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], vocabulary: list[str], prior: float) -> Classifier:
+    """Full-batch Adam on the non-negative risk with logistic loss; a text is its words' places in the vocabulary.
 
-
-def fit(toxic: list[set[str]], unlabelled: list[set[str]], prior: float) -> Classifier:
-    """Full-batch Adam on the non-negative risk with logistic loss. Without toxic texts nothing is toxic."""
-    if not toxic or not unlabelled:
-        return Classifier({}, np.zeros(0), 5.0 if toxic else -5.0)
-    n_p, n_u = Counter(w for t in toxic for w in t), Counter(w for t in unlabelled for w in t)
-    often = [w for w, n in n_p.items() if n >= LEAST_TEXTS and n / len(toxic) >= MORE_FREQUENT * n_u[w] / len(unlabelled)]
-    kept = sorted(often, key=lambda w: (-n_p[w], w))[:MOST_WORDS]
-    vocabulary = {w: i for i, w in enumerate(sorted(kept))}
-    (rp, cp), (ru, cu) = (_matrix([[vocabulary[w] for w in t if w in vocabulary] for t in texts]) for texts in (toxic, unlabelled))
-    k, prior = len(vocabulary), min(max(prior, 1e-4), 0.9)
+    Words that aren't more frequent in toxic texts get no weight. Without toxic texts nothing is toxic.
+    """
+    k = len(vocabulary)
+    if not len(toxic) or not len(unlabelled):
+        return Classifier({}, np.zeros(0), 5.0 if len(toxic) else -5.0)
+    entries = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.asarray(r, np.int64) for r in rows]))
+    (rp, cp), (ru, cu) = entries(toxic), entries(unlabelled)
+    counts = [np.bincount(c, minlength=k) / len(rows) for c, rows in ((cp, toxic), (cu, unlabelled))]
+    telling = counts[0] >= MORE_FREQUENT * counts[1]
+    (rp, cp), (ru, cu) = ((r[telling[c]], c[telling[c]]) for r, c in ((rp, cp), (ru, cu)))
+    prior = min(max(prior, 1e-4), 0.9)
     w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -79,7 +77,7 @@ def fit(toxic: list[set[str]], unlabelled: list[set[str]], prior: float) -> Clas
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Classifier(vocabulary, w, float(b))
+    return Classifier({x: i for i, x in enumerate(vocabulary) if telling[i]}, w, float(b))
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED) -> Classifier:
@@ -95,9 +93,17 @@ def learned(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, mo
     others = docs.select("doc_id").filter("doc_id is not null").filter(fold(FOLDS) != HELD_OUT)
     unlabelled = sample(others, most_unlabelled, 10)
     chosen = toxic.withColumn("positive", F.lit(1)).union(unlabelled.withColumn("positive", F.lit(0)))
-    texts = with_texts(chosen, docs, whole_text()).select("doc_id", "positive", worded("text").alias("words")).dropDuplicates(["doc_id", "positive"])
-    rows = texts.orderBy("positive", "doc_id").toPandas()
-    return fit([set(x) for x in rows.words[rows.positive == 1]], [set(x) for x in rows.words[rows.positive == 0]], float(prior))
+    texts = stored(with_texts(chosen, docs, whole_text()).select("doc_id", "positive", worded("text").alias("words")).dropDuplicates(["doc_id", "positive"]), "toxic")
+    often = texts.filter("positive = 1").select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") >= LEAST_TEXTS)
+    vocabulary = sorted(r.word for r in often.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect())
+    place = {w: i for i, w in enumerate(vocabulary)}
+
+    @F.pandas_udf("array<int>")
+    def placed(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ws: [i for i in map(place.get, ws) if i is not None])
+
+    rows = texts.select("doc_id", "positive", placed("words").alias("x")).orderBy("positive", "doc_id").toPandas()
+    return fit(rows.x[rows.positive == 1].tolist(), rows.x[rows.positive == 0].tolist(), vocabulary, float(prior))
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
