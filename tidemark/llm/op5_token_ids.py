@@ -6,8 +6,8 @@ before each block of 512 bits turns a place at one level into the place at the n
 a few look-ups, without decoding what stands around it.
 
 Documents go to range partitions by doc_id, are sorted there, tokenized and written by Spark as rows of
-segments, each of a bounded number of ids. A segment is complete in itself. Where a document starts among
-all ids follows from sums over partitions and segments, which are small tables.
+segments, each of a bounded number of ids. A segment is complete in itself and knows how many ids its
+partition has before it; how many the partitions before have is a sum over a row for each of them.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ BLOCK = 512
 #: A segment is closed once it holds so many ids.
 SEGMENT = 1 << 20
 #: So many words' ids are kept by a Python worker; beyond, they are encoded whenever they are needed.
-MOST_WORDS = 900_000
+MOST_WORDS = 1_000_000
 LONGEST_KEPT = 48
 
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _loaded: dict = {}
 
 
@@ -99,25 +100,64 @@ class Segment:
 # ---- the tokenizer ----
 
 
+def _folded(text: str) -> str:
+    """Lower case, where that is the same as the tokenizer's own: Latin letters, and no special token's string."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class _Words:
-    """The ids of texts, word by word: this tokenizer parts texts at white space before anything else."""
+    """The ids of texts, word by word: this tokenizer parts texts at white space, then lowers case, before all else."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.kept = {"": b""}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
-        words, kept = text.replace("\n", " ").split(" "), self.kept
+        words, kept = _folded(text).replace("\n", " ").split(" "), self.kept
         try:
             return b"".join(map(kept.__getitem__, words))
         except KeyError:
-            new = list({w for w in words if w not in kept})
-        codes = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            codes = self._codes({w for w in words if w not in kept})
+        return b"".join([kept[w] if w in kept else codes[w] for w in words])
+
+    def _codes(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of words that aren't kept; they are, from now on, while there is room.
+
+        Letters and punctuation behind them are parted by the tokenizer itself, so each is encoded once.
+        """
+        kept, codes = self.kept, {}
+        parts = {w: w.rstrip(_MARKS) for w in new}
+        bases = {b for w, b in parts.items() if len(b) < len(w) and b.isalpha()}
+        tails = {w[len(b) :] for w, b in parts.items() if b in bases}
+        whole = {w for w, b in parts.items() if b not in bases or b == w}
+        wanted = [w for w in whole | bases | tails if w not in kept]
+        codes |= self._letters([w for w in wanted if w.isalpha()])
+        rest = [w for w in wanted if w not in codes]
+        codes |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
         if len(kept) < MOST_WORDS:
             kept.update((w, c) for w, c in codes.items() if len(w) <= LONGEST_KEPT)
-        return b"".join([kept[w] if w in kept else codes[w] for w in words])
+        get = lambda w: codes[w] if w in codes else kept[w]
+        return {w: get(b) + get(w[len(b) :]) if b in bases and b != w else get(w) for w, b in parts.items()}
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters alone, as one text: each ends with a token that says so."""
+        if not words:
+            return {}
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):  # a letter that becomes more than a letter in lower case
+            return {}
+        data, at = ids.tobytes(), [0, *ends.tolist()]
+        return {w: data[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
 
 
 def _words(path: str) -> _Words:
@@ -129,19 +169,19 @@ def _words(path: str) -> _Words:
     return _loaded[path]
 
 
-_SEGMENTS = "part int, seq int, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, data binary"
+_SEGMENTS = "part int, seq int, inside bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, data binary"
 
 
 def _segments(path: str, end: int | None):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part, seq = _words(path), TaskContext.get().partitionId(), 0
+        words, part, seq, inside = _words(path), TaskContext.get().partitionId(), 0, 0
         close = b"" if end is None else struct.pack("<I", end)
         doc_ids, lengths, held, size = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
-            row = {"part": part, "seq": seq, "n_ids": size, "doc_ids": doc_ids, "n_tokens": lengths, "data": pack(np.frombuffer(b"".join(held), "<u4"))}
+            row = {"part": part, "seq": seq, "inside": inside, "n_ids": size, "doc_ids": doc_ids, "n_tokens": lengths, "data": pack(np.frombuffer(b"".join(held), "<u4"))}
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
         for batch in batches:
@@ -153,6 +193,7 @@ def _segments(path: str, end: int | None):
                 size += len(ids) // 4
                 if size >= SEGMENT:
                     yield segment()
+                    inside += size
                     doc_ids, lengths, held, size, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield segment()
@@ -160,7 +201,7 @@ def _segments(path: str, end: int | None):
     return make
 
 
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("data", pa.binary())])
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("inside", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int | None = END) -> None:
@@ -176,12 +217,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int | None = END)
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The segments at path with `start`, the ids before each."""
     segments = spark.read.schema(_SEGMENTS).parquet(path)
-    sizes = segments.select("part", "seq", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", "seq", inside.alias("inside")).join(parts.select("part", before.alias("before")), "part")
-    return segments.join(starts.select("part", "seq", (F.col("before") + F.col("inside")).alias("start")), ["part", "seq"])
+    # one row for each partition that was written, so as many as that shuffle had partitions
+    return segments.join(F.broadcast(parts.select("part", before.alias("before"))), "part").withColumn("start", F.col("before") + F.col("inside"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
