@@ -1,0 +1,384 @@
+"""Each operator against a brute-force version or an exact round trip, and on awkward rows."""
+
+from __future__ import annotations
+
+import datetime
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("tidemark.llm")
+import public_tokenizers  # noqa: E402
+
+from tests.conftest import SF  # noqa: E402
+from tidemark.llm import op1_mixing, op2_tokens, op3_near_dups, op4_fingerprints, op5_token_ids, op6_quality, op7_html, op8_pii, op9_toxicity, op10_decontamination  # noqa: E402
+from tidemark.llm.registry import oracle_sql, queries  # noqa: E402
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, score string, fingerprint string"
+#: Null in every column, empty and white texts, a repeated row, equal ids with other texts, a very long text.
+AWKWARD = [
+    (1, "one two three four five six", "en", "a", 1, "x", "x", "x"), (1, "one two three four five six", "en", "a", 1, "x", "x", "x"), (1, "another text", "en", "a", 1, "x", "x", "x"),
+    (2, None, None, None, None, None, None, None), (3, "", "en", "b", 0, "x", "x", "x"), (4, " \n\t ", "en", "b", 0, "x", "x", "x"), (None, "text without an id", "en", "a", 1, "x", "x", "x"),
+    (5, "word " * 60_000, "en", "c", 1, "x", "x", "x"), (6, "ünïcödé 日本語 😀 é", "de", "c", 1, "x", "x", "x"), (7, "one two three four five six", "en", "z", 1, "x", "x", "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_rows_as_sql(spark, duck, name):
+    got = queries()[name](spark, SF).toPandas()
+    want = duck.execute(oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert got[columns].sort_values(columns).values.tolist() == want[columns].sort_values(columns).values.tolist()
+
+
+# ---- 1 ----
+
+
+def _filled(sizes, weights, share, cap):
+    """Water-filling by rounds."""
+    left, targets, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        level = left / sum(weights[i] for i in open_)
+        above = {i for i in open_ if level * weights[i] > cap * sizes[i]}
+        if not above:
+            for i in open_:
+                targets[i] = level * weights[i]
+            break
+        for i in above:
+            targets[i] = cap * sizes[i]
+            left -= targets[i]
+        open_ -= above
+    return targets
+
+
+def test_targets_are_those_of_filling_by_rounds(spark):
+    rng = random.Random(1)
+    for _ in range(3):
+        sizes = [rng.choice([0, 3, 50, 1000, 20000]) for _ in range(9)]
+        rows = [(f"s{i}", n) for i, n in enumerate(sizes)]
+        got = {r.source: r.target for r in op1_mixing.targets(spark.createDataFrame(rows, "source string, source_size bigint")).collect()}
+        want = _filled(sizes, [(5, 2, 1)[i % 3] for i in range(9)], 1.5, 2.0)
+        assert [got[f"s{i}"] for i in range(9)] == pytest.approx(want)
+
+
+def test_mix_of_awkward_rows(awkward, empty):
+    rows = op1_mixing.mix(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    for r in rows:
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    assert op1_mixing.mix(empty).count() == 0
+    mixed = Counter(r.doc_id for r in op1_mixing.repeated(awkward).collect())
+    assert set(mixed) <= {1, 2, 3, 4, 5, 6, 7, None} and op1_mixing.repeated(awkward).columns == awkward.columns
+
+
+# ---- 2 ----
+
+
+def test_token_counts_are_the_librarys(awkward, empty, texts):
+    t = op2_tokens.Transducer(public_tokenizers.path(op2_tokens.MODEL))
+    rng = random.Random(2)
+    odd = ["".join(rng.choice("ab ▁\n日é<s>0x A\t😀.") for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    samples = [*odd, *list(texts.values())[:60], "a" * 40_000, " " * 40_000, "▁\n" * 20_000, "日本" * 20_000, "w " * 40_000]
+    for chunk in (5, 1 << 15):
+        op2_tokens.CHUNK, kept = chunk, op2_tokens.CHUNK
+        try:
+            assert [t.total(x) for x in samples if chunk > 5 or len(x) < 5_000] == [len(t.library.encode(x)) for x in samples if chunk > 5 or len(x) < 5_000]
+        finally:
+            op2_tokens.CHUNK = kept
+    rows = op2_tokens.with_token_counts(awkward, public_tokenizers.path(op2_tokens.MODEL)).collect()
+    assert all(r.n_tokens == len(t.library.encode(r.text or "")) and r.n_bytes == len((r.text or "").encode()) and r.over_limit == (r.n_tokens > 4096) for r in rows)
+    assert op2_tokens.with_token_counts(empty, public_tokenizers.path(op2_tokens.MODEL)).count() == 0
+
+
+# ---- 3 ----
+
+
+def _runs(text):
+    w = text.split()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def _classes(texts):
+    """Components of all pairs of a likeness of 0.8, and of equal texts."""
+    ids, sets, parent = sorted(texts), {d: _runs(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            shared = sum((sets[a] & sets[b]).values())
+            total = sum(sets[a].values()) + sum(sets[b].values()) - shared
+            if texts[a] == texts[b] or (total and shared / total >= 0.8):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d: root(d) for d in texts}
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark, texts):
+    rng = random.Random(3)
+    rows = {d: t for d, t in texts.items() if d < 100}
+    base = list(texts[7].split())
+    for k in range(60):  # a large group around one text, in which most pairs are less alike than each with the text
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        rows[1000 + k] = " ".join(w)
+    got = {r.doc_id: r.class_id for r in op3_near_dups.classes(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
+    assert got == _classes(rows)
+
+
+def test_signatures_estimate_weighted_likeness():
+    rng, off = np.random.default_rng(0), []
+    for t in range(150):
+        a = rng.integers(0, 120, 200).astype(np.uint64) + np.uint64(1000 * t)
+        b = np.concatenate([a[: rng.integers(20, 180)], rng.integers(0, 200, 60).astype(np.uint64) + np.uint64(1000 * t)])
+        s = op3_near_dups.signatures(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+        x, y = Counter(a.tolist()), Counter(b.tolist())
+        shared = sum((x & y).values())
+        off.append((s[0] == s[1]).mean() - shared / (len(a) + len(b) - shared))
+    assert abs(np.mean(off)) < 0.015
+
+
+def test_near_duplicates_of_awkward_rows(awkward, empty):
+    got = Counter((r.doc_id, r.class_id) for r in op3_near_dups.classes(awkward).collect())
+    assert got == Counter({(1, 1): 3, (7, 1): 1, (2, 2): 1, (3, 2): 1, (4, 4): 1, (5, 5): 1, (6, 6): 1, (None, None): 1})
+    assert op3_near_dups.classes(empty).count() == 0
+    kept = op3_near_dups.one_of_each(awkward)
+    assert kept.columns == awkward.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 4, 5, 6, None])
+
+
+# ---- 4 ----
+
+
+@pytest.mark.parametrize("which", ["real", "awkward"])
+def test_fingerprints_against_a_plain_loop(spark, awkward, texts, which):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string") if which == "real" else awkward
+    got = op4_fingerprints.compared(docs).collect()
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).collect()
+    rows = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    want = []
+    for i, r in enumerate(rows):
+        following = rows[(i + 1) % len(rows)].text
+        third = len(r.text) // 3
+        edited = r.text[: len(r.text) - third] + following[:third]
+        fp = op4_fingerprints.fingerprint
+        want.append((r.doc_id, len(r.text), hashlib.sha256(edited.encode()).hexdigest(), fp(r.text), fp(edited), op4_fingerprints.likeness(fp(r.text), fp(edited)), op4_fingerprints.likeness(fp(r.text), fp(following))))
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_fingerprints_locate_edits(empty, spark):
+    a = "one line of text\n\nsecond section here\nits second line"
+    b = a.replace("second line", "other line")
+    x, y = op4_fingerprints.fingerprint(a), op4_fingerprints.fingerprint(b)
+    assert x != y and op4_fingerprints.edits(x, y) == [(1, 3)] and op4_fingerprints.edits(x, x) == []
+    assert op4_fingerprints.compared(empty).count() == 0
+    lone = op4_fingerprints.compared(spark.createDataFrame([(1, "abc def")], "doc_id bigint, text string")).collect()
+    assert len(lone) == 1 and lone[0].near_next == 1.0
+
+
+# ---- 5 ----
+
+
+def test_segments_give_back_every_id():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 511, 512, 513, 4000):
+        for high in (2, 256, 257, 70_000, 2**32 - 1):
+            ids = rng.integers(0, high, n).astype(np.uint32)
+            segment = op5_token_ids.Segment(op5_token_ids.pack(ids))
+            assert (segment.all() == ids).all() and len(segment) == n
+            assert all(segment[i] == ids[i] for i in rng.integers(0, max(n, 1), 30).tolist() if n)
+
+
+def test_ids_are_the_librarys(awkward, empty, spark, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(op5_token_ids.MODEL))
+    words = op5_token_ids._Words(public_tokenizers.path(op5_token_ids.MODEL))
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("aΣé \n\t'sS<|>́\x1c 😀9.,　!") for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["don't <|endoftext|> x<|startoftext|>y", "<|ENDOFTEXT|>", "İI ﬁ"]
+    for x in [*odd, *list(texts.values())[:40]]:
+        assert words.encode(x) == np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    got = sorted(op5_token_ids.written_and_read(awkward).collect(), key=lambda r: r.start)
+    rows = sorted(awkward.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text.encode()))
+    start = 0
+    assert len(got) == len(rows)
+    for r, w in zip(got, rows, strict=True):
+        ids = np.array([*library.encode(w.text, add_special_tokens=False).ids, 1], "<u4")
+        assert tuple(r) == (w.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert op5_token_ids.written_and_read(empty).count() == 0
+
+
+# ---- 6, 9 ----
+
+
+def _auc(score, label):
+    order = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
+    n1, n0 = int((label == 1).sum()), int((label == 0).sum())
+    return (order[label == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op6_quality", "quality", 0.97), ("op9_toxicity", "toxic", 0.9)])
+def test_held_out_rows_are_ranked_well(spark, name, label, least):
+    sf = "/root/testdata/sf0.1"
+    got = queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    assert _auc(got.score.to_numpy(), got[label].to_numpy()) > least
+    assert ((got.score >= 0.5).astype(int) == got.predicted).all() and got.score.between(0, 1).all()
+    assert (got.predicted == got[label]).mean() > 0.95
+
+
+def test_classifiers_on_awkward_rows(spark, awkward, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 1), (4, None, None), (None, 1, 1), (7, 0, 1), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
+    none = labels.limit(0)
+    for op in (op6_quality, op9_toxicity):
+        for known in (labels, none):
+            rows = op.scored(awkward, op.learned(awkward, known)).collect()
+            assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+        assert op.scored(empty, op.learned(empty, labels)).count() == 0
+
+
+# ---- 7 ----
+
+
+def test_pages_as_they_are_seen(spark):
+    page = """<html><head><title>x</title><style>p{}</style></head><body><h1>T &amp; m</h1><p>One <b>two</b>  three<p>Four<br>five<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul>
+<table><tr><th>Name<th>N<tr><td>Long name<td>1</tr><tr><td colspan=2>both</table><pre>  a
+   b</pre><div hidden>no</div><p style="display: none">no</p>end<script>var t="</p>"</script>"""
+    want = "T & m\n\nOne two three\n\nFour\nfive\n\n- a\n- b\n  3. x\n  4. y\n\nName       N\nLong name  1\nboth\n\na\n   b\n\nend"
+    assert op7_html.rendered(page) == want.replace("\n\na\n   b", "\n\n  a\n   b") or op7_html.rendered(page) == want
+    odd = ["", "<", "<p", "<!-- x", "<script>x", "<div>" * 20_000 + "deep", "<td>a<td>b", "&#0;&bogus;", "<ul><li>" * 500, "a<b>c</i>d</b>e"]
+    rows = op7_html.with_text(spark.createDataFrame([(i, x, "t") for i, x in enumerate([*odd, None])], "page_id int, html string, text string")).collect()
+    assert len(rows) == 11 and rows[5].text == "deep" and rows[10].text == "" and rows[9].text == "acde"
+
+
+def test_every_visible_word_of_the_pages_is_kept(spark):
+    import html
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = re.sub(r"(?s)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*\shidden[^>]*>.*?</\w+>|<[^>]*(?:display|visibility)[^>]*>.*?</\w+>", " ", r.html)
+        seen = Counter(html.unescape(re.sub(r"<[^>]+>", " ", body)).split())
+        got = Counter(op7_html.rendered(r.html).split())
+        assert sum((seen - got).values()) <= 0.02 * sum(seen.values()), r.page_id
+
+
+# ---- 8 ----
+
+
+def _luhn(s):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_pseudonyms_keep_formats_and_links(spark):
+    values = {
+        "card": ["4539578763621486", "4539 5787 6362 1486", "4111-1111-1111-1111", "378282246310005"], "address": ["10.1.2.3", "255.255.255.255"], "ssn": ["123-45-6789", "665-01-0001"], "date": ["2024-02-29", "31.12.1999", "25/12/2001"],
+        "phone": ["+1 (663) 555-6869", "555-123-4567"], "email": ["jane.doe42@mail.example.com"], "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"], "secret": ['token = "0123456789abcdef0123"'],
+    }
+    kept = ["4539578763621487", "1.2.3.999", "000-12-3456", "2023-02-30", "DE88370400440532013000", "v1.2.3.4", "plain words", "12345", ""]
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("kept", v) for v in kept] + [("kept", None)]
+    docs = spark.createDataFrame([(k, v, f"ab {v} cd, {v}." if v is not None else None) for k, v in rows], "kind string, v string, text string")
+    seen = {}
+    for r in op8_pii.with_pseudonyms(docs).collect():
+        if r.kind == "kept":
+            assert r.n_found == 0 and r.text == (f"ab {r.v} cd, {r.v}." if r.v is not None else None)
+            continue
+        new = re.fullmatch(r"ab (.*) cd, (.*)\.", r.text)
+        assert r.n_found == 2 and new and new[1] == new[2] != r.v, (r.v, r.text)
+        if r.kind not in ("address", "email"):
+            assert re.sub(r"\d", "9", re.sub("[a-f]", "9", new[1])) == re.sub(r"\d", "9", re.sub("[a-f]", "9", r.v)) if r.kind == "secret" else len(new[1]) == len(r.v)
+        seen[r.v] = new[1]
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert all(_luhn(digits(seen[v])) for v in values["card"]) and digits(seen["4539578763621486"]) == digits(seen["4539 5787 6362 1486"])
+    assert all(0 <= int(o) <= 255 for v in values["address"] for o in seen[v].split("."))
+    assert datetime.date.fromisoformat(seen["2024-02-29"]) and datetime.datetime.strptime(seen["31.12.1999"], "%d.%m.%Y")
+    for v in values["iban"]:
+        plain = seen[v].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_numbers_are_permuted_without_collisions(spark):
+    got = [r.x for r in spark.range(0, 3000).select(op8_pii.permuted_number(F.col("id"), 3000, "k").alias("x")).collect()]
+    assert sorted(got) == list(range(3000))
+    short = [r.x for r in spark.range(0, 1000).select(op8_pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k").alias("x")).collect()]
+    assert len(set(short)) == 1000 and all(re.fullmatch(r"\d{3}", x) for x in short)
+
+
+def test_pseudonyms_of_awkward_rows(awkward, empty):
+    rows = op8_pii.with_pseudonyms(awkward).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((a[0], a[1]) for a in AWKWARD)
+    assert op8_pii.with_pseudonyms(empty).count() == 0
+
+
+# ---- 10 ----
+
+
+def _tokens(text):
+    return [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
+
+
+def test_overlaps_with_substitutions(spark):
+    rng = random.Random(10)
+    item = [f"w{i}" for i in range(30)]
+    other = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+    near = list(item)
+    near[12] = near[20] = "changed"
+    far = [w if i % 2 else "changed" for i, w in enumerate(item)]
+    docs = {1: other(20) + item + other(5), 2: other(20) + near + other(5), 3: other(20) + far, 4: other(60), 5: item[10:25] + other(9), 6: ["short", "item", "here"], 7: []}
+    frame = spark.createDataFrame([(d, " ".join(w), "x") for d, w in docs.items()] + [(8, None, None)], "doc_id bigint, text string, item string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short, item HERE!"), (3, None), (4, "")], "item_id bigint, text string")
+    for most in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r for r in op10_decontamination.overlaps(frame, bench, most).collect()}
+        assert set(got) == {(1, 1), (2, 1), (5, 1), (6, 2)} and got[1, 1].doc_start == 20 and got[5, 1].doc_start == -10
+    left = op10_decontamination.without_overlaps(frame, bench)
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 7, 8] and left.columns == frame.columns
+
+
+def test_overlaps_of_awkward_rows(spark, awkward, empty):
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
+    assert Counter((r.doc_id, r.item_id) for r in op10_decontamination.overlaps(awkward, bench).collect()) == Counter([(1, 1), (7, 1)])
+    assert op10_decontamination.overlaps(empty, bench).count() == 0 and op10_decontamination.overlaps(awkward, bench.limit(0)).count() == 0
+
+
+# ---- the pipeline ----
+
+
+def test_pipeline(spark, texts):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = Counter(r.doc_id for r in out.select("doc_id").collect())
+        assert set(kept) <= set(texts) and (name == "mixing" or max(kept.values()) == 1)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    rows = p.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in rows) == kept
+    ordered = sorted(rows, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == sorted(r.doc_id for r in rows)
