@@ -32,12 +32,15 @@ _FIVE = {
 _THREE = {"b_retrace_a": _ratio(_w(1), _w(0)), "c_ext_a": _ratio(_w(2), _w(0)), "tb_ta": _ratio(_t(1), _t(0)), "tc_ta": _ratio(_t(2), _t(0))}
 
 
-def _long(which: dict[str, str], patterns: str) -> str:
-    return " UNION ALL ".join(f"SELECT {KEY}, scale, seq, pattern, '{name}' AS ratio, {expr} AS value FROM ({LABELINGS}) l WHERE pattern IN ({patterns})" for name, expr in which.items())
-
-
-#: One row for each labeling and ratio; a wave of no length gives null.
-RATIOS = f"SELECT {KEY}, scale, seq, pattern, ratio, round(value, 8) AS value FROM ({_long(_FIVE, "'impulse', 'leading_diagonal', 'ending_diagonal'")} UNION ALL {_long(_THREE, "'zigzag', 'flat'")}) r"
+_NAMES = [(n, "five") for n in _FIVE] + [(n, "three") for n in _THREE]
+_VALUES = ", ".join(f"('{n}', '{kind}')" for n, kind in _NAMES)
+_KIND = "CASE WHEN pattern IN ('impulse', 'leading_diagonal', 'ending_diagonal') THEN 'five' WHEN pattern IN ('zigzag', 'flat') THEN 'three' END"
+_VALUE = "CASE ratio " + " ".join(f"WHEN '{n}' THEN {expr}" for n, expr in {**_FIVE, **_THREE}.items()) + " END"
+
+#: One row for each labeling and ratio; a wave of no length gives null. Patterns of other kinds have no ratios.
+RATIOS = f"""
+SELECT {KEY}, scale, seq, pattern, ratio, round({_VALUE}, 8) AS value
+FROM (SELECT *, {_KIND} AS kind_of FROM ({LABELINGS}) l) k JOIN (VALUES {_VALUES}) AS r(ratio, kind) ON r.kind = k.kind_of"""
 
 _NEAR = " OR ".join(f"abs(value - {x}) <= {TOLERANCE * x}" for x in LEVELS)
 HIT_RATE = f"SELECT ratio, count(*) AS n, round(avg(CASE WHEN {_NEAR} THEN 1e0 ELSE 0e0 END), 6) AS hit_rate FROM ({RATIOS}) v WHERE value IS NOT NULL GROUP BY ratio"

@@ -123,10 +123,10 @@ def checks(c: Config = Config()) -> dict[str, tuple[list[tuple[str, str]], list[
     }
 
 
-def _names(found: list[tuple[str, str]], only: str = "true") -> str:
+def _names(found: list[tuple[str, str]]) -> str:
     if not found:
         return "''"
-    return "concat_ws(',', " + ", ".join(f"CASE WHEN {only} AND ({cond}) THEN '{name}' END" for name, cond in found) + ")"
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in found) + ")"
 
 
 def check_sql(windows: str, keep: str, c: Config = Config(), exact: bool = True) -> str:
@@ -134,13 +134,17 @@ def check_sql(windows: str, keep: str, c: Config = Config(), exact: bool = True)
 
     exact: the window's n points must be the pattern's; else a pattern looks at as many as it needs.
     """
-    parts = []
+    bad_cases, note_cases = [], []
     for pattern, (bad, notes) in checks(c).items():
         broken, late = _structure(len(PATTERNS[pattern]) + 1, exact)
-        sound = f"NOT coalesce({broken[1]} OR {late[1]}, true)"
-        found = f"CASE WHEN coalesce({broken[1]}, true) OR coalesce({late[1]}, true) THEN 'STRUKTUR' ELSE {_names(bad)} END"
-        parts.append(f"SELECT {keep}, '{pattern}' AS pattern, {found} AS violations, CASE WHEN {sound} THEN {_names(notes)} ELSE '' END AS notes FROM (SELECT *, {_direction()} AS d FROM {windows}) AS w")
-    return f"SELECT *, violations = '' AS ok FROM ({' UNION ALL '.join(parts)}) AS checked"
+        unsound = f"coalesce({broken[1]}, true) OR coalesce({late[1]}, true)"
+        bad_cases.append(f"WHEN '{pattern}' THEN CASE WHEN {unsound} THEN 'STRUKTUR' ELSE {_names(bad)} END")
+        note_cases.append(f"WHEN '{pattern}' THEN CASE WHEN {unsound} THEN '' ELSE {_names(notes)} END")
+    every = "(VALUES " + ", ".join(f"('{p}')" for p in PATTERNS) + ") AS e(pattern)"
+    # all patterns in one pass over the windows; notes are worked out only for what is asked of them
+    return f"""SELECT *, violations = '' AS ok FROM (
+  SELECT {keep}, pattern, CASE pattern {" ".join(bad_cases)} END AS violations, CASE pattern {" ".join(note_cases)} END AS notes
+  FROM (SELECT *, {_direction()} AS d FROM {windows}) AS w CROSS JOIN {every}) AS checked"""
 
 
 def window_sql(pivots: str, points: int = 8) -> str:

@@ -176,3 +176,21 @@ def sub_orders(bars: DataFrame, pivots: DataFrame) -> DataFrame:
 def backtest(bars: DataFrame, pivots: DataFrame, which: str = ORDERS) -> DataFrame:
     """The fates of orders when a series holds one position at a time."""
     return in_turn(query(fates_sql(which), bars=bars, pivots=pivots))
+
+
+def placebo_sql(draws: int = 10, seed: int = 7) -> str:
+    """Orders moved to bars from a linear congruential sequence, all their prices in proportion to the close there."""
+    numbers = ", ".join(f"({i})" for i in range(draws))
+    at = f"(o.bar * 7919 + o.context_scale * 104729 + d.draw * 15485863 + {seed} * 32452843) % greatest(n.n_bars - 62, 1)"
+    return f"""
+SELECT p.source, p.symbol, p.timeframe, cast(p.new_bar as int) AS bar, p.direction, p.context_scale * 1000 + p.draw * 1000000 + p.bar % 1000 AS context_scale, p.p0 * k AS p0, p.p1 * k AS p1, p.limit_price * k AS limit_price, p.stop * k AS stop, p.target * k AS target,
+       p.extended, cast(p.new_bar + p.expiry_bar - p.bar as int) AS expiry_bar, p.n_supporting
+FROM (SELECT q.*, e.close / b.close AS k FROM (SELECT o.*, d.draw, {at} AS new_bar FROM ({ORDERS}) o CROSS JOIN (VALUES {numbers}) AS d(draw) JOIN (SELECT {KEY}, count(*) AS n_bars FROM {{bars}} GROUP BY {KEY}) n ON {on("n", "o")}) q
+      JOIN {{bars}} b ON {on("b", "q")} AND b.bar_idx = q.bar JOIN {{bars}} e ON {on("e", "q")} AND e.bar_idx = q.new_bar) p"""
+
+
+#: Real orders against moved ones, by direction: the control mean weighs directions as the real trades have them.
+PLACEBO = f"SELECT direction, count(*) AS n, round(avg(r), 5) AS mean_r FROM ({fates_sql(placebo_sql())}) f WHERE reason IS NOT NULL GROUP BY direction"
+CONTROL = f"""
+SELECT sum(a.n) AS n, round(sum(a.n * a.mean_r) / sum(a.n), 5) AS real_r, round(sum(a.n * b.mean_r) / sum(a.n), 5) AS control_r
+FROM (SELECT direction, count(*) AS n, avg(r) AS mean_r FROM ({fates_sql(ORDERS)}) f WHERE reason IS NOT NULL GROUP BY direction) a JOIN ({PLACEBO}) b ON a.direction = b.direction"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import indicators
-from tidemark.operators import execution, features, integrity, labeling, lattice, ratios, risk, signals, zones
-from tidemark.plans import base
+from tidemark.operators import charts, execution, features, integrity, labeling, lattice, ratios, risk, signals, zones
+from tidemark.plans import base, duck
 from tidemark.plans.frames import query
 from tidemark.sources import bars, catalog
 
@@ -181,6 +181,23 @@ _on_fates("limit_by_extension", zones.BY_EXTENSION)
 _on_fates("backtest_substructure", f"SELECT {_FATE} FROM {{fates}}", zones.SUB_ORDERS)
 
 
+_add("placebo_limit", zones.PLACEBO, "walk_h", _BP)
+_add("placebo_control", zones.CONTROL, "walk_h", _BP)
+_add("chart_points", charts.chart_sql(200), "walk_h", _BP)
+
+# ---- surrogate series and what their turning points give ----
+_SURROGATE = f"SELECT source, symbol, timeframe, bar_idx, ts_sec, round(open, 3) AS open, round(high, 3) AS high, round(low, 3) AS low, round(close, 3) AS close, volume FROM ({ratios.surrogate_sql()}) s"
+
+
+def _lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def others() -> DataFrame:
+        return lattice.build(query(_SURROGATE, bars=base.frame(spark, sf_dir, "bars", "walk_h")))
+
+    return ratios.lift(base.frame(spark, sf_dir, "pivots", "walk_h"), base.kept(spark, sf_dir, "surrogate pivots", others))
+
+
+_own("fib_lift", _lift, f"{base.with_sql('walk_h', _P)}, moved AS ({_SURROGATE.format(bars='walk_h')}), {duck.pivots('moved', 'others')} SELECT * FROM ({ratios.LIFT.format(pivots='pivots', others='others')}) AS answer")
+
 # ---- features, labels, folds ----
 _TRENDS = ("ret_5", "ret_20", "ret_60", "ret_120", "atr_rel", "atr_trend", "rsi", "macd_hist_norm", "dist_ma50", "dist_ma200", "vol_rel", "dist_high60", "dist_low60")
 _add("features_trend", f"SELECT source, symbol, timeframe, bar_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _TRENDS)}, squeeze_on FROM ({features.TREND}) t", "walk_h", ("ind",))
