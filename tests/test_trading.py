@@ -131,3 +131,30 @@ def test_small_figures(spark):
 def test_clusters(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", 0.7)], "symbol_a string, symbol_b string, rho double")
     assert risk.clusters(pairs) == {"a": 0, "b": 0, "c": 1}
+
+
+def test_book(spark):
+    rows = [("p", s, c, e, x, r, 0.1) for s, c, e, x, r in (("a", "m", 0, 10, -1.0), ("b", "m", 1, 10, -1.0), ("c", "m", 2, 10, -1.0), ("d", "n", 3, 10, -1.0), ("e", "o", 20, 30, 1.0))]
+    schema = "portfolio string, symbol string, cluster string, entry_sec int, exit_sec int, r double, max_drawdown double"
+    got = {r.symbol: r.allowed for r in risk.book(spark.createDataFrame(rows, schema)).collect()}
+    # the third of a cluster finds it full; after three losses the risk is halved
+    assert got == pytest.approx({"a": 0.01, "b": 0.01, "c": 0.0, "d": 0.01, "e": 0.005})
+
+
+def test_ingest(spark, tmp_path):
+    import json
+
+    from tidemark.sources import ingest
+
+    quotes = {"open": [1.0] * 9, "high": [2.0] * 8 + [0.5], "low": [0.5] * 9, "close": [1.5] * 9, "volume": [1] * 9}
+    good = {**quotes, "high": [2.0] * 9}
+    for symbol, q in (("AAPL", good), ("JPM", quotes)):
+        (tmp_path / f"{symbol}.json").write_text(json.dumps({"timestamp": [3_600 * i for i in range(9)], "indicators": {"quote": [q]}}))
+    found = ingest.fetch(spark, "yfinance", ["AAPL", "JPM"], "4h", 0, 9 * 3_600, kind="chart", url=f"file://{tmp_path}/{{symbol}}.json")
+    assert found.groupBy("symbol").count().collect()[0]["count"] == 2  # the third bar isn't complete
+    hourly = ingest.fetch(spark, "yfinance", ["AAPL", "JPM"], "1h", 0, 9 * 3_600, kind="chart", url=f"file://{tmp_path}/{{symbol}}.json")
+    report = {r.symbol: r for r in ingest.ingest(hourly, str(tmp_path / "store"), 1).collect()}
+    assert report["AAPL"].ok and not report["JPM"].ok and report["AAPL"].cluster == "equity_tech"
+    assert catalog.load(spark, str(tmp_path / "store"), "yfinance", "AAPL", "1h").count() == 9
+    with pytest.raises(FileNotFoundError):
+        catalog.load(spark, str(tmp_path / "store"), "yfinance", "JPM", "1h")

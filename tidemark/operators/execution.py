@@ -111,7 +111,7 @@ def expected_max(n: int) -> float:
 def metrics_sql(risk: float = 0.01, tried: int = 1) -> str:
     """The figures of all trades together in order of exit; {trades} joined with {bars} for its times.
 
-    max_dd_pct is the largest drop over the highest point, as the reference has it; max_dd_rel is the
+    max_dd_pct is the largest drop over the highest point of all; max_dd_rel is the
     largest drop from the highest point before it.
     """
     order = "ORDER BY exit_sec, symbol, entry_bar, context_scale"

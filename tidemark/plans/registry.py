@@ -1,4 +1,4 @@
-"""All queries on the reference's operators, by name, with the SQL that gives the same rows."""
+"""All queries on price series by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
