@@ -382,3 +382,7 @@ def test_pipeline(spark, texts):
     assert Counter(r.doc_id for r in rows) == kept
     ordered = sorted(rows, key=lambda r: r.start)
     assert [r.doc_id for r in ordered] == sorted(r.doc_id for r in rows)
+    from tidemark.llm import common
+
+    common.forget(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]

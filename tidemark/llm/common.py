@@ -49,3 +49,12 @@ def whole_text(column: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what stored() and the operators have written into the shared folder; results that read it end with it."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("tidemark_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tidemark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -125,15 +125,6 @@ def transducer(path: str) -> Transducer:
     return _loaded[path]
 
 
-def _counter(path: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
-    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        t = transducer(path)
-        for batch in batches:
-            yield pa.array([t.total(x or "") for x in batch.to_pylist()], pa.int64())
-
-    return counts
-
-
 def with_token_counts(docs: DataFrame, path: str, column: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); columns of these names are replaced.
 
@@ -141,7 +132,13 @@ def with_token_counts(docs: DataFrame, path: str, column: str = "text", limit: i
     text are ordinary text. A null text is empty and has 0 tokens; each row is counted by itself, so ties,
     repeated rows and empty tables need nothing special; a row keeps its other columns, whatever they hold.
     """
-    count = F.arrow_udf(_counter(path), "long", F.ArrowUDFType.SCALAR_ITER) if hasattr(F, "ArrowUDFType") else F.arrow_udf("long")(_counter(path))
+
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = transducer(path)
+        for batch in batches:
+            yield pa.array([t.total(x or "") for x in batch.to_pylist()], pa.int64())
+
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     return docs.withColumn("n_bytes", F.octet_length(whole_text(column)).cast("long")).withColumn("n_tokens", count(whole_text(column))).withColumn("over_limit", F.col("n_tokens") > limit)
 
