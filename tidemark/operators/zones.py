@@ -43,26 +43,25 @@ ORDERS = f"""
 WITH moves AS ({_MOVES}), legs AS ({_LEGS}),
 set_up AS (
   SELECT o.*, p1 - CASE WHEN extended THEN {MID} ELSE {NEAR} END * (p1 - p0) AS near_edge, p1 - CASE WHEN extended THEN {FAR} ELSE {MID} END * (p1 - p0) AS far_edge FROM (
-    SELECT m.source, m.symbol, m.timeframe, m.scale, m.seq, m.from_bar AS bar, m.d AS direction, m.i0, m.p0, m.i1, m.p1, b.close,
+    SELECT m.source, m.symbol, m.timeframe, m.scale, m.seq, m.from_bar AS bar, m.d AS direction, m.i0, m.p0, m.i1, m.p1, m.k1, b.close,
            NOT EXISTS (SELECT 1 FROM legs x WHERE {_PAIR.replace("o.", "m.")} AND x.fine >= m.scale - 2 AND x.known <= m.from_bar AND x.n >= 3) AS extended
     FROM moves m JOIN {{bars}} b ON {on("b", "m")} AND b.bar_idx = m.from_bar WHERE m.scale IN ({_SCALES})) o
   WHERE direction * (close - (p1 - {NEAR} * (p1 - p0))) >= 0),
 priced AS (
   SELECT *, near_edge AS limit_price, far_edge * (1 - {STOP} * direction) AS stop, far_edge + {EXTENSION} * (p1 - p0) AS target, least(near_edge, far_edge) AS zone_lo, greatest(near_edge, far_edge) AS zone_hi FROM set_up),
-higher AS (
-  SELECT o.source, o.symbol, o.timeframe, o.scale, o.seq, h.p1 - {NEAR} * (h.p1 - h.p0) AS e1, h.p1 - {MID} * (h.p1 - h.p0) AS e2
-  FROM priced o JOIN ({PAIRS}) h ON {on("h", "o")} AND h.scale = o.scale + 1 AND o.bar >= h.from_bar AND o.bar < h.to_bar WHERE h.p0 IS NOT NULL),
-inner_leg AS (
-  SELECT source, symbol, timeframe, scale, seq, price - direction * a AS e1, price - direction * {EXTENSION} * a AS e2 FROM (
-    SELECT x.*, o.direction, abs(x.first_price - o.p1) AS a, row_number() OVER (PARTITION BY x.source, x.symbol, x.timeframe, x.scale, x.seq ORDER BY x.fine DESC) AS best
-    FROM legs x JOIN priced o ON {_PAIR} AND x.fine >= o.scale - 3 AND x.known <= o.bar AND x.until > o.bar WHERE x.n >= 2 AND x.first_price <> o.p1) i WHERE best = 1),
-earlier AS (
-  SELECT source, symbol, timeframe, scale, seq, min(price) AS e1, max(price) AS e2, count(*) AS n FROM (
-    SELECT o.source, o.symbol, o.timeframe, o.scale, o.seq, p.price, row_number() OVER (PARTITION BY o.source, o.symbol, o.timeframe, o.scale, o.seq ORDER BY p.seq DESC) AS r
-    FROM priced o JOIN {{pivots}} p ON {on("p", "o")} AND p.scale = o.scale - 1 AND p.idx < o.i1 AND p.confirmed_idx <= o.bar WHERE NOT p.is_anchor) q WHERE r <= 4 GROUP BY source, symbol, timeframe, scale, seq HAVING count(*) = 4),
+prior AS (
+  SELECT {KEY}, scale, idx, kind, least(a, b, c, d) AS e1, greatest(a, b, c, d) AS e2 FROM (
+    SELECT {KEY}, scale, idx, kind, lag(price, 1) OVER w AS a, lag(price, 2) OVER w AS b, lag(price, 3) OVER w AS c, lag(price, 4) OVER w AS d FROM {{pivots}} WHERE NOT is_anchor
+    WINDOW w AS (PARTITION BY {KEY}, scale ORDER BY seq)) q WHERE d IS NOT NULL),
+projected AS (
+  SELECT o.*, h.p1 - {NEAR} * (h.p1 - h.p0) AS h1, h.p1 - {MID} * (h.p1 - h.p0) AS h2, x.price - o.direction * abs(x.first_price - o.p1) AS x1, x.price - o.direction * {EXTENSION} * abs(x.first_price - o.p1) AS x2, e.e1, e.e2,
+         row_number() OVER (PARTITION BY o.source, o.symbol, o.timeframe, o.scale, o.seq ORDER BY x.fine DESC) AS best
+  FROM priced o LEFT JOIN ({PAIRS}) h ON {on("h", "o")} AND h.scale = o.scale + 1 AND o.bar >= h.from_bar AND o.bar < h.to_bar AND h.p0 IS NOT NULL
+  LEFT JOIN legs x ON {_PAIR} AND x.fine >= o.scale - 3 AND x.known <= o.bar AND x.until > o.bar AND x.n >= 2 AND x.first_price <> o.p1
+  -- a move's end is a point of the finer scale too, so what came before it stands beside it there
+  LEFT JOIN prior e ON {on("e", "o")} AND e.scale = o.scale - 1 AND e.idx = o.i1 AND e.kind = o.k1),
 supported AS (
-  SELECT o.*, {overlap(_lo("h.e1", "h.e2"), "greatest(h.e1, h.e2)")} AS by_higher, {overlap(_lo("i.e1", "i.e2"), "greatest(i.e1, i.e2)")} AS by_inner, {overlap("e.e1", "e.e2")} AS by_earlier
-  FROM priced o LEFT JOIN higher h ON {_PAIR.replace("x.", "h.")} LEFT JOIN inner_leg i ON {_PAIR.replace("x.", "i.")} LEFT JOIN earlier e ON {_PAIR.replace("x.", "e.")})
+  SELECT *, {overlap(_lo("h1", "h2"), "greatest(h1, h2)")} AS by_higher, {overlap(_lo("x1", "x2"), "greatest(x1, x2)")} AS by_inner, {overlap("e1", "e2")} AS by_earlier FROM projected WHERE best = 1)
 SELECT {KEY}, bar, direction, scale AS context_scale, i0, p0, i1, p1, limit_price, stop, target, extended, bar + {WAIT} AS expiry_bar, abs(target - limit_price) / abs(limit_price - stop) AS rr,
        CASE WHEN by_higher > 0.1 THEN 1 ELSE 0 END + CASE WHEN by_inner > 0.1 THEN 1 ELSE 0 END + CASE WHEN by_earlier > 0.1 THEN 1 ELSE 0 END AS n_supporting, coalesce(by_higher, 0e0) + coalesce(by_inner, 0e0) + coalesce(by_earlier, 0e0) AS confluence
 FROM supported WHERE abs(target - limit_price) / nullif(abs(limit_price - stop), 0) >= {LEAST_RR}"""
