@@ -305,3 +305,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
+
+
+#: All pairs that share a run, and reachability along links; for tables that fit one machine.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+runs AS (
+  SELECT doc_id, run, row_number() OVER (PARTITION BY doc_id, run) AS k FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS run FROM words) r),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM runs a JOIN runs b ON a.run = b.run AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE s.n::DOUBLE / (x.n + y.n - s.n) >= 0.8
+  UNION SELECT a.doc_id, b.doc_id FROM words a JOIN words b ON a.text = b.text AND a.doc_id < b.doc_id),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT doc_id AS id, doc_id AS label FROM words UNION SELECT w.b, r.label FROM reached r JOIN ways w ON r.id = w.a)
+SELECT id AS doc_id, min(label) AS class_id FROM reached GROUP BY id
+"""

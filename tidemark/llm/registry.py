@@ -16,7 +16,7 @@ _QUERIES = (
     op9_toxicity.op9_toxicity,
     op10_decontamination.op10_decontamination,
 )
-_SQL = {"op1_mixing": op1_mixing.SQL, "op10_decontamination": op10_decontamination.SQL}
+_SQL = {"op1_mixing": op1_mixing.SQL, "op3_near_dups": op3_near_dups.SQL, "op10_decontamination": op10_decontamination.SQL}
 
 
 def queries() -> dict:
