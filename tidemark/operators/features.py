@@ -91,20 +91,38 @@ def dataset(bars_with_indicators: DataFrame, pivots: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c) * F.col("direction") for c in SIGNED}).withColumn("squeeze_on", F.col("squeeze_on").cast("int"))
 
 
+_KEYS = [*KEY.split(", "), "bar_idx", "direction", "ts_sec"]
+
+
+def _vectors(rows: DataFrame, label: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    features = [c for c in rows.columns if c not in {*_KEYS, "label", "label_excess", "label_fwd", "label_xs"}]
+    return VectorAssembler(inputCols=features, outputCol="features").transform(rows.dropna(subset=[*features, label])).select(*_KEYS, "features", F.col(label).alias("y"))
+
+
+def _trees(max_iter: int, seed: int):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(featuresCol="features", labelCol="y", maxIter=max_iter, maxDepth=3, seed=seed)
+
+
+def holdout(rows: DataFrame, symbols: tuple[str, ...], label: str = "label_excess", max_iter: int = 8, seed: int = 1) -> DataFrame:
+    """Predictions for symbols that were never trained on, from a model of all others. fold is 0."""
+    vectors = _vectors(rows, label).persist()
+    model = _trees(max_iter, seed).fit(vectors.filter(~F.col("symbol").isin(*symbols)))
+    return model.transform(vectors.filter(F.col("symbol").isin(*symbols))).select(*_KEYS, F.lit(0).alias("fold"), "y", "prediction")
+
+
 def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 3, max_iter: int = 8, seed: int = 1) -> DataFrame:
     """Predictions of gradient-boosted trees for each test fold, trained on what was over before it began.
 
     rows: a dataset. Rows without a feature or the label are left out. The loop over folds is the driver's,
     each fit is Spark's.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
     from pyspark.sql import Window
 
-    keys = [*KEY.split(", "), "bar_idx", "direction", "ts_sec"]
-    features = [c for c in rows.columns if c not in {*keys, "label", "label_excess", "label_fwd", "label_xs"}]
-    used = rows.dropna(subset=[*features, label])
-    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(used).select(*keys, "features", F.col(label).alias("y"))
+    keys, vectors = _KEYS, _vectors(rows, label)
     n = vectors.count()
     order = F.row_number().over(Window.orderBy("ts_sec", *KEY.split(", "), "direction")) - 1
     placed = vectors.join(vectors.select(*keys, F.floor(order / max(1, n // (n_folds + 1))).alias("fold")), keys).persist()
@@ -112,8 +130,7 @@ def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 3,
     out = None
     for k in range(1, n_folds + 1):
         train = placed.filter((F.col("fold") < k) & (F.col("ts_sec") < begins[k]))
-        model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=max_iter, maxDepth=3, seed=seed).fit(train)
-        found = model.transform(placed.filter(F.col("fold") == k)).select(*keys, "fold", "y", "prediction")
+        found = _trees(max_iter, seed).fit(train).transform(placed.filter(F.col("fold") == k)).select(*keys, "fold", "y", "prediction")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -214,7 +214,13 @@ def _walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(features.REPORT, predicted=features.walk_forward(rows))
 
 
+def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.dataset(base.frame(spark, sf_dir, "ind", "walk_h"), base.frame(spark, sf_dir, "pivots", "walk_h"))
+    return query(features.REPORT, predicted=features.holdout(rows, ("click",)))
+
+
 _own("gbt_walk_forward", _walk_forward)
+_own("gbt_holdout", _holdout)
 
 # ---- risk ----
 _add("correlation_pairs", risk.CORRELATIONS, "walk_d")
