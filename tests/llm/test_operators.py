@@ -165,6 +165,21 @@ def test_signatures_estimate_weighted_likeness():
     assert abs(np.mean(off)) < 0.015
 
 
+def test_a_pair_is_left_to_an_earlier_bucket_only_if_that_holds_both():
+    import pandas as pd
+
+    registers = np.random.default_rng(3).integers(0, 1 << 62, (2, op3_near_dups.REGISTERS)).astype(np.uint64)
+    registers[1, 4:48] = registers[0, 4:48]
+    registers[1, :4] = registers[0, :4] + np.uint64(256)  # the first band's registers agree in their low bytes alone
+    keys = op3_near_dups.bands(registers)
+    assert (keys[0] == keys[1]).tolist() == [False] + [True] * 11 + [False] * 4
+    low = (registers & np.uint64(255)).astype(np.uint8)
+    runs = np.arange(50, dtype=np.uint32).tobytes()
+    for band, links in ((1, [[0, 1]]), (2, [])):
+        rows = [{"id": i, "band": band, "label": i, "apart": True, "side": side, "runs": runs, "registers": low[i].tobytes(), "bands": keys[i]} for i in (0, 1) for side in (0, 1)]
+        assert op3_near_dups._in_block(pd.DataFrame(rows)).values.tolist() == links
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     got = Counter((r.doc_id, r.class_id) for r in op3_near_dups.classes(awkward).collect())
     assert got == Counter({(1, 1): 3, (7, 1): 1, (2, 2): 1, (3, 2): 1, (4, 4): 1, (5, 5): 1, (6, 6): 1, (None, None): 1})

@@ -5,14 +5,16 @@ stands in it counts. For each run a Poisson process goes over the levels of its
 l + 1, the weight's unit) has a process of points, each with a register at random, and the register's value
 is the first point that hits it among all levels below the run's weight. Two documents agree in a register
 with a probability of the weighted Jaccard likeness. A level's points come in ascending order, so only those
-below a bound are made at all; the bound is raised until each register has its point.
+below a bound are made at all; the bound is raised until each register has its point. Levels are walked one
+by one: weights are counts, and the hierarchy of levels that halve, which BagMinHash has for large or fractional
+weights, is not built. Work is in proportion to a text's number of runs, repeats counted.
 
 Equal texts are one class from the start. Of the rest, REGISTERS values in bands of ROWS make buckets, and
 likeness of multisets is verified exactly. A bucket is never turned into all its pairs: its hub, the member
 that shares most buckets with most others, is compared with each member. Members that don't end up in the
 hub's class are then compared with all others of their bucket, in blocks of bounded size; there a pair is
 verified only if their classes still differ, the bucket is their first common one, and at least LEAST of
-the registers agree (at a likeness of 0.8 fewer do so in about one of 500,000 pairs).
+the registers' low bytes agree. The README says how many pairs at a likeness this and the bands miss.
 
 Classes are connected components of verified links, found by passing on the smallest label along links
 until nothing changes; every round is a table in the shared folder.
@@ -201,7 +203,9 @@ def _in_block(rows: pd.DataFrame) -> pd.DataFrame:
     out: list[tuple[int, int]] = []
     if len(left) and len(right):
         reg_l, reg_r = (np.frombuffer(b"".join(x.registers), np.uint8).reshape(-1, REGISTERS) for x in (left, right))
+        # whether a bucket holds both is told by the keys that made it; registers' low bytes agree by chance too often
         band = int(rows.band.iloc[0])
+        keys_l, keys_r = (np.stack(x.bands.to_list()) for x in (left, right))
         ids_l, ids_r, runs_l, runs_r = left.id.tolist(), right.id.tolist(), left.runs.tolist(), right.runs.tolist()
         cls_r = right.label.to_numpy()
         apart_r = right.apart.to_numpy()
@@ -216,8 +220,7 @@ def _in_block(rows: pd.DataFrame) -> pd.DataFrame:
             same = reg_r == reg_l[i]
             possible = (same.sum(axis=1) >= LEAST) & (cls_r != label) & (~apart_r | (right.id.to_numpy() > a))
             for j in np.flatnonzero(possible):
-                common = same[j].reshape(-1, ROWS).all(axis=1)
-                if common[:band].any() or (ra := root(label)) == (rb := root(int(cls_r[j]))):
+                if (keys_l[i, :band] == keys_r[j, :band]).any() or (ra := root(label)) == (rb := root(int(cls_r[j]))):
                     continue  # an earlier bucket compares the two, or they are linked already
                 if likeness(runs_l[i], runs_r[j]) >= LIKE:
                     parent[ra] = rb
@@ -280,7 +283,7 @@ def _blocks(rest: DataFrame, members: DataFrame, labels: DataFrame, signed: Data
     parts = full.select("key", F.ceil(F.col("n_apart") / BLOCK).cast("int").alias("n_i"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("n_j"))
     all_rows = stored(_labelled(members.join(parts, "key"), labels).withColumn("apart", F.col("label") != F.col("hub_label")).filter("id <> hub").select("id", "band", "key", "label", "apart", "n_i", "n_j"), "blocks")
     wanted = all_rows.select("id").distinct()
-    sets = stored(texts.join(wanted, "id").select("id", "text").mapInArrow(_as_bytes, "id bigint, runs binary").join(signed.select("id", "registers"), "id"), "runs")
+    sets = stored(texts.join(wanted, "id").select("id", "text").mapInArrow(_as_bytes, "id bigint, runs binary").join(signed.select("id", "registers", "bands"), "id"), "runs")
     h = F.xxhash64("id", "key")
     left = all_rows.filter("apart").withColumn("i", F.pmod(h, "n_i").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1))).withColumn("side", F.lit(0))
     right = all_rows.withColumn("j", F.pmod(h, "n_j").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))).withColumn("side", F.lit(1))
