@@ -374,6 +374,46 @@ def test_overlaps_with_substitutions(spark):
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 7, 8] and left.columns == frame.columns
 
 
+def test_masks_hit_every_accepted_pattern():
+    from itertools import combinations
+
+    for n in range(1, 31):
+        width = min(n, op10_decontamination.WINDOW)
+        masks = op10_decontamination.MASKS[op10_decontamination._set_of(n)]
+        places = [{i + p for i, x in enumerate(m) if x == "1"} for m in masks for p in range(width - len(m) + 1)]
+        for differing in combinations(range(width), width // op10_decontamination.DIFFER):
+            assert any(not place.intersection(differing) for place in places), (n, differing)
+
+
+def test_overlaps_are_those_of_all_windows(spark):
+    rng = random.Random(11)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in [*range(1, 18), 30]}
+    items[40] = items[30][5:25] + items[8]
+    docs = {}
+    for n in items:
+        for d in range(12):  # from none to one token more than is accepted, at random places of a window
+            width = min(len(items[n]), 13)
+            start = rng.randrange(len(items[n]) - width + 1)
+            words = items[n][start : start + width]
+            for k in rng.sample(range(width), min(width, rng.choice([0, 1, width // 4, width // 4, width // 4 + 1]))):
+                words[k] = "changed"
+            docs[100 * n + d] = [f"z{rng.random()}"[:9].replace(".", "")] * rng.choice([0, 3]) + words + ["end"] * rng.choice([0, 2])
+    want = {}
+    for d, words in docs.items():
+        for n, item in items.items():
+            width = min(len(item), 13)
+            for shift in range(-len(item) + 1, len(words)):
+                equal = [0 <= shift + k < len(words) and words[shift + k] == x for k, x in enumerate(item)]
+                matched = max(sum(equal[a : a + width]) for a in range(len(item) - width + 1))
+                if matched >= width - width // 4:
+                    start, most = want.get((d, n), (shift, 0))
+                    want[d, n] = min(start, shift), max(most, matched)
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    for most in (10**6, 0):
+        assert {(r.doc_id, r.item_id): (r.doc_start, r.matched) for r in op10_decontamination.overlaps(frame, bench, most).collect()} == want
+
+
 def test_overlaps_of_awkward_rows(spark, awkward, empty):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
     assert Counter((r.doc_id, r.item_id) for r in op10_decontamination.overlaps(awkward, bench).collect()) == Counter([(1, 1), (7, 1)])

@@ -6,7 +6,8 @@ a seed. Seeds of documents are joined with those of the benchmark, and around ea
 sequences are compared place by place: a window of WINDOW tokens (or the whole item, if that is shorter)
 that holds the hit and in which at most a quarter of the tokens differ is an overlap.
 
-Items shorter than a mask's span are looked for as a whole, by a mask of their own length.
+The masks are chosen so that every accepted window has a hit within it: result rows are those of comparing all
+windows of all documents with all items. Shorter items have masks of their own, as their windows are shorter.
 
 The benchmark's seeds are broadcast only where a count shows that they are few; then a document's seeds
 are made, looked up and verified in one stage, and nothing but overlaps is shuffled. Where they are many,
@@ -15,13 +16,21 @@ seeds are joined by a shuffle and the texts of the hits fetched by a second join
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, stored, whole_text
 
-#: 1: the token at this place counts.
-MASKS = ("110110101", "101011011", "111001011")
+#: By the shortest item that a set is for; 1: the token at this place counts. Within the fewest tokens that an
+#: overlap can be (the item's, at most WINDOW), each set hits every pattern of differing tokens that is accepted.
+MASKS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("111", "1011", "1101"), 5: ("1101", "1011"), 6: ("11101", "10111"), 8: ("11011", "11000011", "10100101"),
+    9: ("110111", "1111001", "11001011", "10001111"), 12: ("110111", "110001011", "111010001", "111011"), 13: ("11101011", "110100111", "1110001011", "1111011", "10001001111"),
+}
+#: SQL seeks by these and by whole short items alone, so it lacks overlaps that they miss.
+_SQL_MASKS = ("110110101", "101011011", "111001011")
 WINDOW = 13
 DIFFER = 4  # one token in so many may differ
 MOST_BROADCAST = 300_000
@@ -50,16 +59,21 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id"), tokens(whole_text()).alias("item")).withColumn("n", F.size("item")).filter("n > 0")
 
 
-def _item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
-    """(seed, span, item_id, item_at): an item shorter than the shortest span has the seed of its whole."""
-    short = [m for m in masks if "0" not in m and len(m) < len(MASKS[0])]
+def _set_of(n: int) -> int:
+    """The set of masks for an item of n tokens."""
+    return max(k for k in MASKS if k <= n)
+
+
+def _item_seeds(items: DataFrame, sets: list[int]) -> DataFrame:
+    """(seed, span, item_id, item_at) for each place of an item and each mask of its set."""
     at = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("item_at")
-    long = items.filter(F.col("n") >= len(MASKS[0])).select("item_id", "item", "n", at)
-    out = long.select("item_id", "item_at", F.posexplode(_seeds(F.col("item"), F.col("item_at"), F.col("n"), list(MASKS))).alias("m", "seed"))
-    out = out.filter("seed is not null").select("seed", F.lit(len(MASKS[0])).alias("span"), "item_id", "item_at")
-    for m in short:
-        out = out.union(items.filter(F.col("n") == len(m)).select(_seed(F.col("item"), F.lit(0), m).alias("seed"), F.lit(len(m)).alias("span"), "item_id", F.lit(0).alias("item_at")))
-    return out
+    own = F.array_max(F.filter(F.array(*(F.lit(k) for k in MASKS)), lambda k: k <= F.col("n")))
+    parts = []
+    for k in sets:
+        placed = items.filter(own == k).select("item_id", "item", "n", at)
+        found = placed.select("item_id", "item_at", F.posexplode(_seeds(F.col("item"), F.col("item_at"), F.col("n"), list(MASKS[k]))).alias("m", "seed")).filter("seed is not null")
+        parts.append(found.select("seed", F.get(F.array(*(F.lit(len(m)) for m in MASKS[k])), F.col("m")).alias("span"), "item_id", "item_at"))
+    return reduce(DataFrame.union, parts)
 
 
 def _best(words: Column) -> Column:
@@ -79,9 +93,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_B
     doc_id stays null. Items with equal texts are found alike. Further columns of either table are ignored.
     """
     items = _items(benchmark)
-    lengths = [r.n for r in items.filter(F.col("n") < len(MASKS[0])).select("n").distinct().collect()]  # at most one a length below a span
-    masks = [*MASKS, *("1" * n for n in sorted(lengths))]
-    seeds = stored(_item_seeds(items, masks), "seeds")
+    lengths = [r.n for r in items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # at most WINDOW
+    sets = sorted({_set_of(n) for n in lengths}) or [max(MASKS)]
+    masks = list(dict.fromkeys(m for k in sets for m in MASKS[k]))
+    seeds = stored(_item_seeds(items, sets), "seeds")
     width = F.least(F.lit(WINDOW), F.col("n"))
     items = items.withColumn("width", width)
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), tokens(whole_text()).alias("words"))
@@ -119,20 +134,20 @@ items AS (
   FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS item FROM benchmark) WHERE len(item) > 0),
 placed AS (SELECT doc_id, words, unnest(range(len(words))) AS pos FROM docs),
 item_placed AS (SELECT item_id, item, n, width, unnest(range(n)) AS item_at FROM items),
-masks(k, span) AS (VALUES (0, {len(MASKS[0])}), (1, {len(MASKS[0])}), (2, {len(MASKS[0])})),
+masks(k, span) AS (VALUES (0, {len(_SQL_MASKS[0])}), (1, {len(_SQL_MASKS[0])}), (2, {len(_SQL_MASKS[0])})),
 seeds AS (
   SELECT item_id, item, n, width, item_at, span,
-         CASE k WHEN 0 THEN {_sql_seed("item", "item_at", MASKS[0])} WHEN 1 THEN {_sql_seed("item", "item_at", MASKS[1])} ELSE {_sql_seed("item", "item_at", MASKS[2])} END AS seed
+         CASE k WHEN 0 THEN {_sql_seed("item", "item_at", _SQL_MASKS[0])} WHEN 1 THEN {_sql_seed("item", "item_at", _SQL_MASKS[1])} ELSE {_sql_seed("item", "item_at", _SQL_MASKS[2])} END AS seed
   FROM item_placed, masks WHERE n >= span AND item_at + span <= n
   UNION ALL
-  SELECT item_id, item, n, width, 0, n, n || ' ' || array_to_string(item, ' ') FROM items WHERE n < {len(MASKS[0])}),
+  SELECT item_id, item, n, width, 0, n, n || ' ' || array_to_string(item, ' ') FROM items WHERE n < {len(_SQL_MASKS[0])}),
 doc_seeds AS (
   SELECT doc_id, words, pos,
-         CASE k WHEN 0 THEN {_sql_seed("words", "pos", MASKS[0])} WHEN 1 THEN {_sql_seed("words", "pos", MASKS[1])} ELSE {_sql_seed("words", "pos", MASKS[2])} END AS seed
+         CASE k WHEN 0 THEN {_sql_seed("words", "pos", _SQL_MASKS[0])} WHEN 1 THEN {_sql_seed("words", "pos", _SQL_MASKS[1])} ELSE {_sql_seed("words", "pos", _SQL_MASKS[2])} END AS seed
   FROM placed, masks WHERE pos + span <= len(words)
   UNION ALL
   SELECT doc_id, words, pos, l.n || ' ' || array_to_string(words[pos + 1 : pos + l.n], ' ')
-  FROM placed, (SELECT DISTINCT n FROM items WHERE n < {len(MASKS[0])}) l WHERE pos + l.n <= len(words)),
+  FROM placed, (SELECT DISTINCT n FROM items WHERE n < {len(_SQL_MASKS[0])}) l WHERE pos + l.n <= len(words)),
 hits AS (
   SELECT doc_id, item_id, pos - item_at AS doc_start, width,
          list_max(list_transform(range(greatest(0, item_at + span - width), least(item_at, n - width) + 1),
