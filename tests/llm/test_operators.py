@@ -293,6 +293,16 @@ def test_pages_as_they_are_seen(spark):
     assert len(rows) == 11 and rows[5].text == "deep" and rows[10].text == "" and rows[9].text == "acde"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<head><title>T</title><p>Hello", "Hello"), ("<head><meta charset=x>\nplain <b>text", "plain text"), ("<head><noscript><img alt=no></noscript><style>x</style></head><body>b", "b"),
+    ("<table><td>a<td>b", "a  b"), ("<table><tbody><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"), ("<table><colgroup><col><tr><td>a<td>b</table>", "a  b"), ("<table><tr><td>a</td><caption>c</caption></tr></table>", "a\nc"),
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "if x=1"), ("<svg><defs><text>no</text></defs><desc>no</desc><g><text>one</text><text>two</text></g></svg>", "one\ntwo"),
+    ("<p>Pick <select><option>a<option>b<optgroup label=G><option>c</select> now", "Pick\na\nb\nG\nc\nnow"), ("<g>seen</g><svg>no</svg>", "seen"), ("<dialog open>seen</dialog><dialog>no</dialog>", "seen"),
+])
+def test_no_visible_text_is_cut(page, want):
+    assert op7_html.rendered(page) == want
+
+
 def test_every_visible_word_of_the_pages_is_kept(spark):
     import html
 

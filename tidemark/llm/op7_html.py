@@ -18,9 +18,16 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math select datalist dialog noembed noframes title".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
-BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd figcaption details summary legend center tr td th caption thead tbody tfoot".split())
+BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd figcaption details summary legend center dialog tr td th caption thead tbody tfoot".split())
+#: Laid out on lines of their own, though they may stand in a paragraph.
+LINES = frozenset("option optgroup text".split())
+#: What can stand in a head; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+#: What isn't shown within an element of another language.
+WITHIN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
+_SECTIONS = frozenset("thead tbody tfoot".split())
 #: What a start tag closes, and the elements beyond which it closes nothing.
 _CELL, _ROW = frozenset(("td", "th")), frozenset(("tr",))
 CLOSES = {
@@ -43,7 +50,7 @@ class Node:
     @property
     def seen(self) -> bool:
         a = self.attrs
-        return self.name not in UNSEEN and "hidden" not in a and not (self.name == "input" and a.get("type", "").lower() == "hidden") and not _HIDDEN.search(a.get("style", ""))
+        return self.name not in UNSEEN and (self.name != "dialog" or "open" in a) and "hidden" not in a and not (self.name == "input" and a.get("type", "").lower() == "hidden") and not _HIDDEN.search(a.get("style", ""))
 
 
 def tree(page: str) -> Node:
@@ -55,7 +62,11 @@ def tree(page: str) -> Node:
             continue
         text, name = t["text"], t["name"]
         if text is not None or t["cdata"] is not None:
-            stack[-1].inner.append(html.unescape(text) if text is not None else t["cdata"])
+            words = html.unescape(text) if text is not None else t["cdata"]
+            if stack[-1].name == "head" and words.strip():
+                stack.pop()
+            if stack[-1].name not in ("svg", "g") or not any(n.name == "svg" for n in stack):
+                stack[-1].inner.append(words)
         elif name is None:
             continue
         elif t["end"]:
@@ -66,12 +77,22 @@ def tree(page: str) -> Node:
         else:
             name = name.lower()
             attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(t["attrs"])} if t["attrs"] else {}
+            if stack[-1].name == "head" and name not in IN_HEAD:
+                stack.pop()
+            if name in _CELL or name in _ROW or name in _SECTIONS or name in ("caption", "colgroup"):
+                _close(stack, frozenset(("caption", "colgroup")), frozenset(("table",)))
             if name in CLOSES:
                 _close(stack, *CLOSES[name])
             elif name in BLOCK:
                 _close(stack, frozenset(("p",)), BLOCK - {"p"})
             if name == "body":
                 _close(stack, frozenset(("head",)), frozenset())
+            if name in _CELL and (stack[-1].name == "table" or stack[-1].name in _SECTIONS):
+                row = Node("tr", {})
+                stack[-1].inner.append(row)
+                stack.append(row)
+            if any(name in hidden and any(n.name == k for n in stack) for k, hidden in WITHIN.items()):
+                attrs["hidden"] = ""
             node = Node(name, attrs)
             stack[-1].inner.append(node)
             if name in RAW:
@@ -160,7 +181,7 @@ def _lay(top: Node, out: _Page, keep: bool) -> None:
                 out.end(keep=True)
             out.gap = True
         else:
-            if node.name in BLOCK:
+            if node.name in BLOCK or node.name in LINES:
                 out.end()
                 out.gap = out.gap or (node.name in SPACED and not (node.name in ("ul", "ol") and out.indent))
                 work.append(("close", node, keep or node.name == "pre", (out.indent, "")))
@@ -170,6 +191,8 @@ def _lay(top: Node, out: _Page, keep: bool) -> None:
                     out.indent += "  "
             keep, count = keep or node.name in ("pre", "textarea"), 0
             inner = []
+            if node.name == "optgroup" or (node.name == "option" and not node.inner):
+                inner += [("text", node.attrs.get("label", ""), False, 0), ("open", Node("br", {}), False, 0)]
             for x in node.inner:
                 if isinstance(x, str):
                     inner.append(("text", x, keep, 0))
@@ -191,8 +214,12 @@ def _rows(table: Node) -> list[list[Node]]:
     return [r for r in rows if r]
 
 
+#: What may stand in the parts of a table that is laid out as a grid.
+_PARTS = {"table": _SECTIONS | {"caption", "colgroup", "col", "tr"}, **dict.fromkeys(_SECTIONS, _ROW), "tr": _CELL, "colgroup": frozenset(("col",)), "col": frozenset()}
+
+
 def _is_grid(table: Node) -> bool:
-    """A table whose cells hold no table and that has nothing but rows (and captions)."""
+    """A table whose cells hold no table and that has nothing but rows (and captions), each at its place."""
     work, n = [(table, False)], 0
     while work:
         node, in_cell = work.pop()
@@ -200,15 +227,12 @@ def _is_grid(table: Node) -> bool:
             if isinstance(x, str):
                 if not in_cell and x.strip():
                     return False
-            elif x.name == "table":
-                return False
-            elif x.name in ("td", "th", "caption") or in_cell:
-                n += 1
-                work.append((x, True))
-            elif x.name in ("thead", "tbody", "tfoot", "tr"):
-                work.append((x, False))
-            elif x.name not in ("colgroup", "col"):
+            elif x.name == "table" or not (in_cell or x.name in _PARTS[node.name]):
                 return False
+            else:
+                inside = in_cell or x.name in _CELL or x.name == "caption"
+                n += inside
+                work.append((x, inside))
     return n > 0
 
 
