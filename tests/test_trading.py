@@ -158,3 +158,27 @@ def test_ingest(spark, tmp_path):
     assert catalog.load(spark, str(tmp_path / "store"), "yfinance", "AAPL", "1h").count() == 9
     with pytest.raises(FileNotFoundError):
         catalog.load(spark, str(tmp_path / "store"), "yfinance", "JPM", "1h")
+
+
+def test_walk_forward_trains_only_on_labels_that_end_before_the_fold(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import features
+
+    seen = []
+
+    class Trees:
+        def fit(self, train):
+            seen.append(train.agg(F.max("bar_idx"), F.count("*")).first())
+            return self
+
+        def transform(self, test):
+            return test.withColumn("prediction", F.lit(0.0))
+
+    monkeypatch.setattr(features, "_trees", lambda *_: Trees())
+    rows = [("s", "x", "1h", i, 1, i, i + 121, float(i), float(i)) for i in range(1800)]
+    frame = spark.createDataFrame(rows, "source string, symbol string, timeframe string, bar_idx int, direction int, ts_sec bigint, end_sec bigint, f double, label_excess double")
+    got = features.walk_forward(frame)
+    # folds of 300: the first leaves 179 rows to train on and the second 479, fewer than 500
+    assert [tuple(x) for x in seen] == [(300 * k - 122, 300 * k - 121) for k in (3, 4, 5)]
+    assert sorted(r.fold for r in got.select("fold").distinct().collect()) == [3, 4, 5]

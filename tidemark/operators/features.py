@@ -82,12 +82,13 @@ SELECT b.fold, b.n_test, count(p.bar_idx) AS n_train FROM begins b LEFT JOIN pla
 
 
 def dataset(bars_with_indicators: DataFrame, pivots: DataFrame) -> DataFrame:
-    """One row for each sampled bar and direction: features, turned with the direction, and labels."""
+    """One row for each sampled bar and direction: features, turned with the direction, labels and their end."""
     trend = query(TREND, ind=bars_with_indicators).drop("close", "atr")
     structure = query(STRUCTURE, ind=bars_with_indicators, pivots=pivots)
     keys = [*KEY.split(", "), "bar_idx"]
     labels = query(LABELS, ind=bars_with_indicators).join(query(BARRIERS, ind=bars_with_indicators), [*keys, "direction"])
-    rows = labels.join(trend, keys).join(structure, keys)
+    ends = bars_with_indicators.select(*KEY.split(", "), (F.col("bar_idx") - 1 - MAX_BARS).alias("bar_idx"), F.col("ts_sec").alias("end_sec"))
+    rows = labels.join(ends, keys).join(trend, keys).join(structure, keys)
     return rows.withColumns({c: F.col(c) * F.col("direction") for c in SIGNED}).withColumn("squeeze_on", F.col("squeeze_on").cast("int"))
 
 
@@ -97,8 +98,8 @@ _KEYS = [*KEY.split(", "), "bar_idx", "direction", "ts_sec"]
 def _vectors(rows: DataFrame, label: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    features = [c for c in rows.columns if c not in {*_KEYS, "label", "label_excess", "label_fwd", "label_xs"}]
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows.dropna(subset=[*features, label])).select(*_KEYS, "features", F.col(label).alias("y"))
+    features = [c for c in rows.columns if c not in {*_KEYS, "end_sec", "label", "label_excess", "label_fwd", "label_xs"}]
+    return VectorAssembler(inputCols=features, outputCol="features").transform(rows.dropna(subset=[*features, label])).select(*_KEYS, *(["end_sec"] if "end_sec" in rows.columns else []), "features", F.col(label).alias("y"))
 
 
 def _trees(max_iter: int, seed: int):
@@ -114,10 +115,10 @@ def holdout(rows: DataFrame, symbols: tuple[str, ...], label: str = "label_exces
     return model.transform(vectors.filter(F.col("symbol").isin(*symbols))).select(*_KEYS, F.lit(0).alias("fold"), "y", "prediction")
 
 
-def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 3, max_iter: int = 8, seed: int = 1) -> DataFrame:
-    """Predictions of gradient-boosted trees for each test fold, trained on what was over before it began.
+def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 5, max_iter: int = 8, seed: int = 1, least_train: int = 500, least_test: int = 100) -> DataFrame:
+    """Predictions of gradient-boosted trees for each test fold, trained on rows whose labels end before it begins.
 
-    rows: a dataset. Rows without a feature or the label are left out. The loop over folds is the driver's,
+    rows: a dataset. Folds with fewer rows than least_train or least_test are left out. Rows without a feature or the label are left out. The loop over folds is the driver's,
     each fit is Spark's.
     """
     from pyspark.sql import Window
@@ -127,11 +128,13 @@ def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 3,
     order = F.row_number().over(Window.orderBy("ts_sec", *KEY.split(", "), "direction")) - 1
     placed = vectors.join(vectors.select(*keys, F.floor(order / max(1, n // (n_folds + 1))).alias("fold")), keys).persist()
     begins = {r.fold: r.t for r in placed.groupBy("fold").agg(F.min("ts_sec").alias("t")).collect()}
-    out = None
+    out = placed.limit(0).select(*keys, "fold", "y", F.lit(0.0).alias("prediction"))
     for k in range(1, n_folds + 1):
-        train = placed.filter((F.col("fold") < k) & (F.col("ts_sec") < begins[k]))
-        found = _trees(max_iter, seed).fit(train).transform(placed.filter(F.col("fold") == k)).select(*keys, "fold", "y", "prediction")
-        out = found if out is None else out.unionByName(found)
+        test = placed.filter(F.col("fold") == k)
+        train = placed.filter((F.col("fold") < k) & (F.col("end_sec") < F.lit(begins.get(k))))
+        if test.count() < least_test or train.count() < least_train:
+            continue
+        out = out.unionByName(_trees(max_iter, seed).fit(train).transform(test).select(*keys, "fold", "y", "prediction"))
     return out
 
 
