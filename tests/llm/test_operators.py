@@ -165,28 +165,63 @@ def test_signatures_estimate_weighted_likeness():
     assert abs(np.mean(off)) < 0.015
 
 
-def test_a_pair_is_left_to_an_earlier_bucket_only_if_that_holds_both():
+def test_signatures_of_very_frequent_runs():
+    """A run of any weight has few processes, and likeness still is that of weights."""
+    a, b = np.full(60_000, 7, np.uint64), np.concatenate([np.full(40_000, 7, np.uint64), np.full(20_000, 8, np.uint64)])
+    assert len(op3_near_dups._processes(a, np.zeros(len(a), np.int64))[0]) == 17
+    same = []
+    for k in range(60):
+        s = op3_near_dups.signatures(np.concatenate([a, b]) + np.uint64(1000 * k), np.repeat([0, 1], [len(a), len(b)]), 2)
+        same.append((s[0] == s[1]).mean())
+    assert abs(np.mean(same) - 40 / 80) < 0.03
+
+
+def test_blocks_find_what_pairs_find_and_leave_a_pair_to_its_first_bucket():
     import pandas as pd
 
-    registers = np.random.default_rng(3).integers(0, 1 << 62, (2, op3_near_dups.REGISTERS)).astype(np.uint64)
-    registers[1, 4:48] = registers[0, 4:48]
-    registers[1, :4] = registers[0, :4] + np.uint64(256)  # the first band's registers agree in their low bytes alone
-    keys = op3_near_dups.bands(registers)
-    assert (keys[0] == keys[1]).tolist() == [False] + [True] * 11 + [False] * 4
-    low = (registers & np.uint64(255)).astype(np.uint8)
-    runs = np.arange(50, dtype=np.uint32).tobytes()
-    for band, links in ((1, [[0, 1]]), (2, [])):
-        rows = [{"id": i, "band": band, "label": i, "apart": True, "side": side, "runs": runs, "registers": low[i].tobytes(), "bands": keys[i]} for i in (0, 1) for side in (0, 1)]
-        assert op3_near_dups._in_block(pd.DataFrame(rows)).values.tolist() == links
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 200).astype(np.uint32)
+    sets = [np.sort(np.concatenate([base[: int(k)], rng.integers(0, 1 << 32, 200 - int(k)).astype(np.uint32)])).tobytes() for k in rng.integers(150, 200, 60)]
+    keys = rng.integers(0, 1 << 60, (60, op3_near_dups.REGISTERS // op3_near_dups.ROWS))
+    keys[1, 0] = keys[0, 0]
+    ids = [bytes([i]) for i in range(60)]
+    rows = pd.DataFrame([{"id": ids[i], "band": 1, "label": ids[i], "apart": True, "side": side, "runs": sets[i], "bands": keys[i]} for i in range(60) for side in (0, 1)])
+    links = op3_near_dups._in_block(rows).values.tolist()
 
+    def groups(pairs):
+        root = {i: i for i in ids}
+        for _ in ids:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
 
-def test_near_duplicates_of_awkward_rows(awkward, empty):
+    alike = [(ids[i], ids[j]) for i in range(60) for j in range(i) if (i, j) != (1, 0) and op3_near_dups.likeness(sets[i], sets[j]) >= 0.8]
+    assert groups(links) == groups(alike) and len(set(groups(links).values())) < 60
+
+
+def test_near_duplicates_of_awkward_rows(awkward, empty, spark):
     got = Counter((r.doc_id, r.class_id) for r in op3_near_dups.classes(awkward).collect())
     assert got == Counter({(1, 1): 3, (7, 1): 1, (2, 2): 1, (3, 2): 1, (4, 4): 1, (5, 5): 1, (6, 6): 1, (None, None): 1})
     assert op3_near_dups.classes(empty).count() == 0
     kept = op3_near_dups.one_of_each(awkward)
     assert kept.columns == awkward.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 4, 5, 6, None])
+    assert Counter((r.doc_id, (r.text or "")[:12]) for r in kept.collect()) == Counter([(1, "one two thre"), (1, "another text"), (2, ""), (4, " \n\t "), (5, "word word wo"), (6, "ünïcödé 日本語 "), (None, "text without")])
+    assert op3_near_dups.one_of_each(empty).count() == 0
+    rows = [(1, "one two three four five six"), (1, "another quite different text here now"), (7, "one two three four five six")]
+    named = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in rows], "doc_id bigint, text string, d__ int, label int, kept_doc int, kept_key int")
+    assert {r.class_key for r in op3_near_dups.classes(named).collect() if r.class_id == 1}.__len__() == 2
+    kept = op3_near_dups.one_of_each(named)
+    assert kept.columns == named.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(rows[:2])
+
+
+def test_hot_keys_are_cut_into_pieces(spark):
+    from tidemark.llm.common import cut_by, joined_by
+
+    left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "k int, i int")
+    right = spark.createDataFrame([(k, -k) for k in range(2000)], "k int, v int")
+    assert sorted(map(tuple, joined_by(left, right, "k", "i").collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    cut, _, piece = cut_by(left, right, "k", "i")
+    assert cut.groupBy("k", piece).count().agg(F.max("count")).first()[0] < 2 * 3000 / 16
 
 
 # ---- 4 ----

@@ -1,4 +1,4 @@
-"""What several operators share: tables in the shared folder, and text columns."""
+"""What several operators share: tables in the shared folder, names that don't clash, joins on hot keys, texts."""
 
 from __future__ import annotations
 
@@ -8,38 +8,104 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one of this machine."""
+    """The folder named by spark.checkpoint.dir. Only a local session may leave it unset; it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="tidemark-"))
-        found = _own[0]
-    return found
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return _own[0]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what this application's operators have written into the shared folder; results that read it end with it."""
+    remove(spark, run_dir(spark))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again.
 
     This cuts the lineage: later work survives lost executors without computing df anew.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that end with the `with` block; what outlives it must be stored() before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{run_dir(spark)}/scratch-{uuid.uuid4().hex}", []
+
+    def __enter__(self) -> Scratch:
+        return self
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, self.folder)
 
-def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
-    """As stored, in buckets of a column, so that joins on it don't shuffle this side."""
-    spark = df.sparkSession
-    table = f"tidemark_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{table}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    def stored_by(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """As stored, in buckets of a column, so that joins on it don't shuffle this side."""
+        table = f"tidemark_{name}_{uuid.uuid4().hex}"
+        self.tables.append(table)
+        df.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{self.folder}/{table}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def __exit__(self, *_) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(self.spark, self.folder)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until df has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def cut_by(left: DataFrame, right: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame, str]:
+    """left and right, ready for a join on key and the third result, a column: right has a row for each key, left may have hot ones.
+
+    A key of more than one in P of left's rows is hot (P: four times the shuffle partitions), so there are fewer
+    than P of them, whatever the size of the data, and they are broadcast. A hot key is cut into so many
+    pieces, by a hash of the column `spread`, that none has many more than one in P of the rows; right's row goes to each.
+    left is read three times, so it should be stored.
+    """
+    pieces = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, -(-left.count() // pieces))
+    k, n, piece = fresh(left.join(right.limit(0), key), "hot_key", "hot_pieces", "piece")
+    hot = F.broadcast(left.groupBy(F.col(key).alias(k)).agg(F.count("*").alias(n)).filter(F.col(n) > most).select(k, F.ceil(F.col(n) / most).cast("int").alias(n)))
+    of = F.coalesce(F.col(n), F.lit(1))
+    cut = left.join(hot, F.col(key) == F.col(k), "left").withColumn(piece, F.pmod(F.xxhash64(spread), of).cast("int")).drop(k, n)
+    dealt = right.join(hot, F.col(key) == F.col(k), "left").withColumn(piece, F.explode(F.sequence(F.lit(0), of - 1))).drop(k, n)
+    return cut, dealt, piece
+
+
+def joined_by(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """left.join(right, key), with hot keys of left cut into pieces."""
+    cut, dealt, piece = cut_by(left, right, key, spread)
+    return cut.join(dealt, [key, piece], how).drop(piece)
 
 
 def whole_text(column: str = "text") -> Column:
@@ -49,12 +115,3 @@ def whole_text(column: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def forget(spark: SparkSession) -> None:
-    """Deletes what stored() and the operators have written into the shared folder; results that read it end with it."""
-    for table in spark.catalog.listTables():
-        if table.name.startswith("tidemark_"):
-            spark.sql(f"DROP TABLE {table.name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tidemark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
