@@ -97,22 +97,40 @@ def test_mix_of_awkward_rows(awkward, empty):
 # ---- 2 ----
 
 
-def test_token_counts_are_the_librarys(awkward, empty, texts):
-    t = op2_tokens.Transducer(public_tokenizers.path(op2_tokens.MODEL))
+def test_token_counts_are_the_librarys(awkward, empty, texts, monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(op2_tokens.MODEL))
+    t = op2_tokens.Transducer.of_model(public_tokenizers.path(op2_tokens.MODEL))
     rng = random.Random(2)
-    odd = ["".join(rng.choice("ab ▁\n日é<s>0x A\t😀.") for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    odd = ["".join(rng.choice("ab ▁\n日é<s>0x A\t😀.theing") for _ in range(rng.randint(0, 90))) for _ in range(1000)]
     samples = [*odd, *list(texts.values())[:60], "a" * 40_000, " " * 40_000, "▁\n" * 20_000, "日本" * 20_000, "w " * 40_000]
-    for chunk in (5, 1 << 15):
-        op2_tokens.CHUNK, kept = chunk, op2_tokens.CHUNK
-        try:
-            assert [t.total(x) for x in samples if chunk > 5 or len(x) < 5_000] == [len(t.library.encode(x)) for x in samples if chunk > 5 or len(x) < 5_000]
-        finally:
-            op2_tokens.CHUNK = kept
+    for chunk in (5, 64, 1 << 12):
+        monkeypatch.setattr(op2_tokens, "CHUNK", chunk)
+        assert [t.total(x) for x in samples] == [len(library.encode(x)) for x in samples]
+    monkeypatch.setattr(op2_tokens, "MOST_KEPT", 50)  # states are dropped again and again
+    assert [t.total(x) for x in samples[:300]] == [len(library.encode(x)) for x in samples[:300]]
     rows = op2_tokens.with_token_counts(awkward, public_tokenizers.path(op2_tokens.MODEL)).collect()
-    assert all(r.n_tokens == len(t.library.encode(r.text or "")) and r.n_bytes == len((r.text or "").encode()) and r.over_limit == (r.n_tokens > 4096) for r in rows)
+    assert all(r.n_tokens == len(library.encode(r.text or "")) and r.n_bytes == len((r.text or "").encode()) and r.over_limit == (r.n_tokens > 4096) for r in rows)
     assert op2_tokens.with_token_counts(empty, public_tokenizers.path(op2_tokens.MODEL)).count() == 0
 
 
+def test_chunk_maps_compose_associatively_and_are_right_from_any_state():
+    t = op2_tokens.Transducer({"a": -5, "b": -6, "c": -7, "ab": -1, "bc": -2, "abc": -3, op2_tokens.SPACE: -8, op2_tokens.SPACE + "a": -4})
+    assert t.merged("abcbc") == ["abc", "bc"] and t.walk(0, "abcbc")[1] == 2 and t.walk(0, "xyé")[1] == 4
+    rng = random.Random(4)
+    for _ in range(200):
+        parts = ["".join(rng.choice("abc" + op2_tokens.SPACE + "\nx") for _ in range(rng.randint(1, 6))) for _ in range(3)]
+        x, y, z = map(t.chunk_map, parts)
+        assert t.compose(t.compose(x, y), z) == t.compose(x, t.compose(y, z))
+        m = t.compose(t.compose(x, y), z)
+        for before in ("", "a", "ab", "bca"):
+            state, n = t.walk(0, before)
+            head_state, head = t.walk(state, m.head)
+            want_state, want = t.walk(state, "".join(parts))
+            assert (want, want_state) == ((head, head_state) if m.between is None else (head + m.between, m.state))
+
+
 # ---- 3 ----
 
 
