@@ -94,6 +94,20 @@ def test_mix_of_awkward_rows(awkward, empty):
     assert set(mixed) <= {1, 2, 3, 4, 5, 6, 7, None} and op1_mixing.repeated(awkward).columns == awkward.columns
 
 
+def test_sources_come_near_their_targets_with_null_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(None if i % 3 else i // 30, f"r{rng.random()} " * rng.randint(1, 9), f"s{i % 3}", 1, 2, 3, 4, 5) for i in range(1500)]
+    rows += [(None, "a text that stands there often", "s3", 1, 2, 3, 4, 5)] * 1500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, s int, whole int, bands int, place__ int, mix_source int").repartition(3)
+    for few in (20_000, 10):
+        monkeypatch.setattr(op1_mixing, "FEW", few)
+        got = op1_mixing.mix(docs, cuts=3 if few > 10 else 1)
+        assert got.columns[: len(docs.columns)] == docs.columns
+        for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect():
+            assert abs(r.taken - r.target) <= (500 if r.source == "s3" else 9) and r.most <= 2
+    assert op1_mixing.repeated(docs).columns == docs.columns
+
+
 # ---- 2 ----
 
 

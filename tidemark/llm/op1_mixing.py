@@ -7,10 +7,12 @@ closed form: with the sources sorted by cap/weight, it is the largest quotient o
 once all sources before one are full and the weight from that one on.
 
 A source whose target is e times its size is taken floor(e) times whole. The rest of the target is taken
-from a seeded order of its documents (md5 of seed and doc_id): those up to a cut, each once more; then,
-of those beyond the cut, the ones small enough for what is still missing, up to another cut; and so on.
-Cuts are thresholds on that order, so documents are chosen by a join with the small table of sources.
-Each cut is found from sums over 4,096 ranges of the order and a running sum inside a single one.
+from a seeded order of its documents (md5 of seed and doc_id, then the text's hash): those up to a cut, each once
+more; then, of those beyond the cut, the ones small enough for what is still missing, up to another cut; and
+so on. Cuts are thresholds on that order, so documents are chosen by a join with the small table of sources. Each
+cut is found by narrowing: sums over the 256 next ranges of the order say in which of them it lies, until
+that range holds few rows, whatever the source's size. Rows equal in doc_id and text have one place; where the cut falls on
+them, the part that fits is taken by a hash of each row's place in the table's files.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, stored, whole_text
+from tidemark.llm.common import Scratch, documents, fresh, stored, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 SEED = "tidemark"
 CUTS = 3
-RANGE_DIGITS = 3
+#: Hex digits of the order by which a range is narrowed, and the rows that are few enough to be summed one by one.
+RANGE_DIGITS, FEW = 2, 20_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,8 +37,9 @@ def n_words(text: Column) -> Column:
 
 
 def order_key(seed: str) -> Column:
-    """A document's place in the seeded order; rows with equal doc_id share it, and so what is taken."""
-    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    """A document's place in the seeded order; rows of equal (or no) doc_id are told apart by their texts."""
+    own = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.concat(own, F.lpad(F.lower(F.hex(F.xxhash64(whole_text()))), 16, "0"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -58,28 +62,46 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     )
 
 
-def _cut(sizes: DataFrame, need: DataFrame) -> DataFrame:
-    """For each source the last place `cut` in the order up to which its sizes are at most `need`, and their sum `got`."""
-    by_range = sizes.groupBy("source", F.substring("place", 1, RANGE_DIGITS).alias("range")).agg(F.sum("size").alias("in_range"))
-    w = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = by_range.withColumn("before", F.coalesce(F.sum("in_range").over(w), F.lit(0)))
-    need = need.withColumnRenamed("source", "s")
-    sums = sums.join(need, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    crossed = sums.filter((F.col("before") <= F.col("need")) & (F.col("need") < F.col("before") + F.col("in_range")))
-    inside = sizes.withColumn("range", F.substring("place", 1, RANGE_DIGITS)).join(
-        crossed.select(F.col("source").alias("s"), F.col("range").alias("r"), "before", "need"), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))
-    )
-    running = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("place"))
-    within = inside.withColumn("sum", running).filter(F.col("sum") <= F.col("need")).groupBy("source").agg(F.max("place").alias("in_cut"), F.max("sum").alias("in_got"))
-    ends = sums.groupBy("source").agg(
-        F.max(F.when((F.col("before") <= F.col("need")) & (F.col("need") < F.col("before") + F.col("in_range")), F.struct("range", "before"))).alias("at"), F.sum("in_range").alias("all")
-    )
-    within = within.withColumnRenamed("source", "s")
-    return ends.join(within, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source",
-        F.coalesce("in_cut", "at.range", F.lit("~")).alias("cut"),
-        F.coalesce("in_got", "at.before", "all").alias("got"),
-    )
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _cut(sizes: DataFrame, need: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, cut, edge, part, got) for each source of need(source, need) that has rows in sizes(source, place, size).
+
+    Rows before the place `cut` make `got` words, at most `need`, together with the `part` (0 to 1) of those at `edge`.
+    """
+    at = scratch.stored(need.select(F.col("source").alias("s"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"), "need"), "at")
+    ends, digits = None, 0
+    while True:
+        inside = sizes.join(at, _same("source", "s") & F.col("place").startswith(F.col("prefix"))).drop("s")
+        by_range = inside.groupBy("source", "before", "need", F.substring("place", 1, digits + RANGE_DIGITS).alias("range")).agg(F.sum("size").alias("in_range"), F.count("*").alias("n"))
+        # at most 16 ** RANGE_DIGITS rows of a source
+        running = F.sum("in_range").over(Window.partitionBy("source").orderBy("range"))
+        sums = scratch.stored(by_range.withColumn("upto", F.col("before") + running), "sums")
+        crossed = sums.filter("upto > need").groupBy("source").agg(F.min(F.struct("range", "upto", "in_range", "n")).alias("x")).select("source", "x.*")
+        whole = sums.groupBy("source").agg(F.max("upto").alias("all"), F.first("need").alias("need"))
+        found = scratch.stored(whole.join(crossed.withColumnRenamed("source", "s"), _same("source", "s"), "left").drop("s"), "found")
+        done = found.filter("range is null").select("source", F.lit("~").alias("cut"), F.lit("").alias("edge"), F.lit(0.0).alias("part"), F.col("all").alias("got"))
+        ends = done if ends is None else ends.union(done)
+        digits += RANGE_DIGITS
+        at = found.filter("range is not null").select(F.col("source").alias("s"), F.col("range").alias("prefix"), (F.col("upto") - F.col("in_range")).alias("before"), "need", "n")
+        most = at.agg(F.max("n")).first()[0]
+        if most is None:
+            return ends
+        if most <= FEW or digits >= 48:
+            break
+        at = at.drop("n")
+    inside = sizes.join(at.drop("n"), _same("source", "s") & F.col("place").startswith(F.col("prefix"))).drop("s")
+    by_place = inside.groupBy("source", "before", "need", "place").agg(F.sum("size").alias("in_place"), F.count("*").alias("n"))
+    upto = F.col("before") + F.sum("in_place").over(Window.partitionBy("source").orderBy("place"))
+    edge = by_place.withColumn("upto", upto).filter("upto > need").groupBy("source").agg(F.min(F.struct("place", "upto", "in_place", "n", "need")).alias("x")).select("source", "x.*")
+    size = F.col("in_place") / F.col("n")  # rows of one place have one text
+    fit = F.floor((F.col("need") - F.col("upto") + F.col("in_place")) / size)
+    return ends.union(edge.select("source", F.col("place").alias("cut"), F.col("place").alias("edge"), fit / F.col("n"), (F.col("upto") - F.col("in_place") + fit * size).cast("long")))
+
+
+_BAND = "struct<most:bigint,cut:string,edge:string,part:double>"
 
 
 def mix(
@@ -89,43 +111,54 @@ def mix(
 
     weights go to the sources in code point order, null last, again from the first when they run out.
     times says how often the mix takes the whole document, taken how many words that makes. A null or
-    empty text has size 0; a null source is a source; rows with equal or null doc_id are taken alike; an
-    empty table gives an empty one. Sources come within one document of their target; no row is taken
-    more than ceil(cap) times.
+    empty text has size 0; a null source is a source; repeated rows and equal or null ids are rows like others; an
+    empty table gives an empty one; other columns stay, whatever their names. Sources come within one document of
+    their target (or, where it is cut among equal rows, near it); no row is taken more than ceil(cap) times. The table
+    of sources is sorted as a whole, so it should have no more than some millions of rows.
     """
     added = ("size", "source_size", "target", "times", "taken")
     docs = docs.drop(*added)
-    # bands: what of a source is taken once more: the documents of at most `most` words up to `cut` in the order
-    sizes = stored(docs.select("source", order_key(seed).alias("place"), n_words(whole_text()).alias("size")), "sizes")
-    plan = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = plan.withColumn("whole", whole.cast("int")).withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
-    left, bands = sizes.filter("size > 0"), plan.withColumn("bands", F.array().cast("array<struct<most:bigint,cut:string>>"))
-    for k in range(cuts):
-        need = stored(bands, "bands")
-        bounds = need.select(F.col("source").alias("s"), "need", (F.element_at("bands", -1) if k else F.lit(None).cast("struct<most:bigint,cut:string>")).alias("last"))
-        left = left.join(bounds, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("size") <= F.col("need")) & (F.col("last").isNull() | (F.col("size") > F.col("last.most")) | (F.col("place") > F.col("last.cut")))).select("source", "place", "size")
-        cut = _cut(left, need.select("source", "need")).withColumnRenamed("source", "s")
-        bands = need.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-            *[c for c in need.columns if c not in ("need", "bands")],
-            F.when(F.col("cut").isNotNull(), F.array_append("bands", F.struct(F.col("need").alias("most"), "cut"))).otherwise(F.array_append("bands", F.struct(F.lit(-1).cast("long").alias("most"), F.lit("").alias("cut")))).alias("bands"),
-            (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"),
-        )
-    plan = stored(bands, "mix").select(F.col("source").alias("s"), "source_size", "target", "whole", "bands")
-    sized = docs.withColumn("size", n_words(whole_text())).withColumn("place__", order_key(seed))
-    chosen = F.exists("bands", lambda b: (F.col("size") <= b["most"]) & (F.col("place__") <= b["cut"])) & (F.col("size") > 0)
+    with Scratch(docs.sparkSession) as scratch:
+        # bands: what of a source is taken once more: the documents of at most `most` words before `cut` in the order
+        sizes = scratch.stored(docs.select("source", order_key(seed).alias("place"), n_words(whole_text()).alias("size")), "sizes")
+        plan = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+        plan = plan.withColumn("whole", whole.cast("int")).withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
+        left, bands = sizes.filter("size > 0"), plan.withColumn("bands", F.array().cast(f"array<{_BAND}>"))
+        for k in range(cuts):
+            need = scratch.stored(bands, "bands")
+            last = F.element_at("bands", -1) if k else F.lit(None).cast(_BAND)
+            bounds = need.select(F.col("source").alias("s"), "need", last.alias("last"))
+            beyond = F.col("last").isNull() | (F.col("size") > F.col("last.most")) | (F.col("place") > F.col("last.cut")) | ((F.col("place") == F.col("last.cut")) & (F.col("last.part") == 0))
+            left = left.join(bounds, _same("source", "s")).filter((F.col("size") <= F.col("need")) & beyond).select("source", "place", "size")
+            cut = _cut(left, need.select("source", "need"), scratch).withColumnRenamed("source", "s")
+            none = F.struct(F.lit(-1).cast("long").alias("most"), F.lit("").alias("cut"), F.lit("").alias("edge"), F.lit(0.0).alias("part"))
+            band = F.when(F.col("cut").isNotNull(), F.struct(F.col("need").alias("most"), "cut", "edge", "part")).otherwise(none)
+            bands = need.join(cut, _same("source", "s"), "left").select(
+                "source", "source_size", "target", "whole", F.array_append("bands", band).alias("bands"), (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")
+            )
+        plan = stored(bands, "mix")
+    s, place, whole, bands, row = fresh(docs, "mix_source", "mix_place", "mix_whole", "mix_bands", "mix_row")
+    plan = plan.select(F.col("source").alias(s), "source_size", "target", F.col("whole").alias(whole), F.col("bands").alias(bands))
+    sized = docs.withColumn("size", n_words(whole_text())).withColumn(place, order_key(seed)).withColumn(row, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30))
+    taken = lambda b: (F.col("size") <= b["most"]) & ((F.col(place) < b["cut"]) | ((F.col(place) == b["edge"]) & (F.col(row) < b["part"])))
+    chosen = F.exists(bands, taken) & (F.col("size") > 0)
     return (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("times", F.col("whole") + chosen.cast("int"))
+        sized.join(plan, F.col("source").eqNullSafe(F.col(s)))
+        .withColumn("times", F.col(whole) + chosen.cast("int"))
         .withColumn("taken", (F.col("size") * F.col("times")).cast("long"))
-        .select(*docs.columns, "size", "source_size", "target", "times", "taken")
+        .select(*docs.columns, *added)
     )
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of docs."""
-    mixed = mix(docs, **options)
-    return mixed.filter("times > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """The mix itself: every document as often as it is taken, with the columns of docs.
+
+    A column of docs that mix() would replace (size, source_size, target, times, taken) is kept here.
+    """
+    (kept,) = fresh(docs, "mix_kept")
+    mixed = mix(docs.withColumn(kept, F.struct(*docs.columns)).select("doc_id", "text", "source", kept), **options)
+    return mixed.filter("times > 0").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(f"{kept}.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
