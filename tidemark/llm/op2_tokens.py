@@ -90,8 +90,9 @@ class Transducer:
                 for c, to in self.child[node].items():
                     self.suffix[to] = self._goto(self.suffix[node], c)
             level = [to for node in level for to in self.child[node].values()]
-        #: The pieces that end at a node, and the depths of suffixes that lead on.
-        self.ends = [[number_ for x in self._suffixes(node) if (number_ := piece_at[x]) != NONE] for node in range(len(self.child))]
+        #: The pieces that end at a node, with their lengths, and the depths of its suffixes.
+        self.ends = [[(self.depth[x], piece_at[x]) for x in self._suffixes(node) if piece_at[x] != NONE] for node in range(len(self.child))]
+        self.reach = [sorted(self.depth[x] for x in self._suffixes(node)) for node in range(len(self.child))]
         self.follows: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
         self._forget()
@@ -155,18 +156,15 @@ class Transducer:
         else:
             to = self._goto(node, c)
             before = {back + 1: (last, less) for back, last, less in places}
-            if before[1][0] != NONE and self.pieces[before[1][0]][-1] + c not in self.inside:
-                before[1] = NONE, before[1][1]
-            for piece in self.ends[to]:
-                back = len(self.pieces[piece])
+            last, less = before[1]
+            if last != NONE and self.pieces[last][-1] + c not in self.inside:
+                before[1] = NONE, less
+            for back, piece in self.ends[to]:
                 if back in before and self._may_follow(before[back][0], piece):
                     gain = before[back][1] + 1
                     break
             # places from which a piece could still begin, by how far they lie back
-            kept = [(0, piece, 0), *((b, before[b][0], before[b][1] - gain) for b in map(self.depth.__getitem__, self._suffixes(to)) if b in before)]
-            if to == 0:
-                kept = [(0, piece, 0)]
-            key = (to, tuple(sorted(kept)))
+            key = to, ((0, piece, 0), *[(b, before[b][0], before[b][1] - gain) for b in self.reach[to] if b in before])
             number = self.number.setdefault(key, len(self.states))
             if number == len(self.states):
                 self.states.append(key)
