@@ -442,19 +442,19 @@ def test_overlaps_with_substitutions(spark):
     near[12] = near[20] = "changed"
     far = [w if i % 2 else "changed" for i, w in enumerate(item)]
     docs = {1: other(20) + item + other(5), 2: other(20) + near + other(5), 3: other(20) + far, 4: other(60), 5: item[10:25] + other(9), 6: ["short", "item", "here"], 7: []}
-    frame = spark.createDataFrame([(d, " ".join(w), "x") for d, w in docs.items()] + [(8, None, None)], "doc_id bigint, text string, item string")
+    frame = spark.createDataFrame([(d, " ".join(w), "x") for d, w in docs.items()] + [(8, None, None), (9, "a short item here and more", "x")], "doc_id bigint, text string, item string")
+    frame = frame.withColumn("leak_key", F.lit(1)).withColumn("text_key__", F.lit(1))
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short, item HERE!"), (3, None), (4, "")], "item_id bigint, text string")
-    for most in (10**6, 0):
-        got = {(r.doc_id, r.item_id): r for r in op10_decontamination.overlaps(frame, bench, most).collect()}
-        assert set(got) == {(1, 1), (2, 1), (5, 1), (6, 2)} and got[1, 1].doc_start == 20 and got[5, 1].doc_start == -10
+    got = {(r.doc_id, r.item_id): r for r in op10_decontamination.overlaps(frame, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (5, 1), (6, 2)} and got[1, 1].doc_start == 20 and got[5, 1].doc_start == -10
     left = op10_decontamination.without_overlaps(frame, bench)
-    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 7, 8] and left.columns == frame.columns
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 7, 8, 9] and left.columns == frame.columns
 
 
 def test_masks_hit_every_accepted_pattern():
     from itertools import combinations
 
-    for n in range(1, 31):
+    for n in range(op10_decontamination.SHORTEST, 31):
         width = min(n, op10_decontamination.WINDOW)
         masks = op10_decontamination.MASKS[op10_decontamination._set_of(n)]
         places = [{i + p for i, x in enumerate(m) if x == "1"} for m in masks for p in range(width - len(m) + 1)]
@@ -479,6 +479,10 @@ def test_overlaps_are_those_of_all_windows(spark):
     for d, words in docs.items():
         for n, item in items.items():
             width = min(len(item), 13)
+            if len(item) < 5:  # found as a whole text alone
+                if words == item:
+                    want[d, n] = (0, n)
+                continue
             for shift in range(-len(item) + 1, len(words)):
                 equal = [0 <= shift + k < len(words) and words[shift + k] == x for k, x in enumerate(item)]
                 matched = max(sum(equal[a : a + width]) for a in range(len(item) - width + 1))
@@ -487,8 +491,13 @@ def test_overlaps_are_those_of_all_windows(spark):
                     want[d, n] = min(start, shift), max(most, matched)
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
-    for most in (10**6, 0):
-        assert {(r.doc_id, r.item_id): (r.doc_start, r.matched) for r in op10_decontamination.overlaps(frame, bench, most).collect()} == want
+    for threshold in ("10m", "-1"):  # joined by broadcast, and by shuffle
+        kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert {(r.doc_id, r.item_id): (r.doc_start, r.matched) for r in op10_decontamination.overlaps(frame, bench).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
 def test_overlaps_of_awkward_rows(spark, awkward, empty):

@@ -8,10 +8,11 @@ that holds the hit and in which at most a quarter of the tokens differ is an ove
 
 The masks are chosen so that every accepted window has a hit within it: result rows are those of comparing all
 windows of all documents with all items. Shorter items have masks of their own, as their windows are shorter.
+Items of fewer than SHORTEST tokens stand in texts by chance; they are found only in documents that have
+nothing else.
 
-The benchmark's seeds are broadcast only where a count shows that they are few; then a document's seeds
-are made, looked up and verified in one stage, and nothing but overlaps is shuffled. Where they are many,
-seeds are joined by a shuffle and the texts of the hits fetched by a second join.
+Seeds are made where a document lies and joined with the benchmark's; the few hits are written, and the texts
+they name fetched by a second join. Spark picks the joins by the tables' sizes.
 """
 
 from __future__ import annotations
@@ -21,19 +22,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, stored, whole_text
+from tidemark.llm.common import documents, fresh, stored, whole_text
 
 #: By the shortest item that a set is for; 1: the token at this place counts. Within the fewest tokens that an
 #: overlap can be (the item's, at most WINDOW), each set hits every pattern of differing tokens that is accepted.
 MASKS = {
-    1: ("1",), 2: ("11",), 3: ("111",), 4: ("111", "1011", "1101"), 5: ("1101", "1011"), 6: ("11101", "10111"), 8: ("11011", "11000011", "10100101"),
+    5: ("1101", "1011"), 6: ("11101", "10111"), 8: ("11011", "11000011", "10100101"),
     9: ("110111", "1111001", "11001011", "10001111"), 12: ("110111", "110001011", "111010001", "111011"), 13: ("11101011", "110100111", "1110001011", "1111011", "10001001111"),
 }
-#: SQL seeks by these and by whole short items alone, so it lacks overlaps that they miss.
-_SQL_MASKS = ("110110101", "101011011", "111001011")
+SHORTEST = min(MASKS)
 WINDOW = 13
 DIFFER = 4  # one token in so many may differ
-MOST_BROADCAST = 300_000
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -64,11 +63,16 @@ def _set_of(n: int) -> int:
     return max(k for k in MASKS if k <= n)
 
 
+def _whole_seed(words: Column) -> Column:
+    """The seed of a short item, or of a document as short."""
+    return F.xxhash64(F.lit("whole"), F.array_join(words, " "))
+
+
 def _item_seeds(items: DataFrame, sets: list[int]) -> DataFrame:
     """(seed, span, item_id, item_at) for each place of an item and each mask of its set."""
     at = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("item_at")
     own = F.array_max(F.filter(F.array(*(F.lit(k) for k in MASKS)), lambda k: k <= F.col("n")))
-    parts = []
+    parts = [items.filter(F.col("n") < SHORTEST).select(_whole_seed(F.col("item")).alias("seed"), F.col("n").alias("span"), "item_id", F.lit(0).alias("item_at"))]
     for k in sets:
         placed = items.filter(own == k).select("item_id", "item", "n", at)
         found = placed.select("item_id", "item_at", F.posexplode(_seeds(F.col("item"), F.col("item_at"), F.col("n"), list(MASKS[k]))).alias("m", "seed")).filter("seed is not null")
@@ -84,38 +88,41 @@ def _best(words: Column) -> Column:
     return F.array_max(F.transform(starts, equal))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, doc_start, matched): documents that hold part of an item.
 
     doc_start is the first document token that lies at the item's first one (negative if the item begins
-    before the document), matched the most equal tokens of a window. text_key is xxhash64 of the text.
-    Null and empty texts hold nothing. Rows with equal doc_id and text give one row for each item; a null
-    doc_id stays null. Items with equal texts are found alike. Further columns of either table are ignored.
+    before the document), matched the most equal tokens of a window. text_key is the text's md5.
+    Null and empty texts hold nothing, texts of any length are read whole. Rows with equal doc_id and text give one
+    row for each item; a null doc_id stays null. Items with equal texts are found alike. Further columns of either
+    table are ignored.
     """
     items = _items(benchmark)
     lengths = [r.n for r in items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # at most WINDOW
-    sets = sorted({_set_of(n) for n in lengths}) or [max(MASKS)]
+    sets = sorted({_set_of(n) for n in lengths if n >= SHORTEST})
     masks = list(dict.fromkeys(m for k in sets for m in MASKS[k]))
     seeds = stored(_item_seeds(items, sets), "seeds")
-    width = F.least(F.lit(WINDOW), F.col("n"))
-    items = items.withColumn("width", width)
-    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), tokens(whole_text()).alias("words"))
+    items = items.withColumn("width", F.least(F.lit(WINDOW), F.col("n")))
+    rows = docs.select("doc_id", F.md5(whole_text()).alias("text_key"), tokens(whole_text()).alias("words"))
     placed = rows.withColumn("at", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))))
-    seeded = placed.withColumn("seed", F.explode(_seeds(F.col("words"), F.col("at"), F.size("words"), masks)))
-    if seeds.count() <= most_broadcast:
-        hits = seeded.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
-    else:
-        found = seeded.select("doc_id", "text_key", "at", "seed").join(seeds, "seed").drop("seed").distinct()
-        texts = rows.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "words").dropDuplicates(["d", "t"])
-        hits = found.join(texts, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(items, "item_id")
-    verified = hits.withColumn("matched", _best(F.col("words"))).filter(F.col("matched") >= F.col("width") - F.floor(F.col("width") / DIFFER))
-    return verified.groupBy("doc_id", "text_key", "item_id").agg(F.min(F.col("at") - F.col("item_at")).alias("doc_start"), F.max("matched").alias("matched"))
+    n, at = F.size("words"), F.col("at")
+    of_masks = _seeds(F.col("words"), at, n, masks) if masks else F.array().cast("array<bigint>")
+    short = F.when((at == 0) & (n < SHORTEST), _whole_seed(F.col("words")))
+    seeded = placed.select("doc_id", "text_key", "at", F.explode(F.array_append(of_masks, short)).alias("seed")).filter("seed is not null")
+    hits = stored(seeded.join(seeds, "seed").select("doc_id", "text_key", "item_id", (at - F.col("item_at")).alias("shift"), "item_at", "span").distinct(), "hits")
+    # a document's text is fetched once for all its hits
+    by_text = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_set(F.struct("item_id", "shift", "item_at", "span")).alias("hits"))
+    found = rows.join(by_text, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    each = found.select("doc_id", "text_key", "words", F.explode("hits").alias("hit")).select("doc_id", "text_key", "words", "hit.*").withColumn("at", F.col("shift") + F.col("item_at"))
+    verified = each.join(items, "item_id").withColumn("matched", _best(F.col("words"))).filter(F.col("matched") >= F.col("width") - F.floor(F.col("width") / DIFFER))
+    return verified.groupBy("doc_id", "text_key", "item_id").agg(F.min("shift").alias("doc_start"), F.max("matched").alias("matched"))
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no part of an item, with their columns; null and empty texts stay."""
-    found = stored(overlaps(docs, benchmark).select(F.col("text_key").alias("text_key__")).distinct(), "leaks")
-    return docs.join(found, F.xxhash64(whole_text()) == F.col("text_key__"), "left_anti")
+    (key,) = fresh(docs, "leak_key")
+    found = stored(overlaps(docs, benchmark).select(F.col("text_key").alias(key)).distinct(), "leaks")
+    return docs.join(found, F.md5(whole_text()) == F.col(key), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +133,19 @@ def _sql_seed(words: str, at: str, mask: str) -> str:
     return f"'{mask} ' || " + " || ' ' || ".join(f"{words}[{at} + {p + 1}]" for p in _places(mask))
 
 
+def _sql_seeds(words: str, at: str, masks: list[str]) -> str:
+    """A list of the seeds at a place, null where a mask reaches beyond the end."""
+    return "[" + ", ".join(f"CASE WHEN {at} + {len(m)} <= len({words}) THEN {_sql_seed(words, at, m)} END" for m in masks) + "]"
+
+
+def _sql_spans(masks: tuple[str, ...]) -> str:
+    return "[" + ", ".join(str(len(m)) for m in masks) + "]"
+
+
+_ALL_MASKS = list(dict.fromkeys(m for masks in MASKS.values() for m in masks))
+_BY_LENGTH = " ".join(f"WHEN n >= {k} THEN {_sql_seeds('item', 'item_at', list(MASKS[k]))}" for k in sorted(MASKS, reverse=True))
+_SPANS = " ".join(f"WHEN n >= {k} THEN {_sql_spans(MASKS[k])}" for k in sorted(MASKS, reverse=True))
+
 SQL = rf"""
 WITH docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM documents),
@@ -133,21 +153,14 @@ items AS (
   SELECT item_id, item, len(item) AS n, least({WINDOW}, len(item)) AS width
   FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS item FROM benchmark) WHERE len(item) > 0),
 placed AS (SELECT doc_id, words, unnest(range(len(words))) AS pos FROM docs),
-item_placed AS (SELECT item_id, item, n, width, unnest(range(n)) AS item_at FROM items),
-masks(k, span) AS (VALUES (0, {len(_SQL_MASKS[0])}), (1, {len(_SQL_MASKS[0])}), (2, {len(_SQL_MASKS[0])})),
+item_placed AS (SELECT *, unnest(range(n)) AS item_at FROM items WHERE n >= {SHORTEST}),
+item_seeds AS (SELECT item_id, item, n, width, item_at, unnest(CASE {_BY_LENGTH} END) AS seed, unnest(CASE {_SPANS} END) AS span FROM item_placed),
 seeds AS (
-  SELECT item_id, item, n, width, item_at, span,
-         CASE k WHEN 0 THEN {_sql_seed("item", "item_at", _SQL_MASKS[0])} WHEN 1 THEN {_sql_seed("item", "item_at", _SQL_MASKS[1])} ELSE {_sql_seed("item", "item_at", _SQL_MASKS[2])} END AS seed
-  FROM item_placed, masks WHERE n >= span AND item_at + span <= n
-  UNION ALL
-  SELECT item_id, item, n, width, 0, n, n || ' ' || array_to_string(item, ' ') FROM items WHERE n < {len(_SQL_MASKS[0])}),
+  SELECT * FROM item_seeds WHERE seed IS NOT NULL
+  UNION ALL SELECT item_id, item, n, width, 0, 'whole ' || array_to_string(item, ' '), n FROM items WHERE n < {SHORTEST}),
 doc_seeds AS (
-  SELECT doc_id, words, pos,
-         CASE k WHEN 0 THEN {_sql_seed("words", "pos", _SQL_MASKS[0])} WHEN 1 THEN {_sql_seed("words", "pos", _SQL_MASKS[1])} ELSE {_sql_seed("words", "pos", _SQL_MASKS[2])} END AS seed
-  FROM placed, masks WHERE pos + span <= len(words)
-  UNION ALL
-  SELECT doc_id, words, pos, l.n || ' ' || array_to_string(words[pos + 1 : pos + l.n], ' ')
-  FROM placed, (SELECT DISTINCT n FROM items WHERE n < {len(_SQL_MASKS[0])}) l WHERE pos + l.n <= len(words)),
+  SELECT doc_id, words, pos, unnest({_sql_seeds("words", "pos", _ALL_MASKS)}) AS seed FROM placed
+  UNION ALL SELECT doc_id, words, 0, 'whole ' || array_to_string(words, ' ') FROM docs WHERE len(words) BETWEEN 1 AND {SHORTEST - 1}),
 hits AS (
   SELECT doc_id, item_id, pos - item_at AS doc_start, width,
          list_max(list_transform(range(greatest(0, item_at + span - width), least(item_at, n - width) + 1),
