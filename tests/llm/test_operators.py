@@ -307,17 +307,36 @@ def test_ids_are_the_librarys(awkward, empty, spark, texts):
     odd = ["".join(rng.choice("aΣé \n\t'sS<|>́\x1c 😀9.,　!") for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["don't <|endoftext|> x<|startoftext|>y", "<|ENDOFTEXT|>", "İI ﬁ"]
     for x in [*odd, *list(texts.values())[:40]]:
         assert words.encode(x) == np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-    got = sorted(op5_token_ids.written_and_read(awkward).collect(), key=lambda r: r.start)
     rows = sorted(awkward.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text.encode()))
-    start = 0
-    assert len(got) == len(rows)
-    for r, w in zip(got, rows, strict=True):
-        ids = np.array([*library.encode(w.text, add_special_tokens=False).ids, 1], "<u4")
-        assert tuple(r) == (w.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
+    for most in (op5_token_ids.SEGMENT, 1000, 7):
+        got = sorted(op5_token_ids.written_and_read(awkward, most=most).collect(), key=lambda r: r.start)
+        start = 0
+        assert len(got) == len(rows)
+        for r, w in zip(got, rows, strict=True):
+            ids = np.array([*library.encode(w.text, add_special_tokens=False).ids, 1], "<u4")
+            assert tuple(r) == (w.doc_id, start, len(ids), zlib.crc32(ids.tobytes()), ids[len(ids) // 2])
+            start += len(ids)
     assert op5_token_ids.written_and_read(empty).count() == 0
 
 
+def test_any_token_is_read_from_its_segment(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(op5_token_ids.MODEL))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    op5_token_ids.write_ids(docs, f"{tmp_path}/ids", public_tokenizers.path(op5_token_ids.MODEL), most=700)
+    segments = op5_token_ids.read_ids(spark, f"{tmp_path}/ids")
+    assert segments.agg(F.max("n_ids")).first()[0] <= 700
+    want = [i for r in sorted(docs.collect()) for i in [*library.encode(r.text or "", add_special_tokens=False).ids, 1]]
+    asked = [0, len(want) - 1, len(want), -1, None, *random.Random(8).choices(range(len(want)), k=300)]
+    positions = spark.createDataFrame([(p,) for p in asked], "position bigint")
+    for block in (700, 64):
+        got = Counter((r.position, r.id) for r in op5_token_ids.token_at(segments, positions, block).collect())
+        assert got == Counter((p, want[p] if p is not None and 0 <= p < len(want) else None) for p in asked)
+    data = np.random.default_rng(9).bytes(5000)
+    assert op5_token_ids.joined_crc([zlib.crc32(data[:1000]), zlib.crc32(data[1000:]), zlib.crc32(b"")], [1000, 4000, 0]) == zlib.crc32(data)
+
+
 # ---- 6, 9 ----
 
 

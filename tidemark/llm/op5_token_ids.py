@@ -6,8 +6,10 @@ before each block of 512 bits turns a place at one level into the place at the n
 a few look-ups, without decoding what stands around it.
 
 Documents go to range partitions by doc_id, are sorted there, tokenized and written by Spark as rows of
-segments, each of a bounded number of ids. A segment is complete in itself and knows how many ids its
-partition has before it; how many the partitions before have is a sum over a row for each of them.
+segments of at most SEGMENT ids; a document of more ids has segments of its own, all others lie in one. Pages
+aren't compressed, so that a code can be read where it lies. A segment is complete in itself and knows how many
+ids its partition has before it; how many the partitions before have is a sum over a row for each of them. A
+position's segment is found by an equi-join on blocks of SEGMENT positions, and token_at reads its id from there.
 """
 
 from __future__ import annotations
@@ -17,18 +19,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, shared_dir, whole_text
+from tidemark.llm.common import documents, run_dir, whole_text
 
 MODEL = "word_bpe_49k.json"
 END = 1
 BITS = 8
 BLOCK = 512
-#: A segment is closed once it holds so many ids.
-SEGMENT = 1 << 20
+#: A segment holds at most so many ids.
+SEGMENT = 1 << 18
 #: So many words' ids are kept by a Python worker; beyond, they are encoded whenever they are needed.
 MOST_WORDS = 1_000_000
 LONGEST_KEPT = 48
@@ -169,10 +172,13 @@ def _words(path: str) -> _Words:
     return _loaded[path]
 
 
-_SEGMENTS = "part int, seq int, inside bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, data binary"
+_SEGMENTS = "part int, seq int, inside bigint, n_ids bigint, doc_at bigint, doc_ids array<bigint>, n_tokens array<bigint>, data binary"
+_ARROW = pa.schema(
+    [("part", pa.int32()), ("seq", pa.int32()), ("inside", pa.int64()), ("n_ids", pa.int64()), ("doc_at", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("data", pa.binary())]
+)
 
 
-def _segments(path: str, end: int | None):
+def _segments(path: str, end: int | None, most: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -180,38 +186,42 @@ def _segments(path: str, end: int | None):
         close = b"" if end is None else struct.pack("<I", end)
         doc_ids, lengths, held, size = [], [], [], 0
 
-        def segment() -> pa.RecordBatch:
-            row = {"part": part, "seq": seq, "inside": inside, "n_ids": size, "doc_ids": doc_ids, "n_tokens": lengths, "data": pack(np.frombuffer(b"".join(held), "<u4"))}
+        def segment(ids: bytes, docs: list, n_tokens: list, doc_at: int | None = None) -> pa.RecordBatch:
+            nonlocal seq, inside
+            row = {"part": part, "seq": seq, "inside": inside, "n_ids": len(ids) // 4, "doc_at": doc_at, "doc_ids": docs, "n_tokens": n_tokens, "data": pack(np.frombuffer(ids, "<u4"))}
+            seq, inside = seq + 1, inside + len(ids) // 4
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = words.encode(text) + close
+                n = len(ids) // 4
+                if doc_ids and size + n > most:
+                    yield segment(b"".join(held), doc_ids, lengths)
+                    doc_ids, lengths, held, size = [], [], [], 0
+                if n > most:  # a piece to a segment; each says how many ids the document has
+                    for at in range(0, n, most):
+                        yield segment(ids[4 * at : 4 * (at + most)], [doc_id], [n], at)
+                    continue
                 doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
+                lengths.append(n)
                 held.append(ids)
-                size += len(ids) // 4
-                if size >= SEGMENT:
-                    yield segment()
-                    inside += size
-                    doc_ids, lengths, held, size, seq = [], [], [], 0, seq + 1
+                size += n
         if doc_ids:
-            yield segment()
+            yield segment(b"".join(held), doc_ids, lengths)
 
     return make
 
 
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("inside", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("data", pa.binary())])
-
-
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int | None = END) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, most: int = SEGMENT) -> None:
     """Tokenizes whole texts and writes them at path in ascending doc_id order, null first, equal ids by text.
 
     The tokenizer must part texts at white space. A null text is empty: its ids are the end id alone. A
-    repeated row is written as often as it stands there. An empty table gives a readable table without rows.
+    repeated row is written as often as it stands there, a text of any length whole. An empty table gives a readable
+    table without rows. Other columns are left out.
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_segments(tokenizer, end), _SEGMENTS).write.parquet(path)
+    rows.mapInArrow(_segments(tokenizer, end, most), _SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -223,31 +233,94 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return segments.join(F.broadcast(parts.select("part", before.alias("before"))), "part").withColumn("start", F.col("before") + F.col("inside"))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def token_at(segments: DataFrame, positions: DataFrame, block: int = SEGMENT) -> DataFrame:
+    """positions(position) with the id that stands there in segments, as read_ids gives them; null outside of all ids.
+
+    block: a power of ten or two near the segments' size. Positions may repeat and be null.
+    """
+    at = F.floor(F.col("position") / block)
+    spans = segments.filter("n_ids > 0").select("start", "n_ids", "data", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_ids") - 1) / block))).alias("block"))
+    wanted = positions.select("position").distinct().withColumn("block", at)
+    inside = (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_ids"))
+    # a segment's code goes once to all positions that lie in it
+    by_segment = wanted.join(spans.drop("data"), "block").filter(inside).groupBy("start").agg(F.collect_list("position").alias("positions"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, data, found in zip(*(batch[c].to_pylist() for c in ("start", "data", "positions")), strict=True):
+                code = Segment(data)
+                yield pa.RecordBatch.from_pydict({"position": pa.array(found, pa.int64()), "id": pa.array([code[x - start] for x in found], pa.int64())})
+
+    ids = by_segment.join(segments.select("start", "data"), "start").mapInArrow(read, "position bigint, id bigint")
+    return positions.join(ids, "position", "left")
+
+
+_DIGEST = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, middle_id bigint"
+
+
+def _read_through(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, Segment]]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = Segment(row["data"]).all().astype("<u4", copy=False)
-            ends = np.cumsum(row["n_tokens"], dtype=np.int64)
-            starts = ends - np.array(row["n_tokens"], np.int64)
-            crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(starts + row["start"], pa.int64()), "n_tokens": pa.array(row["n_tokens"], pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())}
-            )
+            code = Segment(row["data"])
+            yield row, code.all().astype("<u4", copy=False), code
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, ids, code in _read_through(batches):
+        ends = np.cumsum(row["n_tokens"], dtype=np.int64)
+        starts = ends - np.array(row["n_tokens"], np.int64)
+        crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        middles = [code[m] if b > a else None for a, b in zip(starts.tolist(), ends.tolist(), strict=True) for m in ((a + b) // 2,)]
+        columns = {"doc_id": row["doc_ids"], "start": starts + row["start"], "n_tokens": row["n_tokens"], "ids_crc32": crcs, "middle_id": middles}
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a long document's segments: where the document starts, and the piece's own digest."""
+    for row, ids, code in _read_through(batches):
+        (n,), at = row["n_tokens"], row["doc_at"]
+        middle = code[n // 2 - at] if 0 <= n // 2 - at < len(ids) else None
+        columns = {"doc_id": row["doc_ids"], "start": [row["start"] - at], "n_tokens": [n], "at": [at], "bytes": [4 * len(ids)], "crc": [zlib.crc32(ids)], "middle_id": [middle]}
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
+
+def joined_crc(crcs: list[int], lengths: list[int]) -> int:
+    """The crc32 of pieces put together, from each one's own and its length in bytes.
+
+    A piece behind a start value gives what it gives behind none, changed by what zeros make of that value.
+    """
+    total = 0
+    for crc, n in zip(crcs, lengths, strict=True):
+        zeros = b"\0" * n
+        total = zlib.crc32(zeros, total) ^ zlib.crc32(zeros) ^ crc
+    return total
 
 
 def digest(segments: DataFrame) -> DataFrame:
-    """Per document, from the segments: where it starts, how many ids it has, and their crc32."""
-    return segments.mapInArrow(_digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    """Per document, from the segments: where it starts, how many ids it has, their crc32, and the id in its middle.
+
+    The middle one, at n_tokens // 2, is read by itself, without decoding what stands around it.
+    """
+    whole = segments.filter("doc_at is null").mapInArrow(_digest, _DIGEST)
+    pieces = segments.filter("doc_at is not null").mapInArrow(_pieces, "doc_id bigint, start bigint, n_tokens bigint, at bigint, bytes bigint, crc bigint, middle_id bigint")
+
+    @F.pandas_udf("long")
+    def crc(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda found: joined_crc([x["crc"] for x in found], [x["bytes"] for x in found]))
+
+    # a row for each segment of a document
+    long = pieces.groupBy("start").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("middle_id").alias("middle_id"), F.sort_array(F.collect_list(F.struct("at", "bytes", "crc"))).alias("rows"))
+    return whole.union(long.select("doc_id", "start", "n_tokens", crc("rows").alias("ids_crc32"), "middle_id"))
 
 
-def written_and_read(docs: DataFrame, name: str = "ids") -> DataFrame:
+def written_and_read(docs: DataFrame, name: str = "ids", most: int = SEGMENT) -> DataFrame:
     """The digest of docs once written into the shared folder and read back."""
     import uuid
 
     import public_tokenizers
 
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    write_ids(docs, path, public_tokenizers.path(MODEL))
+    path = f"{run_dir(docs.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write_ids(docs, path, public_tokenizers.path(MODEL), most=most)
     return digest(read_ids(docs.sparkSession, path))
 
 
