@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm")
@@ -259,32 +260,88 @@ def test_hot_keys_are_cut_into_pieces(spark):
 # ---- 4 ----
 
 
-@pytest.mark.parametrize("which", ["real", "awkward"])
+def _plain_tree(text):
+    """Digests of root, sections and paragraphs, and the leaves, by a loop over words."""
+    sections, paragraphs, leaves = [[]], [], Counter()
+    for line in text.split("\n"):
+        if not line:
+            sections.append([])
+            continue
+        digest = hashlib.sha256(line.encode()).digest()
+        sections[-1].append(digest)
+        paragraphs.append(digest)
+        leaf = []
+        for word in line.split(" "):
+            leaf.append(word)
+            if (xxhash.xxh3_64_intdigest(word) >> 32) % 4 == 0:
+                leaves[tuple(leaf)] += 1
+                leaf = []
+        if leaf:
+            leaves[tuple(leaf)] += 1
+    own = [hashlib.sha256(b"".join(s)).digest() for s in sections]
+    return hashlib.sha256(b"".join(own)).hexdigest(), paragraphs, leaves
+
+
+def _plain_likeness(a, b):
+    (root, _, x), (other, _, y) = _plain_tree(a), _plain_tree(b)
+    if root == other:
+        return 1.0
+    return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values())) if x and y else 0.0
+
+
+@pytest.mark.parametrize("which", ["real", "awkward", "without ids"])
 def test_fingerprints_against_a_plain_loop(spark, awkward, texts, which):
-    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string") if which == "real" else awkward
+    real = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    docs = {"real": real, "awkward": awkward, "without ids": real.withColumn("doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("doc_id")))}[which]
     got = op4_fingerprints.compared(docs).collect()
     hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).collect()
     rows = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
-    want = []
+    want = Counter()
+    near = {}
     for i, r in enumerate(rows):
         following = rows[(i + 1) % len(rows)].text
         third = len(r.text) // 3
         edited = r.text[: len(r.text) - third] + following[:third]
-        fp = op4_fingerprints.fingerprint
-        want.append((r.doc_id, len(r.text), hashlib.sha256(edited.encode()).hexdigest(), fp(r.text), fp(edited), op4_fingerprints.likeness(fp(r.text), fp(edited)), op4_fingerprints.likeness(fp(r.text), fp(following))))
-    assert Counter(map(tuple, got)) == Counter(want)
+        key = (r.doc_id, len(r.text), hashlib.sha256(edited.encode()).hexdigest(), _plain_tree(r.text)[0], _plain_tree(edited)[0])
+        want[key] += 1
+        near.setdefault(key, []).append((_plain_likeness(r.text, edited), _plain_likeness(r.text, following)))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint[:64], r.edited_fingerprint[:64]) for r in got) == want
+    for r in got:
+        key = (r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint[:64], r.edited_fingerprint[:64])
+        assert any((r.near_edited, r.near_next) == pytest.approx(x, abs=1e-4) for x in near[key])
 
 
 def test_fingerprints_locate_edits(empty, spark):
-    a = "one line of text\n\nsecond section here\nits second line"
-    b = a.replace("second line", "other line")
-    x, y = op4_fingerprints.fingerprint(a), op4_fingerprints.fingerprint(b)
-    assert x != y and op4_fingerprints.edits(x, y) == [(1, 3)] and op4_fingerprints.edits(x, x) == []
+    f, edits = op4_fingerprints.fingerprint, op4_fingerprints.edits
+    a = "one line of text\n\nsecond section here\nits second line\n\nlast"
+    assert edits(f(a), f(a)) == [] and edits(f(a), f(a.replace("second line", "other line"))) == [(2, 3, 2, 3)]
+    assert edits(f(a), f(a.replace("its second", "new\nits second"))) == [(2, 2, 2, 3)] and edits(f(a), f(a.replace("\n\nlast", ""))) == [(3, 4, 3, 3)]
+    assert edits(f(a), f(a + "\n")) == [(4, 4, 4, 4)] and edits(f(""), f("x")) == [(0, 0, 0, 1)]
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = [rng.choice(["", "", "a", "b", "c d", "e"]) for _ in range(rng.randint(1, 12))]
+        other = list(lines)
+        for _ in range(rng.randint(1, 3)):
+            other[rng.randrange(len(other)) :][:1] = []
+            other.insert(rng.randrange(len(other) + 1), rng.choice(["", "a", "new", "c d"]))
+        found = edits(f("\n".join(lines)), f("\n".join(other)))
+        assert (found == []) == (lines == other)
+        old, new, out, at = [x for x in lines if x], [x for x in other if x], [], 0
+        for i, j, k, m in found:  # the edits put on the old paragraphs give the new ones
+            out += old[at:i] + new[k:m]
+            at = j
+        assert out + old[at:] == new
     assert op4_fingerprints.compared(empty).count() == 0
     lone = op4_fingerprints.compared(spark.createDataFrame([(1, "abc def")], "doc_id bigint, text string")).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
 
 
+def test_fingerprints_beside_other_columns(awkward, empty):
+    rows = op4_fingerprints.with_fingerprints(awkward)
+    assert rows.columns == awkward.columns and all(r.fingerprint == op4_fingerprints.fingerprint(r.text or "") for r in rows.collect())
+    assert op4_fingerprints.with_fingerprints(empty).count() == 0
+
+
 # ---- 5 ----
 
 

@@ -1,24 +1,26 @@
 """Document fingerprints: Merkle trees over sections and paragraphs.
 
-A paragraph is a line; sections end at empty lines. A paragraph's leaves are short runs of words that end
-where a word's own hash says so, so an edit changes the leaves that it touches and no others. A leaf's
-digest is made of its words, a paragraph's of its leaves, a section's of its paragraphs, the root of the
-sections: roots are equal where texts are, and going down where digests differ leads to the edit.
+A paragraph is a line; sections end at empty lines. A paragraph's digest is that of its text, a section's that of
+its paragraphs' digests, the root that of the sections': roots are equal where texts are, and going down
+where digests differ, first among sections and then among the paragraphs of those that differ, leads to the edit.
 
-A fingerprint is "root.paragraphs.leaves": the root in hex; per paragraph its section's number, how many
-leaves it has and its digest; and three bytes of every leaf. Likeness is the part of the leaves, by number,
-that two fingerprints share (1 for equal roots).
+For likeness a paragraph has leaves, short runs of words that end where a word's own hash says so, so an edit
+changes the leaves that it touches and no others.
+
+A fingerprint is "root.sections.paragraphs.leaves": the root in hex; per section how many paragraphs it has
+and its digest; per paragraph how many leaves it has and its digest; and three bytes of every leaf. Likeness is
+the part of the leaves, by number, that two fingerprints share (1 for equal roots).
 
 A document's neighbour comes without a window over the whole table: doc_ids are cut at quantiles into
-ranges, and each range's first document is also sent to the range before it.
+ranges (rows without an id by a hash of their text), and each range's first document is also sent to the range before it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -45,38 +47,51 @@ def _leaves(words: list[str]) -> np.ndarray:
     return np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
 
 
+#: Bytes of a digest that a fingerprint keeps for a section and for a paragraph.
+_SHORT = 8
+_NODE = np.dtype([("n", "<u4"), ("digest", f"V{_SHORT}")])
+
+
 def fingerprint(text: str) -> str:
     """Equal texts have equal fingerprints; a single changed character changes the root."""
-    leaves, sections, table, section = [], [hashlib.sha256()], [], 0
+    root, section, n = hashlib.sha256(), hashlib.sha256(), 0
+    sections, paragraphs, leaves = [], [], []
+
+    def close() -> None:
+        digest = section.digest()
+        root.update(digest)
+        sections.append(n.to_bytes(4, "little") + digest[:_SHORT])
+
     for line in text.split("\n"):
         if not line:
-            section += 1
-            sections.append(hashlib.sha256())
-            table.append((section, 0, b"\0" * 6))
+            close()
+            section, n = hashlib.sha256(), 0
             continue
         own = _leaves(line.split(" "))
-        digest = hashlib.sha256(own.tobytes()).digest()
-        sections[-1].update(digest)
-        table.append((section, len(own), digest[:6]))
+        digest = hashlib.sha256(line.encode()).digest()
+        section.update(digest)
+        n += 1
+        paragraphs.append(len(own).to_bytes(4, "little") + digest[:_SHORT])
         leaves.append(own)
-    root = hashlib.sha256(b"".join(s.digest() for s in sections) + b"%d" % len(text)).hexdigest()
-    rows = b"".join(s.to_bytes(4, "little") + n.to_bytes(4, "little") + d for s, n, d in table)
+    close()
     short = np.concatenate(leaves).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 5:].tobytes() if leaves else b""
-    return ".".join((root, base64.b64encode(rows).decode(), base64.b64encode(short).decode()))
+    return ".".join((root.hexdigest(), *(base64.b64encode(x).decode() for x in (b"".join(sections), b"".join(paragraphs), short))))
+
+
+def _nodes(part: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(part), _NODE)
 
 
-def _parts(fp: str) -> tuple[str, np.ndarray, np.ndarray]:
-    root, rows, leaves = fp.split(".")
-    rows = np.frombuffer(base64.b64decode(rows), np.dtype([("section", "<u4"), ("n", "<u4"), ("digest", "V6")]))
-    three = np.frombuffer(base64.b64decode(leaves), np.uint8).reshape(-1, 3).astype(np.uint32)
-    return root, rows, three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
+def _leaves_of(fp: str) -> np.ndarray:
+    three = np.frombuffer(base64.b64decode(fp.rpartition(".")[2]), np.uint8).reshape(-1, 3).astype(np.uint32)
+    return three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
 
 
 def likeness(a: str, b: str) -> float:
     """Twice the shared leaves (as multisets) over all leaves; 1 for equal roots, 0 if either has none else."""
     if a.partition(".")[0] == b.partition(".")[0]:
         return 1.0
-    x, y = _parts(a)[2], _parts(b)[2]
+    x, y = _leaves_of(a), _leaves_of(b)
     if not len(x) or not len(y):
         return 0.0
     (u, n), (v, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
@@ -84,22 +99,37 @@ def likeness(a: str, b: str) -> float:
     return float(2 * np.minimum(n[i], m[j]).sum() / (len(x) + len(y)))
 
 
-def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """Paragraphs (section, number in the text) of a whose digest b lacks: where the trees' branches differ."""
+def _differing(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Where two lists of digests differ: from and to in a, from and to in b."""
+    found = SequenceMatcher(None, a["digest"].tolist(), b["digest"].tolist(), autojunk=False)
+    return [(i, j, k, m) for step, i, j, k, m in found.get_opcodes() if step != "equal"]
+
+
+def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """Where the trees differ: paragraphs from and to in a, from and to in b (numbered from 0; "to" isn't in it).
+
+    Equal roots end the search; else sections are compared, and paragraphs only within sections that differ. What
+    is put in has an empty range in a, what is taken out one in b, what is moved is both. Where sections
+    differ and all of their paragraphs are equal, empty lines differ, and the range is empty on both sides.
+    """
     if a.partition(".")[0] == b.partition(".")[0]:
         return []
-    there = Counter(bytes(d) for d in _parts(b)[1]["digest"])
+    (_, x, p, _), (_, y, q, _) = a.split("."), b.split(".")
+    x, y, p, q = _nodes(x), _nodes(y), _nodes(p), _nodes(q)
+    at_x, at_y = ([0, *np.cumsum(s["n"], dtype=np.int64).tolist()] for s in (x, y))
     out = []
-    for i, row in enumerate(_parts(a)[1]):
-        if there[key := bytes(row["digest"])] > 0:
-            there[key] -= 1
-        else:
-            out.append((int(row["section"]), i))
+    for i, j, k, m in _differing(x, y):
+        i, j, k, m = at_x[i], at_x[j], at_y[k], at_y[m]
+        inner = _differing(p[i:j], q[k:m])
+        out += [(i + u, i + v, k + s, k + t) for u, v, s, t in inner] or [(i, i, k, k)]
     return out
 
 
 def with_fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with `fingerprint`; a null text counts as empty. Rows stay as they are, repeated ones too."""
+    """docs with `fingerprint`, which replaces a column of that name; a null text counts as empty.
+
+    Rows are worked on one by one, whatever their length: repeated rows stay, an empty table gives an empty one.
+    """
 
     @F.pandas_udf("string")
     def prints(texts: pd.Series) -> pd.Series:
@@ -108,32 +138,31 @@ def with_fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.withColumn("fingerprint", prints(whole_text(column)))
 
 
-def _ranges(ids: DataFrame, n: int) -> tuple[list[int], list[int]]:
-    """Lower bounds of the ranges of doc_id, and the highest doc_id in each. As many numbers as ranges."""
+def _bounds(ids: DataFrame, n: int) -> list[int]:
+    """Lower bounds of at most n ranges of doc_id with about as many rows."""
     found = ids.filter("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(n)], 0.25 / n)
-    bounds = sorted({int(x) for x in found})
-    if not bounds:
-        return [], []
-    at = _range_of(bounds)
-    highest = {r.r: r.h for r in ids.filter("doc_id is not null").groupBy(at("doc_id").alias("r")).agg(F.max("doc_id").alias("h")).collect()}
-    return bounds, [highest[i] for i in sorted(highest)]
+    return sorted({int(x) for x in found})
 
 
-def _range_of(bounds: list[int]):
+def _numbered(rows: DataFrame, bounds: list[int], n_null: int) -> DataFrame:
+    """rows with `range`, in the order of descending doc_id; those without come last, by equal parts of their ties."""
     edges = np.array(bounds[1:], np.int64)
+    last = len(bounds) - 1
 
     @F.pandas_udf("int")
-    def at(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="right").astype(np.int32), index=ids.index)
+    def of_id(ids: pd.Series) -> pd.Series:
+        return pd.Series(last - np.searchsorted(edges, ids.to_numpy(np.int64), side="right").astype(np.int32), index=ids.index)
 
-    return at
+    share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
+    of_null = len(bounds) + F.least(F.floor(share * n_null), F.lit(n_null - 1)).cast("int")
+    return rows.withColumn("range", F.when(F.col("doc_id").isNull(), of_null).otherwise(of_id(F.coalesce("doc_id", F.lit(0).cast("long")))))
 
 
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range, guests behind the range's own, descending: pairs each own row with the row behind it."""
+    """A range's rows, guests behind its own, descending: pairs each own row with the row behind it."""
     held, out = None, []
     for batch in batches:
         for r, guest, doc_id, text in zip(*(batch[c].to_pylist() for c in ("range", "guest", "doc_id", "text")), strict=True):
@@ -162,33 +191,29 @@ def compared(docs: DataFrame) -> DataFrame:
     Edited: the last third of the code points (rounded down) replaced by the first as many, or all there
     are, of the next document in descending doc_id; null ids come last, rows of equal doc_id go by a hash
     of the text, and behind the last document comes the first. A lone document is its own next. A null
-    text is empty; an empty table gives an empty one; other columns are left out.
+    text is empty; an empty table gives an empty one; other columns are left out. Texts are read whole, two at a time. Texts are read whole, two at a time.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
     spark = docs.sparkSession
     n = RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds, highest = _ranges(rows.select("doc_id"), n)
-    at = _range_of(bounds or [0])
-    null = F.col("doc_id").isNull()
-    own = F.when(null, F.lit(-1)).otherwise(at(F.coalesce("doc_id", F.lit(0).cast("long"))))
-    has_null = bool(rows.filter(null).head(1))
-    bottom = -1 if has_null or not bounds else 0
-    # the range that a range's first document visits: the one above it, and the lowest one for the very first
-    spread = rows.withColumn("own", own)
-    above = F.col("own") + 1
-    first = F.element_at(F.array(*map(F.lit, [None, *highest])).cast("array<bigint>"), (F.col("own") + 2).cast("int"))
-    is_first = F.col("doc_id") == first
-    visits = F.array(
-        F.struct(F.col("own").alias("range"), F.lit(0).alias("guest")),
-        F.when(is_first & (above < len(highest)), F.struct(above.alias("range"), F.lit(1).alias("guest"))),
-        F.when(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.lit(highest[-1] if highest else None)), F.struct(F.lit(bottom).alias("range"), F.lit(2).alias("guest"))),
-    )
-    if has_null:  # the null range lies below all others; if there is nothing else, its first row follows its last
-        visits = F.array_append(visits, F.when(null & F.lit(bool(bounds)), F.struct(F.lit(0).alias("range"), F.lit(1).alias("guest"))))
-        if not bounds:
-            visits = F.array_append(visits, F.struct(F.lit(-1).alias("range"), F.lit(2).alias("guest")))
-    sent = spread.withColumn("v", F.explode(F.array_compact(visits))).select("v.range", "v.guest", "doc_id", "text")
-    dealt = sent.repartition("range").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    n_null, n_all = rows.agg(F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    null_ranges = max(1, n * n_null // max(1, n_all))
+    placed = _numbered(rows, _bounds(rows.select("doc_id"), n), null_ranges)
+    # the first row of each range: a row for each of at most n + null_ranges ranges
+    firsts = placed.groupBy("range").agg(F.max("doc_id").alias("id"), F.min("tie").alias("tie")).orderBy("range").collect()
+    before = {r.range: firsts[i - 1].range for i, r in enumerate(firsts)}
+    by_range = {r.range: r for r in firsts}
+    count = max(by_range, default=0) + 1
+    at = (F.col("range") + 1).cast("int")
+    look_up = lambda values, kind: F.element_at(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), at)
+    first_id = look_up([by_range[i].id if i in by_range else None for i in range(count)], "bigint")
+    first_tie = look_up([by_range[i].tie if i in by_range else None for i in range(count)], "bigint")
+    is_first = F.when(F.col("doc_id").isNull(), F.col("tie") == first_tie).otherwise(F.col("doc_id") == first_id)
+    visited = look_up([before.get(i) for i in range(count)], "int")
+    visits = F.array(F.struct("range", F.lit(0).alias("guest")), F.when(is_first, F.struct(visited.alias("range"), F.lit(1).alias("guest"))))
+    sent = placed.withColumn("v", F.explode(F.array_compact(visits))).select("v.range", "v.guest", "doc_id", "text", "tie")
+    # a range is a partition, so neighbours in number needn't share one
+    dealt = sent.repartitionById(count, F.col("range")).sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), "tie", "text")
     return dealt.select("range", "guest", "doc_id", "text").mapInArrow(_neighbours, _OUT)
 
 
