@@ -412,6 +412,42 @@ def test_held_out_rows_are_ranked_well(spark, name, label, least):
     assert (got.predicted == got[label]).mean() > 0.95
 
 
+def test_slopes_are_those_of_the_losses():
+    """Against differences of the losses, worked out pair by pair and text by text."""
+    rng = np.random.default_rng(1)
+    d, w = rng.normal(size=(40, 6)), rng.normal(size=6)
+    loss, slope = op6_quality.loss_and_slope(w, d)
+    plain = lambda w: sum(np.log(1 + np.exp(-sum(x * y for x, y in zip(row, w, strict=True)))) for row in d) / 40 + 0.5e-4 * sum(x * x for x in w)
+    assert loss == pytest.approx(plain(w))
+    for i in range(6):
+        e = np.eye(6)[i] * 1e-6
+        assert slope[i] == pytest.approx((plain(w + e) - plain(w - e)) / 2e-6, rel=1e-4)
+    toxic, others = [rng.choice(8, rng.integers(1, 5), replace=False) for _ in range(12)], [rng.choice(8, rng.integers(1, 5), replace=False) for _ in range(30)]
+    entries = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows), len(rows))
+    seen = set()
+    for prior in (0.05, 0.9):
+        risk = op9_toxicity.Risk(entries(toxic), entries(others), 8, prior)
+
+        def parts(x, prior=prior):
+            z = lambda rows: [x[-1] + sum(x[i] for i in r) for r in rows]
+            as_toxic = prior * np.mean([np.log(1 + np.exp(-s)) for s in z(toxic)])
+            return as_toxic, np.mean([np.log(1 + np.exp(s)) for s in z(others)]) - prior * np.mean([np.log(1 + np.exp(s)) for s in z(toxic)])
+
+        for _ in range(10):
+            x = rng.normal(size=9) * 2
+            got = risk.at(x[:-1], x[-1])
+            want = parts(x)
+            assert got[:2] == pytest.approx(want)
+            seen.add(want[1] >= 0)
+            for i in range(9):
+                e = np.eye(9)[i] * 1e-6
+                up, down = parts(x + e), parts(x - e)
+                # where calling clean has a negative risk, the step undoes that part alone
+                change = (sum(up) - sum(down)) / 2e-6 if want[1] >= 0 else -(up[1] - down[1]) / 2e-6
+                assert got[2][i] == pytest.approx(change, rel=1e-3, abs=1e-7)
+    assert seen == {True, False}
+
+
 def test_classifiers_on_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 1), (4, None, None), (None, 1, 1), (7, 0, 1), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
     none = labels.limit(0)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, whole_text
-from tidemark.llm.labelled import fold, sample, with_texts
+from tidemark.llm.labelled import fold, labels_of, sample, with_texts
 
 #: The sample of labelled rows from which weights are learned.
 MOST_LABELS = 12_000
@@ -69,6 +69,13 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip((self.expanded(x) @ self.weights - self.cut) / self.scale, -30, 30)))
 
 
+def loss_and_slope(w: np.ndarray, d: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean logistic loss of pairs whose features differ by d (winner less loser), weights held small; its slope by w."""
+    margin = np.clip(d @ w, -30, 30)
+    loss = float(np.log1p(np.exp(-margin)).mean() + 0.5e-4 * (w @ w))
+    return loss, -(d * (1 / (1 + np.exp(margin)))[:, None]).mean(axis=0) + 1e-4 * w
+
+
 def fit(x: np.ndarray, good: np.ndarray, seed: int = 6) -> Ranker:
     """Weights from pairs (good, bad). Without both kinds all scores are alike, on the side of the only label."""
     grid = np.linspace(0, 1, BINS + 2)[1:-1]
@@ -85,8 +92,7 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 6) -> Ranker:
     w, m, v = model.weights, np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for step in range(1, STEPS + 1):
         at = rng.integers(0, PAIRS, 4096)
-        d = z[a[at]] - z[b[at]]
-        slope = -(d * (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None]).mean(axis=0) + 1e-4 * w
+        slope = loss_and_slope(w, z[a[at]] - z[b[at]])[1]
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     s = z @ w
@@ -105,14 +111,15 @@ def _quantile_cut(scores: np.ndarray, share: float) -> float:
 
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Ranker:
-    """A ranker from at most `most` labels whose fold isn't held out. Null labels are left out."""
+    """A ranker from at most `most` labels whose fold isn't held out. Null labels are left out; of an id's
+    labels or texts that disagree the smallest counts, so that reruns agree."""
 
     @F.pandas_udf("array<double>")
     def featured(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
-    chosen = sample(labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).filter(fold(FOLDS) != HELD_OUT).select("doc_id", "quality"), most, 6)
-    rows = with_texts(chosen, docs, whole_text()).select("doc_id", "quality", featured("text").alias("x")).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    chosen = sample(labels_of(labels, "quality").filter(fold(FOLDS) != HELD_OUT), most, 6)
+    rows = with_texts(chosen, docs, whole_text()).select("doc_id", "quality", featured("text").alias("x")).orderBy("doc_id").toPandas()
     x = np.array(rows.x.tolist()) if len(rows) else np.zeros((0, len(_ASCII) + 13))
     return fit(x, rows.quality.to_numpy())
 
@@ -121,7 +128,7 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
     """docs with `score` and `predicted` (1 from a score of 0.5); columns of these names are replaced.
 
     A null text counts as empty and gets the score of an empty text. Rows are scored one by one: equal
-    texts get equal scores, an empty table gives an empty one.
+    texts get equal scores, an empty table gives an empty one; a text of any length is read whole.
     """
 
     @F.pandas_udf("double")

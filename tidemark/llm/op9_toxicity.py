@@ -1,12 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear in which words of a vocabulary a text holds. It learns from confirmed toxic texts
-and from texts without any label, of which a part `prior` is toxic as well. The risk of calling an
-unlabelled text clean is the mean loss over unlabelled texts less prior times that over toxic ones; where
-a step makes this estimate negative, the model has begun to learn the sample by heart, and the step goes
-the other way for that part. Labels of clean texts are used only to estimate the prior.
-
-Both samples are bounded (MOST_TOXIC, MOST_UNLABELLED); scoring goes over every text where it lies.
+The classifier is linear in which words a text holds; a word is told by its hash among BUCKETS, so there is no
+vocabulary to be cut. It learns from confirmed toxic texts and from a sample of all texts, whose labels aren't looked
+at and of which a part `prior` is toxic as well. The risk of calling an unlabelled text clean is the mean loss over
+unlabelled texts less prior times that over toxic ones; where a step makes this estimate negative, the model
+has begun to learn the sample by heart, and the step goes the other way for that part. Labels of clean texts are
+used only to estimate the prior.
+
+Both samples are bounded (MOST_TOXIC, MOST_UNLABELLED). How many texts of each hold a word is counted in Spark; only
+words that are telling reach the driver, the rest would get no weight. Scoring goes over every text where it lies.
 """
 
 from __future__ import annotations
@@ -16,17 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, stored, whole_text
-from tidemark.llm.labelled import fold, sample, with_texts
+from tidemark.llm.common import Scratch, documents, whole_text
+from tidemark.llm.labelled import fold, labels_of, sample, with_texts
 
 #: The samples from which the classifier is learned.
 MOST_TOXIC, MOST_UNLABELLED = 5_000, 12_000
-#: A word is in the vocabulary if so many of the toxic texts hold it, and if it is more frequent there.
+BUCKETS = 1 << 20
+#: A word is telling if so many of the toxic texts hold it, and if it is so much more frequent there.
 LEAST_TEXTS, MORE_FREQUENT = 5, 1.5
-MOST_WORDS = 20_000
 STEPS = 400
 FOLDS, HELD_OUT = 5, 0
 _AROUND = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -37,80 +40,107 @@ def words(text: str) -> set[str]:
     return {w.strip(_AROUND) for w in set(text.lower().split())} - {""}
 
 
+def buckets(text: str) -> set[int]:
+    """The buckets of a text's words."""
+    return {xxhash.xxh3_64_intdigest(w) % BUCKETS for w in words(text)}
+
+
 @dataclass
 class Classifier:
-    vocabulary: dict[str, int]
-    weights: np.ndarray
+    weights: dict[int, float]  # by bucket; others weigh nothing
     bias: float
 
     def score(self, text: str) -> float:
-        get, w = self.vocabulary.get, self.weights
-        z = self.bias + sum(w[i] for i in map(get, words(text)) if i is not None)
+        get = self.weights.get
+        z = self.bias + sum(get(i, 0.0) for i in buckets(text))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], vocabulary: list[str], prior: float) -> Classifier:
-    """Full-batch Adam on the non-negative risk with logistic loss; a text is its words' places in the vocabulary.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+@dataclass
+class Risk:
+    """The non-negative risk over texts that are rows of word places: (text, place) pairs and the number of texts."""
+
+    toxic: tuple[np.ndarray, np.ndarray, int]
+    unlabelled: tuple[np.ndarray, np.ndarray, int]
+    k: int
+    prior: float
+
+    def at(self, w: np.ndarray, b: float) -> tuple[float, float, np.ndarray]:
+        """(prior times the loss of toxic texts as toxic, the risk of calling clean, slope of the step to take by w and b)."""
+        (rp, cp, n), (ru, cu, m) = self.toxic, self.unlabelled
+        zp, zu = b + np.bincount(rp, w[cp], n), b + np.bincount(ru, w[cu], m)
+        clean_risk = np.mean(np.logaddexp(0, zu)) - self.prior * np.mean(np.logaddexp(0, zp))
+        # slopes of the logistic loss: as toxic -(1 - s), as clean s
+        as_toxic, as_clean_p, as_clean_u = -self.prior * (1 - _sigmoid(zp)) / n, -self.prior * _sigmoid(zp) / n, _sigmoid(zu) / m
+        gp, gu = (as_toxic + as_clean_p, as_clean_u) if clean_risk >= 0 else (-as_clean_p, -as_clean_u)
+        slope = np.append(np.bincount(cp, gp[rp], self.k) + np.bincount(cu, gu[ru], self.k), gp.sum() + gu.sum())
+        return self.prior * float(np.mean(np.logaddexp(0, -zp))), float(clean_risk), slope
+
+
+def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], telling: np.ndarray, prior: float) -> Classifier:
+    """Full-batch Adam on the non-negative risk with logistic loss; a text is the places of its words among the telling ones.
 
-    Words that aren't more frequent in toxic texts get no weight. Without toxic texts nothing is toxic.
+    Without toxic texts nothing is toxic.
     """
-    k = len(vocabulary)
+    k = len(telling)
     if not len(toxic) or not len(unlabelled):
-        return Classifier({}, np.zeros(0), 5.0 if len(toxic) else -5.0)
-    entries = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.asarray(r, np.int64) for r in rows]))
-    (rp, cp), (ru, cu) = entries(toxic), entries(unlabelled)
-    counts = [np.bincount(c, minlength=k) / len(rows) for c, rows in ((cp, toxic), (cu, unlabelled))]
-    telling = counts[0] >= MORE_FREQUENT * counts[1]
-    (rp, cp), (ru, cu) = ((r[telling[c]], c[telling[c]]) for r, c in ((rp, cp), (ru, cu)))
+        return Classifier({}, 5.0 if len(toxic) else -5.0)
+    entries = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.asarray(r, np.int64) for r in rows]), len(rows))
     prior = min(max(prior, 1e-4), 0.9)
+    risk = Risk(entries(toxic), entries(unlabelled), k, prior)
     w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
-        zp = b + np.bincount(rp, w[cp], len(toxic))
-        zu = b + np.bincount(ru, w[cu], len(unlabelled))
-        clean_risk = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        # slopes of the logistic loss: as toxic -(1 - s), as clean s
-        as_toxic, as_clean_p, as_clean_u = -prior * (1 - sigmoid(zp)) / len(toxic), -prior * sigmoid(zp) / len(toxic), sigmoid(zu) / len(unlabelled)
-        gp, gu = (as_toxic + as_clean_p, as_clean_u) if clean_risk >= 0 else (-as_clean_p, -as_clean_u)
-        slope = np.append(np.bincount(cp, gp[rp], k) + np.bincount(cu, gu[ru], k) + 1e-4 * w, gp.sum() + gu.sum())
+        slope = risk.at(w, b)[2] + np.append(1e-4 * w, 0.0)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Classifier({x: i for i, x in enumerate(vocabulary) if telling[i]}, w, float(b))
+    return Classifier(dict(zip(telling.tolist(), w.tolist(), strict=True)), float(b))
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED) -> Classifier:
-    """A classifier from labels whose fold isn't held out, and from texts of rows that aren't either."""
+    """A classifier from labels whose fold isn't held out, and from texts of rows that aren't either.
 
-    @F.pandas_udf("array<string>")
-    def worded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(words(t)))
+    Of an id's labels or texts that disagree the smallest counts, so that reruns agree.
+    """
+
+    @F.pandas_udf("array<int>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(buckets(t)))
 
-    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(fold(FOLDS) != HELD_OUT)
+    usable = labels_of(labels, "toxic").filter(fold(FOLDS) != HELD_OUT)
     prior = usable.agg(F.avg("toxic")).first()[0] or 0.0
     toxic = sample(usable.filter("toxic = 1").select("doc_id"), most_toxic, 9)
-    others = docs.select("doc_id").filter("doc_id is not null").filter(fold(FOLDS) != HELD_OUT)
+    others = docs.select("doc_id").filter("doc_id is not null").filter(fold(FOLDS) != HELD_OUT).distinct()
     unlabelled = sample(others, most_unlabelled, 10)
     chosen = toxic.withColumn("positive", F.lit(1)).union(unlabelled.withColumn("positive", F.lit(0)))
-    texts = stored(with_texts(chosen, docs, whole_text()).select("doc_id", "positive", worded("text").alias("words")).dropDuplicates(["doc_id", "positive"]), "toxic")
-    often = texts.filter("positive = 1").select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") >= LEAST_TEXTS)
-    vocabulary = sorted(r.word for r in often.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect())
-    place = {w: i for i, w in enumerate(vocabulary)}
+    with Scratch(docs.sparkSession) as scratch:
+        texts = scratch.stored(with_texts(chosen, docs, whole_text()).select("doc_id", "positive", hashed("text").alias("words")), "toxic")
+        n = dict(texts.groupBy("positive").count().collect())
+        held = texts.select("positive", F.explode("words").alias("bucket")).groupBy("bucket").agg(F.sum("positive").alias("toxic"), F.count_if(F.col("positive") == 0).alias("others"))
+        often = F.col("toxic") / F.lit(max(1, n.get(1, 0))) >= MORE_FREQUENT * F.col("others") / F.lit(max(1, n.get(0, 0)))
+        # at most BUCKETS numbers
+        telling = np.array(sorted(r.bucket for r in held.filter((F.col("toxic") >= LEAST_TEXTS) & often).select("bucket").collect()), np.int64)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[telling] = np.arange(len(telling))
 
-    @F.pandas_udf("array<int>")
-    def placed(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ws: [i for i in map(place.get, ws) if i is not None])
+        @F.pandas_udf("array<int>")
+        def placed(rows: pd.Series) -> pd.Series:
+            return rows.map(lambda x: (p := place[x])[p >= 0])
 
-    rows = texts.select("doc_id", "positive", placed("words").alias("x")).orderBy("positive", "doc_id").toPandas()
-    return fit(rows.x[rows.positive == 1].tolist(), rows.x[rows.positive == 0].tolist(), vocabulary, float(prior))
+        rows = texts.select("doc_id", "positive", placed("words").alias("x")).orderBy("positive", "doc_id").toPandas()
+    return fit(rows.x[rows.positive == 1].tolist(), rows.x[rows.positive == 0].tolist(), telling, float(prior))
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs with `score` and `predicted` (1 from a score of 0.5); columns of these names are replaced.
 
     A null text counts as empty: it holds no word and gets the bias's score. Rows are scored one by one;
-    equal texts get equal scores, an empty table gives an empty one.
+    equal texts get equal scores, an empty table gives an empty one; a text of any length is read whole.
     """
 
     @F.pandas_udf("double")
