@@ -5,12 +5,12 @@ modulo 97, addresses and dates by their ranges. A valid one is replaced by a key
 within its own format (a Feistel network), so equal values have equal pseudonyms in all documents, and
 different values different ones. Check digits are made anew, so pseudonyms are valid as well.
 
-Characters: the digits and letters of a value, each within its own alphabet, are cut in halves; in turn,
-each half is shifted by a keyed hash of the other. Separators don't count and stay in place. Ranges (dates,
+Characters: the digits and letters of a value, each within its own alphabet (a letter beyond ASCII: the 16 code points
+of its row in the code chart), are cut in halves; in turn, each half is shifted by a keyed hash of the other. Separators don't count and stay in place. Ranges (dates,
 social security numbers): the value's number in its range is permuted on a slightly larger square, again
 until it falls into the range.
 
-A text without a digit or "@" is passed on as it is; else it is split at the candidates and put together
+A text without anything that a candidate needs is passed on as it is; else it is split at the candidates and put together
 again with their pseudonyms.
 """
 
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, whole_text
+from tidemark.llm.common import documents, fresh, whole_text
 
 KEY = "tidemark"
 ROUNDS = 8
@@ -31,14 +31,21 @@ WALK = 40
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 SECRET = r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s?[=:]\s?["'][A-Za-z0-9+/_.=-]{12,}["'])"""
+#: Without quotes a secret needs a digit; keys that tell themselves by how they begin need no name.
+BARE = r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s?[=:]\s?(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{15,}[A-Za-z0-9+/_-])"""
+ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"
+ADDRESS_6 = r"(?<![\p{L}\p{N}:])(?i:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){1,5}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,3})?)(?![\p{L}\p{N}:])"
 ADDRESS = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])"
-PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\p{L}\p{N}])"
+PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+(.,-])0\d{2,4}[ /-]\d{5,8}(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 DATE = r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}/-])"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
 #: In this order; where two begin at one place, the first is taken.
-ANY = "|".join((EMAIL, SECRET, IBAN, ADDRESS, DATE, SSN, CARD, PHONE))
+ANY = "|".join((EMAIL, SECRET, BARE, ACCESS_KEY, IBAN, ADDRESS_6, ADDRESS, DATE, SSN, CARD, PHONE))
+
+#: What no candidate lacks.
+_NEEDED = "[0-9@]|[=:]\\s?[\"']"
 
 FIRST_DAY, DAYS = "1900-01-01", 73049  # up to 2099-12-31
 
@@ -64,8 +71,11 @@ def _let(value: Column, use) -> Column:
 def _alphabet(c: Column, hexa: Column) -> Column:
     """The characters among which c moves; c itself if it doesn't."""
     digit, small, large = c.rlike("^[0-9]$"), c.rlike("^[a-z]$"), c.rlike("^[A-Z]$")
-    hex_digits = F.lit("0123456789abcdef")
-    return F.when(hexa, hex_digits).when(digit, F.lit("0123456789")).when(small, F.lit("abcdefghijklmnopqrstuvwxyz")).when(large, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+    # a letter beyond ASCII (and within the base plane, where a code is two bytes): its row of the code chart
+    code = F.hex(F.encode(c, "UTF-16BE"))
+    row = F.decode(F.unhex(F.array_join(F.transform(F.split(F.lit("0123456789ABCDEF"), ""), lambda x: F.concat(F.substring(code, 1, 3), x)), "")), "UTF-16BE")
+    beyond = c.rlike("^[\\p{L}&&[^A-Za-z]]$") & (F.length(code) == 4)
+    return F.when(hexa & c.rlike("^[0-9a-f]$"), F.lit("0123456789abcdef")).when(beyond, row).when(digit, F.lit("0123456789")).when(small, F.lit("abcdefghijklmnopqrstuvwxyz")).when(large, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
 
 
 def permuted(value: Column, key: str, hexa: Column | None = None) -> Column:
@@ -191,6 +201,12 @@ def _secret(value: Column, key: str) -> Column:
     return F.concat(head, permuted(own, key + "secret", own.rlike("^[0-9a-f]+$")), F.substr(value, F.length(value), F.lit(1)))
 
 
+def _bare(value: Column, key: str) -> Column:
+    head = F.regexp_extract(value, r"^([^=:]*[=:]\s?)", 1)
+    own = F.substr(value, F.length(head) + 1, F.length(value))
+    return F.concat(head, permuted(own, key + "secret", own.rlike("^[0-9a-f]+$")))
+
+
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of a candidate; null if it isn't valid."""
     d = _digits(value)
@@ -199,6 +215,9 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return (
         F.when(value.contains("@"), _email(value, key))
         .when(value.rlike("[\"']$"), _secret(value, key))
+        .when(value.rlike(_whole(BARE)), _bare(value, key))
+        .when(value.rlike(_whole(ACCESS_KEY)), F.concat(F.substring(value, 1, 4), permuted(F.substr(value, F.lit(5), F.length(value)), key + "access")))
+        .when(value.rlike(_whole(ADDRESS_6)), permuted(F.lower(value), key + "address6", F.lit(True)))
         .when(value.rlike(_whole(ADDRESS)), F.when(octets, _address(value, key)))
         .when(value.rlike(_whole(DATE)), F.when((day >= F.lit(FIRST_DAY).cast("date")) & (F.datediff(day, F.lit(FIRST_DAY).cast("date")) < DAYS), _date(value, key)))
         .when(value.rlike(_whole(SSN)), F.when(~value.rlike("^(?:000|666|9..)-|-00-|-0000$"), _ssn(value, key)))
@@ -207,7 +226,7 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
         .when(
             value.rlike(_whole(PHONE)),
             # the country's digits stay
-            F.when(value.startswith("+"), F.concat(F.regexp_extract(value, r"^\+\d{1,3}", 0), _put_back(F.regexp_replace(value, r"^\+\d{1,3}", ""), permuted(_digits(F.regexp_replace(value, r"^\+\d{1,3}", "")), key + "phone"), "^[0-9]$"))).otherwise(
+            F.when(value.startswith("0"), F.concat(F.lit("0"), _put_back(F.substr(value, F.lit(2), F.length(value)), permuted(F.substr(d, F.lit(2), F.length(d)), key + "phone"), "^[0-9]$"))).when(value.startswith("+"), F.concat(F.regexp_extract(value, r"^\+\d{1,3}", 0), _put_back(F.regexp_replace(value, r"^\+\d{1,3}", ""), permuted(_digits(F.regexp_replace(value, r"^\+\d{1,3}", "")), key + "phone"), "^[0-9]$"))).otherwise(
                 _put_back(value, permuted(d, key + "phone"), "^[0-9]$")
             ),
         )
@@ -222,12 +241,14 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY, column: str = "text") -> Da
     """
     text = F.col(column)
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    docs = docs.drop("n_found").withColumn("found__", F.when(text.rlike("[0-9@]"), found)).withColumn("new__", F.when(F.size("found__") > 0, F.transform("found__", lambda v: pseudonym(v, key))))
+    docs = docs.drop("n_found")
+    old, new = fresh(docs, "pii_found", "pii_new")
+    marked = docs.withColumn(old, F.when(text.rlike(_NEEDED), found)).withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda v: pseudonym(v, key))))
     pieces = F.split(text, ANY, -1)
-    kept = F.zip_with(F.col("found__"), F.col("new__"), lambda v, p: F.coalesce(p, v))
+    kept = F.zip_with(F.col(old), F.col(new), lambda v, p: F.coalesce(p, v))
     whole = F.array_join(F.zip_with(pieces, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = docs.withColumn("n_found", F.when(F.col("new__").isNotNull(), F.size(F.array_compact("new__"))).otherwise(0)).withColumn(column, F.when(F.col("n_found") > 0, whole).otherwise(text))
-    return out.drop("found__", "new__")
+    n = F.when(F.col(new).isNotNull(), F.size(F.array_compact(new))).otherwise(0)
+    return marked.withColumn("n_found", n).withColumn(column, F.when(F.col("n_found") > 0, whole).otherwise(text)).drop(old, new)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
