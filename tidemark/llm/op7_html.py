@@ -1,7 +1,8 @@
 """Text of web pages as a reader sees it.
 
 A page's tags build a tree, with the end tags that HTML lets authors leave out; what is not shown (head,
-scripts, hidden elements) is left out. The tree is then laid out: blocks on lines of their own, paragraphs
+scripts, elements hidden by an attribute, their style, or a rule of the page's own style sheets that names them by
+element, class or id) is left out. The tree is then laid out: blocks on lines of their own, paragraphs
 and headings with an empty line around them, list items with their marks and indents, table rows on a line
 with cells aligned in columns, preformatted text as it is.
 """
@@ -37,26 +38,66 @@ CLOSES = {
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT, _AT_RULE = re.compile(r"/\*.*?\*/", re.S), re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})")
+_SELECTOR = re.compile(r"(?:[\w-]+|\*)?(?:[.#][\w-]+)*")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)", re.I)
+#: Inputs whose value a reader sees.
+_TYPED = frozenset(("", "text", "search", "url", "tel", "email", "number", "date", "time", "month", "week", "datetime-local", "submit", "button", "reset"))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "inner", "name")
+    __slots__ = ("attrs", "gone", "inner", "name", "veil")
 
     def __init__(self, name: str, attrs: dict[str, str]):
         self.name, self.attrs, self.inner = name, attrs, []
+        #: Not there with all that is in it; veil: True or False if it says whether it can be seen, else as its parent.
+        self.gone = name in UNSEEN or (name == "dialog" and "open" not in attrs) or "hidden" in attrs
+        self.veil: bool | None = None
 
-    @property
-    def seen(self) -> bool:
-        a = self.attrs
-        return self.name not in UNSEEN and (self.name != "dialog" or "open" in a) and "hidden" not in a and not (self.name == "input" and a.get("type", "").lower() == "hidden") and not _HIDDEN.search(a.get("style", ""))
+
+def _declared(style: str) -> dict[str, str]:
+    return {k.lower(): v.lower() for k, v in _DECLARED.findall(style)}
+
+
+def _rules(sheets: list[str]) -> list[tuple[tuple[int, int, int], str, frozenset[str], frozenset[str], dict[str, str]]]:
+    """(weight, element, classes, ids, what is declared) of each selector that names just one element; later ones win."""
+    out = []
+    for sheet in sheets:
+        for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", sheet))):
+            if found := _declared(body):
+                for one in map(str.strip, selectors.split(",")):
+                    if one and _SELECTOR.fullmatch(one):
+                        classes, ids = (frozenset(re.findall(rf"{mark}([\w-]+)", one)) for mark in (r"\.", "#"))
+                        name = re.match(r"[\w-]*", one)[0].lower()
+                        out.append(((len(ids), len(classes), bool(name)), name, classes, ids, found))
+    return sorted(out, key=lambda r: r[0])
+
+
+def _styled(root: Node, sheets: list[str]) -> None:
+    """Sets gone and veil of each element by style sheets and its own style."""
+    rules, work = _rules(sheets), [root]
+    while work:
+        node = work.pop()
+        a, found = node.attrs, {}
+        if rules:
+            own = frozenset(a.get("class", "").split())
+            for _, name, classes, ids, says in rules:
+                if name in ("", node.name) and classes <= own and ids <= {a.get("id")}:
+                    found.update(says)
+        if "style" in a:
+            found.update(_declared(a["style"]))
+        node.gone = node.gone or found.get("display") == "none"
+        if "visibility" in found:
+            node.veil = {"hidden": True, "collapse": True, "visible": False}.get(found["visibility"])
+        work += [x for x in node.inner if isinstance(x, Node)]
 
 
 def tree(page: str) -> Node:
     """The page's elements and texts; end tags that are left out are put in, stray ones ignored."""
     root = Node("html", {})
-    stack, raw_to = [root], 0
+    stack, raw_to, sheets = [root], 0, []
     for t in _TOKEN.finditer(page):
         if t.start() < raw_to:
             continue
@@ -99,8 +140,11 @@ def tree(page: str) -> Node:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, t.end())
                 raw_to = end.end() if end else len(page)
                 node.inner.append(page[t.end() : end.start() if end else len(page)])
+                if name == "style":
+                    sheets.append(node.inner[0])
             elif name not in VOID and not t["attrs"].endswith("/"):
                 stack.append(node)
+    _styled(root, sheets)
     return root
 
 
@@ -153,30 +197,37 @@ def rendered(page: str) -> str:
     return "\n".join(out.lines).strip("\n")
 
 
-def _lay(top: Node, out: _Page, keep: bool) -> None:
+def _lay(top: Node, out: _Page, keep: bool, veil: bool = False) -> None:
     # a loop with its own stack: pages may nest deeper than Python's calls
-    work: list[tuple] = [("open", top, keep, 0)]
+    work: list[tuple] = [("open", top, keep, 0, veil)]
     while work:
-        step, node, keep, number = work.pop()
+        step, node, keep, number, veil = work.pop()
         if step == "text":
-            out.put(node, keep)
-        elif step == "close":
+            if not veil:
+                out.put(node, keep)
+            continue
+        if step == "close":
             out.end(keep=keep)
             out.indent, out.mark = number
             out.gap = out.gap or node.name in SPACED
-        elif not node.seen:
             continue
-        elif node.name == "br":
+        if node.gone:
+            continue
+        veil = veil if node.veil is None else node.veil
+        if node.name == "br":
             out.end(True)
         elif node.name == "hr":
             out.end()
             out.gap = True
-        elif node.name in ("img", "input"):
-            out.put(node.attrs.get("alt" if node.name == "img" else "value", ""), False)
+        elif node.name == "img":
+            out.put("" if veil else node.attrs.get("alt", ""), False)
+        elif node.name == "input":
+            shown = not veil and node.attrs.get("type", "").lower() in _TYPED
+            out.put(node.attrs.get("value", "") if shown else "", False)
         elif node.name == "table" and _is_grid(node):
             out.end()
             out.gap = True
-            for line in _grid(node):
+            for line in _grid(node, veil):
                 out.line = [line]
                 out.end(keep=True)
             out.gap = True
@@ -184,7 +235,7 @@ def _lay(top: Node, out: _Page, keep: bool) -> None:
             if node.name in BLOCK or node.name in LINES:
                 out.end()
                 out.gap = out.gap or (node.name in SPACED and not (node.name in ("ul", "ol") and out.indent))
-                work.append(("close", node, keep or node.name == "pre", (out.indent, "")))
+                work.append(("close", node, keep or node.name == "pre", (out.indent, ""), veil))
                 if node.name == "li":
                     out.mark = f"{number}. " if number else "- "
                 elif node.name in ("dd", "blockquote"):
@@ -192,25 +243,27 @@ def _lay(top: Node, out: _Page, keep: bool) -> None:
             keep, count = keep or node.name in ("pre", "textarea"), 0
             inner = []
             if node.name == "optgroup" or (node.name == "option" and not node.inner):
-                inner += [("text", node.attrs.get("label", ""), False, 0), ("open", Node("br", {}), False, 0)]
-            for x in node.inner:
+                inner += [("text", node.attrs.get("label", ""), False, 0, veil), ("open", Node("br", {}), False, 0, veil)]
+            for x in node.inner if node.name != "details" or "open" in node.attrs else [x for x in node.inner if isinstance(x, Node) and x.name == "summary"][:1]:
                 if isinstance(x, str):
-                    inner.append(("text", x, keep, 0))
+                    inner.append(("text", x, keep, 0, veil))
                 else:
                     if x.name == "li" and node.name == "ol":
                         start = node.attrs.get("start", "1")
                         count = count + 1 if count else (int(start) if re.fullmatch(r"\d{1,9}", start) else 1) or 1
-                    inner.append(("open", x, keep, count if x.name == "li" else 0))
+                    inner.append(("open", x, keep, count if x.name == "li" else 0, veil))
             work.extend(reversed(inner))
 
 
-def _rows(table: Node) -> list[list[Node]]:
-    rows = []
+def _rows(table: Node, veil: bool) -> list[list[tuple[Node, bool]]]:
+    """The cells of each row, with whether what is in them is veiled unless it says otherwise."""
+    rows, below = [], lambda node, veil: veil if node.veil is None else node.veil
     for part in table.inner:
-        if isinstance(part, Node) and part.seen:
-            for row in part.inner if part.name in ("thead", "tbody", "tfoot") else [part]:
-                if isinstance(row, Node) and row.name == "tr" and row.seen:
-                    rows.append([c for c in row.inner if isinstance(c, Node) and c.name in ("td", "th") and c.seen])
+        if isinstance(part, Node) and not part.gone:
+            inner = below(part, veil)
+            for row in part.inner if part.name in _SECTIONS else [part]:
+                if isinstance(row, Node) and row.name == "tr" and not row.gone:
+                    rows.append([(c, below(row, inner)) for c in row.inner if isinstance(c, Node) and c.name in _CELL and not c.gone])
     return [r for r in rows if r]
 
 
@@ -236,39 +289,56 @@ def _is_grid(table: Node) -> bool:
     return n > 0
 
 
-def _grid(table: Node) -> list[str]:
-    """A line for each row of the cells' text, columns padded to the widest cell that spans just one."""
+def _span(cell: Node, name: str, most: int) -> int:
+    given = cell.attrs.get(name, "1")
+    return min(int(given), most) if re.fullmatch(r"\d{1,6}", given) and int(given) else 1
 
-    def text(cell: Node) -> str:
-        own = _Page()
+
+def _grid(table: Node, veil: bool) -> list[str]:
+    """A line for each row of the cells' text, columns padded to the widest cell that spans just one.
+
+    A cell of several rows stands in its first; its columns stay empty in the others.
+    """
+
+    def text(cell: Node, veil: bool) -> str:
+        own, veil = _Page(), veil if cell.veil is None else cell.veil
         for x in cell.inner:
             if isinstance(x, str):
-                own.put(x, False)
+                own.put("" if veil else x, False)
             else:
-                _lay(x, own, False)
+                _lay(x, own, False, veil)
         own.end()
         return " ".join(" ".join(own.lines).split())
 
-    lines, rows = [text(x) for x in table.inner if isinstance(x, Node) and x.name == "caption" and x.seen], []
-    for cells in _rows(table):
-        row = []
-        for c in cells:
-            span = c.attrs.get("colspan", "1")
-            row.append((text(c), min(int(span), 1000) if re.fullmatch(r"\d{1,6}", span) and int(span) else 1))
+    lines = [text(x, veil) for x in table.inner if isinstance(x, Node) and x.name == "caption" and not x.gone]
+    rows, filled = [], {}  # filled: by column, how many rows a cell above still fills
+    for cells in _rows(table, veil):
+        row, at, held = [], 0, {k: n for k, n in filled.items() if n > 0}
+        filled = {k: n - 1 for k, n in held.items()}
+        for c, veiled in cells:
+            while at in held:
+                at += 1
+            span, down = _span(c, "colspan", 1000), _span(c, "rowspan", 65534)
+            row.append((at, span, text(c, veiled)))
+            if down > 1:
+                filled.update(dict.fromkeys(range(at, at + span), down - 1))
+            at += span
         rows.append(row)
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for t, span in row:
+        for at, span, t in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), len(t))
-            at += span
+    begins, reach = {}, 0
+    for k in range(max((at + span for row in rows for at, span, _ in row), default=0)):
+        begins[k] = reach
+        reach += widths.get(k, 0) + 2
     for row in rows:
-        at, line = 0, []
-        for t, span in row:
-            line.append(t.ljust(sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)))
-            at += span
-        lines.append("  ".join(line).rstrip())
+        line = ""
+        for at, _, t in row:
+            line = line.ljust(begins[at]) if len(line) <= begins[at] else line + "  "
+            line += t
+        lines.append(line.rstrip())
     return [x for x in lines if x]
 
 
@@ -276,7 +346,8 @@ def with_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with `text`, which replaces a column of that name.
 
     A null page counts as empty. Rows are rendered one by one, so ties, repeated rows and empty tables need
-    nothing special; broken markup is read as far as it goes, and no visible text is cut.
+    nothing special; broken markup is read as far as it goes, and no visible text is cut. Of style sheets, rules within
+    others (@media) and selectors that look at more than the element itself don't count.
     """
 
     @F.pandas_udf("string")
