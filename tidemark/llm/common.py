@@ -84,6 +84,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names (in any case) renamed, and what brings the old names back."""
+    own = {c: fresh(df, f"kept_{c}")[0] for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(own), {new: old for old, new in own.items()}
+
+
 def cut_by(left: DataFrame, right: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame, str]:
     """left and right, ready for a join on key and the third result, a column: right has a row for each key, left may have hot ones.
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, documents, fresh, stored, whole_text
+from tidemark.llm.common import Scratch, documents, fresh, set_aside, stored, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -29,6 +29,7 @@ SEED = "tidemark"
 CUTS = 3
 #: Hex digits of the order by which a range is narrowed, and the rows that are few enough to be summed one by one.
 RANGE_DIGITS, FEW = 2, 20_000
+ADDED = ("size", "source_size", "target", "times", "taken")
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -116,8 +117,7 @@ def mix(
     their target (or, where it is cut among equal rows, near it); no row is taken more than ceil(cap) times. The table
     of sources is sorted as a whole, so it should have no more than some millions of rows.
     """
-    added = ("size", "source_size", "target", "times", "taken")
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     with Scratch(docs.sparkSession) as scratch:
         # bands: what of a source is taken once more: the documents of at most `most` words before `cut` in the order
         sizes = scratch.stored(docs.select("source", order_key(seed).alias("place"), n_words(whole_text()).alias("size")), "sizes")
@@ -147,7 +147,7 @@ def mix(
         sized.join(plan, F.col("source").eqNullSafe(F.col(s)))
         .withColumn("times", F.col(whole) + chosen.cast("int"))
         .withColumn("taken", (F.col("size") * F.col("times")).cast("long"))
-        .select(*docs.columns, *added)
+        .select(*docs.columns, *ADDED)
     )
 
 
@@ -156,9 +156,9 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
     A column of docs that mix() would replace (size, source_size, target, times, taken) is kept here.
     """
-    (kept,) = fresh(docs, "mix_kept")
-    mixed = mix(docs.withColumn(kept, F.struct(*docs.columns)).select("doc_id", "text", "source", kept), **options)
-    return mixed.filter("times > 0").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(f"{kept}.*")
+    aside, back = set_aside(docs, ADDED)
+    mixed = mix(aside, **options).filter("times > 0").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return mixed.drop(*ADDED).withColumnsRenamed(back).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

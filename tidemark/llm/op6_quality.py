@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, whole_text
+from tidemark.llm.common import documents, set_aside, whole_text
 from tidemark.llm.labelled import fold, labels_of, sample, with_texts
 
 #: The sample of labelled rows from which weights are learned.
@@ -141,8 +141,10 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with their columns."""
-    return scored(docs, learned(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    """The documents that aren't rejected, with their columns, also those named like a score's."""
+    aside, back = set_aside(docs, ("score", "predicted"))
+    kept = scored(aside, learned(docs, labels)).filter("predicted = 1").drop("score", "predicted")
+    return kept.withColumnsRenamed(back).select(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
