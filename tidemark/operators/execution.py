@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.signals import signals_sql
-from tidemark.plans.frames import KEY, on, query
+from tidemark.plans.frames import KEY, in_block, on, query, spread
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,9 @@ WITH placed AS (
   WHERE direction * (entry - stop) > 0),
 first_hits AS (
   SELECT {cols}, coalesce(min(CASE WHEN {touched.format("s.stop")} THEN b.bar_idx END), {far}) AS t_stop, coalesce(min(CASE WHEN {reached} THEN b.bar_idx END), {far}) AS t_target, coalesce(min(CASE WHEN {gained} THEN b.bar_idx END), {far}) AS t_even
-  FROM placed s JOIN {{bars}} b ON {on("b", "s")} {window} GROUP BY {cols}),
+  FROM {spread("placed", "entry_bar", "last_bar")} s JOIN {{bars}} b ON {on("b", "s")} {in_block("b", "s")} {window} GROUP BY {cols}),
 after_even AS (
-  SELECT {", ".join(f"s.{c}" for c in sid.split(", "))}, min(b.bar_idx) AS t_back FROM first_hits s JOIN {{bars}} b ON {on("b", "s")} {window} AND b.bar_idx > s.t_even AND {touched.format("s.entry")}
+  SELECT {", ".join(f"s.{c}" for c in sid.split(", "))}, min(b.bar_idx) AS t_back FROM {spread("first_hits", "entry_bar", "last_bar")} s JOIN {{bars}} b ON {on("b", "s")} {in_block("b", "s")} {window} AND b.bar_idx > s.t_even AND {touched.format("s.entry")}
   WHERE s.t_even < least(s.t_stop, s.t_target) GROUP BY {", ".join(f"s.{c}" for c in sid.split(", "))}),
 ended AS (
   SELECT f.*, CASE WHEN f.t_even < least(f.t_stop, f.t_target) THEN CASE WHEN coalesce(a.t_back, {far}) <= f.t_target AND a.t_back IS NOT NULL THEN 'breakeven' WHEN f.t_target < {far} THEN 'target' ELSE 'time_stop' END

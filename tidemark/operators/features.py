@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import rolling
 from tidemark.operators.signals import PAIRS
-from tidemark.plans.frames import BY_BAR, KEY, on, query
+from tidemark.plans.frames import BY_BAR, KEY, in_block, on, query, spread
 
 #: Where samples begin, how often they come, how far labels look, the stop in smoothed ranges, the target.
 WARMUP, STEP, MAX_BARS, STOP_RANGES, TARGET = 250, 5, 120, 2.0, 3.0
@@ -51,7 +51,7 @@ SELECT source, symbol, timeframe, bar_idx, direction, CASE WHEN t_stop <= t_targ
   SELECT s.source, s.symbol, s.timeframe, s.bar_idx, s.direction, s.entry, s.stop_dist, s.end_close,
          coalesce(min(CASE WHEN s.direction > 0 AND b.low <= s.entry - s.stop_dist OR s.direction < 0 AND b.high >= s.entry + s.stop_dist THEN b.bar_idx END), 2147483647) AS t_stop,
          coalesce(min(CASE WHEN s.direction > 0 AND b.high >= s.entry + {TARGET} * s.stop_dist OR s.direction < 0 AND b.low <= s.entry - {TARGET} * s.stop_dist THEN b.bar_idx END), 2147483647) AS t_target
-  FROM both_ways s JOIN {{ind}} b ON {on("b", "s")} AND b.bar_idx > s.bar_idx AND b.bar_idx <= s.bar_idx + {MAX_BARS}
+  FROM {spread("both_ways", "bar_idx", f"bar_idx + {MAX_BARS}")} s JOIN {{ind}} b ON {on("b", "s")} {in_block("b", "s")} AND b.bar_idx > s.bar_idx AND b.bar_idx <= s.bar_idx + {MAX_BARS}
   GROUP BY s.source, s.symbol, s.timeframe, s.bar_idx, s.direction, s.entry, s.stop_dist, s.end_close) h"""
 
 _FORWARD = f"""

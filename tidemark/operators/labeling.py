@@ -13,10 +13,9 @@ _END = "CASE " + " ".join(f"WHEN pattern = '{name}' THEN i{n}" for name, n in _L
 _KNOWN = "CASE " + " ".join(f"WHEN pattern = '{name}' THEN greatest({', '.join(f'c{k}' for k in range(n + 1))})" for name, n in _LAST.items()) + " END"
 _WAVES = "(VALUES " + ", ".join(f"('{name}', {i}, {e})" for name, waves in rules.PATTERNS.items() for i, e in enumerate(waves)) + ") AS e(pattern, wave, expected)"
 
-#: scale: labelings of coarse and middle scales; finer ones are mostly noise.
 LABELINGS = f"""
 SELECT {KEEP}, pattern, notes, i0 AS start_idx, {_END} AS end_idx, {_KNOWN} AS known_idx
-FROM ({rules.check_sql("(" + rules.window_sql("{pivots}") + ")", KEEP, exact=False)}) AS c WHERE ok AND scale >= 2"""
+FROM ({rules.check_sql("(" + rules.window_sql("{pivots}") + ")", KEEP, exact=False)}) AS c WHERE ok"""
 
 #: Points of each of the three finer scales within every move of a scale: one window instead of a range join.
 INNER = f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidemark.plans.frames import KEY, on, query
+from tidemark.plans.frames import KEY, in_block, on, query, spread
 
 #: Scales whose moves give context, how much finer the trigger is, and the bounds of the correction.
 CONTEXT, OFFSET = (4, 5, 6), 2
@@ -26,21 +26,29 @@ def pairs_at(pivots: DataFrame, bar: int) -> DataFrame:
     return query(pairs_at_sql(bar), pivots=pivots)
 
 
+def _corrections(contexts: tuple[int, ...], offset: int) -> str:
+    """Points of the finer scale that end a correction of a coarse move, whether or not the move still stands."""
+    d = "CASE WHEN c.p1 > c.p0 THEN 1 ELSE -1 END"
+    return f"""
+  SELECT * FROM (
+    SELECT t.source, t.symbol, t.timeframe, t.confirmed_idx AS bar, {d} AS direction, c.scale AS context_scale, t.scale AS trigger_scale, c.seq, c.i0, c.p0, c.i1, c.p1, t.idx AS ti, t.price AS tp, t.kind AS tk
+    FROM {{pivots}} t JOIN ({PAIRS}) c ON {on("t", "c")} AND c.scale = t.scale + {offset} AND t.confirmed_idx >= c.from_bar AND t.confirmed_idx < c.to_bar
+    WHERE NOT t.is_anchor AND c.p0 IS NOT NULL AND c.p0 <> c.p1 AND c.scale IN ({", ".join(map(str, contexts))}) AND t.idx > c.i1) s
+  WHERE tk = -direction AND abs(tp - p1) / abs(p1 - p0) BETWEEN {LEAST} AND {MOST}"""
+
+
 def signals_sql(stop: str = "rule", contexts: tuple[int, ...] = CONTEXT, offset: int = OFFSET) -> str:
     """A point of the finer scale becomes known and ends a correction of the coarse move, which still stands.
 
     stop "rule": at the move's start; "trigger": a tenth of the correction beyond its end, at most the start.
     """
-    d = "CASE WHEN c.p1 > c.p0 THEN 1 ELSE -1 END"
     rule = "p0" if stop == "rule" else f"CASE WHEN direction > 0 THEN greatest(tp - {BUFFER} * abs(tp - p1), p0) ELSE least(tp + {BUFFER} * abs(tp - p1), p0) END"
     return f"""
 SELECT {KEY}, bar, direction, context_scale, trigger_scale, seq, i0, p0, i1, p1, ti, tp, {rule} AS stop, abs(tp - p1) / abs(p1 - p0) AS retrace FROM (
-  SELECT t.source, t.symbol, t.timeframe, t.confirmed_idx AS bar, {d} AS direction, c.scale AS context_scale, t.scale AS trigger_scale, c.seq, c.i0, c.p0, c.i1, c.p1, t.idx AS ti, t.price AS tp, t.kind AS tk
-  FROM {{pivots}} t JOIN ({PAIRS}) c ON {on("t", "c")} AND c.scale = t.scale + {offset} AND t.confirmed_idx >= c.from_bar AND t.confirmed_idx < c.to_bar
-  WHERE NOT t.is_anchor AND c.p0 IS NOT NULL AND c.p0 <> c.p1 AND c.scale IN ({", ".join(map(str, contexts))}) AND t.idx > c.i1) s
-WHERE tk = -direction AND abs(tp - p1) / abs(p1 - p0) BETWEEN {LEAST} AND {MOST}
-  AND NOT EXISTS (SELECT 1 FROM {{bars}} b WHERE b.source = s.source AND b.symbol = s.symbol AND b.timeframe = s.timeframe AND b.bar_idx >= s.i1 AND b.bar_idx <= s.bar
-                  AND (s.direction > 0 AND b.low <= s.p0 OR s.direction < 0 AND b.high >= s.p0))"""
+  SELECT s.source, s.symbol, s.timeframe, s.bar, s.direction, s.context_scale, s.trigger_scale, s.seq, s.i0, s.p0, s.i1, s.p1, s.ti, s.tp
+  FROM {spread(f"({_corrections(contexts, offset)})", "i1", "bar")} s JOIN {{bars}} b ON {on("b", "s")} {in_block("b", "s")} AND b.bar_idx >= s.i1 AND b.bar_idx <= s.bar
+  GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.direction, s.context_scale, s.trigger_scale, s.seq, s.i0, s.p0, s.i1, s.p1, s.ti, s.tp
+  HAVING max(CASE WHEN s.direction > 0 AND b.low <= s.p0 OR s.direction < 0 AND b.high >= s.p0 THEN 1 ELSE 0 END) = 0) u"""
 
 
 def signals(bars: DataFrame, pivots: DataFrame, stop: str = "rule", contexts: tuple[int, ...] = CONTEXT, offset: int = OFFSET) -> DataFrame:
@@ -75,7 +83,7 @@ slices AS (
          avg(CASE WHEN b.bar_idx BETWEEN s.i0 AND s.i1 THEN b.volume END) AS v1, avg(CASE WHEN b.bar_idx BETWEEN s.i1 AND s.ti THEN b.volume END) AS v2,
          max(CASE WHEN b.bar_idx BETWEEN s.i0 AND s.i1 THEN abs(b.macd_hist) END) AS m1, max(CASE WHEN b.bar_idx <= s.i0 THEN abs(b.macd_hist) END) AS m0,
          max(CASE WHEN b.bar_idx = s.i0 THEN b.rsi END) AS rsi0, max(CASE WHEN b.bar_idx = s.ti THEN b.rsi END) AS rsi1, max(CASE WHEN b.bar_idx = s.bar THEN b.close END) AS close
-  FROM signals s JOIN {{ind}} b ON {on("b", "s")} AND b.bar_idx >= greatest(0, s.i0 - greatest(s.i1 - s.i0, 1)) AND b.bar_idx <= s.bar
+  FROM {spread("signals", "greatest(0, i0 - greatest(i1 - i0, 1))", "bar")} s JOIN {{ind}} b ON {on("b", "s")} {in_block("b", "s")} AND b.bar_idx >= greatest(0, s.i0 - greatest(s.i1 - s.i0, 1)) AND b.bar_idx <= s.bar
   GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.context_scale),
 higher AS (SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, h.p1 AS price, h.k1 AS kind FROM signals s JOIN ({PAIRS}) h ON {on("h", "s")} AND h.scale = s.context_scale + 1 AND s.bar >= h.from_bar AND s.bar < h.to_bar),
 sizes AS (

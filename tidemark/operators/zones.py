@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.operators.signals import CONTEXT, PAIRS
-from tidemark.plans.frames import KEY, on, query
+from tidemark.plans.frames import KEY, in_block, on, query, spread
 
 #: The bands, the target's and the pending leg's ratios, the stop's distance, how long orders wait.
 NEAR, MID, FAR = 0.382, 0.618, 1.0
@@ -115,7 +115,7 @@ WITH placed AS (SELECT o.*, p1 + direction * {missed} * abs(p1 - p0) AS gone, n.
 met AS (
   SELECT {cols}, coalesce(min(CASE WHEN o.direction > 0 AND b.high >= o.gone OR o.direction < 0 AND b.low <= o.gone THEN b.bar_idx END), {far}) AS t_gone,
          coalesce(min(CASE WHEN o.direction > 0 AND b.low <= o.limit_price OR o.direction < 0 AND b.high >= o.limit_price THEN b.bar_idx END), {far}) AS t_touch
-  FROM placed o LEFT JOIN {{bars}} b ON {on("b", "o")} AND b.bar_idx > o.bar AND b.bar_idx <= o.expiry_bar GROUP BY {cols}),
+  FROM {spread("placed", "bar", "least(expiry_bar, n_bars - 1)")} o LEFT JOIN {{bars}} b ON {on("b", "o")} {in_block("b", "o")} AND b.bar_idx > o.bar AND b.bar_idx <= o.expiry_bar GROUP BY {cols}),
 filled AS (
   SELECT o.*, CASE WHEN o.t_touch < o.t_gone THEN 'filled' WHEN o.t_gone < {far} THEN 'missed' ELSE 'expired' END AS status, CASE WHEN o.t_touch < o.t_gone THEN o.t_touch END AS fill_bar,
          CASE WHEN o.t_touch < o.t_gone THEN CASE WHEN o.direction * (b.open - o.limit_price) <= 0 THEN b.open ELSE o.limit_price END END AS fill
@@ -123,7 +123,7 @@ filled AS (
 hit AS (
   SELECT {cols.replace(", o.n_bars", "")}, o.n_bars, o.status, o.fill_bar, o.fill, coalesce(min(CASE WHEN o.direction > 0 AND b.low <= o.stop OR o.direction < 0 AND b.high >= o.stop THEN b.bar_idx END), {far}) AS t_stop,
          coalesce(min(CASE WHEN o.direction > 0 AND b.high >= o.target OR o.direction < 0 AND b.low <= o.target THEN b.bar_idx END), {far}) AS t_target
-  FROM filled o LEFT JOIN {{bars}} b ON {on("b", "o")} AND b.bar_idx >= o.fill_bar GROUP BY {cols.replace(", o.n_bars", "")}, o.n_bars, o.status, o.fill_bar, o.fill),
+  FROM {spread("filled", "fill_bar", "n_bars - 1")} o LEFT JOIN {{bars}} b ON {on("b", "o")} {in_block("b", "o")} AND b.bar_idx >= o.fill_bar GROUP BY {cols.replace(", o.n_bars", "")}, o.n_bars, o.status, o.fill_bar, o.fill),
 ended AS (
   SELECT *, CASE WHEN fill IS NULL OR fill = stop THEN NULL WHEN t_stop <= t_target AND t_stop < {far} THEN 'stop' WHEN t_target < {far} THEN 'target' ELSE 'open' END AS reason FROM hit)
 SELECT o.source, o.symbol, o.timeframe, o.bar, o.context_scale, o.context_scale AS trigger_scale, o.direction, o.status, o.fill_bar AS entry_bar, CASE WHEN o.reason IS NOT NULL THEN x.bar_idx END AS exit_bar, o.fill AS entry,

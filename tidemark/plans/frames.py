@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 KEY = "source, symbol, timeframe"
@@ -13,6 +15,38 @@ def on(a: str, b: str) -> str:
     return f"{a}.source = {b}.source AND {a}.symbol = {b}.symbol AND {a}.timeframe = {b}.timeframe"
 
 
+#: Bars of a series in a block, as a power of two.
+BLOCK_BITS = 8
+_SPREAD = re.compile(r"<<spread (.+?) ;; (.+?) ;; (.+?)>>", re.S)
+_IN_BLOCK = re.compile(r"<<(\w+) in block of (\w+)>>")
+
+
+def spread(table: str, first: str, last: str) -> str:
+    """A table in whose place Spark reads its rows once for each block of bars that first..last meets.
+
+    With in_block in the condition, a range of bars is joined by series and block: no task holds more
+    than a block's bars against the rows that meet it. A row without bounds stays once.
+    """
+    return f"<<spread {table} ;; {first} ;; {last}>>"
+
+
+def in_block(bars: str, rows: str) -> str:
+    """A bar lies in a spread row's block; the range itself must be a condition beside it."""
+    return f"<<{bars} in block of {rows}>>"
+
+
+def blocked(template: str) -> str:
+    """As Spark runs it."""
+    block = lambda x: f"shiftright(cast({x} as int), {BLOCK_BITS})"
+    out = _SPREAD.sub(lambda m: f"(SELECT *, explode_outer(CASE WHEN {m[2]} <= {m[3]} THEN sequence({block(m[2])}, {block(m[3])}) END) AS in_block FROM {m[1]})", template)
+    return _IN_BLOCK.sub(lambda m: f"AND {block(m[1] + '.bar_idx')} = {m[2]}.in_block", out)
+
+
+def plain(template: str) -> str:
+    """The same without blocks, a join by range alone, for checking."""
+    return _IN_BLOCK.sub("", _SPREAD.sub(lambda m: m[1], template))
+
+
 def query(template: str, **frames: DataFrame) -> DataFrame:
     spark = next(iter(frames.values())).sparkSession
-    return spark.sql(template, **frames)
+    return spark.sql(blocked(template), **frames)

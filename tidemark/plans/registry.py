@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.functions import indicators
 from tidemark.operators import charts, execution, features, integrity, labeling, lattice, ratios, risk, signals, zones
 from tidemark.plans import base, duck
-from tidemark.plans.frames import query
+from tidemark.plans.frames import plain, query
 from tidemark.sources import bars, catalog
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +257,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    """Ranges of bars are joined by range alone here, without the blocks by which Spark cuts them."""
+    return {name: plain(sql) for name, sql in _SQL.items()}
 
 
