@@ -125,6 +125,11 @@ def test_small_figures(spark):
         risk.challenge(spark, [1.0] * 19, risk.Rules(), [0.01], 1.0)
     out = risk.challenge(spark, [1.0] * 20, risk.Rules(), [0.01, 0.05], 2.0, n_paths=50).collect()
     assert all(r.p_pass == 1.0 for r in out)
+    found = risk.results(spark.createDataFrame([(1.0,), (1.0,), (float("nan"),), (None,), (-0.5,)], "r double")).collect()
+    assert [tuple(x) for x in found] == [(-0.5, 1), (1.0, 2)]
+    drawn = risk.challenge(spark, [-0.5, 1.0], risk.Rules(), [0.02], 1.0, n_paths=400, counts=[10, 30]).first()
+    plain = risk.challenge(spark, [-0.5] * 10 + [1.0] * 30, risk.Rules(), [0.02], 1.0, n_paths=400).first()
+    assert drawn == plain and 0 < drawn.p_pass <= 1
     assert execution.expected_max(1) == 0.0 and 1.5 < execution.expected_max(10) < 1.7
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions import indicators
 from tidemark.operators import charts, execution, features, integrity, labeling, lattice, ratios, risk, signals, zones
@@ -71,7 +72,8 @@ for _name, _template in (("report", integrity.ISSUES), ("verdict", integrity.VER
 _add("catalog_manifest", catalog.MANIFEST, "walk_i")
 _add("catalog_usable", catalog.usable_sql(1000, ("click",)), "walk_i")
 _own("universe_holdout_anti", lambda spark, sf_dir: spark.sql(catalog.TRAINING), catalog.TRAINING_SQL)
-_own("content_hash", lambda spark, sf_dir: catalog.content_hash(base.frame(spark, sf_dir, "bars", "walk_h")))
+_add("content_hash", catalog.CONTENT_HASH, "walk_h")
+_SQL["content_hash"] = f"{base.with_sql('walk_h', ())} SELECT * FROM ({catalog.CONTENT_HASH_SQL.format(bars='walk_h')}) AS answer"
 
 # ---- indicators ----
 _add("ind_true_range", indicators.TRUE_RANGE, "walk_d")
@@ -224,6 +226,7 @@ _own("gbt_holdout", _holdout)
 
 # ---- risk ----
 _add("correlation_pairs", risk.CORRELATIONS, "walk_d")
+_add("correlation_pairs_by_time", risk.correlations_sql("ts"), "walk_d")
 _add("challenge_no_edge", risk.NO_EDGE, "walk_h", ())
 _STATES = "(SELECT * FROM (VALUES (0, 0e0, 0e0, 0, 0e0), (0, 0e0, 0e0, 3, 0.8e0), (6, 0e0, 0e0, 0, 0e0), (2, 0.035e0, 0e0, 0, 0e0), (2, 0.01e0, 0.015e0, 1, 0.2e0), (1, 0.05e0, 0e0, 0, 1e0)) AS v(n_open, heat, cluster_heat, losses, drawdown_used))"
 _add("risk_allowance", risk.allowance_sql(_STATES), "walk_h", ())
@@ -231,12 +234,20 @@ _on_trades("required_r", risk.REQUIRED)
 
 
 def _challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All finished limit orders, drawn as often a day as they came."""
     frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
-    every = query(execution.CANDIDATES, **frames).select("r").limit(10_000).toPandas().r.tolist()  # results to draw from, a bounded sample
-    return risk.challenge(spark, every or [0.0] * 20, risk.Rules(), [0.01, 0.02, 0.03, 0.05], 1.0)
+    fates = base.kept(spark, sf_dir, "fates True", lambda: zones.backtest(**frames, which=zones.ORDERS)).filter("reason is not null")
+    found = risk.results(fates).toPandas()
+    seconds = frames["bars"].agg(F.max("ts_sec") - F.min("ts_sec")).first()[0] or 0
+    n = int(found.n.sum())
+    if n < 20:  # too few on the smallest tables
+        return spark.createDataFrame([], "risk double, p_pass double, p_fail double, p_daily double, p_open double, median_days double")
+    a_day = n / max(seconds / 31_557_600, 1e-9) / 252
+    return risk.challenge(spark, found.r.tolist(), risk.Rules(), list(risk.RISKS), max(a_day, 0.05), counts=found.n.tolist())
 
 
 _own("challenge_mc", _challenge)
+_own("challenge_best_risk", lambda spark, sf_dir: risk.best_risk(_challenge(spark, sf_dir)))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +255,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tidemark.streaming import points
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
     return points.replayed(base.frame(spark, sf_dir, "bars", "walk_h"), folder)
 
 

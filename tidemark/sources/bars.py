@@ -36,19 +36,23 @@ def _bucket(timeframe: str) -> Column:
 def resample(bars: DataFrame, timeframe: str, as_of: int | None = None) -> DataFrame:
     """Coarser bars: first open, highest high, lowest low, last close, summed volume; no bar for an empty bin.
 
+    A symbol's bars must have one timeframe; bars of two in one bin are an error.
     as_of: epoch seconds; bars that aren't complete then are left out.
     """
     at = _bucket(timeframe).alias("bin")
     out = bars.groupBy("source", "symbol", at).agg(
-        F.min_by("open", "ts_sec").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts_sec").alias("close"), F.sum("volume").alias("volume")
+        F.min_by("open", "ts_sec").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts_sec").alias("close"), F.sum("volume").alias("volume"),
+        F.min("timeframe").alias("finer"), F.max("timeframe").alias("finest"),
     )
-    out = out.select("source", "symbol", F.lit(timeframe).alias("timeframe"), F.col("bin").cast("long").alias("ts_sec"), *PRICES, "volume")
+    of_one = F.when(F.col("finer") != F.col("finest"), F.raise_error(F.concat(F.lit("bars of two timeframes: "), "symbol"))).otherwise(F.lit(timeframe))
+    out = out.select("source", "symbol", of_one.alias("timeframe"), F.col("bin").cast("long").alias("ts_sec"), *PRICES, "volume")
     return indexed(out if as_of is None else complete(out, as_of))
 
 
 def complete(bars: DataFrame, as_of: int) -> DataFrame:
-    """Only the bars that are complete at as_of (epoch seconds)."""
-    step = F.coalesce(*(F.when(F.col("timeframe") == k, F.lit(v)) for k, v in SECONDS.items()))
+    """Only the bars that are complete at as_of (epoch seconds). An unknown timeframe is an error."""
+    unknown = F.raise_error(F.concat(F.lit("unknown timeframe "), F.coalesce("timeframe", F.lit("null")))).cast("int")
+    step = F.coalesce(*(F.when(F.col("timeframe") == k, F.lit(v)) for k, v in SECONDS.items()), unknown)
     return bars.filter(F.col("ts_sec") + step <= as_of)
 
 
@@ -56,7 +60,7 @@ def normalized(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """Raw bars made clean: column names, UTC seconds, doubles, the last arrival of each ts, no null prices.
 
     Names are lowered and blanks become underscores; adj_close stands in for a missing close. A later null
-    row for a ts removes that ts (the last arrival counts, then nulls go). NaN counts as null, a null
+    row for a ts removes that ts (the last arrival counts, then nulls go); of arrivals that tie the higher prices count. NaN counts as null, a null
     volume as 0.
     """
     named = raw.toDF(*(c.strip().lower().replace(" ", "_") for c in raw.columns))
@@ -67,7 +71,7 @@ def normalized(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
     if "ts_sec" not in named.columns:
         named = named.withColumn("ts_sec", F.unix_timestamp("ts"))
     value = {c: F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")) for c in [*PRICES, "volume"]}
-    latest = F.row_number().over(Window.partitionBy(*SERIES, "ts_sec").orderBy(F.col(order).desc()))
+    latest = F.row_number().over(Window.partitionBy(*SERIES, "ts_sec").orderBy(F.col(order).desc(), *(F.col(c).desc() for c in [*PRICES, "volume"])))
     rows = named.withColumns(value).withColumn("n__", latest).filter("n__ = 1").dropna(subset=PRICES)
     return indexed(rows.select(*SERIES, "ts_sec", *PRICES, F.coalesce("volume", F.lit(0.0)).alias("volume")))
 
