@@ -11,8 +11,9 @@ windows of all documents with all items. Shorter items have masks of their own,
 Items of fewer than SHORTEST tokens stand in texts by chance; they are found only in documents that have
 nothing else.
 
-Seeds are made where a document lies and joined with the benchmark's; the few hits are written, and the texts
-they name fetched by a second join. Spark picks the joins by the tables' sizes.
+The benchmark's seeds are broadcast only where a count shows that they are few; then a document's seeds
+are made, looked up and verified in one stage, and nothing but overlaps is shuffled. Where they are many,
+seeds are joined by a shuffle, and the texts of the hits fetched by a second join; rows are the same.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MASKS = {
 }
 SHORTEST = min(MASKS)
 WINDOW = 13
+#: Seeds of the benchmark, a few dozen bytes each, that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 300_000
 DIFFER = 4  # one token in so many may differ
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -88,7 +91,7 @@ def _best(words: Column) -> Column:
     return F.array_max(F.transform(starts, equal))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, text_key, item_id, doc_start, matched): documents that hold part of an item.
 
     doc_start is the first document token that lies at the item's first one (negative if the item begins
@@ -108,13 +111,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n, at = F.size("words"), F.col("at")
     of_masks = _seeds(F.col("words"), at, n, masks) if masks else F.array().cast("array<bigint>")
     short = F.when((at == 0) & (n < SHORTEST), _whole_seed(F.col("words")))
-    seeded = placed.select("doc_id", "text_key", "at", F.explode(F.array_append(of_masks, short)).alias("seed")).filter("seed is not null")
-    hits = stored(seeded.join(seeds, "seed").select("doc_id", "text_key", "item_id", (at - F.col("item_at")).alias("shift"), "item_at", "span").distinct(), "hits")
-    # a document's text is fetched once for all its hits
-    by_text = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_set(F.struct("item_id", "shift", "item_at", "span")).alias("hits"))
-    found = rows.join(by_text, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    each = found.select("doc_id", "text_key", "words", F.explode("hits").alias("hit")).select("doc_id", "text_key", "words", "hit.*").withColumn("at", F.col("shift") + F.col("item_at"))
-    verified = each.join(items, "item_id").withColumn("matched", _best(F.col("words"))).filter(F.col("matched") >= F.col("width") - F.floor(F.col("width") / DIFFER))
+    seeded = placed.withColumn("seed", F.explode(F.array_append(of_masks, short))).filter("seed is not null")
+    shift = (at - F.col("item_at")).alias("shift")
+    if seeds.count() <= most_broadcast:
+        each = seeded.join(F.broadcast(seeds), "seed").withColumn("shift", shift).join(F.broadcast(items), "item_id")
+    else:
+        found = seeded.select("doc_id", "text_key", "at", "seed").join(seeds, "seed").select("doc_id", "text_key", "at", "item_id", shift, "item_at", "span").distinct()
+        hits = stored(found, "hits").withColumnsRenamed({"doc_id": "d", "text_key": "t"})
+        texts = rows.dropDuplicates(["doc_id", "text_key"])
+        each = hits.join(texts, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(items, "item_id")
+    verified = each.withColumn("matched", _best(F.col("words"))).filter(F.col("matched") >= F.col("width") - F.floor(F.col("width") / DIFFER))
     return verified.groupBy("doc_id", "text_key", "item_id").agg(F.min("shift").alias("doc_start"), F.max("matched").alias("matched"))
 
 
