@@ -247,14 +247,17 @@ def test_near_duplicates_of_awkward_rows(awkward, empty, spark):
     assert kept.columns == named.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(rows[:2])
 
 
-def test_hot_keys_are_cut_into_pieces(spark):
+def test_hot_keys_are_cut_into_pieces(spark, monkeypatch):
+    from tidemark.llm import common
     from tidemark.llm.common import cut_by, joined_by
 
+    monkeypatch.setattr(common, "FEW_ROWS", 10)
+
     left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "k int, i int")
     right = spark.createDataFrame([(k, -k) for k in range(2000)], "k int, v int")
     assert sorted(map(tuple, joined_by(left, right, "k", "i").collect())) == sorted(map(tuple, left.join(right, "k").collect()))
-    cut, _, piece = cut_by(left, right, "k", "i")
-    assert cut.groupBy("k", piece).count().agg(F.max("count")).first()[0] < 2 * 3000 / 16
+    cut, _, on = cut_by(left, right, "k", "i")
+    assert len(on) == 2 and cut.groupBy(*on).count().agg(F.max("count")).first()[0] < 2 * 3000 / 16
 
 
 # ---- 4 ----
@@ -670,13 +673,8 @@ def test_overlaps_are_those_of_all_windows(spark):
                     want[d, n] = min(start, shift), max(most, matched)
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
-    for threshold in ("10m", "-1"):  # joined by broadcast, and by shuffle
-        kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        try:
-            assert {(r.doc_id, r.item_id): (r.doc_start, r.matched) for r in op10_decontamination.overlaps(frame, bench).collect()} == want
-        finally:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for most in (10**6, 0):  # joined by broadcast, and by shuffle
+        assert {(r.doc_id, r.item_id): (r.doc_start, r.matched) for r in op10_decontamination.overlaps(frame, bench, most).collect()} == want
 
 
 def test_overlaps_of_awkward_rows(spark, awkward, empty):

@@ -90,28 +90,37 @@ def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[st
     return df.withColumnsRenamed(own), {new: old for old, new in own.items()}
 
 
-def cut_by(left: DataFrame, right: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame, str]:
-    """left and right, ready for a join on key and the third result, a column: right has a row for each key, left may have hot ones.
+#: Rows of one key that are few enough for a task, whatever the table's size.
+FEW_ROWS = 2_000
 
-    A key of more than one in P of left's rows is hot (P: four times the shuffle partitions), so there are fewer
-    than P of them, whatever the size of the data, and they are broadcast. A hot key is cut into so many
-    pieces, by a hash of the column `spread`, that none has many more than one in P of the rows; right's row goes to each.
-    left is read three times, so it should be stored.
+
+def cut_by(left: DataFrame, right: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """left and right, ready for a join on the columns of the third result: right has a row for each key, left may have hot ones.
+
+    A key of more than one in P of left's rows (P: four times the shuffle partitions) and of more than FEW_ROWS is
+    hot, so there are fewer than P of them, whatever the size of the data, and they are broadcast. A hot key is
+    cut into so many pieces, by a hash of the column `spread`, that none has many more rows than that; right's row
+    goes to each. left should be stored, as its keys are counted first.
     """
     pieces = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(1, -(-left.count() // pieces))
+    total = left.count()
+    most = max(FEW_ROWS, -(-total // pieces))
+    found = left.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).collect() if total > most else []
+    if not found:
+        return left, right, [key]
     k, n, piece = fresh(left.join(right.limit(0), key), "hot_key", "hot_pieces", "piece")
-    hot = F.broadcast(left.groupBy(F.col(key).alias(k)).agg(F.count("*").alias(n)).filter(F.col(n) > most).select(k, F.ceil(F.col(n) / most).cast("int").alias(n)))
+    kind = left.schema[key].dataType.simpleString()
+    hot = F.broadcast(left.sparkSession.createDataFrame([(r[0], -(-r[1] // most)) for r in found], f"{k} {kind}, {n} int"))
     of = F.coalesce(F.col(n), F.lit(1))
     cut = left.join(hot, F.col(key) == F.col(k), "left").withColumn(piece, F.pmod(F.xxhash64(spread), of).cast("int")).drop(k, n)
     dealt = right.join(hot, F.col(key) == F.col(k), "left").withColumn(piece, F.explode(F.sequence(F.lit(0), of - 1))).drop(k, n)
-    return cut, dealt, piece
+    return cut, dealt, [key, piece]
 
 
 def joined_by(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """left.join(right, key), with hot keys of left cut into pieces."""
-    cut, dealt, piece = cut_by(left, right, key, spread)
-    return cut.join(dealt, [key, piece], how).drop(piece)
+    cut, dealt, on = cut_by(left, right, key, spread)
+    return cut.join(dealt, on, how).drop(*on[1:])
 
 
 def whole_text(column: str = "text") -> Column:

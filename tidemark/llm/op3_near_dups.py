@@ -180,9 +180,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         up = joined_by(labels, labels.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "id")
         # what a member has heard goes to its label as well, so that a class's old root learns the new one
         heard = near.groupBy("id").agg(F.min("label").alias("heard")).join(labels, "id")
-        roots = heard.filter("heard < label").select(F.col("label").alias("id"), F.col("heard").alias("label"))
-        new = near.union(up.select("id", F.col("top").alias("label"))).union(roots).union(labels).groupBy("id").agg(F.min("label").alias("label"))
-        new = scratch.stored(new.join(labels.withColumnRenamed("label", "old"), "id"), "labels")
+        told = heard.select(F.explode(F.array(F.struct("id", F.col("heard").alias("label")), F.struct(F.col("label").alias("id"), F.col("heard").alias("label")))).alias("x")).select("x.*", F.lit(None).cast("binary").alias("old"))
+        lifted = up.select("id", F.least("top", "label").alias("label"), F.col("label").alias("old"))
+        new = told.union(lifted).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        new = scratch.stored(new, "labels")
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("id", "label")
         if not changed:
@@ -198,8 +199,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) >= LIKE for x, y in zip(a, b, strict=True)], index=a.index, dtype=bool)
 
-    left, right, piece = cut_by(pairs, sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a", "b")
-    joined = left.join(sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b").join(right, ["a", piece])
+    left, right, on = cut_by(pairs, sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a", "b")
+    joined = left.join(sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b").join(right, on)
     return joined.filter(alike("runs_a", "runs_b")).select("a", "b")
 
 
