@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.signals import signals_sql
+from tidemark.operators.signals import NAMES, signals_sql
 from tidemark.plans.frames import KEY, in_block, on, query, spread
 
 
@@ -112,8 +112,34 @@ def metrics_sql(risk: float = 0.01, tried: int = 1) -> str:
     """The figures of all trades together in order of exit; {trades} joined with {bars} for its times.
 
     max_dd_pct is the largest drop over the highest point of all; max_dd_rel is the
-    largest drop from the highest point before it.
+    largest drop from the highest point before it. Running figures are taken over days first and then within each day,
+    so the only window without a key has a row for each day.
     """
+    within = "PARTITION BY day ORDER BY exit_sec, symbol, entry_bar, context_scale, source, timeframe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    before = "ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+WITH timed AS (
+  SELECT t.*, e.ts_sec AS entry_sec, x.ts_sec AS exit_sec, floor(x.ts_sec / 86400) AS day, ln(greatest(1 + t.r * {risk}, 1e-12)) AS growth
+  FROM {{trades}} t JOIN {{bars}} e ON {on("e", "t")} AND e.bar_idx = t.entry_bar JOIN {{bars}} x ON {on("x", "t")} AND x.bar_idx = t.exit_bar),
+days AS (SELECT day, coalesce(sum(r) OVER ({before}), 0e0) AS r_before, coalesce(sum(growth) OVER ({before}), 0e0) AS growth_before FROM (SELECT day, sum(r) AS r, sum(growth) AS growth FROM timed GROUP BY day) d),
+running AS (
+  SELECT t.*, d.r_before + sum(r) OVER ({within}) AS cum_r, exp(d.growth_before + sum(growth) OVER ({within})) AS curve
+  FROM (SELECT * FROM timed) t JOIN days d USING (day)),
+tops AS (SELECT day, max(cum_r) OVER ({before}) AS top_r, max(curve) OVER ({before}) AS top FROM (SELECT day, max(cum_r) AS cum_r, max(curve) AS curve FROM running GROUP BY day) d),
+curves AS (
+  SELECT w.*, greatest(coalesce(top, curve), max(curve) OVER ({within})) AS peak, greatest(coalesce(top_r, cum_r), max(cum_r) OVER ({within})) AS peak_r
+  FROM running w JOIN tops USING (day))
+SELECT n, round(win_rate, 6) AS win_rate, round(expectancy, 6) AS expectancy, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss, round(total_r, 5) AS total_r, round(max_dd_r, 5) AS max_dd_r,
+       round(max_dd_pct, 6) AS max_dd_pct, round(max_dd_rel, 6) AS max_dd_rel, round(years, 6) AS years, round(exp(ln(curve_end) / nullif(years, 0)) - 1, 6) AS cagr, round(expectancy / nullif(sd, 0) * sqrt(n / nullif(years, 0)), 5) AS sharpe,
+       round((exp(ln(curve_end) / nullif(years, 0)) - 1) / nullif(max_dd_pct, 0), 5) AS mar, CASE WHEN n >= 10 THEN round((expectancy / nullif(sd, 0) - {expected_max(tried)!r} / sqrt(cast(n as double))) * sqrt(n / nullif(years, 0)), 5) END AS deflated_sharpe
+FROM (
+  SELECT count(*) AS n, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, avg(r) AS expectancy, coalesce(avg(CASE WHEN r > 0 THEN r END), 0e0) AS avg_win, coalesce(avg(CASE WHEN r <= 0 THEN r END), 0e0) AS avg_loss, sum(r) AS total_r, stddev_samp(r) AS sd,
+         max(greatest(peak_r, 0e0) - cum_r) AS max_dd_r, max(peak - curve) / max(peak) AS max_dd_pct, max((peak - curve) / peak) AS max_dd_rel, exp(sum(growth)) AS curve_end, (greatest(max(exit_sec), max(entry_sec)) - least(min(exit_sec), min(entry_sec))) / 31557600e0 AS years
+  FROM curves) m"""
+
+
+def metrics_check_sql(risk: float = 0.01, tried: int = 1) -> str:
+    """metrics_sql by running sums over all trades at once, for checking."""
     order = "ORDER BY exit_sec, symbol, entry_bar, context_scale"
     upto = f"({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""
@@ -133,11 +159,66 @@ WELCH = """
 SELECT n_long, n_short, round(mean_long, 6) AS mean_long, round(mean_short, 6) AS mean_short, round((mean_long - mean_short) / nullif(sqrt(var_long / n_long + var_short / n_short), 0), 5) AS t FROM (
   SELECT sum(CASE WHEN direction > 0 THEN 1 ELSE 0 END) AS n_long, sum(CASE WHEN direction < 0 THEN 1 ELSE 0 END) AS n_short, avg(CASE WHEN direction > 0 THEN r END) AS mean_long, avg(CASE WHEN direction < 0 THEN r END) AS mean_short,
          var_samp(CASE WHEN direction > 0 THEN r END) AS var_long, var_samp(CASE WHEN direction < 0 THEN r END) AS var_short FROM {trades}) w"""
-#: Spearman's rank correlation of score and r, ties at their mean rank. {scored}: trades with score.
-SPEARMAN = """
-SELECT count(*) AS n, round(corr(rank_s, rank_r), 6) AS rho FROM (
-  SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS rank_s, rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2e0 AS rank_r FROM {scored}) k"""
-BY_SCORE = "SELECT score, count(*) AS n, round(avg(r), 6) AS mean_r FROM {scored} GROUP BY score"
+
+
+def _ranks(table: str, value: str) -> str:
+    """Mean ranks of a column's values per timeframe group, from counts: no window holds all rows, only all thousandths."""
+    return f"""
+SELECT part, {value}, before + coalesce(sum(n) OVER (PARTITION BY part, bucket ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2e0 AS rank_of
+FROM (SELECT v.part, v.bucket, v.{value}, v.n, b.before
+      FROM (SELECT part, floor({value} * 1000) AS bucket, {value}, count(*) AS n FROM {table} GROUP BY part, floor({value} * 1000), {value}) v
+      JOIN (SELECT part, bucket, coalesce(sum(n) OVER (PARTITION BY part ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM (SELECT part, floor({value} * 1000) AS bucket, count(*) AS n FROM {table} GROUP BY part, floor({value} * 1000)) c) b
+      ON b.part = v.part AND b.bucket = v.bucket) p"""
+
+
+def spearman_sql(part: str = "'all'") -> str:
+    """Spearman's rank correlation of score and r in each part, ties at their mean rank, and its t (n - 2 degrees of freedom).
+
+    {scored}: trades with score.
+    """
+    return f"""
+WITH rows AS (SELECT {part} AS part, cast(score as double) AS score, r FROM {{scored}}),
+by_score AS ({_ranks("rows", "score")}), by_r AS ({_ranks("rows", "r")})
+SELECT part, count(*) AS n, round(avg(w.r), 6) AS mean_r, round(corr(s.rank_of, q.rank_of), 6) AS rho,
+       round(corr(s.rank_of, q.rank_of) * sqrt((count(*) - 2) / nullif(1 - corr(s.rank_of, q.rank_of) * corr(s.rank_of, q.rank_of), 0)), 4) AS t
+FROM rows w JOIN by_score s USING (part, score) JOIN by_r q USING (part, r) GROUP BY part"""
+
+
+def spearman_check_sql(part: str = "'all'") -> str:
+    """The same by ranking all rows at once, for checking."""
+    return f"""
+SELECT part, count(*) AS n, round(avg(r), 6) AS mean_r, round(corr(rank_s, rank_r), 6) AS rho,
+       round(corr(rank_s, rank_r) * sqrt((count(*) - 2) / nullif(1 - corr(rank_s, rank_r) * corr(rank_s, rank_r), 0)), 4) AS t
+FROM (SELECT part, r, rank() OVER (PARTITION BY part ORDER BY score) + (count(*) OVER (PARTITION BY part, score) - 1) / 2e0 AS rank_s,
+             rank() OVER (PARTITION BY part ORDER BY r) + (count(*) OVER (PARTITION BY part, r) - 1) / 2e0 AS rank_r
+      FROM (SELECT {part} AS part, score, r FROM {{scored}}) w) k GROUP BY part"""
+
+
+#: Only scores with ten trades and more tell anything.
+BY_SCORE = """
+SELECT score, count(*) AS n, round(avg(r), 6) AS mean_r, round(avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate,
+       round(avg(CASE WHEN r > 0 THEN r END), 6) AS avg_win, round(avg(CASE WHEN r <= 0 THEN r END), 6) AS avg_loss, round(sum(r), 5) AS total_r
+FROM {scored} GROUP BY score HAVING count(*) >= 10"""
+
+
+def effects_sql(least: int = 20) -> str:
+    """What each guideline adds: trades that meet it against those that don't, Welch's t, and the |t| that as many tests ask for.
+
+    {guided}: trades with the nine guidelines. Guidelines with fewer than least trades on either side are left out.
+    """
+    cases = " ".join(f"WHEN '{n}' THEN {n}" for n in NAMES)
+    needed = " ".join(f"WHEN {k} THEN {NormalDist().inv_cdf(1 - 0.025 / k)!r}" for k in range(1, len(NAMES) + 1))
+    return f"""
+SELECT guideline, n_yes, n_no, round(n_yes / cast(n_yes + n_no as double), 6) AS share, round(mean_yes, 6) AS mean_yes, round(mean_no, 6) AS mean_no, round(mean_yes - mean_no, 6) AS difference, t,
+       row_number() OVER (ORDER BY abs(t) DESC, guideline) AS place, round(CASE count(*) OVER () {needed} END, 6) AS t_needed
+FROM (
+  SELECT *, round((mean_yes - mean_no) / nullif(sqrt(var_yes / n_yes + var_no / n_no), 0), 5) AS t FROM (
+    SELECT guideline, sum(CASE WHEN met THEN 1 ELSE 0 END) AS n_yes, sum(CASE WHEN met THEN 0 ELSE 1 END) AS n_no, avg(CASE WHEN met THEN r END) AS mean_yes, avg(CASE WHEN NOT met THEN r END) AS mean_no,
+           var_samp(CASE WHEN met THEN r END) AS var_yes, var_samp(CASE WHEN NOT met THEN r END) AS var_no
+    FROM (SELECT guideline, r, CASE guideline {cases} END AS met FROM {{guided}} CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in NAMES)}) AS g(guideline)) m
+    GROUP BY guideline) w WHERE n_yes >= {least} AND n_no >= {least}) e"""
+
 
 
 def metrics(trades: DataFrame, bars: DataFrame, risk: float = 0.01, tried: int = 1) -> DataFrame:
@@ -164,3 +245,8 @@ PLACEBO = f"SELECT direction, count(*) AS n, round(avg(r), 6) AS mean_r, round(s
 
 def with_scores(trades: DataFrame, scores: DataFrame) -> DataFrame:
     return trades.join(scores.select(*KEY.split(", "), "bar", "context_scale", "score"), [*KEY.split(", "), "bar", "context_scale"]).select(*[F.col(c) for c in trades.columns], "score")
+
+
+def with_guidelines(trades: DataFrame, guidelines: DataFrame) -> DataFrame:
+    keys = [*KEY.split(", "), "bar", "context_scale"]
+    return trades.join(guidelines.select(*keys, *NAMES), keys).select(*[F.col(c) for c in trades.columns], *NAMES)

@@ -68,7 +68,16 @@ FROM (SELECT *, avg(CASE WHEN direction > 0 THEN label_fwd END) OVER (PARTITION
 SIGNED = ("ret_5", "ret_20", "ret_60", "ret_120", "macd_hist_norm", "dist_ma50", "dist_ma200", "scale_agree", *(f"dir_s{s}" for s in SCALES))
 
 
-def folds_sql(n_folds: int = 5, least_train: int = 100, least_test: int = 20) -> str:
+_AMONG = "ORDER BY ts_sec, source, symbol, timeframe, direction"
+#: Samples in order of time, cut into equal folds: numbered by day and within each day, or (for checking) all at once.
+_PLACED = {
+    False: f"""days AS (SELECT day, n, coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM (SELECT floor(ts_sec / 86400) AS day, count(*) AS n FROM timed GROUP BY floor(ts_sec / 86400)) c),
+placed AS (SELECT t.*, cast(floor((before + row_number() OVER (PARTITION BY day {_AMONG}) - 1) / floor(total / {{}}e0)) as int) AS fold FROM timed t JOIN days d ON d.day = floor(t.ts_sec / 86400))""",
+    True: f"placed AS (SELECT *, cast(floor((row_number() OVER ({_AMONG}) - 1) / floor(count(*) OVER () / {{}}e0)) as int) AS fold FROM timed)",
+}
+
+
+def folds_sql(n_folds: int = 5, least_train: int = 100, least_test: int = 20, whole: bool = False) -> str:
     """Expanding folds over time: test fold k, and how many samples before it end before it begins.
 
     A sample may train only if its label ends before the fold's first sample; small folds are left out.
@@ -76,7 +85,7 @@ def folds_sql(n_folds: int = 5, least_train: int = 100, least_test: int = 20) ->
     return f"""
 WITH sampled AS ({_SAMPLED}), timed AS (
   SELECT s.source, s.symbol, s.timeframe, s.bar_idx, d.direction, s.ts_sec, e.ts_sec AS end_sec FROM sampled s CROSS JOIN (VALUES (1), (-1)) AS d(direction) JOIN {{ind}} e ON {on("e", "s")} AND e.bar_idx = s.bar_idx + 1 + {MAX_BARS}),
-placed AS (SELECT *, cast(floor((row_number() OVER (ORDER BY ts_sec, source, symbol, timeframe, direction) - 1) / floor(count(*) OVER () / {n_folds + 1}e0)) as int) AS fold FROM timed),
+{_PLACED[whole].format(n_folds + 1)},
 begins AS (SELECT fold, min(ts_sec) AS from_sec, count(*) AS n_test FROM placed WHERE fold BETWEEN 1 AND {n_folds} GROUP BY fold)
 SELECT b.fold, b.n_test, count(p.bar_idx) AS n_train FROM begins b LEFT JOIN placed p ON p.fold < b.fold AND p.end_sec < b.from_sec GROUP BY b.fold, b.n_test HAVING count(p.bar_idx) >= {least_train} AND b.n_test >= {least_test}"""
 
@@ -95,10 +104,14 @@ def dataset(bars_with_indicators: DataFrame, pivots: DataFrame) -> DataFrame:
 _KEYS = [*KEY.split(", "), "bar_idx", "direction", "ts_sec"]
 
 
+def _names(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in {*_KEYS, "end_sec", "label", "label_excess", "label_fwd", "label_xs"}]
+
+
 def _vectors(rows: DataFrame, label: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    features = [c for c in rows.columns if c not in {*_KEYS, "end_sec", "label", "label_excess", "label_fwd", "label_xs"}]
+    features = _names(rows)
     return VectorAssembler(inputCols=features, outputCol="features").transform(rows.dropna(subset=[*features, label])).select(*_KEYS, *(["end_sec"] if "end_sec" in rows.columns else []), "features", F.col(label).alias("y"))
 
 
@@ -115,18 +128,42 @@ def holdout(rows: DataFrame, symbols: tuple[str, ...], label: str = "label_exces
     return model.transform(vectors.filter(F.col("symbol").isin(*symbols))).select(*_KEYS, F.lit(0).alias("fold"), "y", "prediction")
 
 
+def _in_order(rows: DataFrame, size: int) -> DataFrame:
+    """Keys with fold: rows in order of time, cut every size rows; numbered by day and within each day."""
+    return query(
+        f"""
+WITH numbered AS (SELECT {", ".join(_KEYS)}, floor(ts_sec / 86400) AS day FROM {{rows}}),
+days AS (SELECT day, coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT day, count(*) AS n FROM numbered GROUP BY day) c)
+SELECT {", ".join(_KEYS)}, floor((before + row_number() OVER (PARTITION BY day {_AMONG}) - 1) / {size}) AS fold FROM numbered JOIN days USING (day)""",
+        rows=rows.select(*_KEYS),
+    )
+
+
+def importances(rows: DataFrame, label: str = "label_excess", max_iter: int = 8, seed: int = 1, top: int = 15) -> DataFrame:
+    """The features that matter most to a model of the first four fifths of time: place, feature, importance, is_structure."""
+    vectors, names = _vectors(rows, label), _names(rows)
+    n, schema = vectors.count(), "place int, feature string, importance double, is_structure boolean"
+    if n < 5:
+        return rows.sparkSession.createDataFrame([], schema)
+    early = vectors.join(_in_order(vectors, max(1, n // 5)).filter("fold < 4"), _KEYS)
+    found = _trees(max_iter, seed).fit(early).featureImportances.toArray()
+    trends = {*_TREND_NAMES, "direction"}
+    ranked = sorted(zip(names, map(float, found), strict=True), key=lambda x: (-x[1], x[0]))[:top]
+    return rows.sparkSession.createDataFrame([(i, f, v, f not in trends) for i, (f, v) in enumerate(ranked, 1)], schema)
+
+
+_TREND_NAMES = ("ret_5", "ret_20", "ret_60", "ret_120", "atr_rel", "atr_trend", "rsi", "macd_hist_norm", "dist_ma50", "dist_ma200", "vol_rel", "squeeze_on", "dist_high60", "dist_low60")
+
+
 def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 5, max_iter: int = 8, seed: int = 1, least_train: int = 500, least_test: int = 100) -> DataFrame:
     """Predictions of gradient-boosted trees for each test fold, trained on rows whose labels end before it begins.
 
     rows: a dataset. Folds with fewer rows than least_train or least_test are left out. Rows without a feature or the label are left out. The loop over folds is the driver's,
     each fit is Spark's.
     """
-    from pyspark.sql import Window
-
     keys, vectors = _KEYS, _vectors(rows, label)
     n = vectors.count()
-    order = F.row_number().over(Window.orderBy("ts_sec", *KEY.split(", "), "direction")) - 1
-    placed = vectors.join(vectors.select(*keys, F.floor(order / max(1, n // (n_folds + 1))).alias("fold")), keys).persist()
+    placed = vectors.join(_in_order(vectors, max(1, n // (n_folds + 1))), keys).persist()
     begins = {r.fold: r.t for r in placed.groupBy("fold").agg(F.min("ts_sec").alias("t")).collect()}
     out = placed.limit(0).select(*keys, "fold", "y", F.lit(0.0).alias("prediction"))
     for k in range(1, n_folds + 1):
@@ -140,7 +177,7 @@ def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 5,
 
 #: How good predictions are: rank correlation, and the top tenth's mean against all. {predicted}: fold, direction, y, prediction.
 REPORT = """
-SELECT fold, count(*) AS n, corr(rank_p, rank_y) AS rho, avg(y) AS mean_all, avg(CASE WHEN prediction >= cut THEN y END) AS mean_top, avg(CASE WHEN prediction >= cut THEN CASE WHEN direction > 0 THEN 1e0 ELSE 0e0 END END) AS top_long_share
-FROM (SELECT p.*, c.cut, rank() OVER (PARTITION BY p.fold ORDER BY prediction) AS rank_p, rank() OVER (PARTITION BY p.fold ORDER BY y) AS rank_y
-      FROM {predicted} p JOIN (SELECT fold, percentile_cont(0.9) WITHIN GROUP (ORDER BY prediction) AS cut FROM {predicted} GROUP BY fold) c ON c.fold = p.fold) r GROUP BY fold"""
+SELECT fold, count(*) AS n, corr(rank_p, rank_y) AS rho, avg(y) AS mean_all, avg(CASE WHEN prediction >= middle THEN y END) AS mean_upper_half, avg(CASE WHEN prediction >= cut THEN y END) AS mean_top, avg(CASE WHEN prediction >= cut THEN CASE WHEN direction > 0 THEN 1e0 ELSE 0e0 END END) AS top_long_share
+FROM (SELECT p.*, c.cut, c.middle, rank() OVER (PARTITION BY p.fold ORDER BY prediction) AS rank_p, rank() OVER (PARTITION BY p.fold ORDER BY y) AS rank_y
+      FROM {predicted} p JOIN (SELECT fold, percentile_cont(0.9) WITHIN GROUP (ORDER BY prediction) AS cut, percentile_cont(0.5) WITHIN GROUP (ORDER BY prediction) AS middle FROM {predicted} GROUP BY fold) c ON c.fold = p.fold) r GROUP BY fold"""
 

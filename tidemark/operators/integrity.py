@@ -42,6 +42,18 @@ VERDICT = f"SELECT {KEY}, sum(CASE WHEN severity = 'ERROR' THEN 1 ELSE 0 END) AS
 WORST_GAPS = f"SELECT {KEY}, ts_sec, gap FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY gap DESC, ts_sec) AS worst FROM ({MARKED}) a WHERE gap > 1.5 * step) b WHERE worst <= 3"
 SPLIT_DAYS = f"SELECT {KEY}, ts_sec, round(r, 6) AS ratio FROM ({MARKED}) a WHERE {_SPLIT}"
 
+#: The first three bars of each kind of issue, in order of time.
+EXAMPLES = f"""
+SELECT {KEY}, code, nth, ts_sec FROM (
+  SELECT {KEY}, code, ts_sec, row_number() OVER (PARTITION BY {KEY}, code ORDER BY ts_sec, ingest_seq) AS nth
+  FROM ({MARKED}) a CROSS JOIN (VALUES {", ".join(f"('{code}')" for code in _COUNTS)}) AS c(code)
+  WHERE CASE code {" ".join(f"WHEN '{code}' THEN {cond}" for code, (_, cond) in _COUNTS.items())} END) e
+WHERE nth <= 3"""
+
+
+def examples(raw: DataFrame) -> DataFrame:
+    return query(EXAMPLES, raw=raw)
+
 
 def issues(raw: DataFrame) -> DataFrame:
     return query(ISSUES, raw=raw)

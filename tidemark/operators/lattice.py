@@ -82,6 +82,10 @@ SELECT {KEY}, scale, count(*) AS n, median(cast(confirmed_idx - idx as double))
 FROM (SELECT *, (lead(idx) OVER w) - idx AS duration, abs((lead(price) OVER w) / nullif(price, 0) - 1) * 100 AS move FROM {{pivots}} WINDOW w AS (PARTITION BY {KEY}, scale ORDER BY seq)) d
 GROUP BY {KEY}, scale HAVING count(*) >= 3"""
 
+_THETA = "CASE scale " + " ".join(f"WHEN {i} THEN {x}e0" for i, x in enumerate(kernel.THETAS)) + " END"
 LAGS_BY_SCALE = f"""
-SELECT scale, count(*) AS n_series, median(median_lag) AS median_lag, median(median_duration) AS median_duration, round(median(quotient), 6) AS quotient, round(median(median_move_pct), 6) AS median_move_pct
+SELECT scale, {_THETA} AS theta, count(*) AS n_series, median(median_lag) AS median_lag, median(median_duration) AS median_duration, round(median(quotient), 6) AS quotient, round(median(median_move_pct), 6) AS median_move_pct
 FROM ({LAGS}) l GROUP BY scale"""
+#: Whether a lag is the same part of a move at all scales.
+LAG_RANGE = f"""
+SELECT count(*) AS n_scales, min(quotient) AS least, max(quotient) AS most, round(median(quotient), 6) AS middle FROM ({LAGS_BY_SCALE}) s"""

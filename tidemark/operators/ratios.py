@@ -71,6 +71,9 @@ FROM (
           ON t.ratio = v.ratio WHERE v.value BETWEEN t.lo AND t.hi) h GROUP BY ratio) g
 WHERE n_observed >= 50 AND n_surrogate >= 50""".replace("NEAR", _NEAR).replace("OBSERVED", RATIOS).replace("SURROGATE", RATIOS.replace("{pivots}", "{others}"))
 
+#: The lifts of all ratios in one figure.
+LIFT_MEDIAN = f"SELECT count(*) AS n_ratios, round(median(lift), 6) AS median_lift FROM ({LIFT}) x WHERE lift IS NOT NULL"
+
 
 def surrogate_sql(block: int = 50, seed: int = 1) -> str:
     """A series put together from blocks of its own log returns, with each bar's spread around its close.

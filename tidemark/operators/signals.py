@@ -73,7 +73,7 @@ SELECT {_ID}, coalesce(max(CASE WHEN n >= 3 AND first_big = fine THEN n END), ma
     GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.context_scale, f.fine) c) g GROUP BY {_ID}"""
 
 
-GUIDELINES = f"""
+_GUIDED = f"""
 WITH signals AS ({signals_sql()}),
 moves AS (SELECT *, abs(p1 - p0) / nullif(p0, 0) AS rel FROM ({PAIRS}) p WHERE p0 IS NOT NULL),
 impulse_waves AS ({_subwaves("i0", "i1")}),
@@ -88,15 +88,28 @@ slices AS (
 higher AS (SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, h.p1 AS price, h.k1 AS kind FROM signals s JOIN ({PAIRS}) h ON {on("h", "s")} AND h.scale = s.context_scale + 1 AND s.bar >= h.from_bar AND s.bar < h.to_bar),
 sizes AS (
   SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, count(m.rel) AS n, avg(CASE WHEN abs(s.p1 - s.p0) / s.p0 > m.rel THEN 1e0 ELSE 0e0 END) AS share
-  FROM signals s JOIN moves m ON {on("m", "s")} AND m.scale = s.context_scale AND m.seq <= s.seq AND m.seq > s.seq - 10 GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.context_scale)
+  FROM signals s JOIN moves m ON {on("m", "s")} AND m.scale = s.context_scale AND m.seq <= s.seq AND m.seq > s.seq - 10 GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.context_scale)"""
+_GUIDED_FROM = f"""
+FROM signals s JOIN impulse_waves a ON {_SAME.replace("x.", "a.")} JOIN correction_waves c ON {_SAME.replace("x.", "c.")} JOIN slices x ON {_SAME}
+LEFT JOIN higher h ON {_SAME.replace("x.", "h.")} LEFT JOIN sizes z ON {_SAME.replace("x.", "z.")}"""
+#: Nine booleans for each signal.
+GUIDELINES = f"""{_GUIDED}
 SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, s.direction,
        a.n IN (5, 9, 13) AS impulse_divides, c.n IN (3, 7, 11) AS correction_divides, s.retrace BETWEEN 0.35 AND 0.80 AS typical_retrace, s.ti - s.i1 <= greatest(s.i1 - s.i0, 1) AS shorter,
        coalesce(x.v1 > 0 AND x.v2 < x.v1, false) AS volume_contracts, coalesce(x.m0 > 0 AND x.m1 > x.m0, false) AS momentum,
        coalesce(CASE WHEN s.direction > 0 THEN s.tp < 1.02 * s.p0 AND x.rsi1 > x.rsi0 ELSE s.tp > 0.98 * s.p0 AND x.rsi1 < x.rsi0 END, false) AS divergence,
        coalesce(CASE WHEN h.kind < 0 AND x.close > h.price THEN 1 WHEN h.kind > 0 AND x.close < h.price THEN -1 ELSE 0 END = s.direction, false) AS higher_agrees,
-       coalesce(z.n >= 5 AND z.share >= 0.6, false) AS significant
-FROM signals s JOIN impulse_waves a ON {_SAME.replace("x.", "a.")} JOIN correction_waves c ON {_SAME.replace("x.", "c.")} JOIN slices x ON {_SAME}
-LEFT JOIN higher h ON {_SAME.replace("x.", "h.")} LEFT JOIN sizes z ON {_SAME.replace("x.", "z.")}"""
+       coalesce(z.n >= 5 AND z.share >= 0.6, false) AS significant{_GUIDED_FROM}"""
+#: The nine numbers on which they rest; null where there is nothing to compare with.
+GUIDELINE_VALUES = f"""{_GUIDED}
+SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, s.direction,
+       a.n AS impulse_waves, c.n AS correction_waves, round(s.retrace, 8) AS retrace,
+       round((s.ti - s.i1) / cast(greatest(s.i1 - s.i0, 1) as double), 8) AS time_ratio,
+       round(CASE WHEN x.v1 > 0 THEN x.v2 / x.v1 END, 6) AS volume_ratio,
+       round(CASE WHEN x.m0 > 0 THEN x.m1 / x.m0 END, 5) AS momentum_ratio, round(x.rsi1, 6) AS rsi_at_end,
+       CASE WHEN h.kind IS NULL THEN NULL WHEN h.kind < 0 AND x.close > h.price THEN 1
+            WHEN h.kind > 0 AND x.close < h.price THEN -1 ELSE 0 END AS higher_direction,
+       round(CASE WHEN z.n >= 5 THEN z.share END, 6) AS size_percentile{_GUIDED_FROM}"""
 
 NAMES = ("impulse_divides", "correction_divides", "typical_retrace", "shorter", "volume_contracts", "momentum", "divergence", "higher_agrees", "significant")
 SCORES = f"SELECT {KEY}, bar, context_scale, direction, {' + '.join(f'cast({n} as int)' for n in NAMES)} AS score FROM ({GUIDELINES}) g"
@@ -106,3 +119,7 @@ SUMMARY = f"SELECT context_scale, count(*) AS n, {', '.join(f'cast(sum(cast({n}
 def guidelines(bars_with_indicators: DataFrame, pivots: DataFrame) -> DataFrame:
     """Per signal which guidelines it meets; nothing that is known only later is read."""
     return query(GUIDELINES.replace("{bars}", "{ind}"), ind=bars_with_indicators, pivots=pivots)
+
+
+def guideline_values(bars_with_indicators: DataFrame, pivots: DataFrame) -> DataFrame:
+    return query(GUIDELINE_VALUES.replace("{bars}", "{ind}"), ind=bars_with_indicators, pivots=pivots)

@@ -67,10 +67,11 @@ _own(
     f"""{_DIRTY_SQL} SELECT source, symbol, timeframe, ts_sec, open, high, low, close, coalesce(volume, 0) AS volume, (row_number() OVER (PARTITION BY source, symbol, timeframe ORDER BY ts_sec) - 1)::INTEGER AS bar_idx
 FROM (SELECT *, row_number() OVER (PARTITION BY source, symbol, timeframe, ts_sec ORDER BY ingest_seq DESC) AS n FROM raw) r WHERE n = 1 AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL""",
 )
-for _name, _template in (("report", integrity.ISSUES), ("verdict", integrity.VERDICT), ("flatlines", integrity.FLATLINES), ("gaps_top3", integrity.WORST_GAPS), ("splits", integrity.SPLIT_DAYS)):
+for _name, _template in (("report", integrity.ISSUES), ("verdict", integrity.VERDICT), ("flatlines", integrity.FLATLINES), ("gaps_top3", integrity.WORST_GAPS), ("splits", integrity.SPLIT_DAYS), ("examples", integrity.EXAMPLES)):
     _own(f"integrity_{_name}", lambda spark, sf_dir, t=_template: query(t, raw=_dirty(spark, sf_dir)), f"{_DIRTY_SQL} SELECT * FROM ({_template.format(raw='raw')}) AS answer")
 _add("catalog_manifest", catalog.MANIFEST, "walk_i")
 _add("catalog_usable", catalog.usable_sql(1000, ("click",)), "walk_i")
+_add("catalog_usable_timeframes", catalog.usable_sql(100, (), ("1h", "4h")), "walk_h")
 _own("universe_holdout_anti", lambda spark, sf_dir: spark.sql(catalog.TRAINING), catalog.TRAINING_SQL)
 _add("content_hash", catalog.CONTENT_HASH, "walk_h")
 _SQL["content_hash"] = f"{base.with_sql('walk_h', ())} SELECT * FROM ({catalog.CONTENT_HASH_SQL.format(bars='walk_h')}) AS answer"
@@ -94,6 +95,7 @@ _add("lattice_summary", lattice.SUMMARY, "walk_h", _P)
 _add("lattice_violations", lattice.VIOLATIONS, "walk_i", _P)
 _add("lag_analysis", lattice.LAGS, "walk_i", _P)
 _add("lag_by_scale", lattice.LAGS_BY_SCALE, "walk_h", _P)
+_add("lag_quotient_range", lattice.LAG_RANGE, "walk_h", _P)
 
 # ---- patterns ----
 _add("labelings_by_pattern", labeling.BY_PATTERN, "walk_h", _P)
@@ -114,6 +116,7 @@ _SIGNAL = "source, symbol, timeframe, bar, direction, context_scale, trigger_sca
 _add("signals_rule", f"SELECT {_SIGNAL} FROM ({signals.signals_sql()}) s", "walk_h", _BP)
 _add("signals_trigger", f"SELECT {_SIGNAL} FROM ({signals.signals_sql('trigger', offset=1)}) s", "walk_h", _BP)
 _add("signal_guidelines", signals.GUIDELINES, "walk_h", _BPI)
+_add("signal_guideline_values", signals.GUIDELINE_VALUES, "walk_h", _BPI)
 _add("signal_scores", signals.SCORES, "walk_h", _BPI)
 _add("guideline_summary", signals.SUMMARY, "walk_h", _BPI)
 _TRADE = "source, symbol, timeframe, bar, context_scale, trigger_scale, direction, entry_bar, exit_bar, entry, round(exit, 8) AS exit, round(stop, 8) AS stop, reason, round(r, 7) AS r"
@@ -128,33 +131,54 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.kept(spark, sf_dir, "trades", lambda: execution.backtest(**frames))
 
 
-def _on_trades(name: str, template: str) -> None:
+def _on_trades(name: str, template: str, check: str = "") -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         used = {"trades": _trades(spark, sf_dir)}
         if "{bars}" in template:
             used["bars"] = base.frame(spark, sf_dir, "bars", "walk_h")
         return query(template, **used)
 
-    _own(name, run, f"{base.with_sql('walk_h', _P)}, trades AS ({_TRADES_SQL}) SELECT * FROM ({template.format(trades='trades', bars='walk_h')}) AS answer")
+    _own(name, run, f"{base.with_sql('walk_h', _P)}, trades AS ({_TRADES_SQL}) SELECT * FROM ({(check or template).format(trades='trades', bars='walk_h')}) AS answer")
 
 
 _on_trades("backtest_market", f"SELECT {_TRADE} FROM {{trades}}")
 _on_trades("backtest_by_reason", execution.BY_REASON)
 _on_trades("backtest_percentiles", execution.PERCENTILES)
 _on_trades("backtest_by_symbol", execution.BY_SYMBOL)
-_on_trades("metrics_portfolio", execution.metrics_sql(tried=6))
+_on_trades("metrics_portfolio", execution.metrics_sql(tried=6), execution.metrics_check_sql(tried=6))
 _on_trades("welch_by_direction", execution.WELCH)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = query(signals.SCORES, **{f: base.frame(spark, sf_dir, f, "walk_h") for f in _BPI})
-    return execution.with_scores(_trades(spark, sf_dir), scores)
+    def made() -> DataFrame:
+        scores = query(signals.SCORES, **{f: base.frame(spark, sf_dir, f, "walk_h") for f in _BPI})
+        return execution.with_scores(_trades(spark, sf_dir), scores)
+
+    return base.kept(spark, sf_dir, "scored", made)
 
 
 _SCORED_SQL = f"""{base.with_sql('walk_h', ('pivots', 'ind'))}, trades AS ({_TRADES_SQL}), scores AS ({signals.SCORES.format(bars='walk_h', pivots='pivots', ind='ind')}),
 scored AS (SELECT t.*, s.score FROM trades t JOIN scores s ON t.source = s.source AND t.symbol = s.symbol AND t.timeframe = s.timeframe AND t.bar = s.bar AND t.context_scale = s.context_scale)"""
-for _name, _template in (("quality_spearman", execution.SPEARMAN), ("quality_by_score", execution.BY_SCORE)):
-    _own(_name, lambda spark, sf_dir, t=_template: query(t, scored=_scored(spark, sf_dir)), f"{_SCORED_SQL} SELECT * FROM ({_template.format(scored='scored')}) AS answer")
+for _name, _template, _check in (
+    ("quality_spearman", execution.spearman_sql(), execution.spearman_check_sql()),
+    ("quality_by_timeframe", execution.spearman_sql("timeframe"), execution.spearman_check_sql("timeframe")),
+    ("quality_by_score", execution.BY_SCORE, execution.BY_SCORE),
+):
+    _own(_name, lambda spark, sf_dir, t=_template: query(t, scored=_scored(spark, sf_dir)), f"{_SCORED_SQL} SELECT * FROM ({_check.format(scored='scored')}) AS answer")
+
+
+def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = query(signals.GUIDELINES, **{f: base.frame(spark, sf_dir, f, "walk_h") for f in _BPI})
+    return query(execution.effects_sql(), guided=execution.with_guidelines(_trades(spark, sf_dir), met))
+
+
+_own(
+    "guideline_effects",
+    _effects,
+    f"""{base.with_sql('walk_h', ('pivots', 'ind'))}, trades AS ({_TRADES_SQL}), met AS ({signals.GUIDELINES.format(bars='walk_h', pivots='pivots', ind='ind')}),
+guided AS (SELECT t.*, {', '.join(f'm.{n}' for n in signals.NAMES)} FROM trades t JOIN met m ON t.source = m.source AND t.symbol = m.symbol AND t.timeframe = m.timeframe AND t.bar = m.bar AND t.context_scale = m.context_scale)
+SELECT * FROM ({execution.effects_sql().format(guided='guided')}) AS answer""",
+)
 
 
 # ---- zones and limit orders ----
@@ -191,14 +215,18 @@ _add("chart_points", charts.chart_sql(200), "walk_h", _BP)
 _SURROGATE = f"SELECT source, symbol, timeframe, bar_idx, ts_sec, round(open, 3) AS open, round(high, 3) AS high, round(low, 3) AS low, round(close, 3) AS close, volume FROM ({ratios.surrogate_sql()}) s"
 
 
-def _lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def others() -> DataFrame:
-        return lattice.build(query(_SURROGATE, bars=base.frame(spark, sf_dir, "bars", "walk_h")))
+def _lift(template: str) -> tuple:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def others() -> DataFrame:
+            return lattice.build(query(_SURROGATE, bars=base.frame(spark, sf_dir, "bars", "walk_h")))
+
+        return query(template, pivots=base.frame(spark, sf_dir, "pivots", "walk_h"), others=base.kept(spark, sf_dir, "surrogate pivots", others))
 
-    return ratios.lift(base.frame(spark, sf_dir, "pivots", "walk_h"), base.kept(spark, sf_dir, "surrogate pivots", others))
+    return run, f"{base.with_sql('walk_h', _P)}, moved AS ({_SURROGATE.format(bars='walk_h')}), {duck.pivots('moved', 'others')} SELECT * FROM ({template.format(pivots='pivots', others='others')}) AS answer"
 
 
-_own("fib_lift", _lift, f"{base.with_sql('walk_h', _P)}, moved AS ({_SURROGATE.format(bars='walk_h')}), {duck.pivots('moved', 'others')} SELECT * FROM ({ratios.LIFT.format(pivots='pivots', others='others')}) AS answer")
+_own("fib_lift", *_lift(ratios.LIFT))
+_own("fib_lift_median", *_lift(ratios.LIFT_MEDIAN))
 
 # ---- features, labels, folds ----
 _TRENDS = ("ret_5", "ret_20", "ret_60", "ret_120", "atr_rel", "atr_trend", "rsi", "macd_hist_norm", "dist_ma50", "dist_ma200", "vol_rel", "dist_high60", "dist_low60")
@@ -209,6 +237,7 @@ _add("features_structure", f"SELECT source, symbol, timeframe, bar_idx, {', '.jo
 _add("labels_triple_barrier", features.BARRIERS, "walk_h", ("ind",))
 _add("labels_forward", features.LABELS, "walk_h", ("ind",))
 _add("fold_membership", features.folds_sql(), "walk_h", ("ind",))
+_SQL["fold_membership"] = f"{base.with_sql('walk_h', ('ind',))} SELECT * FROM ({features.folds_sql(whole=True).format(ind='ind')}) AS answer"
 
 
 def _walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +252,7 @@ def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _own("gbt_walk_forward", _walk_forward)
 _own("gbt_holdout", _holdout)
+_own("gbt_importances", lambda spark, sf_dir: features.importances(features.dataset(base.frame(spark, sf_dir, "ind", "walk_h"), base.frame(spark, sf_dir, "pivots", "walk_h"))))
 
 # ---- risk ----
 _add("correlation_pairs", risk.CORRELATIONS, "walk_d")

@@ -25,23 +25,24 @@ TRAINING_SQL = f"SELECT u.symbol, u.source, u.cluster, replace(replace(replace(u
 MANIFEST = f"SELECT {KEY}, count(*) AS n_bars, min(ts_sec) AS start_sec, max(ts_sec) AS end_sec FROM {{bars}} GROUP BY {KEY}"
 
 
-def usable_sql(min_bars: int, holdout: tuple[str, ...] = HOLDOUT) -> str:
-    """Series without errors, with enough bars, that aren't held out."""
+def usable_sql(min_bars: int, holdout: tuple[str, ...] = HOLDOUT, timeframes: tuple[str, ...] = ()) -> str:
+    """Series without errors, with enough bars, that aren't held out; of these timeframes only, if any are named."""
     from tidemark.operators.integrity import VERDICT
 
-    out = ", ".join(f"'{x}'" for x in holdout)
+    out = ", ".join(f"'{x}'" for x in holdout) or "''"
+    wanted = "AND m.timeframe IN (" + ", ".join(f"'{x}'" for x in timeframes) + ")" if timeframes else ""
     return f"""
 SELECT m.source, m.symbol, m.timeframe, m.n_bars, m.start_sec, m.end_sec FROM ({MANIFEST}) m
 LEFT JOIN ({VERDICT.replace("{raw}", "(SELECT *, bar_idx AS ingest_seq FROM {bars})")}) v ON v.source = m.source AND v.symbol = m.symbol AND v.timeframe = m.timeframe
-WHERE m.n_bars >= {min_bars} AND coalesce(v.ok, true) AND m.symbol NOT IN ({out})"""
+WHERE m.n_bars >= {min_bars} AND coalesce(v.ok, true) AND m.symbol NOT IN ({out}) {wanted}"""
 
 
 def manifest(bars: DataFrame) -> DataFrame:
     return query(MANIFEST, bars=bars)
 
 
-def usable(bars: DataFrame, min_bars: int, holdout: tuple[str, ...] = HOLDOUT) -> DataFrame:
-    return query(usable_sql(min_bars, holdout), bars=bars)
+def usable(bars: DataFrame, min_bars: int, holdout: tuple[str, ...] = HOLDOUT, timeframes: tuple[str, ...] = ()) -> DataFrame:
+    return query(usable_sql(min_bars, holdout, timeframes), bars=bars)
 
 
 def upsert(manifest: DataFrame, entries: DataFrame) -> DataFrame:
