@@ -208,7 +208,7 @@ def effects_sql(least: int = 20) -> str:
     {guided}: trades with the nine guidelines. Guidelines with fewer than least trades on either side are left out.
     """
     cases = " ".join(f"WHEN '{n}' THEN {n}" for n in NAMES)
-    needed = " ".join(f"WHEN {k} THEN {NormalDist().inv_cdf(1 - 0.025 / k)!r}" for k in range(1, len(NAMES) + 1))
+    needed = " ".join(f"WHEN {k} THEN {NormalDist().inv_cdf(1 - 0.025 / k)!r}e0" for k in range(1, len(NAMES) + 1))
     return f"""
 SELECT guideline, n_yes, n_no, round(n_yes / cast(n_yes + n_no as double), 6) AS share, round(mean_yes, 6) AS mean_yes, round(mean_no, 6) AS mean_no, round(mean_yes - mean_no, 6) AS difference, t,
        row_number() OVER (ORDER BY abs(t) DESC, guideline) AS place, round(CASE count(*) OVER () {needed} END, 6) AS t_needed
