@@ -129,23 +129,23 @@ def holdout(rows: DataFrame, symbols: tuple[str, ...], label: str = "label_exces
 
 
 def _in_order(rows: DataFrame, size: int) -> DataFrame:
-    """Keys with fold: rows in order of time, cut every size rows; numbered by day and within each day."""
-    return query(
-        f"""
-WITH numbered AS (SELECT {", ".join(_KEYS)}, floor(ts_sec / 86400) AS day FROM {{rows}}),
-days AS (SELECT day, coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT day, count(*) AS n FROM numbered GROUP BY day) c)
-SELECT {", ".join(_KEYS)}, floor((before + row_number() OVER (PARTITION BY day {_AMONG}) - 1) / {size}) AS fold FROM numbered JOIN days USING (day)""",
-        rows=rows.select(*_KEYS),
-    )
+    """Rows with fold: in order of time, cut every size rows; numbered by day and within each day."""
+    from pyspark.sql import Window
+
+    dated = rows.withColumn("day", F.floor(F.col("ts_sec") / 86400))
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = dated.groupBy("day").count().select("day", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("ts_sec", *KEY.split(", "), "direction")) - 1
+    return dated.join(days, "day").withColumn("fold", F.floor(place / size)).drop("day", "before")
 
 
 def importances(rows: DataFrame, label: str = "label_excess", max_iter: int = 8, seed: int = 1, top: int = 15) -> DataFrame:
     """The features that matter most to a model of the first four fifths of time: place, feature, importance, is_structure."""
-    vectors, names = _vectors(rows, label), _names(rows)
+    vectors, names = _vectors(rows, label).persist(), _names(rows)
     n, schema = vectors.count(), "place int, feature string, importance double, is_structure boolean"
     if n < 5:
         return rows.sparkSession.createDataFrame([], schema)
-    early = vectors.join(_in_order(vectors, max(1, n // 5)).filter("fold < 4"), _KEYS)
+    early = _in_order(vectors, max(1, n // 5)).persist().filter("fold < 4")
     found = _trees(max_iter, seed).fit(early).featureImportances.toArray()
     trends = {*_TREND_NAMES, "direction"}
     ranked = sorted(zip(names, map(float, found), strict=True), key=lambda x: (-x[1], x[0]))[:top]
@@ -161,9 +161,9 @@ def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 5,
     rows: a dataset. Folds with fewer rows than least_train or least_test are left out. Rows without a feature or the label are left out. The loop over folds is the driver's,
     each fit is Spark's.
     """
-    keys, vectors = _KEYS, _vectors(rows, label)
+    keys, vectors = _KEYS, _vectors(rows, label).persist()
     n = vectors.count()
-    placed = vectors.join(_in_order(vectors, max(1, n // (n_folds + 1))), keys).persist()
+    placed = _in_order(vectors, max(1, n // (n_folds + 1))).persist()
     begins = {r.fold: r.t for r in placed.groupBy("fold").agg(F.min("ts_sec").alias("t")).collect()}
     out = placed.limit(0).select(*keys, "fold", "y", F.lit(0.0).alias("prediction"))
     for k in range(1, n_folds + 1):
