@@ -33,6 +33,9 @@ def test_chart_documents_and_patience(spark, tmp_path, monkeypatch):
     rest.register(spark)
     (row,) = spark.read.format("rest_bars").options(source="web", kind="chart", url=f"file://{tmp_path}/{{symbol}}.json", symbols="X", timeframe="1d", start=0, end=10**6).load().collect()
     assert (row.ts_sec, row.close, row.volume) == (0, 1.5, 0.0)
+    (tmp_path / "X-1wk-max.json").write_text(json.dumps({"timestamp": [0, 604_800], "indicators": {"quote": [{k: [1.0, 1.0] for k in quotes}]}}))
+    weekly = spark.read.format("rest_bars").options(source="web", kind="chart", url=f"file://{tmp_path}/{{symbol}}-{{interval}}-{{period}}.json", symbols="X", timeframe="1w", start=0, end=10**6).load()
+    assert [r.ts_sec for r in weekly.collect()] == [0]
     waits = []
     monkeypatch.setattr(rest.time, "sleep", waits.append)
     with pytest.raises(rest.urllib.error.URLError):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tidemark.operators import execution, integrity, ratios, risk, zones
-from tidemark.plans.frames import query
+from tidemark.plans.frames import query, scattered
 from tidemark.sources import bars as sources
 from tidemark.sources import catalog
 
@@ -50,9 +50,9 @@ def test_one_position_at_a_time(spark):
     assert sorted(r.bar for r in execution.one_at_a_time(spark.createDataFrame(rows, schema)).collect()) == [0, 5]
 
 
-def order(spark, rows, expiry=10, limit=95.0):
+def order(spark, rows, expiry=10, limit=95.0, **options):
     orders = spark.createDataFrame([("t", "S", "1d", 0, 1, 4, 80.0, 100.0, limit, 90.0, 120.0, False, expiry, 0)], ORDER)
-    (r,) = query(zones.fates_sql("SELECT * FROM {orders}", per_side=0.0), bars=table(spark, rows), orders=orders).collect()
+    (r,) = query(zones.fates_sql("SELECT * FROM {orders}", per_side=0.0, **options), bars=table(spark, rows), orders=orders).collect()
     return r
 
 
@@ -61,6 +61,12 @@ def test_limit_orders(spark):
     assert order(spark, [*START, (100, 101, 99, 100), (100, 101, 94, 95)], expiry=1).status == "expired"
     gap = order(spark, [*START, (85, 86, 84, 85)])
     assert (gap.entry, gap.exit, gap.reason) == (85.0, 90.0, "stop") and gap.r > 0
+    gap = order(spark, [*START, (85, 86, 84, 85)], gap_stop_at_open=True)
+    assert (gap.entry, gap.exit, gap.reason, gap.r) == (85.0, 85.0, "stop", 0.0)
+    later = [*START, (100, 101, 94, 96), (88, 89, 87, 88)]
+    assert [order(spark, later, gap_stop_at_open=g).exit for g in (False, True)] == [90.0, 88.0]
+    within = [*START, (100, 101, 94, 96), (96, 97, 89, 91)]
+    assert order(spark, within, gap_stop_at_open=True).exit == 90.0
     filled = order(spark, [*START, (100, 101, 94, 96), (96, 121, 95, 110)])
     # a bar beyond the target after the fill
     assert (filled.status, filled.entry, filled.reason, filled.exit) == ("filled", 95.0, "target", 120.0)
@@ -187,3 +193,18 @@ def test_walk_forward_trains_only_on_labels_that_end_before_the_fold(spark, monk
     # folds of 300: the first leaves 179 rows to train on and the second 479, fewer than 500
     assert [tuple(x) for x in seen] == [(300 * k - 122, 300 * k - 121) for k in (3, 4, 5)]
     assert sorted(r.fold for r in got.select("fold").distinct().collect()) == [3, 4, 5]
+
+
+def test_draws_are_not_shifts_of_each_other(spark):
+    place = lambda bar, draw: scattered(f"cast({bar} as bigint) * 7919 + {draw} * 15485863") + " % 5000"
+    rows = spark.sql(f"SELECT ({place('id', 0)} - {place('id', 1)} + 5000) % 5000 AS apart, {place('id', 0)} AS at FROM range(1000)").toPandas()
+    assert rows.apart.nunique() > 850 and rows["at"].between(0, 4999).all()
+    assert rows["at"].value_counts().max() < 8 and 2_200 < rows["at"].mean() < 2_800
+
+
+def test_surrogates_keep_each_bar_s_shape(spark):
+    bars = [(100 + i, 103 + i, 99 + i, 102 + i) for i in range(200)]
+    shapes = {round(o / c, 9) for o, _, _, c in bars}
+    made = ratios.surrogate(table(spark, bars)).collect()
+    assert len(made) == 200 and {round(r.open / r.close, 9) for r in made} <= shapes
+    assert all(r.low <= r.open <= r.high for r in made) and round(made[0].open, 6) == 100

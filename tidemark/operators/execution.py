@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.signals import NAMES, signals_sql
-from tidemark.plans.frames import KEY, in_block, on, query, spread
+from tidemark.plans.frames import KEY, in_block, on, query, scattered, spread
 
 
 @dataclass(frozen=True)
@@ -229,11 +229,12 @@ def metrics(trades: DataFrame, bars: DataFrame, risk: float = 0.01, tried: int =
 
 
 def placebo_sql(draws: int = 20, seed: int = 7) -> str:
-    """Signals moved to bars from a linear congruential sequence, with their stop at the same distance in proportion."""
-    draw = f"((s.bar * 7919 + s.context_scale * 104729 + d.draw * 15485863 + {seed} * 32452843) % greatest(n.n_bars - 22, 1) + 20)"
+    """Signals moved to scattered bars, each draw by itself, with their stop at the same distance in proportion."""
+    place = scattered(f"cast(s.bar as bigint) * 7919 + s.context_scale * 104729 + d.draw * 15485863 + {seed * 32452843}")
+    draw = f"({place} % greatest(n.n_bars - 22, 1) + 20)"
     numbers = ", ".join(f"({i})" for i in range(draws))
     return f"""
-SELECT p.source, p.symbol, p.timeframe, cast(p.new_bar as int) AS bar, p.direction, p.context_scale * 1000 + p.draw * 1000000 + p.bar % 1000 AS context_scale, p.trigger_scale, e.open - p.direction * p.distance * e.open AS stop
+SELECT p.source, p.symbol, p.timeframe, cast(p.new_bar as int) AS bar, p.direction, cast(p.draw * 100 + p.context_scale as bigint) * 4294967296 + p.bar AS context_scale, p.trigger_scale, e.open - p.direction * p.distance * e.open AS stop
 FROM (SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, s.trigger_scale, d.draw, s.direction, abs(b.open - s.stop) / b.open AS distance, {draw} AS new_bar
       FROM ({signals_sql()}) s CROSS JOIN (VALUES {numbers}) AS d(draw) JOIN (SELECT {KEY}, count(*) AS n_bars FROM {{bars}} GROUP BY {KEY}) n ON {on("n", "s")}
       JOIN {{bars}} b ON {on("b", "s")} AND b.bar_idx = s.bar + 1) p

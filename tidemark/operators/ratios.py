@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.operators.labeling import LABELINGS
-from tidemark.plans.frames import KEY, query
+from tidemark.plans.frames import KEY, on, query, scattered
 
 #: The levels that ratios are said to prefer.
 LEVELS = (0.236, 0.382, 0.5, 0.618, 0.786, 1.0, 1.272, 1.618, 2.0, 2.618)
@@ -78,22 +78,20 @@ LIFT_MEDIAN = f"SELECT count(*) AS n_ratios, round(median(lift), 6) AS median_li
 def surrogate_sql(block: int = 50, seed: int = 1) -> str:
     """A series put together from blocks of its own log returns, with each bar's spread around its close.
 
-    Blocks begin at places from a linear congruential sequence, so that every engine draws the same ones;
-    block 0 takes the first bar as it is. Highs and lows keep their distance from the close, in proportion.
+    Blocks begin at scattered places that are the same in every engine; block 0 takes the first bar as it is.
+    Opens, highs and lows keep their distance from their bar's close, in proportion.
     """
+    place = scattered(f"cast(floor(b.bar_idx / {block}) as bigint) * 104729 + 12345 + {seed * 69069}")
     return f"""
-SELECT {KEY}, bar_idx, ts_sec, least(greatest(open, exp(lc + ll)), exp(lc + lh)) AS open, exp(lc + lh) AS high, exp(lc + ll) AS low, exp(lc) AS close, volume FROM (
-  SELECT t.source, t.symbol, t.timeframe, t.bar_idx, t.ts_sec, f.open_first AS o0, lag(exp(t.lc)) OVER w AS prev, coalesce(lag(exp(t.lc)) OVER w, f.open_first) AS open, t.lc, t.lh, t.ll, t.volume
-  FROM (
-    SELECT b.source, b.symbol, b.timeframe, b.bar_idx, b.ts_sec, s.volume,
-           first_value(ln(b.close)) OVER v + sum(CASE WHEN b.bar_idx = 0 THEN 0.0 ELSE s.ret END) OVER v AS lc, s.lh, s.ll
-    FROM (SELECT *, count(*) OVER (PARTITION BY {KEY}) AS n FROM {{bars}}) b
-    JOIN (SELECT *, coalesce(ln(close) - ln(lag(close) OVER (PARTITION BY {KEY} ORDER BY bar_idx)), 0.0) AS ret, ln(high) - ln(close) AS lh, ln(low) - ln(close) AS ll FROM {{bars}}) s
-      ON s.source = b.source AND s.symbol = b.symbol AND s.timeframe = b.timeframe
-      AND s.bar_idx = CASE WHEN b.bar_idx = 0 THEN 0 ELSE 1 + ((cast(floor(b.bar_idx / {block}) as bigint) * 1103515245 + 12345 + {seed} * 69069) % greatest(b.n - 1 - {block}, 1) + b.bar_idx % {block}) % (b.n - 1) END
-    WINDOW v AS (PARTITION BY b.source, b.symbol, b.timeframe ORDER BY b.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) t
-  JOIN (SELECT {KEY}, open AS open_first FROM {{bars}} WHERE bar_idx = 0) f ON f.source = t.source AND f.symbol = t.symbol AND f.timeframe = t.timeframe
-  WINDOW w AS (PARTITION BY t.source, t.symbol, t.timeframe ORDER BY t.bar_idx)) x"""
+SELECT {KEY}, bar_idx, ts_sec, least(greatest(exp(lc + lo), exp(lc + ll)), exp(lc + lh)) AS open, exp(lc + lh) AS high, exp(lc + ll) AS low, exp(lc) AS close, volume FROM (
+  SELECT b.source, b.symbol, b.timeframe, b.bar_idx, b.ts_sec, s.volume,
+         first_value(ln(b.close)) OVER v + sum(CASE WHEN b.bar_idx = 0 THEN 0.0 ELSE s.ret END) OVER v AS lc, s.lo, s.lh, s.ll
+  FROM (SELECT *, count(*) OVER (PARTITION BY {KEY}) AS n FROM {{bars}}) b
+  JOIN (SELECT *, coalesce(ln(close) - ln(lag(close) OVER (PARTITION BY {KEY} ORDER BY bar_idx)), 0.0) AS ret,
+               ln(open) - ln(close) AS lo, ln(high) - ln(close) AS lh, ln(low) - ln(close) AS ll FROM {{bars}}) s
+    ON {on("s", "b")}
+    AND s.bar_idx = CASE WHEN b.bar_idx = 0 THEN 0 ELSE 1 + ({place} % greatest(b.n - 1 - {block}, 1) + b.bar_idx % {block}) % (b.n - 1) END
+  WINDOW v AS (PARTITION BY b.source, b.symbol, b.timeframe ORDER BY b.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x"""
 
 
 def wave_ratios(pivots: DataFrame) -> DataFrame:
@@ -112,5 +110,3 @@ def lift(observed: DataFrame, surrogate: DataFrame) -> DataFrame:
 
 def surrogate(bars: DataFrame, block: int = 50, seed: int = 1) -> DataFrame:
     return query(surrogate_sql(block, seed), bars=bars)
-
-

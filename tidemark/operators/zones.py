@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.operators.signals import CONTEXT, PAIRS
-from tidemark.plans.frames import KEY, in_block, on, query, spread
+from tidemark.plans.frames import KEY, in_block, on, query, scattered, spread
 
 #: The bands, the target's and the pending leg's ratios, the stop's distance, how long orders wait.
 NEAR, MID, FAR = 0.382, 0.618, 1.0
@@ -102,12 +102,15 @@ SELECT {KEY}, bar, d AS direction, scale AS context_scale, i0, p0, i1, p1, limit
   WHERE d * (close - limit_price) > 0 AND abs(target - limit_price) / nullif(abs(limit_price - stop), 0) >= {LEAST_RR}) g WHERE first_of_move = 1"""
 
 
-def fates_sql(orders: str, per_side: float = 0.001, missed: float = 1.0) -> str:
+def fates_sql(orders: str, per_side: float = 0.001, missed: float = 1.0, gap_stop_at_open: bool = False) -> str:
     """Every order as if it were alone: missed, expired or filled, and the trade of a filled one.
 
     Filled at the open where that is beyond the limit already. The fill's bar counts for the exit too; a
-    trade without exit ends at the last close as "open". A fill at the stop's price makes no trade.
+    trade without exit ends at the last close as "open". A fill at the stop's price makes no trade. With
+    gap_stop_at_open a stop that a bar opens beyond is left at that open instead of at the stop's price.
     """
+    at_stop = "CASE WHEN o.direction > 0 THEN least(o.stop, x.open) ELSE greatest(o.stop, x.open) END" if gap_stop_at_open else "o.stop"
+    left_at = f"CASE o.reason WHEN 'stop' THEN {at_stop} WHEN 'target' THEN o.target WHEN 'open' THEN x.close END"
     far = 2147483647
     cols = "o.source, o.symbol, o.timeframe, o.bar, o.context_scale, o.direction, o.limit_price, o.stop, o.target, o.n_supporting, o.extended, o.n_bars"
     return f"""
@@ -127,8 +130,8 @@ hit AS (
 ended AS (
   SELECT *, CASE WHEN fill IS NULL OR fill = stop THEN NULL WHEN t_stop <= t_target AND t_stop < {far} THEN 'stop' WHEN t_target < {far} THEN 'target' ELSE 'open' END AS reason FROM hit)
 SELECT o.source, o.symbol, o.timeframe, o.bar, o.context_scale, o.context_scale AS trigger_scale, o.direction, o.status, o.fill_bar AS entry_bar, CASE WHEN o.reason IS NOT NULL THEN x.bar_idx END AS exit_bar, o.fill AS entry,
-       CASE o.reason WHEN 'stop' THEN o.stop WHEN 'target' THEN o.target WHEN 'open' THEN x.close END AS exit, o.stop, o.reason, o.n_supporting, o.extended,
-       ((CASE o.reason WHEN 'stop' THEN o.stop WHEN 'target' THEN o.target WHEN 'open' THEN x.close END - o.fill) * o.direction - (o.fill + CASE o.reason WHEN 'stop' THEN o.stop WHEN 'target' THEN o.target WHEN 'open' THEN x.close END) * {per_side}) / nullif(abs(o.fill - o.stop), 0) AS r
+       {left_at} AS exit, o.stop, o.reason, o.n_supporting, o.extended,
+       (({left_at} - o.fill) * o.direction - (o.fill + {left_at}) * {per_side}) / nullif(abs(o.fill - o.stop), 0) AS r
 FROM ended o LEFT JOIN {{bars}} x ON {on("x", "o")} AND x.bar_idx = CASE o.reason WHEN 'stop' THEN o.t_stop WHEN 'target' THEN o.t_target ELSE o.n_bars - 1 END"""
 
 
@@ -172,17 +175,18 @@ def sub_orders(bars: DataFrame, pivots: DataFrame) -> DataFrame:
     return query(SUB_ORDERS, bars=bars, pivots=pivots)
 
 
-def backtest(bars: DataFrame, pivots: DataFrame, which: str = ORDERS) -> DataFrame:
+def backtest(bars: DataFrame, pivots: DataFrame, which: str = ORDERS, gap_stop_at_open: bool = False) -> DataFrame:
     """The fates of orders when a series holds one position at a time."""
-    return in_turn(query(fates_sql(which), bars=bars, pivots=pivots))
+    return in_turn(query(fates_sql(which, gap_stop_at_open=gap_stop_at_open), bars=bars, pivots=pivots))
 
 
 def placebo_sql(draws: int = 10, seed: int = 7) -> str:
-    """Orders moved to bars from a linear congruential sequence, all their prices in proportion to the close there."""
+    """Orders moved to scattered bars, each draw by itself, all their prices in proportion to the close there."""
     numbers = ", ".join(f"({i})" for i in range(draws))
-    at = f"(o.bar * 7919 + o.context_scale * 104729 + d.draw * 15485863 + {seed} * 32452843) % greatest(n.n_bars - 62, 1)"
+    place = scattered(f"cast(o.bar as bigint) * 7919 + o.context_scale * 104729 + d.draw * 15485863 + {seed * 32452843}")
+    at = f"{place} % greatest(n.n_bars - 62, 1)"
     return f"""
-SELECT p.source, p.symbol, p.timeframe, cast(p.new_bar as int) AS bar, p.direction, p.context_scale * 1000 + p.draw * 1000000 + p.bar % 1000 AS context_scale, p.p0 * k AS p0, p.p1 * k AS p1, p.limit_price * k AS limit_price, p.stop * k AS stop, p.target * k AS target,
+SELECT p.source, p.symbol, p.timeframe, cast(p.new_bar as int) AS bar, p.direction, cast(p.draw * 100 + p.context_scale as bigint) * 4294967296 + p.bar AS context_scale, p.p0 * k AS p0, p.p1 * k AS p1, p.limit_price * k AS limit_price, p.stop * k AS stop, p.target * k AS target,
        p.extended, cast(p.new_bar + p.expiry_bar - p.bar as int) AS expiry_bar, p.n_supporting
 FROM (SELECT q.*, e.close / b.close AS k FROM (SELECT o.*, d.draw, {at} AS new_bar FROM ({ORDERS}) o CROSS JOIN (VALUES {numbers}) AS d(draw) JOIN (SELECT {KEY}, count(*) AS n_bars FROM {{bars}} GROUP BY {KEY}) n ON {on("n", "o")}) q
       JOIN {{bars}} b ON {on("b", "q")} AND b.bar_idx = q.bar JOIN {{bars}} e ON {on("e", "q")} AND e.bar_idx = q.new_bar) p"""

@@ -15,6 +15,20 @@ def on(a: str, b: str) -> str:
     return f"{a}.source = {b}.source AND {a}.symbol = {b}.symbol AND {a}.timeframe = {b}.timeframe"
 
 
+#: A prime below 2^31: products of two remainders fit a bigint, and fifth powers permute them.
+PRIME = 2_147_483_647
+
+
+def scattered(number: str) -> str:
+    """A number from 0 to PRIME - 1 that looks random, the same in every engine; number: a bigint, not negative.
+
+    Not affine, so numbers that differ by a constant don't give places that do.
+    """
+    rest = f"(({number}) % {PRIME})"
+    square = f"({rest} * {rest} % {PRIME})"
+    return f"({square} * {square} % {PRIME} * {rest} % {PRIME})"
+
+
 #: Bars of a series in a block, as a power of two.
 BLOCK_BITS = 8
 _SPREAD = re.compile(r"<<spread (.+?) ;; (.+?) ;; (.+?)>>", re.S)

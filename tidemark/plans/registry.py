@@ -189,6 +189,7 @@ _add("zone_confluence", f"SELECT context_scale, n_supporting, count(*) AS n, rou
 _add("correction_decomposition", zones.DECOMPOSITIONS, "walk_h", _BP)
 _add("substructure_orders", f"SELECT {_ORDER} FROM ({zones.SUB_ORDERS}) o", "walk_h", _BP)
 _add("limit_fills", f"SELECT {_FATE} FROM ({zones.fates_sql(zones.ORDERS)}) o", "walk_h", _BP)
+_add("limit_fills_gap_at_open", f"SELECT {_FATE} FROM ({zones.fates_sql(zones.ORDERS, gap_stop_at_open=True)}) o", "walk_h", _BP)
 
 
 def _on_fates(name: str, template: str, which: str = zones.ORDERS) -> None:

@@ -23,7 +23,9 @@ SCHEMA = "source string, symbol string, timeframe string, ts_sec bigint, open do
 PAGE, PAUSE, TRIES = 1000, 0.12, 5
 RETRY = (418, 429, 500, 502, 503, 504)
 #: How far back the chart service gives each timeframe.
-PERIODS = {"15m": "60d", "1h": "730d", "1d": "max"}
+PERIODS = {"15m": "60d", "1h": "730d", "1d": "max", "1w": "max"}
+#: What the chart service calls a timeframe where that differs.
+INTERVALS = {"1w": "1wk"}
 
 
 def fetch(url: str, tries: int = TRIES, base: float = 1.0, grow: float = 2.0) -> object:
@@ -78,7 +80,7 @@ class _Reader(DataSourceReader):
             time.sleep(PAUSE)
 
     def _chart(self, part: _Range) -> Iterator[tuple]:
-        page = fetch(self.o["url"].format(symbol=part.symbol, timeframe=self.o["timeframe"], period=PERIODS.get(self.o["timeframe"], "max")), base=float(self.o.get("wait", 45)), grow=1.6)
+        page = fetch(self.o["url"].format(symbol=part.symbol, timeframe=self.o["timeframe"], interval=INTERVALS.get(self.o["timeframe"], self.o["timeframe"]), period=PERIODS.get(self.o["timeframe"], "max")), base=float(self.o.get("wait", 45)), grow=1.6)
         quotes = page["indicators"]["quote"][0]
         for row in zip(page["timestamp"], *(quotes[c] for c in ("open", "high", "low", "close", "volume")), strict=True):
             if None not in row[:5]:
