@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_mixing, op2_tokens, op3_near_dups, op4_fingerprints, op5_token_ids, op6_quality, op7_html, op8_pii, op9_toxicity, op10_decontamination
+from tidemark.llm import (
+    op1_mixing,
+    op2_tokens,
+    op3_near_dups,
+    op4_fingerprints,
+    op5_token_ids,
+    op6_quality,
+    op7_html,
+    op8_pii,
+    op9_toxicity,
+    op10_decontamination,
+    op11_manifest,
+    op12_exact_dedup,
+    op13_whitening,
+)
 
 _QUERIES = (
     op1_mixing.op1_mixing,
@@ -15,8 +29,11 @@ _QUERIES = (
     op8_pii.op8_pii,
     op9_toxicity.op9_toxicity,
     op10_decontamination.op10_decontamination,
+    op11_manifest.op11_manifest,
+    op12_exact_dedup.op12_exact_dedup,
+    op13_whitening.op13_whitening,
 )
-_SQL = {"op1_mixing": op1_mixing.SQL, "op3_near_dups": op3_near_dups.SQL, "op10_decontamination": op10_decontamination.SQL}
+_SQL = {"op1_mixing": op1_mixing.SQL, "op3_near_dups": op3_near_dups.SQL, "op10_decontamination": op10_decontamination.SQL, "op12_exact_dedup": op12_exact_dedup.SQL}
 
 
 def queries() -> dict:
