@@ -196,5 +196,47 @@ def with_proofs(docs: DataFrame) -> DataFrame:
         return stored(out.withColumn("verified", F.col("folded_root") == F.col("root")), "op11")
 
 
+def _climb(tree: str, leaves_: str, levels: int, start: str) -> str:
+    """CTEs for checking: the levels of trees, and a fold for each row of `start` (tree, idx, size, proof, folded) up to the root."""
+    out, rows = "", start
+    for k in range(levels):
+        below = leaves_ if k == 0 else f"{tree}_n{k}"
+        out += f"""
+{tree}_r{k} AS MATERIALIZED (SELECT tree, idx // {ARITY} AS run, list(digest ORDER BY idx) AS d FROM {below} GROUP BY tree, idx // {ARITY} HAVING any_value(size) > 1),
+{tree}_n{k + 1} AS MATERIALIZED (SELECT r.tree, run AS idx, sha256(array_to_string(d, '')) AS digest, (s.size + {ARITY} - 1) // {ARITY} AS size FROM {tree}_r{k} r JOIN (SELECT DISTINCT tree, size FROM {below}) s USING (tree)),
+{tree}_p{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.idx // {ARITY} AS idx, CASE WHEN d IS NULL THEN proof ELSE proof || array_to_string(d[:p.idx % {ARITY}], '') || array_to_string(d[p.idx % {ARITY} + 2:], '') END AS proof,
+  CASE WHEN d IS NULL THEN folded ELSE sha256(array_to_string(d[:p.idx % {ARITY}], '') || folded || array_to_string(d[p.idx % {ARITY} + 2:], '')) END AS folded) FROM {rows} p LEFT JOIN {tree}_r{k} r ON r.tree = p.tree AND r.run = p.idx // {ARITY}),"""
+        rows = f"{tree}_p{k + 1}"
+    return out
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def check_sql(levels: int = 13) -> str:
+    """The same level by level for all rows at once, and the checksum from its definition. levels: enough for 3^levels leaves a source."""
+    table = "list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c // 256, crc_table[xor(c, b) % 256 + 1])), 4294967295)"
+    roots = " UNION ALL ".join(f"SELECT tree, digest FROM {'leaf' if k == 0 else f'own_n{k}'} WHERE size = 1" for k in range(levels + 1))
+    tops = " UNION ALL ".join(f"SELECT digest FROM {'subroot' if k == 0 else f'top_n{k}'} WHERE size = 1" for k in range(levels + 1))
+    return f"""
+WITH crc AS (SELECT {table} AS crc_table),
+row0 AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN {crc} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS folded FROM documents, crc),
+row1 AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS size FROM row0),
+leaf AS (SELECT tree, idx, leaf AS digest, size FROM row1), start AS (SELECT doc_id, leaf, tree AS own, tree, idx, '' AS proof, folded FROM row1),
+{_climb("own", "leaf", levels, "start")}
+subroots AS MATERIALIZED ({roots}),
+subroot AS (SELECT -1 AS tree, tree AS idx, digest, count(*) OVER () AS size FROM subroots),
+up AS (SELECT p.* REPLACE (-1 AS tree, p.own AS idx), s.digest AS subroot FROM own_p{levels} p JOIN subroots s ON s.tree = p.own),
+{_climb("top", "subroot", levels, "up")}
+root AS ({tops})
+SELECT doc_id, leaf, subroot, root.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.digest AS verified FROM top_p{levels}, root"""
+
+
+SQL = check_sql()
+
+
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_proofs(documents(spark, sf_dir))

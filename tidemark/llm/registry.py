@@ -33,7 +33,7 @@ _QUERIES = (
     op12_exact_dedup.op12_exact_dedup,
     op13_whitening.op13_whitening,
 )
-_SQL = {"op1_mixing": op1_mixing.SQL, "op3_near_dups": op3_near_dups.SQL, "op10_decontamination": op10_decontamination.SQL, "op12_exact_dedup": op12_exact_dedup.SQL}
+_SQL = {"op1_mixing": op1_mixing.SQL, "op3_near_dups": op3_near_dups.SQL, "op10_decontamination": op10_decontamination.SQL, "op11_manifest": op11_manifest.SQL, "op12_exact_dedup": op12_exact_dedup.SQL}
 
 
 def queries() -> dict:
