@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.functions import indicators
 from tidemark.operators import lattice
 from tidemark.plans import duck
+from tidemark.plans.frames import with_view
 from tidemark.sources import bars
 
 _kept: dict[tuple, DataFrame] = {}
@@ -24,7 +25,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """A frame that several queries read is computed once a session; Spark drops it to disk where memory is short."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        _kept[key] = with_view(make().persist(StorageLevel.MEMORY_AND_DISK))
     return _kept[key]
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 
@@ -61,6 +63,21 @@ def plain(template: str) -> str:
     return _IN_BLOCK.sub("", _SPREAD.sub(lambda m: m[1], template))
 
 
+#: The views of frames that are kept.
+_views: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def with_view(df: DataFrame) -> DataFrame:
+    """df, which queries read from now on by a view that stays: a view that is dropped takes its frame's cache with it."""
+    if df not in _views:
+        name = f"tidemark_{uuid4().hex}"
+        df.createOrReplaceGlobalTempView(name)
+        _views[df] = f"global_temp.{name}"
+    return df
+
+
 def query(template: str, **frames: DataFrame) -> DataFrame:
     spark = next(iter(frames.values())).sparkSession
-    return spark.sql(blocked(template), **frames)
+    # other frames are named by Spark for the time of the call
+    named = blocked(template).format(**{name: _views.get(df, "{" + name + "}") for name, df in frames.items()})
+    return spark.sql(named, **{name: df for name, df in frames.items() if df not in _views})
