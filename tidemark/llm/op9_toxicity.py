@@ -1,14 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear in which words a text holds; a word is told by its hash among BUCKETS, so there is no
-vocabulary to be cut. It learns from confirmed toxic texts and from a sample of all texts, whose labels aren't looked
+The classifier is linear in which words a text holds; a word is told by its hash among BUCKETS, and every bucket that a
+text of the samples holds has a weight. How far it can move hangs on its evidence: a bucket's value is the squared log
+of how often toxic texts hold it over how often they would if it told nothing, both with KAPPA added, so buckets
+that a few texts hold or all texts alike hold have small values. It learns from confirmed toxic texts and from a sample of all texts, whose labels aren't looked
 at and of which a part `prior` is toxic as well. The risk of calling an unlabelled text clean is the mean loss over
 unlabelled texts less prior times that over toxic ones; where a step makes this estimate negative, the model
 has begun to learn the sample by heart, and the step goes the other way for that part. Labels of clean texts are
 used only to estimate the prior.
 
-Both samples are bounded (MOST_TOXIC, MOST_UNLABELLED). How many texts of each hold a word is counted in Spark; only
-words that are telling reach the driver, the rest would get no weight. Scoring goes over every text where it lies.
+Both samples are bounded (MOST_TOXIC, MOST_UNLABELLED) and reach the driver as buckets. Scoring goes over every text
+where it lies.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from tidemark.llm.labelled import fold, labels_of, sample, with_texts
 #: The samples from which the classifier is learned.
 MOST_TOXIC, MOST_UNLABELLED = 5_000, 12_000
 BUCKETS = 1 << 20
-#: A word is telling if so many of the toxic texts hold it, and if it is so much more frequent there.
-LEAST_TEXTS, MORE_FREQUENT = 5, 1.5
-STEPS = 400
+STEPS = 200
+#: Texts that count as seen for every bucket before any is.
+KAPPA = 5.0
 FOLDS, HELD_OUT = 5, 0
 _AROUND = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -81,25 +83,37 @@ class Risk:
         return self.prior * float(np.mean(np.logaddexp(0, -zp))), float(clean_risk), slope
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], telling: np.ndarray, prior: float) -> Classifier:
-    """Full-batch Adam on the non-negative risk with logistic loss; a text is the places of its words among the telling ones.
+def evidence(risk: Risk) -> np.ndarray:
+    """Each bucket's value: 0 where it tells nothing, whatever its sign."""
+    (_, cp, n), (_, cu, m) = risk.toxic, risk.unlabelled
+    seen, expected = np.bincount(cp, minlength=risk.k), np.bincount(cu, minlength=risk.k) * (n / m)
+    return np.log((seen + KAPPA) / (expected + KAPPA)) ** 2
+
+
+def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
+    """Full-batch Adam on the non-negative risk with logistic loss; a text is the buckets of its words, and every bucket of any text has a weight.
 
     Without toxic texts nothing is toxic.
     """
-    k = len(telling)
     if not len(toxic) or not len(unlabelled):
         return Classifier({}, 5.0 if len(toxic) else -5.0)
-    entries = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.asarray(r, np.int64) for r in rows]), len(rows))
+    # weights of buckets that no text holds would stay 0
+    present = np.unique(np.concatenate([np.asarray(r, np.int64) for r in (*toxic, *unlabelled)]))
+    place = np.zeros(BUCKETS, np.int64)
+    place[present] = np.arange(len(present))
+    k = len(present)
+    entries = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), place[np.concatenate([np.asarray(r, np.int64) for r in rows])], len(rows))
     prior = min(max(prior, 1e-4), 0.9)
     risk = Risk(entries(toxic), entries(unlabelled), k, prior)
+    value = evidence(risk)
     w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, STEPS + 1):
-        slope = risk.at(w, b)[2] + np.append(1e-4 * w, 0.0)
+        slope = risk.at(w * value, b)[2] * np.append(value, 1.0) + np.append(1e-4 * w, 0.0)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Classifier(dict(zip(telling.tolist(), w.tolist(), strict=True)), float(b))
+    return Classifier(dict(zip(present.tolist(), (w * value).tolist(), strict=True)), float(b))
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED) -> Classifier:
@@ -120,20 +134,8 @@ def learned(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, mo
     chosen = toxic.withColumn("positive", F.lit(1)).union(unlabelled.withColumn("positive", F.lit(0)))
     with Scratch(docs.sparkSession) as scratch:
         texts = scratch.stored(with_texts(chosen, docs, whole_text()).select("doc_id", "positive", hashed("text").alias("words")), "toxic")
-        n = dict(texts.groupBy("positive").count().collect())
-        held = texts.select("positive", F.explode("words").alias("bucket")).groupBy("bucket").agg(F.sum("positive").alias("toxic"), F.count_if(F.col("positive") == 0).alias("others"))
-        often = F.col("toxic") / F.lit(max(1, n.get(1, 0))) >= MORE_FREQUENT * F.col("others") / F.lit(max(1, n.get(0, 0)))
-        # at most BUCKETS numbers
-        telling = np.array(sorted(r.bucket for r in held.filter((F.col("toxic") >= LEAST_TEXTS) & often).select("bucket").collect()), np.int64)
-        place = np.full(BUCKETS, -1, np.int32)
-        place[telling] = np.arange(len(telling))
-
-        @F.pandas_udf("array<int>")
-        def placed(rows: pd.Series) -> pd.Series:
-            return rows.map(lambda x: (p := place[x])[p >= 0])
-
-        rows = texts.select("doc_id", "positive", placed("words").alias("x")).orderBy("positive", "doc_id").toPandas()
-    return fit(rows.x[rows.positive == 1].tolist(), rows.x[rows.positive == 0].tolist(), telling, float(prior))
+        rows = texts.orderBy("positive", "doc_id").toPandas()
+    return fit(rows.words[rows.positive == 1].tolist(), rows.words[rows.positive == 0].tolist(), float(prior))
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
