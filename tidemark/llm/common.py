@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -123,6 +123,27 @@ def joined_by(left: DataFrame, right: DataFrame, key: str, spread: str, how: str
     return cut.join(dealt, on, how).drop(*on[1:])
 
 
+def numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """rows with `name`: their number from 0 within each key, in the order of a hash of all columns.
+
+    rows should be stored ones. They are sorted into ranges and written with a number that counts within them, and only
+    the counts of ranges are summed, so a key may hold any part of the rows. Rows that the hash doesn't tell
+    apart are numbered as they lie.
+    """
+    tie, row, at, part, first, before = fresh(rows, "tie", "row", "at", "part", "first", "before")
+    own = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"])
+    order = [F.col(c).asc_nulls_first() for c in (*key, tie, row)]
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumns({tie: own, row: F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    kept = stored(ranged.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)).drop(tie, row), "numbered")
+    # a row for each range and key that meet
+    runs = kept.groupBy(part, *key).agg(F.min(at).alias(first), F.count("*").alias("n"))
+    earlier = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n").withColumnsRenamed({c: f"run_{c}" for c in (part, *key)})
+    same = [F.col(c).eqNullSafe(F.col(f"run_{c}")) for c in (part, *key)]
+    return kept.join(runs, same).withColumn(name, F.col(before) + F.col(at) - F.col(first)).select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text; a missing one counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

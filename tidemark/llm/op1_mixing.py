@@ -12,7 +12,7 @@ more; then, of those beyond the cut, the ones small enough for what is still mis
 so on. Cuts are thresholds on that order, so documents are chosen by a join with the small table of sources. Each
 cut is found by narrowing: sums over the 256 next ranges of the order say in which of them it lies, until
 that range holds few rows, whatever the source's size. Rows equal in doc_id and text have one place; where the cut falls on
-them, the part that fits is taken by a hash of each row's place in the table's files.
+them, they alone are numbered, in the order of a hash of all columns, and as many as fit are taken.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, documents, fresh, set_aside, stored, whole_text
+from tidemark.llm.common import Scratch, documents, fresh, numbered, set_aside, stored, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -68,9 +68,9 @@ def _same(a: str, b: str) -> Column:
 
 
 def _cut(sizes: DataFrame, need: DataFrame, scratch: Scratch) -> DataFrame:
-    """(source, cut, edge, part, got) for each source of need(source, need) that has rows in sizes(source, place, size).
+    """(source, cut, edge, fit, got) for each source of need(source, need) that has rows in sizes(source, place, size).
 
-    Rows before the place `cut` make `got` words, at most `need`, together with the `part` (0 to 1) of those at `edge`.
+    Rows before the place `cut` make `got` words, at most `need`, together with `fit` of those at `edge`.
     """
     at = scratch.stored(need.select(F.col("source").alias("s"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"), "need"), "at")
     ends, digits = None, 0
@@ -83,7 +83,7 @@ def _cut(sizes: DataFrame, need: DataFrame, scratch: Scratch) -> DataFrame:
         crossed = sums.filter("upto > need").groupBy("source").agg(F.min(F.struct("range", "upto", "in_range", "n")).alias("x")).select("source", "x.*")
         whole = sums.groupBy("source").agg(F.max("upto").alias("all"), F.first("need").alias("need"))
         found = scratch.stored(whole.join(crossed.withColumnRenamed("source", "s"), _same("source", "s"), "left").drop("s"), "found")
-        done = found.filter("range is null").select("source", F.lit("~").alias("cut"), F.lit("").alias("edge"), F.lit(0.0).alias("part"), F.col("all").alias("got"))
+        done = found.filter("range is null").select("source", F.lit("~").alias("cut"), F.lit("").alias("edge"), F.lit(0).cast("long").alias("fit"), F.col("all").alias("got"))
         ends = done if ends is None else ends.union(done)
         digits += RANGE_DIGITS
         at = found.filter("range is not null").select(F.col("source").alias("s"), F.col("range").alias("prefix"), (F.col("upto") - F.col("in_range")).alias("before"), "need", "n")
@@ -99,10 +99,10 @@ def _cut(sizes: DataFrame, need: DataFrame, scratch: Scratch) -> DataFrame:
     edge = by_place.withColumn("upto", upto).filter("upto > need").groupBy("source").agg(F.min(F.struct("place", "upto", "in_place", "n", "need")).alias("x")).select("source", "x.*")
     size = F.col("in_place") / F.col("n")  # rows of one place have one text
     fit = F.floor((F.col("need") - F.col("upto") + F.col("in_place")) / size)
-    return ends.union(edge.select("source", F.col("place").alias("cut"), F.col("place").alias("edge"), fit / F.col("n"), (F.col("upto") - F.col("in_place") + fit * size).cast("long")))
+    return ends.union(edge.select("source", F.col("place").alias("cut"), F.col("place").alias("edge"), fit.cast("long"), (F.col("upto") - F.col("in_place") + fit * size).cast("long")))
 
 
-_BAND = "struct<most:bigint,cut:string,edge:string,part:double>"
+_BAND = "struct<most:bigint,cut:string,edge:string,fit:bigint>"
 
 
 def mix(
@@ -113,8 +113,8 @@ def mix(
     weights go to the sources in code point order, null last, again from the first when they run out.
     times says how often the mix takes the whole document, taken how many words that makes. A null or
     empty text has size 0; a null source is a source; repeated rows and equal or null ids are rows like others; an
-    empty table gives an empty one; other columns stay, whatever their names. Sources come within one document of
-    their target (or, where it is cut among equal rows, near it); no row is taken more than ceil(cap) times. The table
+    empty table gives an empty one; other columns stay, whatever their names; texts of any length are counted whole. Sources
+    come within one document of their target; of rows equal in id and text as many are taken as fit; no row is taken more than ceil(cap) times. The table
     of sources is sorted as a whole, so it should have no more than some millions of rows.
     """
     docs = docs.drop(*ADDED)
@@ -129,23 +129,30 @@ def mix(
             need = scratch.stored(bands, "bands")
             last = F.element_at("bands", -1) if k else F.lit(None).cast(_BAND)
             bounds = need.select(F.col("source").alias("s"), "need", last.alias("last"))
-            beyond = F.col("last").isNull() | (F.col("size") > F.col("last.most")) | (F.col("place") > F.col("last.cut")) | ((F.col("place") == F.col("last.cut")) & (F.col("last.part") == 0))
+            beyond = F.col("last").isNull() | (F.col("size") > F.col("last.most")) | (F.col("place") > F.col("last.cut")) | ((F.col("place") == F.col("last.cut")) & (F.col("last.fit") == 0))
             left = left.join(bounds, _same("source", "s")).filter((F.col("size") <= F.col("need")) & beyond).select("source", "place", "size")
             cut = _cut(left, need.select("source", "need"), scratch).withColumnRenamed("source", "s")
-            none = F.struct(F.lit(-1).cast("long").alias("most"), F.lit("").alias("cut"), F.lit("").alias("edge"), F.lit(0.0).alias("part"))
-            band = F.when(F.col("cut").isNotNull(), F.struct(F.col("need").alias("most"), "cut", "edge", "part")).otherwise(none)
+            none = F.struct(F.lit(-1).cast("long").alias("most"), F.lit("").alias("cut"), F.lit("").alias("edge"), F.lit(0).cast("long").alias("fit"))
+            band = F.when(F.col("cut").isNotNull(), F.struct(F.col("need").alias("most"), "cut", "edge", "fit")).otherwise(none)
             bands = need.join(cut, _same("source", "s"), "left").select(
                 "source", "source_size", "target", "whole", F.array_append("bands", band).alias("bands"), (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")
             )
         plan = stored(bands, "mix")
-    s, place, whole, bands, row = fresh(docs, "mix_source", "mix_place", "mix_whole", "mix_bands", "mix_row")
+    s, place, whole, bands, number = fresh(docs, "mix_source", "mix_place", "mix_whole", "mix_bands", "mix_number")
     plan = plan.select(F.col("source").alias(s), "source_size", "target", F.col("whole").alias(whole), F.col("bands").alias(bands))
-    sized = docs.withColumn("size", n_words(whole_text())).withColumn(place, order_key(seed)).withColumn(row, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30))
-    taken = lambda b: (F.col("size") <= b["most"]) & ((F.col(place) < b["cut"]) | ((F.col(place) == b["edge"]) & (F.col(row) < b["part"])))
+    sized = docs.withColumn("size", n_words(whole_text())).withColumn(place, order_key(seed)).join(plan, F.col("source").eqNullSafe(F.col(s)))
+    at_edge = lambda b: (F.col("size") <= b["most"]) & (F.col(place) == b["edge"]) & (b["fit"] > 0)
+    if plan.filter(F.exists(bands, lambda b: b["fit"] > 0)).isEmpty():
+        sized = sized.withColumn(number, F.lit(0).cast("long"))
+    else:  # cuts among equal rows: these are numbered
+        tied = F.exists(bands, at_edge)
+        equal = numbered(stored(sized.filter(tied).drop(s, "source_size", "target", whole, bands), "tied"), ["source", place], number)
+        apart = sized.filter(~tied).withColumn(number, F.lit(0).cast("long"))
+        sized = apart.unionByName(equal.join(plan, F.col("source").eqNullSafe(F.col(s))))
+    taken = lambda b: ((F.col("size") <= b["most"]) & (F.col(place) < b["cut"])) | (at_edge(b) & (F.col(number) < b["fit"]))
     chosen = F.exists(bands, taken) & (F.col("size") > 0)
     return (
-        sized.join(plan, F.col("source").eqNullSafe(F.col(s)))
-        .withColumn("times", F.col(whole) + chosen.cast("int"))
+        sized.withColumn("times", F.col(whole) + chosen.cast("int"))
         .withColumn("taken", (F.col("size") * F.col("times")).cast("long"))
         .select(*docs.columns, *ADDED)
     )
