@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.operators import rules
-from tidemark.plans.frames import KEY, query
+from tidemark.plans.frames import KEY, on, query
 
 KEEP = f"{KEY}, scale, seq, p0, p1, p2, p3, p4, p5, p6, p7, i0, i1, i2, i3, i4, i5, i6, i7, c0, c1, c2, c3, c4, c5, c6, c7"
 _LAST = {name: len(waves) for name, waves in rules.PATTERNS.items()}
@@ -82,3 +82,14 @@ def alive_sql(bar: int) -> str:
     return f"""
 SELECT h.source, h.symbol, h.timeframe, h.scale, h.next_wave, h.direction, CASE WHEN h.direction > 0 THEN b.low > h.invalidation ELSE b.high < h.invalidation END AS alive
 FROM ({hypotheses_sql(bar)}) h JOIN {{bars}} b ON b.source = h.source AND b.symbol = h.symbol AND b.timeframe = h.timeframe AND b.bar_idx = {int(bar)}"""
+
+
+#: Hypotheses of bar 400 as they are placed on a stream, and, for checking, the first later bar that ends each.
+PLACED = f"""
+SELECT h.source, h.symbol, h.timeframe, h.scale, h.next_wave, h.direction, 400 AS bar, concat_ws('|', h.source, h.symbol, h.timeframe, cast(h.scale as string), cast(h.next_wave as string)) AS id,
+       h.invalidation AS dead, cast(NULL as double) AS limit_price, cast(NULL as int) AS expiry_bar, b.ts_sec, cast(NULL as bigint) AS deadline_sec
+FROM ({hypotheses_sql(400)}) h JOIN {{bars}} b ON {on("b", "h")} AND b.bar_idx = 400"""
+INVALID = f"""
+SELECT h.source, h.symbol, h.timeframe, h.scale, h.next_wave, h.direction, min(CASE WHEN h.direction > 0 AND b.low <= h.invalidation OR h.direction < 0 AND b.high >= h.invalidation THEN b.bar_idx END) AS invalid_bar
+FROM ({hypotheses_sql(400)}) h JOIN {{bars}} b ON {on("b", "h")} AND b.bar_idx > 400
+WHERE EXISTS (SELECT 1 FROM {{bars}} x WHERE {on("x", "h")} AND x.bar_idx = 400) GROUP BY h.source, h.symbol, h.timeframe, h.scale, h.next_wave, h.direction"""

@@ -135,6 +135,15 @@ SELECT o.source, o.symbol, o.timeframe, o.bar, o.context_scale, o.context_scale
 FROM ended o LEFT JOIN {{bars}} x ON {on("x", "o")} AND x.bar_idx = CASE o.reason WHEN 'stop' THEN o.t_stop WHEN 'target' THEN o.t_target ELSE o.n_bars - 1 END"""
 
 
+#: How long an order can wait at most where no bar comes, in seconds.
+DEADLINE = 366 * 86_400
+#: Orders as they are placed on a stream: an identifier, the price at which they are missed, and their last second.
+PLACED = f"""
+SELECT o.source, o.symbol, o.timeframe, o.bar, o.context_scale, o.direction, concat_ws('|', o.source, o.symbol, o.timeframe, cast(o.context_scale as string), cast(o.bar as string), cast(o.i1 as string)) AS id,
+       o.p1 + o.direction * abs(o.p1 - o.p0) AS dead, o.limit_price, o.expiry_bar, b.ts_sec, b.ts_sec + {DEADLINE} AS deadline_sec
+FROM ({ORDERS}) o JOIN {{bars}} b ON {on("b", "o")} AND b.bar_idx = o.bar"""
+
+
 def _in_turn(orders: pd.DataFrame) -> pd.DataFrame:
     """Skips orders that are placed while the last trade still runs."""
     orders, busy, status = orders.sort_values(["bar", "context_scale"], kind="stable").copy(), -1, []

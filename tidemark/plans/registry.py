@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators
 from tidemark.operators import charts, execution, features, integrity, labeling, lattice, ratios, risk, signals, zones
 from tidemark.plans import base, duck
+from tidemark.plans.frames import on as plain_on
 from tidemark.plans.frames import plain, query
 from tidemark.sources import bars, catalog
+from tidemark.streaming import indicators as sliding
+from tidemark.streaming import points, replay, waiting
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -281,17 +284,77 @@ _own("challenge_mc", _challenge)
 _own("challenge_best_risk", lambda spark, sf_dir: risk.best_risk(_challenge(spark, sf_dir)))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
+# ---- streams: tables replayed in batches, the state kept between them ----
+_STREAMED = ("mean_50", "max_60", "min_60", "volume_20", "linreg_20", "squeeze_on", "squeeze_off", "momentum", "ret_5", "ret_20", "ret_60", "ret_120")
+_PLACES = {"mean_50": 6, "volume_20": 6, "linreg_20": 4, "momentum": 4, "ret_5": 9, "ret_20": 9, "ret_60": 9, "ret_120": 9, "mean_200": 6}
+_rounded = lambda c: f"round({c}, {_PLACES[c]}) AS {c}" if c in _PLACES else c
+
+
+def _stream_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = base.frame(spark, sf_dir, "bars", "walk_h")
+    found = replay.replayed(bars, sliding.sliding, "bar_idx", replay.even_cuts(bars, "bar_idx", 3))
+    return found.selectExpr("source", "symbol", "timeframe", "bar_idx", "round(mean_200, 6) AS mean_200", *map(_rounded, _STREAMED))
+
+
+_WINDOWS = " JOIN ".join(
+    f"({t.format(bars='walk_h')}) {a}" + (f" ON {plain_on('r', a)} AND r.bar_idx = {a}.bar_idx" if a != "r" else "")
+    for a, t in (("r", indicators.ROLLING), ("l", indicators.LINREG), ("q", indicators.SQUEEZE), ("g", indicators.LOG_RETURNS), ("m", f"SELECT source, symbol, timeframe, bar_idx, {indicators.rolling('avg(close)', 200)} AS mean_200 FROM {{bars}}"))
+)
+_own("stream_indicators", _stream_indicators, f"{base.with_sql('walk_h', ())} SELECT r.source, r.symbol, r.timeframe, r.bar_idx, {', '.join(map(_rounded, ('mean_200', *_STREAMED)))} FROM {_WINDOWS}")
+
+
+def _waits(spark: SparkSession, sf_dir: str, placed: DataFrame, parts: int = 3) -> DataFrame:
+    """What becomes of what is placed, the bars cut at even times; the clock then passes all deadlines."""
+    bars = base.frame(spark, sf_dir, "bars", "walk_h")
+    first, last = bars.agg(F.min("ts_sec"), F.max("ts_sec")).first()
+    if first is None:
+        first = last = 0
+    after = last + 2 * zones.DEADLINE
+    events = waiting.events_of(bars, placed, clock=(after, after + 1))
+    cuts = [first + (last + 1 - first) * k // parts for k in range(1, parts)] + [last + 1, after + 1]
+    return replay.replayed(events, waiting.ends, "ts_sec", cuts)
+
+
+def _stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
+    placed = base.kept(spark, sf_dir, "placed orders", lambda: query(zones.PLACED, **frames))
+    ended = _waits(spark, sf_dir, placed)
+    return query("SELECT p.source, p.symbol, p.timeframe, p.bar, p.context_scale, p.direction, e.what AS status, CASE WHEN e.what = 'filled' THEN e.bar_idx END AS entry_bar FROM {placed} p LEFT JOIN {ended} e ON e.id = p.id", placed=placed, ended=ended)
+
+
+_own("stream_orders", _stream_orders, f"{base.with_sql('walk_h', _P)} SELECT source, symbol, timeframe, bar, context_scale, direction, status, entry_bar FROM ({zones.fates_sql(zones.ORDERS).format(bars='walk_h', pivots='pivots')}) f")
 
-    from tidemark.streaming import points
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-    return points.replayed(base.frame(spark, sf_dir, "bars", "walk_h"), folder)
+def _stream_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
+    placed = base.kept(spark, sf_dir, "placed hypotheses", lambda: query(labeling.PLACED, **frames))
+    ended = _waits(spark, sf_dir, placed)
+    return query("SELECT p.source, p.symbol, p.timeframe, p.scale, p.next_wave, p.direction, e.bar_idx AS invalid_bar FROM {placed} p LEFT JOIN {ended} e ON e.id = p.id", placed=placed, ended=ended)
+
+
+_own("stream_hypotheses", _stream_hypotheses, f"{base.with_sql('walk_h', _P)} SELECT * FROM ({labeling.INVALID.format(bars='walk_h', pivots='pivots')}) f")
+
+_BOOKED = """
+SELECT t.source AS portfolio, t.symbol, concat(t.symbol, '/', cast(t.context_scale as varchar(9))) AS cluster, e.ts_sec AS entry_sec, x.ts_sec AS exit_sec, t.r, 0.1e0 AS max_drawdown
+FROM {trades} t JOIN {bars} e ON e.source = t.source AND e.symbol = t.symbol AND e.timeframe = t.timeframe AND e.bar_idx = t.entry_bar
+JOIN {bars} x ON x.source = t.source AND x.symbol = t.symbol AND x.timeframe = t.timeframe AND x.bar_idx = t.exit_bar"""
+
+
+def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unselected signals, so that positions overlap."""
+    frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
+    trades = base.kept(spark, sf_dir, "candidates", lambda: query(execution.CANDIDATES, **frames))
+    rows = base.kept(spark, sf_dir, "booked", lambda: query(_BOOKED, trades=trades, bars=frames["bars"]))
+    middle = rows.approxQuantile("entry_sec", [0.3, 0.7], 0.05)
+    played = replay.replayed(rows, waiting.book, "entry_sec", [int(x) for x in middle])
+    return played.selectExpr("portfolio", "symbol", "cluster", "entry_sec", "exit_sec", "round(r, 7) AS r", "round(allowed, 9) AS allowed")
+
+
+_own("book_allowed", _book, f"{base.with_sql('walk_h', _P)}, candidates AS ({execution.CANDIDATES.format(bars='walk_h', pivots='pivots')}), booked AS ({_BOOKED.format(trades='candidates', bars='walk_h')}) {risk.book_check_sql('SELECT * FROM booked')}")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.replayed(base.frame(spark, sf_dir, "bars", "walk_h"))
 
 
 _add("stream_pivots", "SELECT source, symbol, timeframe, scale, idx, price, kind, confirmed_idx, is_anchor FROM {pivots}", "walk_h", _P)

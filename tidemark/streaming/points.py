@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import kernel
 from tidemark.sources.bars import SERIES
+from tidemark.streaming import replay
 
 OUT = "source string, symbol string, timeframe string, scale int, idx int, price double, kind int, confirmed_idx int, is_anchor boolean"
 _STATE = "lattice binary, fed int"
@@ -52,60 +53,6 @@ def closed_bars(ticks: DataFrame, timeframe: str, late: str = "1 hour") -> DataF
     return made.select("source", "symbol", F.lit(timeframe).alias("timeframe"), F.unix_timestamp("w.start").alias("ts_sec"), "open", "high", "low", "close", "volume")
 
 
-def replayed(bars: DataFrame, folder: str, batches: int = 4) -> DataFrame:
-    """A table of bars run through the stream in so many files, and what came out; for tests and small replays."""
-    import uuid
-
-    from pyspark.sql import functions as F
-
-    spark = bars.sparkSession
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    most = bars.agg(F.max("bar_idx")).first()[0] or 0
-    for k in range(batches):
-        lo, hi = k * (most + 1) // batches, (k + 1) * (most + 1) // batches
-        bars.filter((F.col("bar_idx") >= lo) & (F.col("bar_idx") < hi)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    run = turning_points(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{path}/out")
-
-
-# ---- hypotheses and orders that wait: both are judged by each new bar of their series ----
-
-ENDS = "source string, symbol string, timeframe string, id string, what string, bar_idx int"
-_WAITING = "held binary"
-
-
-def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = pickle.loads(state.get[0]) if state.exists else {}
-    rows = pd.concat(list(batches)).sort_values(["bar_idx", "is_bar"], kind="stable")
-    out = []
-    for r in rows.itertuples():
-        if not r.is_bar:
-            held[r.id] = (r.direction, r.dead, r.limit_price, r.expiry_bar, r.bar_idx)
-            continue
-        for name, (d, dead, limit, expiry, placed) in list(held.items()):
-            if r.bar_idx <= placed:
-                continue
-            # a hypothesis ends beyond or at its price; an order is missed there, filled at its limit, or it expires
-            broken = (r.low <= dead if d > 0 else r.high >= dead) if pd.isna(limit) else (r.high >= dead if d > 0 else r.low <= dead)
-            touched = not pd.isna(limit) and (r.low <= limit if d > 0 else r.high >= limit)
-            late = not pd.isna(expiry) and r.bar_idx > expiry
-            what = "expired" if late else ("invalid" if pd.isna(limit) else "missed") if broken else "filled" if touched else None
-            if what:
-                out.append((name, what, int(r.bar_idx)))
-                del held[name]
-    state.update((pickle.dumps(held),))
-    found = pd.DataFrame(out, columns=["id", "what", "bar_idx"])
-    for name, value in zip(SERIES, key, strict=True):
-        found[name] = value
-    yield found[[*SERIES, "id", "what", "bar_idx"]]
-
-
-def ends(events: DataFrame) -> DataFrame:
-    """What becomes of hypotheses and limit orders, bar by bar.
-
-    events: source, symbol, timeframe, bar_idx, is_bar, high, low (of bars), id, direction, dead (the price that
-    ends it), limit_price (null: a hypothesis), expiry_bar. An order counts from the bar after its own.
-    """
-    return events.groupBy(*SERIES).applyInPandasWithState(_judge, ENDS, _WAITING, "append", GroupStateTimeout.NoTimeout)
+def replayed(bars: DataFrame, batches: int = 4) -> DataFrame:
+    """A table of bars run through the stream in so many batches, and what came out."""
+    return replay.replayed(bars, turning_points, "bar_idx", replay.even_cuts(bars, "bar_idx", batches))
