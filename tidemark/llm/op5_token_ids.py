@@ -140,11 +140,11 @@ class _Words:
         kept, codes = self.kept, {}
         parts = {w: w.rstrip(_MARKS) for w in new}
         # the tokenizer lowers case first: a letter whose lower case ends in a combining mark isn't parted from what follows
-        bases = {b for w, b in parts.items() if len(b) < len(w) and b.isalpha() and b[-1].lower()[-1].isalpha()}
+        bases = {b for w, b in parts.items() if len(b) < len(w) and b.isalpha() and (b.isascii() or b[-1].lower()[-1].isalpha())}
         tails = {w[len(b) :] for w, b in parts.items() if b in bases}
         whole = {w for w, b in parts.items() if b not in bases or b == w}
         wanted = [w for w in whole | bases | tails if w not in kept]
-        codes |= self._letters([w for w in wanted if w.isalpha() and w.lower().isalpha()])
+        codes |= self._letters([w for w in wanted if w.isalpha() and (w.isascii() or w.lower().isalpha())])
         rest = [w for w in wanted if w not in codes]
         codes |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
         if len(kept) < MOST_WORDS:
