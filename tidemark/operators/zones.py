@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.operators import hits
 from tidemark.operators.signals import CONTEXT, PAIRS
 from tidemark.plans.frames import KEY, in_block, on, query, scattered, spread
+from tidemark.sources.bars import SERIES
 
 #: The bands, the target's and the pending leg's ratios, the stop's distance, how long orders wait.
 NEAR, MID, FAR = 0.382, 0.618, 1.0
@@ -102,37 +105,72 @@ SELECT {KEY}, bar, d AS direction, scale AS context_scale, i0, p0, i1, p1, limit
   WHERE d * (close - limit_price) > 0 AND abs(target - limit_price) / nullif(abs(limit_price - stop), 0) >= {LEAST_RR}) g WHERE first_of_move = 1"""
 
 
-def fates_sql(orders: str, per_side: float = 0.001, missed: float = 1.0, gap_stop_at_open: bool = False) -> str:
-    """Every order as if it were alone: missed, expired or filled, and the trade of a filled one.
+_ORDER = "source, symbol, timeframe, bar, context_scale, direction, limit_price, stop, target, n_supporting, extended"
+_FAR = 2147483647
+
 
-    Filled at the open where that is beyond the limit already. The fill's bar counts for the exit too; a
-    trade without exit ends at the last close as "open". A fill at the stop's price makes no trade. With
-    gap_stop_at_open a stop that a bar opens beyond is left at that open instead of at the stop's price.
+def _filled_sql(orders: str, missed: float = 1.0) -> str:
+    """Orders with status, fill_bar, fill and the series' n_bars.
+
+    Filled at the open where that is beyond the limit already.
     """
-    at_stop = "CASE WHEN o.direction > 0 THEN least(o.stop, x.open) ELSE greatest(o.stop, x.open) END" if gap_stop_at_open else "o.stop"
-    left_at = f"CASE o.reason WHEN 'stop' THEN {at_stop} WHEN 'target' THEN o.target WHEN 'open' THEN x.close END"
-    far = 2147483647
-    cols = "o.source, o.symbol, o.timeframe, o.bar, o.context_scale, o.direction, o.limit_price, o.stop, o.target, o.n_supporting, o.extended, o.n_bars"
+    cols = ", ".join(f"o.{c}" for c in (*_ORDER.split(", "), "n_bars"))
     return f"""
 WITH placed AS (SELECT o.*, p1 + direction * {missed} * abs(p1 - p0) AS gone, n.n_bars FROM ({orders}) o JOIN (SELECT {KEY}, count(*) AS n_bars FROM {{bars}} GROUP BY {KEY}) n ON {on("n", "o")}),
 met AS (
-  SELECT {cols}, coalesce(min(CASE WHEN o.direction > 0 AND b.high >= o.gone OR o.direction < 0 AND b.low <= o.gone THEN b.bar_idx END), {far}) AS t_gone,
-         coalesce(min(CASE WHEN o.direction > 0 AND b.low <= o.limit_price OR o.direction < 0 AND b.high >= o.limit_price THEN b.bar_idx END), {far}) AS t_touch
-  FROM {spread("placed", "bar", "least(expiry_bar, n_bars - 1)")} o LEFT JOIN {{bars}} b ON {on("b", "o")} {in_block("b", "o")} AND b.bar_idx > o.bar AND b.bar_idx <= o.expiry_bar GROUP BY {cols}),
-filled AS (
-  SELECT o.*, CASE WHEN o.t_touch < o.t_gone THEN 'filled' WHEN o.t_gone < {far} THEN 'missed' ELSE 'expired' END AS status, CASE WHEN o.t_touch < o.t_gone THEN o.t_touch END AS fill_bar,
-         CASE WHEN o.t_touch < o.t_gone THEN CASE WHEN o.direction * (b.open - o.limit_price) <= 0 THEN b.open ELSE o.limit_price END END AS fill
-  FROM met o LEFT JOIN {{bars}} b ON {on("b", "o")} AND b.bar_idx = o.t_touch),
-hit AS (
-  SELECT {cols.replace(", o.n_bars", "")}, o.n_bars, o.status, o.fill_bar, o.fill, coalesce(min(CASE WHEN o.direction > 0 AND b.low <= o.stop OR o.direction < 0 AND b.high >= o.stop THEN b.bar_idx END), {far}) AS t_stop,
-         coalesce(min(CASE WHEN o.direction > 0 AND b.high >= o.target OR o.direction < 0 AND b.low <= o.target THEN b.bar_idx END), {far}) AS t_target
-  FROM {spread("filled", "fill_bar", "n_bars - 1")} o LEFT JOIN {{bars}} b ON {on("b", "o")} {in_block("b", "o")} AND b.bar_idx >= o.fill_bar GROUP BY {cols.replace(", o.n_bars", "")}, o.n_bars, o.status, o.fill_bar, o.fill),
-ended AS (
-  SELECT *, CASE WHEN fill IS NULL OR fill = stop THEN NULL WHEN t_stop <= t_target AND t_stop < {far} THEN 'stop' WHEN t_target < {far} THEN 'target' ELSE 'open' END AS reason FROM hit)
+  SELECT {cols}, coalesce(min(CASE WHEN o.direction > 0 AND b.high >= o.gone OR o.direction < 0 AND b.low <= o.gone THEN b.bar_idx END), {_FAR}) AS t_gone,
+         coalesce(min(CASE WHEN o.direction > 0 AND b.low <= o.limit_price OR o.direction < 0 AND b.high >= o.limit_price THEN b.bar_idx END), {_FAR}) AS t_touch
+  FROM {spread("placed", "bar", "least(expiry_bar, n_bars - 1)")} o LEFT JOIN {{bars}} b ON {on("b", "o")} {in_block("b", "o")} AND b.bar_idx > o.bar AND b.bar_idx <= o.expiry_bar GROUP BY {cols})
+SELECT o.*, CASE WHEN o.t_touch < o.t_gone THEN 'filled' WHEN o.t_gone < {_FAR} THEN 'missed' ELSE 'expired' END AS status, CASE WHEN o.t_touch < o.t_gone THEN o.t_touch END AS fill_bar,
+       CASE WHEN o.t_touch < o.t_gone THEN CASE WHEN o.direction * (b.open - o.limit_price) <= 0 THEN b.open ELSE o.limit_price END END AS fill
+FROM met o LEFT JOIN {{bars}} b ON {on("b", "o")} AND b.bar_idx = o.t_touch"""
+
+
+def _ended_sql(ended: str, per_side: float, gap_stop_at_open: bool) -> str:
+    """The trades of orders with reason and exit_bar."""
+    at_stop = "CASE WHEN o.direction > 0 THEN least(o.stop, x.open) ELSE greatest(o.stop, x.open) END" if gap_stop_at_open else "o.stop"
+    left_at = f"CASE o.reason WHEN 'stop' THEN {at_stop} WHEN 'target' THEN o.target WHEN 'open' THEN x.close END"
+    return f"""
 SELECT o.source, o.symbol, o.timeframe, o.bar, o.context_scale, o.context_scale AS trigger_scale, o.direction, o.status, o.fill_bar AS entry_bar, CASE WHEN o.reason IS NOT NULL THEN x.bar_idx END AS exit_bar, o.fill AS entry,
        {left_at} AS exit, o.stop, o.reason, o.n_supporting, o.extended,
        (({left_at} - o.fill) * o.direction - (o.fill + {left_at}) * {per_side}) / nullif(abs(o.fill - o.stop), 0) AS r
-FROM ended o LEFT JOIN {{bars}} x ON {on("x", "o")} AND x.bar_idx = CASE o.reason WHEN 'stop' THEN o.t_stop WHEN 'target' THEN o.t_target ELSE o.n_bars - 1 END"""
+FROM {ended} o LEFT JOIN {{bars}} x ON {on("x", "o")} AND x.bar_idx = o.exit_bar"""
+
+
+def fates_sql(orders: str, per_side: float = 0.001, missed: float = 1.0, gap_stop_at_open: bool = False) -> str:
+    """Every order as if it were alone: missed, expired or filled, and the trade of a filled one; by all later bars of each, for checking."""
+    stopped = "o.direction > 0 AND b.low <= o.stop OR o.direction < 0 AND b.high >= o.stop"
+    reached = "o.direction > 0 AND b.high >= o.target OR o.direction < 0 AND b.low <= o.target"
+    return f"""
+WITH filled AS ({_filled_sql(orders, missed)}),
+hits AS (
+  SELECT o.source, o.symbol, o.timeframe, o.bar, o.context_scale, coalesce(min(CASE WHEN {stopped} THEN b.bar_idx END), {_FAR}) AS t_stop, coalesce(min(CASE WHEN {reached} THEN b.bar_idx END), {_FAR}) AS t_target
+  FROM filled o JOIN {{bars}} b ON {on("b", "o")} AND b.bar_idx >= o.fill_bar GROUP BY o.source, o.symbol, o.timeframe, o.bar, o.context_scale),
+reasoned AS (
+  SELECT o.*, h.t_stop, h.t_target, CASE WHEN fill IS NULL OR fill = stop THEN NULL WHEN t_stop <= t_target AND t_stop < {_FAR} THEN 'stop' WHEN t_target < {_FAR} THEN 'target' ELSE 'open' END AS reason
+  FROM filled o LEFT JOIN hits h ON {on("h", "o")} AND h.bar = o.bar AND h.context_scale = o.context_scale),
+ended AS (SELECT *, CASE reason WHEN 'stop' THEN t_stop WHEN 'target' THEN t_target WHEN 'open' THEN n_bars - 1 END AS exit_bar FROM reasoned)
+{_ended_sql("ended", per_side, gap_stop_at_open)}"""
+
+
+def fates(bars: DataFrame, pivots: DataFrame, steps: DataFrame, which: str = ORDERS, per_side: float = 0.001, missed: float = 1.0, gap_stop_at_open: bool = False) -> DataFrame:
+    """Every order as if it were alone: missed, expired or filled, and the trade of a filled one.
+
+    The fill's bar counts for the exit too; a trade without exit ends at the last close as "open". A fill at the
+    stop's price makes no trade. With gap_stop_at_open a stop that a bar opens beyond is left at that open instead of at
+    the stop's price. steps: the ladder of bars, by which a trade's exit is found however far ahead it lies.
+    """
+    filled = query(_filled_sql(which, missed), bars=bars, pivots=pivots)
+    low, high = (F.when(F.col("direction") * sign > 0, F.col("stop")).otherwise(F.col("target")) for sign in (1, -1))
+    start = F.when(F.col("fill") != F.col("stop"), F.col("fill_bar"))
+    found = hits.first_hits(filled.withColumns({"start": start, "lower": low, "upper": high}), steps)
+    # within a bar the stop counts before the target
+    template = f"""
+WITH ended AS (
+  SELECT o.*, coalesce(o.hit, o.n_bars - 1) AS exit_bar, CASE WHEN o.start IS NULL THEN NULL WHEN o.hit IS NULL THEN 'open' WHEN o.direction > 0 AND b.low <= o.stop OR o.direction < 0 AND b.high >= o.stop THEN 'stop' ELSE 'target' END AS reason
+  FROM {{found}} o LEFT JOIN {{bars}} b ON {on("b", "o")} AND b.bar_idx = o.hit)
+{_ended_sql("ended", per_side, gap_stop_at_open)}"""
+    return query(template, found=found, bars=bars)
 
 
 #: How long an order can wait at most where no bar comes, in seconds.
@@ -184,9 +222,9 @@ def sub_orders(bars: DataFrame, pivots: DataFrame) -> DataFrame:
     return query(SUB_ORDERS, bars=bars, pivots=pivots)
 
 
-def backtest(bars: DataFrame, pivots: DataFrame, which: str = ORDERS, gap_stop_at_open: bool = False) -> DataFrame:
+def backtest(bars: DataFrame, pivots: DataFrame, steps: DataFrame | None = None, which: str = ORDERS, gap_stop_at_open: bool = False) -> DataFrame:
     """The fates of orders when a series holds one position at a time."""
-    return in_turn(query(fates_sql(which, gap_stop_at_open=gap_stop_at_open), bars=bars, pivots=pivots))
+    return in_turn(fates(bars, pivots, hits.ladder(bars) if steps is None else steps, which, gap_stop_at_open=gap_stop_at_open))
 
 
 def placebo_sql(draws: int = 10, seed: int = 7) -> str:
@@ -201,8 +239,8 @@ FROM (SELECT q.*, e.close / b.close AS k FROM (SELECT o.*, d.draw, {at} AS new_b
       JOIN {{bars}} b ON {on("b", "q")} AND b.bar_idx = q.bar JOIN {{bars}} e ON {on("e", "q")} AND e.bar_idx = q.new_bar) p"""
 
 
-#: Real orders against moved ones, by direction: the control mean weighs directions as the real trades have them.
-PLACEBO = f"SELECT direction, count(*) AS n, round(avg(r), 5) AS mean_r FROM ({fates_sql(placebo_sql())}) f WHERE reason IS NOT NULL GROUP BY direction"
+#: Real orders' {fates} against moved ones' {moved}, by direction: the control mean weighs directions as the real trades have them.
+PLACEBO = "SELECT direction, count(*) AS n, round(avg(r), 5) AS mean_r FROM {moved} f WHERE reason IS NOT NULL GROUP BY direction"
 CONTROL = f"""
 SELECT sum(a.n) AS n, round(sum(a.n * a.mean_r) / sum(a.n), 5) AS real_r, round(sum(a.n * b.mean_r) / sum(a.n), 5) AS control_r
-FROM (SELECT direction, count(*) AS n, avg(r) AS mean_r FROM ({fates_sql(ORDERS)}) f WHERE reason IS NOT NULL GROUP BY direction) a JOIN ({PLACEBO}) b ON a.direction = b.direction"""
+FROM (SELECT direction, count(*) AS n, avg(r) AS mean_r FROM {{fates}} f WHERE reason IS NOT NULL GROUP BY direction) a JOIN ({PLACEBO}) b ON a.direction = b.direction"""

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import indicators
-from tidemark.operators import lattice
+from tidemark.operators import hits, lattice
 from tidemark.plans import duck
 from tidemark.plans.frames import with_view
 from tidemark.sources import bars
@@ -37,6 +37,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str, view: str) -> DataFrame:
         return kept(spark, sf_dir, f"pivots {view}", lambda: lattice.build(own()))
     if name == "ind":
         return kept(spark, sf_dir, f"ind {view}", lambda: indicators.smoothed(own()))
+    if name == "steps":
+        return kept(spark, sf_dir, f"steps {view}", lambda: hits.ladder(own()))
     raise KeyError(name)
 
 

@@ -191,14 +191,37 @@ _add("zone_orders", f"SELECT {_ORDER} FROM ({zones.ORDERS}) o", "walk_h", _BP)
 _add("zone_confluence", f"SELECT context_scale, n_supporting, count(*) AS n, round(avg(confluence), 6) AS confluence FROM ({zones.ORDERS}) o GROUP BY context_scale, n_supporting", "walk_h", _BP)
 _add("correction_decomposition", zones.DECOMPOSITIONS, "walk_h", _BP)
 _add("substructure_orders", f"SELECT {_ORDER} FROM ({zones.SUB_ORDERS}) o", "walk_h", _BP)
-_add("limit_fills", f"SELECT {_FATE} FROM ({zones.fates_sql(zones.ORDERS)}) o", "walk_h", _BP)
-_add("limit_fills_gap_at_open", f"SELECT {_FATE} FROM ({zones.fates_sql(zones.ORDERS, gap_stop_at_open=True)}) o", "walk_h", _BP)
+_BPS = ("bars", "pivots", "steps")
+
+
+def _alone(spark: SparkSession, sf_dir: str, which: str, name: str, **options) -> DataFrame:
+    """The fates of orders by themselves, kept under a name."""
+    frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BPS}
+    return base.kept(spark, sf_dir, f"alone {name}", lambda: zones.fates(**frames, which=which, **options))
+
+
+def _on_alone(name: str, template: str, sql: str, **named) -> None:
+    """A query over the fates of orders by themselves. named: {frame: (which orders, options)}."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(template, **{k: _alone(spark, sf_dir, which, f"{k} {sorted(o.items())}", **o) for k, (which, o) in named.items()})
+
+    ctes = ", ".join(f"{k} AS ({zones.fates_sql(which, **o).format(bars='walk_h', pivots='pivots')})" for k, (which, o) in named.items())
+    _own(name, run, f"{base.with_sql('walk_h', _P)}, {ctes} SELECT * FROM ({(sql or template).format(**{k: k for k in named})}) AS answer")
+
+
+_on_alone("limit_fills", f"SELECT {_FATE} FROM {{fates}} o", "", fates=(zones.ORDERS, {}))
+_on_alone("limit_fills_gap_at_open", f"SELECT {_FATE} FROM {{fates}} o", "", fates=(zones.ORDERS, {"gap_stop_at_open": True}))
+
+
+def _in_turn(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    name = "fates" if which == zones.ORDERS else "sub fates"
+    return base.kept(spark, sf_dir, name, lambda: zones.in_turn(_alone(spark, sf_dir, which, f"{name} []")))
 
 
 def _on_fates(name: str, template: str, which: str = zones.ORDERS) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
-        return query(template, fates=base.kept(spark, sf_dir, f"fates {which == zones.ORDERS}", lambda: zones.backtest(**frames, which=which)))
+        return query(template, fates=_in_turn(spark, sf_dir, which))
 
     fates = zones.in_turn_sql(zones.fates_sql(which).format(bars="walk_h", pivots="pivots"))
     _own(name, run, f"{base.with_sql('walk_h', _P)}, fates AS ({fates}) SELECT * FROM ({template.format(fates='fates')}) AS answer")
@@ -211,8 +234,8 @@ _on_fates("limit_by_extension", zones.BY_EXTENSION)
 _on_fates("backtest_substructure", f"SELECT {_FATE} FROM {{fates}}", zones.SUB_ORDERS)
 
 
-_add("placebo_limit", zones.PLACEBO, "walk_h", _BP)
-_add("placebo_control", zones.CONTROL, "walk_h", _BP)
+_on_alone("placebo_limit", zones.PLACEBO, "", moved=(zones.placebo_sql(), {}))
+_on_alone("placebo_control", zones.CONTROL, "", fates=(zones.ORDERS, {}), moved=(zones.placebo_sql(), {}))
 _add("chart_points", charts.chart_sql(200), "walk_h", _BP)
 
 # ---- surrogate series and what their turning points give ----
@@ -269,10 +292,8 @@ _on_trades("required_r", risk.REQUIRED)
 
 def _challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All finished limit orders, drawn as often a day as they came."""
-    frames = {f: base.frame(spark, sf_dir, f, "walk_h") for f in _BP}
-    fates = base.kept(spark, sf_dir, "fates True", lambda: zones.backtest(**frames, which=zones.ORDERS)).filter("reason is not null")
-    found = risk.results(fates).toPandas()
-    seconds = frames["bars"].agg(F.max("ts_sec") - F.min("ts_sec")).first()[0] or 0
+    found = risk.results(_in_turn(spark, sf_dir, zones.ORDERS).filter("reason is not null")).toPandas()
+    seconds = base.frame(spark, sf_dir, "bars", "walk_h").agg(F.max("ts_sec") - F.min("ts_sec")).first()[0] or 0
     n = int(found.n.sum())
     if n < 20:  # too few on the smallest tables
         return spark.createDataFrame([], "risk double, p_pass double, p_fail double, p_daily double, p_open double, median_days double")
