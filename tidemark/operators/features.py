@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import rolling
-from tidemark.operators.signals import PAIRS
-from tidemark.plans.frames import BY_BAR, KEY, in_block, on, query, spread
+from tidemark.operators.signals import PAIRS, pair_as_of
+from tidemark.plans.frames import BY_BAR, KEY, in_block, inside, on, query, spread
 
 #: Where samples begin, how often they come, how far labels look, the stop in smoothed ranges, the target.
 WARMUP, STEP, MAX_BARS, STOP_RANGES, TARGET = 250, 5, 120, 2.0, 3.0
@@ -31,12 +31,10 @@ _PER = ", ".join(
 STRUCTURE = f"""
 WITH sampled AS ({_SAMPLED}), pairs AS ({PAIRS}),
 at_bar AS (
-  SELECT b.source, b.symbol, b.timeframe, b.bar_idx, p.scale, p.seq, p.i0, p.i1, CASE WHEN p.p1 > p.p0 THEN 1 ELSE -1 END AS dir, abs(b.close - p.p1) / nullif(abs(p.p1 - p.p0), 0) AS retrace, abs(p.p1 - p.p0) / nullif(b.atr, 0) AS size_atr,
-         (b.bar_idx - p.i1) / cast(greatest(p.i1 - p.i0, 1) as double) AS time_ratio
-  FROM sampled b JOIN pairs p ON {on("p", "b")} AND b.bar_idx >= p.from_bar AND b.bar_idx < p.to_bar WHERE p.p0 IS NOT NULL AND p.scale IN ({", ".join(map(str, SCALES))})),
-counted AS (
-  SELECT a.source, a.symbol, a.timeframe, a.bar_idx, a.scale, count(f.idx) + 1 AS subwaves
-  FROM at_bar a LEFT JOIN {{pivots}} f ON {on("f", "a")} AND f.scale = a.scale - 1 AND f.idx > a.i0 AND f.idx < a.i1 AND f.confirmed_idx <= a.bar_idx GROUP BY a.source, a.symbol, a.timeframe, a.bar_idx, a.scale),
+  SELECT {KEY}, bar_idx, scale, c_seq AS seq, c_i0 AS i0, c_i1 AS i1, CASE WHEN c_p1 > c_p0 THEN 1 ELSE -1 END AS dir, abs(close - c_p1) / nullif(abs(c_p1 - c_p0), 0) AS retrace, abs(c_p1 - c_p0) / nullif(atr, 0) AS size_atr,
+         (bar_idx - c_i1) / cast(greatest(c_i1 - c_i0, 1) as double) AS time_ratio
+  FROM {pair_as_of("(SELECT s.source, s.symbol, s.timeframe, s.bar_idx, s.close, s.atr, v.scale FROM sampled s CROSS JOIN (VALUES " + ", ".join(f"({s})" for s in SCALES) + ") AS v(scale))", "x.bar_idx", "x.scale")} p WHERE c_p0 IS NOT NULL),
+counted AS (SELECT {KEY}, bar_idx, scale, points + 1 AS subwaves FROM {inside("at_bar", "x.scale - 1", "x.i0", "x.i1", "x.bar_idx", "points")} i),
 last_three AS (
   SELECT a.source, a.symbol, a.timeframe, a.bar_idx, abs(m.p1 - m.p0) / nullif(abs(m.p0 - m.before), 0) AS length_ratio, greatest(m.i1 - m.i0, 1) / cast(greatest(m.i0 - m.i_before, 1) as double) AS duration_ratio
   FROM at_bar a JOIN (SELECT *, lag(p0) OVER (PARTITION BY {KEY}, scale ORDER BY seq) AS before, lag(i0) OVER (PARTITION BY {KEY}, scale ORDER BY seq) AS i_before FROM pairs) m ON {on("m", "a")} AND m.scale = 4 AND m.seq = a.seq WHERE a.scale = 4)

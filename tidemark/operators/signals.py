@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidemark.plans.frames import KEY, in_block, on, query, spread
+from tidemark.plans.frames import KEY, as_of, form, in_block, inside, on, query, spread
 
 #: Scales whose moves give context, how much finer the trigger is, and the bounds of the correction.
 CONTEXT, OFFSET = (4, 5, 6), 2
@@ -17,6 +17,14 @@ SELECT {KEY}, scale, seq, lag(price) OVER w AS p0, lag(idx) OVER w AS i0, price
 FROM {{pivots}} WHERE NOT is_anchor WINDOW w AS (PARTITION BY {KEY}, scale ORDER BY seq)"""
 
 
+_PAIR_COLUMNS = ("seq", "p0", "i0", "p1", "i1", "k1")
+
+
+def pair_as_of(rows: str, bar: str, scale: str, prefix: str = "c_", *, left: bool = False) -> str:
+    """rows with the last two points of a scale that are known at a bar, their columns with a prefix."""
+    return as_of(rows, bar, scale, PAIRS, "from_bar", {c: f"{prefix}{c}" for c in _PAIR_COLUMNS}, left=left)
+
+
 def pairs_at_sql(bar: int) -> str:
     return f"SELECT {KEY}, scale, i0, p0, i1, p1, k1 FROM ({PAIRS}) p WHERE {int(bar)} >= from_bar AND {int(bar)} < to_bar AND p0 IS NOT NULL"
 
@@ -28,12 +36,11 @@ def pairs_at(pivots: DataFrame, bar: int) -> DataFrame:
 
 def _corrections(contexts: tuple[int, ...], offset: int) -> str:
     """Points of the finer scale that end a correction of a coarse move, whether or not the move still stands."""
-    d = "CASE WHEN c.p1 > c.p0 THEN 1 ELSE -1 END"
+    triggers = f"(SELECT {KEY}, scale, idx, price, kind, confirmed_idx FROM {{pivots}} WHERE NOT is_anchor AND scale + {offset} IN ({', '.join(map(str, contexts))}))"
     return f"""
   SELECT * FROM (
-    SELECT t.source, t.symbol, t.timeframe, t.confirmed_idx AS bar, {d} AS direction, c.scale AS context_scale, t.scale AS trigger_scale, c.seq, c.i0, c.p0, c.i1, c.p1, t.idx AS ti, t.price AS tp, t.kind AS tk
-    FROM {{pivots}} t JOIN ({PAIRS}) c ON {on("t", "c")} AND c.scale = t.scale + {offset} AND t.confirmed_idx >= c.from_bar AND t.confirmed_idx < c.to_bar
-    WHERE NOT t.is_anchor AND c.p0 IS NOT NULL AND c.p0 <> c.p1 AND c.scale IN ({", ".join(map(str, contexts))}) AND t.idx > c.i1) s
+    SELECT {KEY}, confirmed_idx AS bar, CASE WHEN c_p1 > c_p0 THEN 1 ELSE -1 END AS direction, scale + {offset} AS context_scale, scale AS trigger_scale, c_seq AS seq, c_i0 AS i0, c_p0 AS p0, c_i1 AS i1, c_p1 AS p1, idx AS ti, price AS tp, kind AS tk
+    FROM {pair_as_of(triggers, "x.confirmed_idx", f"x.scale + {offset}")} t WHERE c_p0 IS NOT NULL AND c_p0 <> c_p1 AND idx > c_i1) s
   WHERE tk = -direction AND abs(tp - p1) / abs(p1 - p0) BETWEEN {LEAST} AND {MOST}"""
 
 
@@ -64,15 +71,24 @@ def _subwaves(a: str, b: str) -> str:
 
     Only points that are known at the signal's bar count.
     """
+    rows = "(SELECT s.*, f.fine FROM signals s JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) AS f(fine) ON f.fine < s.context_scale AND f.fine >= s.context_scale - 3)"
     return f"""
 SELECT {_ID}, coalesce(max(CASE WHEN n >= 3 AND first_big = fine THEN n END), max(n)) AS n FROM (
   SELECT *, max(CASE WHEN n >= 3 THEN fine END) OVER (PARTITION BY {_ID}) AS first_big FROM (
-    SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, f.fine, count(p.idx) + 1 AS n
-    FROM signals s JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) AS f(fine) ON f.fine < s.context_scale AND f.fine >= s.context_scale - 3
-    LEFT JOIN {{pivots}} p ON {on("p", "s")} AND p.scale = f.fine AND p.idx > s.{a} AND p.idx < s.{b} AND p.confirmed_idx <= s.bar
-    GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.context_scale, f.fine) c) g GROUP BY {_ID}"""
+    SELECT {_ID}, fine, points + 1 AS n FROM {inside(rows, "x.fine", f"x.{a}", f"x.{b}", "x.bar", "points")} i) c) g GROUP BY {_ID}"""
 
 
+#: How a signal's move compares with the ten moves that end with it. Spark takes them from a window over moves, DuckDB by a join.
+_SIZES = form(
+    f"""
+  SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, size(filter(m.rels, r -> r IS NOT NULL)) AS n, size(filter(m.rels, r -> abs(s.p1 - s.p0) / s.p0 > r)) / cast(size(m.rels) as double) AS share
+  FROM signals s JOIN (
+    SELECT {KEY}, scale, seq, transform(collect_list(struct(rel)) OVER (PARTITION BY {KEY}, scale ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), x -> x.rel) AS rels FROM moves) m
+  ON {on("m", "s")} AND m.scale = s.context_scale AND m.seq = s.seq""",
+    f"""
+  SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, count(m.rel) AS n, avg(CASE WHEN abs(s.p1 - s.p0) / s.p0 > m.rel THEN 1e0 ELSE 0e0 END) AS share
+  FROM signals s JOIN moves m ON {on("m", "s")} AND m.scale = s.context_scale AND m.seq <= s.seq AND m.seq > s.seq - 10 GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.context_scale""",
+)
 _GUIDED = f"""
 WITH signals AS ({signals_sql()}),
 moves AS (SELECT *, abs(p1 - p0) / nullif(p0, 0) AS rel FROM ({PAIRS}) p WHERE p0 IS NOT NULL),
@@ -85,10 +101,8 @@ slices AS (
          max(CASE WHEN b.bar_idx = s.i0 THEN b.rsi END) AS rsi0, max(CASE WHEN b.bar_idx = s.ti THEN b.rsi END) AS rsi1, max(CASE WHEN b.bar_idx = s.bar THEN b.close END) AS close
   FROM {spread("signals", "greatest(0, i0 - greatest(i1 - i0, 1))", "bar")} s JOIN {{ind}} b ON {on("b", "s")} {in_block("b", "s")} AND b.bar_idx >= greatest(0, s.i0 - greatest(s.i1 - s.i0, 1)) AND b.bar_idx <= s.bar
   GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.context_scale),
-higher AS (SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, h.p1 AS price, h.k1 AS kind FROM signals s JOIN ({PAIRS}) h ON {on("h", "s")} AND h.scale = s.context_scale + 1 AND s.bar >= h.from_bar AND s.bar < h.to_bar),
-sizes AS (
-  SELECT s.source, s.symbol, s.timeframe, s.bar, s.context_scale, count(m.rel) AS n, avg(CASE WHEN abs(s.p1 - s.p0) / s.p0 > m.rel THEN 1e0 ELSE 0e0 END) AS share
-  FROM signals s JOIN moves m ON {on("m", "s")} AND m.scale = s.context_scale AND m.seq <= s.seq AND m.seq > s.seq - 10 GROUP BY s.source, s.symbol, s.timeframe, s.bar, s.context_scale)"""
+higher AS (SELECT {_ID}, h_p1 AS price, h_k1 AS kind FROM {pair_as_of("signals", "x.bar", "x.context_scale + 1", "h_")} h),
+sizes AS ({_SIZES})"""
 _GUIDED_FROM = f"""
 FROM signals s JOIN impulse_waves a ON {_SAME.replace("x.", "a.")} JOIN correction_waves c ON {_SAME.replace("x.", "c.")} JOIN slices x ON {_SAME}
 LEFT JOIN higher h ON {_SAME.replace("x.", "h.")} LEFT JOIN sizes z ON {_SAME.replace("x.", "z.")}"""

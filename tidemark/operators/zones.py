@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import hits
-from tidemark.operators.signals import CONTEXT, PAIRS
-from tidemark.plans.frames import KEY, in_block, on, query, scattered, spread
+from tidemark.operators.signals import CONTEXT, PAIRS, pair_as_of
+from tidemark.plans.frames import KEY, as_of, form, in_block, on, query, scattered, spread
 from tidemark.sources.bars import SERIES
 
 #: The bands, the target's and the pending leg's ratios, the stop's distance, how long orders wait.
@@ -23,11 +23,23 @@ _SCALES = ", ".join(map(str, CONTEXT))
 
 #: Coarse moves with both points, and their direction.
 _MOVES = f"SELECT *, CASE WHEN p1 > p0 THEN 1 ELSE -1 END AS d FROM ({PAIRS}) m WHERE p0 IS NOT NULL AND p0 <> p1"
-#: Finer points after a move's end, as they become known: the n-th leg of the correction, with the two ends before.
+#: Finer points of up to four scales below a move, known before the next move's end is: each belongs to the move that is the last known at its own
+#: time, and to later ones that ended before it (as they become known later). Spark finds both ends of that run of moves by as-of joins.
+_MEMBERS = "e.fine, e.eseq, e.idx, e.kind, e.price, e.known"
+_FINE = f"(SELECT {KEY}, scale AS fine, seq AS eseq, idx, kind, price, confirmed_idx AS known, scale + o AS coarse FROM {{pivots}} CROSS JOIN (VALUES (1), (2), (3), (4)) AS t(o) WHERE NOT is_anchor AND scale + o IN ({_SCALES}))"
+_LAST_ENDED = as_of(as_of(_FINE, "x.known", "x.coarse", PAIRS, "from_bar", {"seq": "from_seq"}, left=True), "x.idx", "x.coarse", PAIRS, "i1", {"seq": "to_seq"}, strict=True)
+_BELONG = form(
+    f"""
+  SELECT c.source, c.symbol, c.timeframe, c.scale, c.seq, {_MEMBERS}
+  FROM moves c JOIN (SELECT *, explode(sequence(coalesce(from_seq, 0), to_seq)) AS of_seq FROM {_LAST_ENDED} b WHERE coalesce(from_seq, 0) <= to_seq) e
+  ON {on("e", "c")} AND e.coarse = c.scale AND e.of_seq = c.seq""",
+    f"""
+  SELECT c.source, c.symbol, c.timeframe, c.scale, c.seq, {_MEMBERS}
+  FROM moves c JOIN {_FINE} e ON {on("e", "c")} AND e.coarse = c.scale AND e.idx > c.i1 AND e.known < c.to_bar""",
+)
+#: As they become known: the n-th leg of the correction, with the two ends before.
 _LEGS = f"""
-SELECT *, row_number() OVER w AS n, lag(price, 1) OVER w AS before1, lag(price, 2) OVER w AS before2, first_value(price) OVER w AS first_price, coalesce(lead(known) OVER w, 2147483647) AS until FROM (
-  SELECT c.source, c.symbol, c.timeframe, c.scale, c.seq, e.scale AS fine, e.seq AS eseq, e.idx, e.kind, e.price, e.confirmed_idx AS known
-  FROM moves c JOIN {{pivots}} e ON {on("e", "c")} AND e.scale >= c.scale - 4 AND e.scale <= c.scale - 1 AND e.idx > c.i1 AND e.confirmed_idx < c.to_bar WHERE NOT e.is_anchor AND c.scale IN ({_SCALES})) l
+SELECT *, row_number() OVER w AS n, lag(price, 1) OVER w AS before1, lag(price, 2) OVER w AS before2, first_value(price) OVER w AS first_price, coalesce(lead(known) OVER w, 2147483647) AS until FROM ({_BELONG}) l
 WINDOW w AS (PARTITION BY {KEY}, scale, seq, fine ORDER BY eseq)"""
 _PAIR = "x.source = o.source AND x.symbol = o.symbol AND x.timeframe = o.timeframe AND x.scale = o.scale AND x.seq = o.seq"
 
@@ -57,9 +69,9 @@ prior AS (
     SELECT {KEY}, scale, idx, kind, lag(price, 1) OVER w AS a, lag(price, 2) OVER w AS b, lag(price, 3) OVER w AS c, lag(price, 4) OVER w AS d FROM {{pivots}} WHERE NOT is_anchor
     WINDOW w AS (PARTITION BY {KEY}, scale ORDER BY seq)) q WHERE d IS NOT NULL),
 projected AS (
-  SELECT o.*, h.p1 - {NEAR} * (h.p1 - h.p0) AS h1, h.p1 - {MID} * (h.p1 - h.p0) AS h2, x.price - o.direction * abs(x.first_price - o.p1) AS x1, x.price - o.direction * {EXTENSION} * abs(x.first_price - o.p1) AS x2, e.e1, e.e2,
+  SELECT o.*, h_p1 - {NEAR} * (h_p1 - h_p0) AS h1, h_p1 - {MID} * (h_p1 - h_p0) AS h2, x.price - o.direction * abs(x.first_price - o.p1) AS x1, x.price - o.direction * {EXTENSION} * abs(x.first_price - o.p1) AS x2, e.e1, e.e2,
          row_number() OVER (PARTITION BY o.source, o.symbol, o.timeframe, o.scale, o.seq ORDER BY x.fine DESC) AS best
-  FROM priced o LEFT JOIN ({PAIRS}) h ON {on("h", "o")} AND h.scale = o.scale + 1 AND o.bar >= h.from_bar AND o.bar < h.to_bar AND h.p0 IS NOT NULL
+  FROM {pair_as_of("priced", "x.bar", "x.scale + 1", "h_", left=True)} o
   LEFT JOIN legs x ON {_PAIR} AND x.fine >= o.scale - 3 AND x.known <= o.bar AND x.until > o.bar AND x.n >= 2 AND x.first_price <> o.p1
   -- a move's end is a point of the finer scale too, so what came before it stands beside it there
   LEFT JOIN prior e ON {on("e", "o")} AND e.scale = o.scale - 1 AND e.idx = o.i1 AND e.kind = o.k1),
@@ -69,12 +81,14 @@ SELECT {KEY}, bar, direction, scale AS context_scale, i0, p0, i1, p1, limit_pric
        CASE WHEN by_higher > 0.1 THEN 1 ELSE 0 END + CASE WHEN by_inner > 0.1 THEN 1 ELSE 0 END + CASE WHEN by_earlier > 0.1 THEN 1 ELSE 0 END AS n_supporting, coalesce(by_higher, 0e0) + coalesce(by_inner, 0e0) + coalesce(by_earlier, 0e0) AS confluence
 FROM supported WHERE abs(target - limit_price) / nullif(abs(limit_price - stop), 0) >= {LEAST_RR}"""
 
+#: Moves with the last bar before the next one's end is known.
+_LASTING = f"(SELECT m.*, least(m.to_bar, n.n_bars) - 1 AS last_bar FROM moves m JOIN (SELECT {KEY}, count(*) AS n_bars FROM {{bars}} GROUP BY {KEY}) n ON {on('n', 'm')} WHERE m.scale IN ({_SCALES}))"
 #: How the correction that is running at each bar divides, on the coarsest finer scale with a corrective count.
 DECOMPOSED = f"""
 WITH moves AS ({_MOVES}), legs AS ({_LEGS}),
 state AS (
   SELECT m.source, m.symbol, m.timeframe, m.scale, m.seq, m.d, m.i0, m.p0, m.i1, m.p1, m.from_bar, b.bar_idx AS bar, b.close, min(b.low) OVER w AS lowest, max(b.high) OVER w AS highest
-  FROM moves m JOIN {{bars}} b ON {on("b", "m")} AND b.bar_idx >= m.i1 AND b.bar_idx < m.to_bar WHERE m.scale IN ({_SCALES})
+  FROM {spread(_LASTING, "i1", "last_bar")} m JOIN {{bars}} b ON {on("b", "m")} {in_block("b", "m")} AND b.bar_idx >= m.i1 AND b.bar_idx < m.to_bar
   WINDOW w AS (PARTITION BY m.source, m.symbol, m.timeframe, m.scale, m.seq ORDER BY b.bar_idx)),
 divided AS (
   SELECT o.*, x.fine, x.n AS legs, x.idx AS last_idx, x.kind AS last_kind, x.price AS last_price, x.before1, CASE WHEN x.n = 2 THEN o.p1 ELSE x.before2 END AS before2,

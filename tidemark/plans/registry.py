@@ -11,7 +11,7 @@ from tidemark.functions import indicators
 from tidemark.operators import charts, execution, features, integrity, labeling, lattice, ratios, risk, signals, zones
 from tidemark.plans import base, duck
 from tidemark.plans.frames import on as plain_on
-from tidemark.plans.frames import plain, query
+from tidemark.plans.frames import blocked, plain, query
 from tidemark.sources import bars, catalog
 from tidemark.streaming import indicators as sliding
 from tidemark.streaming import points, replay, waiting
@@ -24,7 +24,7 @@ def _add(name: str, template: str, view: str = "walk_h", frames: tuple[str, ...]
     """A query whose Spark form and SQL are one template over frames of a view."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = {f: base.frame(spark, sf_dir, f, view) for f in frames if "{" + f + "}" in template}
+        used = {f: base.frame(spark, sf_dir, f, view) for f in frames if "{" + f + "}" in blocked(template)}
         return query(template, **used) if used else spark.sql(template)
 
     _QUERIES[name] = run
