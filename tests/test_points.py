@@ -78,12 +78,26 @@ def test_rising_and_tiny_series():
 
 def test_smoothing():
     assert kernel.smoothed([1.0, 2.0, 3.0], 0.5) == [1.0, 1.5, 2.25]
-    assert indicators.rsi([1.0, 2.0, 3.0, 4.0]) == [50.0] * 4
 
 
-def test_stream_gives_what_the_batch_gives(spark, bars, pivots, tmp_path):
+@pytest.mark.parametrize("bits", [2, 8])
+def test_smoothing_by_blocks_is_that_of_the_whole(spark, bits, monkeypatch):
+    monkeypatch.setattr(indicators, "SMOOTH_BITS", bits)
+    rows = series(700, 11)
+    got = indicators.smoothed(frame(spark, rows)).orderBy("bar_idx").collect()
+    close = [r.close for r in got]
+    moves = [b - a for a, b in zip(close, close[1:], strict=False)]
+    up, down = (kernel.smoothed([max(s * m, 0.0) for m in moves], 1 / 14) for s in (1, -1))
+    assert [r.rsi for r in got] == pytest.approx([50.0] + [50.0 if d == 0 else 100 - 100 / (1 + u / d) for u, d in zip(up, down, strict=True)], rel=1e-9)
+    line = [a - b for a, b in zip(kernel.smoothed(close, 2 / 13), kernel.smoothed(close, 2 / 27), strict=True)]
+    assert [r.macd for r in got] == pytest.approx(line, abs=1e-9) and [r.macd_signal for r in got] == pytest.approx(kernel.smoothed(line, 0.2), abs=1e-9)
+    rising = indicators.smoothed(frame(spark, (np.arange(1.0, 40.0),) * 5)).collect()
+    assert {r.rsi for r in rising} == {50.0}
+
+
+def test_stream_gives_what_the_batch_gives(spark, bars, pivots):
     key = ["scale", "idx", "price", "kind", "confirmed_idx", "is_anchor"]
-    got = points.replayed(bars, str(tmp_path), 3)
+    got = points.replayed(bars, 3)
     assert {tuple(r) for r in got.select(*key).collect()} == {tuple(r) for r in pivots.select(*key).collect()}
 
 

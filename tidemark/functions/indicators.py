@@ -1,15 +1,17 @@
-"""Indicators. Those over a fixed window are SQL; the exponential ones run in one pass over each series."""
+"""Indicators. Those over a fixed window are SQL; the exponential ones are linear recurrences, composed over blocks of bars."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from tidemark.operators import kernel
 from tidemark.plans.frames import BY_BAR, KEY, query
+from tidemark.sources.bars import SERIES
 
 _COLUMNS = "source string, symbol string, timeframe string, bar_idx int, ts_sec bigint, open double, high double, low double, close double, volume double"
-SMOOTHED = f"{_COLUMNS}, atr double, rsi double, macd double, macd_signal double, macd_hist double"
 
 
 def rsi(close: list[float], period: int = 14) -> list[float]:
@@ -25,19 +27,55 @@ def macd(close: list[float], fast: int = 12, slow: int = 26, signal: int = 9) ->
     return line, smooth, [a - b for a, b in zip(line, smooth, strict=True)]
 
 
-def _one(bars: pd.DataFrame) -> pd.DataFrame:
-    bars = bars.sort_values("bar_idx")
-    high, low, close = bars.high.tolist(), bars.low.tolist(), bars.close.tolist()
-    before = [None, *close[:-1]]
-    reach = [h - lo if p is None else max(h - lo, abs(h - p), abs(lo - p)) for h, lo, p in zip(high, low, before, strict=True)]
-    line, signal, hist = macd(close)
-    return bars.assign(atr=kernel.smoothed(reach, 1 / kernel.PERIOD), rsi=rsi(close), macd=line, macd_signal=signal, macd_hist=hist)
+#: Bars in a block of the smoothing, as a power of two; what a value still weighs after so many blocks is below the smallest double.
+SMOOTH_BITS, _NOTHING = 8, 700.0
+
+
+def _carried(added: Column, kept: float) -> Column:
+    """What the blocks before a block leave for it: a fold over the last ones, as many as still weigh anything."""
+    block = kept ** (1 << SMOOTH_BITS)
+    back = math.ceil(_NOTHING / (-math.log(kept) * (1 << SMOOTH_BITS))) + 1
+    before = F.collect_list(added).over(Window.partitionBy(*SERIES).orderBy("block").rowsBetween(-back, -1))
+    return F.aggregate(before, F.lit(0.0), lambda left, x: left * F.lit(block) + x)
+
+
+def ema(rows: DataFrame, columns: dict[str, tuple[str, float, int]]) -> DataFrame:
+    """rows (SERIES, bar_idx) with columns smoothed exponentially. columns: new name -> (column, alpha, the bar that seeds it).
+
+    y = (1 - alpha) * y + alpha * x is linear, so a block of bars is a pair (what it leaves of the value before it, what it adds). What
+    blocks add is summed per block, the pairs are composed over blocks, and within a block the rest is a running sum of
+    x / (1 - alpha)^place. No task holds a series: bars meet by series and block, and of blocks there is one row each.
+    """
+    size, keys = 1 << SMOOTH_BITS, [*SERIES, "block"]
+    place = F.col("bar_idx") % size
+    rows = rows.withColumn("block", F.shiftright("bar_idx", SMOOTH_BITS))
+    weighed = {n: F.when(F.col("bar_idx") < first, 0.0).when(F.col("bar_idx") == first, F.col(x)).otherwise(F.lit(a) * F.col(x)) for n, (x, a, first) in columns.items()}
+    kept = {n: 1 - a for n, (_, a, _) in columns.items()}
+    sums = rows.groupBy(*keys).agg(*[F.sum(weighed[n] * F.pow(F.lit(q), F.lit(size - 1) - place)).alias(f"add_{n}") for n, q in kept.items()])
+    carried = [_carried(F.col(f"add_{n}"), q).alias(f"from_{n}") for n, q in kept.items()]
+    running = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(sums.select(*keys, *carried), keys)
+    new = {n: F.sum(weighed[n] * F.pow(F.lit(q), -place)).over(running) * F.pow(F.lit(q), place) + F.col(f"from_{n}") * F.pow(F.lit(q), place + 1) for n, q in kept.items()}
+    return out.withColumns(new).drop("block", *[f"from_{n}" for n in kept])
+
 
+def smoothed(bars: DataFrame, rsi_period: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """bars with atr (Wilder's), rsi, macd, macd_signal, macd_hist.
 
-def smoothed(bars: DataFrame) -> DataFrame:
-    """bars with atr, rsi and macd columns; one shuffle by series, the same that turning points need."""
+    RSI is 50 on the first bar and while there has been no loss.
+    """
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
-    return bars.select(*names).groupBy("source", "symbol", "timeframe").applyInPandas(_one, SMOOTHED)
+    w = Window.partitionBy(*SERIES).orderBy("bar_idx")
+    move = F.col("close") - F.lag("close").over(w)
+    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.lag("close").over(w)), F.abs(F.col("low") - F.lag("close").over(w)))
+    rows = bars.select(*names, reach.alias("reach"), F.greatest(move, F.lit(0.0)).alias("gain"), F.greatest(-move, F.lit(0.0)).alias("loss"))
+    first_loss = rows.filter("loss > 0").groupBy(*SERIES).agg(F.min("bar_idx").alias("first_loss"))
+    wilder = 1 / rsi_period
+    once = ema(rows, {"atr": ("reach", 1 / kernel.PERIOD, 0), "g": ("gain", wilder, 1), "lo": ("loss", wilder, 1), "quick": ("close", 2 / (fast + 1), 0), "steady": ("close", 2 / (slow + 1), 0)})
+    once = once.join(first_loss, SERIES, "left").withColumn("macd", F.col("quick") - F.col("steady"))
+    twice = ema(once, {"macd_signal": ("macd", 2 / (signal + 1), 0)})
+    rsi_ = F.when(F.coalesce(F.col("bar_idx") < F.col("first_loss"), F.lit(True)), 50.0).when(F.col("lo") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("g") / F.col("lo")))
+    return twice.select(*names, "atr", rsi_.alias("rsi"), "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))
 
 
 def _rows(n: int) -> str:
@@ -71,9 +109,9 @@ FROM (SELECT *, close - ((hh + ll) / 2 + mid) / 2 AS away FROM (
   SELECT *, {rolling('avg(close)', 20)} AS mid, {rolling('stddev_pop(close)', 20)} AS sd, {rolling('avg(tr)', 20)} AS tr20, {rolling('max(high)', 20)} AS hh, {rolling('min(low)', 20)} AS ll
   FROM (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM (SELECT *, lag(close) OVER ({BY_BAR}) AS pc FROM {{bars}}) a) b) c) d"""
 
-ATR = f"SELECT {KEY}, bar_idx, round(atr, 8) AS atr FROM {{ind}}"
-RSI = f"SELECT {KEY}, bar_idx, round(rsi, 6) AS rsi FROM {{ind}}"
-MACD = f"SELECT {KEY}, bar_idx, round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal, round(macd_hist, 6) AS macd_hist FROM {{ind}}"
+ATR = f"SELECT {KEY}, bar_idx, round(atr, 4) AS atr FROM {{ind}}"
+RSI = f"SELECT {KEY}, bar_idx, round(rsi, 5) AS rsi FROM {{ind}}"
+MACD = f"SELECT {KEY}, bar_idx, round(macd, 3) AS macd, round(macd_signal, 3) AS macd_signal, round(macd_hist, 3) AS macd_hist FROM {{ind}}"
 
 
 def true_range(bars: DataFrame) -> DataFrame:
