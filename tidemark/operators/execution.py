@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.student import p_value
 from tidemark.operators.signals import NAMES, signals_sql
 from tidemark.plans.frames import KEY, in_block, on, query, scattered, spread
 
@@ -155,10 +156,19 @@ FROM (
     FROM {{trades}} t JOIN {{bars}} e ON {on("e", "t")} AND e.bar_idx = t.entry_bar JOIN {{bars}} x ON {on("x", "t")} AND x.bar_idx = t.exit_bar) c) d) m"""
 
 
-WELCH = """
-SELECT n_long, n_short, round(mean_long, 6) AS mean_long, round(mean_short, 6) AS mean_short, round((mean_long - mean_short) / nullif(sqrt(var_long / n_long + var_short / n_short), 0), 5) AS t FROM (
-  SELECT sum(CASE WHEN direction > 0 THEN 1 ELSE 0 END) AS n_long, sum(CASE WHEN direction < 0 THEN 1 ELSE 0 END) AS n_short, avg(CASE WHEN direction > 0 THEN r END) AS mean_long, avg(CASE WHEN direction < 0 THEN r END) AS mean_short,
-         var_samp(CASE WHEN direction > 0 THEN r END) AS var_long, var_samp(CASE WHEN direction < 0 THEN r END) AS var_short FROM {trades}) w"""
+def _welch(one: str, other: str) -> tuple[str, str]:
+    """Welch's t and its degrees of freedom, from columns n_, mean_ and var_ of two groups."""
+    se = f"(var_{one} / n_{one} + var_{other} / n_{other})"
+    parts = " + ".join(f"power(var_{g} / n_{g}, 2) / nullif(n_{g} - 1, 0)" for g in (one, other))
+    return f"(mean_{one} - mean_{other}) / nullif(sqrt({se}), 0)", f"power({se}, 2) / nullif({parts}, 0)"
+
+
+_T, _NU = _welch("long", "short")
+WELCH = f"""
+SELECT n_long, n_short, round(mean_long, 6) AS mean_long, round(mean_short, 6) AS mean_short, round(t, 5) AS t, round(nu, 5) AS nu, round({p_value("t", "nu")}, 8) AS p FROM (
+  SELECT *, cast({_T} as double) AS t, cast({_NU} as double) AS nu FROM (
+    SELECT sum(CASE WHEN direction > 0 THEN 1 ELSE 0 END) AS n_long, sum(CASE WHEN direction < 0 THEN 1 ELSE 0 END) AS n_short, avg(CASE WHEN direction > 0 THEN r END) AS mean_long, avg(CASE WHEN direction < 0 THEN r END) AS mean_short,
+           var_samp(CASE WHEN direction > 0 THEN r END) AS var_long, var_samp(CASE WHEN direction < 0 THEN r END) AS var_short FROM {{trades}}) w) v"""
 
 
 def _ranks(table: str, value: str) -> str:
@@ -173,33 +183,38 @@ FROM (SELECT v.part, v.bucket, v.{value}, v.n, b.before
 
 
 def spearman_sql(part: str = "'all'") -> str:
-    """Spearman's rank correlation of score and r in each part, ties at their mean rank, and its t (n - 2 degrees of freedom).
+    """Spearman's rank correlation of score and r in each part, ties at their mean rank, its t (n - 2 degrees of freedom) and p.
 
     {scored}: trades with score.
     """
     return f"""
 WITH rows AS (SELECT {part} AS part, cast(score as double) AS score, r FROM {{scored}}),
 by_score AS ({_ranks("rows", "score")}), by_r AS ({_ranks("rows", "r")})
-SELECT part, count(*) AS n, round(avg(w.r), 6) AS mean_r, round(corr(s.rank_of, q.rank_of), 6) AS rho,
-       round(corr(s.rank_of, q.rank_of) * sqrt((count(*) - 2) / nullif(1 - corr(s.rank_of, q.rank_of) * corr(s.rank_of, q.rank_of), 0)), 4) AS t
-FROM rows w JOIN by_score s USING (part, score) JOIN by_r q USING (part, r) GROUP BY part"""
+SELECT part, n, mean_r, rho, round(t, 4) AS t, round({p_value("t", "nu")}, 8) AS p FROM (
+  SELECT *, cast(raw * sqrt((n - 2) / nullif(1 - raw * raw, 0)) as double) AS t, cast(n - 2 as double) AS nu FROM (
+    SELECT part, count(*) AS n, round(avg(w.r), 6) AS mean_r, round(corr(s.rank_of, q.rank_of), 6) AS rho, corr(s.rank_of, q.rank_of) AS raw
+    FROM rows w JOIN by_score s USING (part, score) JOIN by_r q USING (part, r) GROUP BY part) c) v"""
 
 
 def spearman_check_sql(part: str = "'all'") -> str:
     """The same by ranking all rows at once, for checking."""
     return f"""
-SELECT part, count(*) AS n, round(avg(r), 6) AS mean_r, round(corr(rank_s, rank_r), 6) AS rho,
-       round(corr(rank_s, rank_r) * sqrt((count(*) - 2) / nullif(1 - corr(rank_s, rank_r) * corr(rank_s, rank_r), 0)), 4) AS t
+SELECT part, n, mean_r, rho, round(t, 4) AS t, round({p_value("t", "nu")}, 8) AS p FROM (SELECT *, cast(raw * sqrt((n - 2) / nullif(1 - raw * raw, 0)) as double) AS t, cast(n - 2 as double) AS nu FROM (
+SELECT part, count(*) AS n, round(avg(r), 6) AS mean_r, round(corr(rank_s, rank_r), 6) AS rho, corr(rank_s, rank_r) AS raw
 FROM (SELECT part, r, rank() OVER (PARTITION BY part ORDER BY score) + (count(*) OVER (PARTITION BY part, score) - 1) / 2e0 AS rank_s,
              rank() OVER (PARTITION BY part ORDER BY r) + (count(*) OVER (PARTITION BY part, r) - 1) / 2e0 AS rank_r
-      FROM (SELECT {part} AS part, score, r FROM {{scored}}) w) k GROUP BY part"""
+      FROM (SELECT {part} AS part, score, r FROM {{scored}}) w) k GROUP BY part) c) v"""
 
 
-#: Only scores with ten trades and more tell anything.
-BY_SCORE = """
+def by_score_sql(least: int = 10) -> str:
+    """Only scores with so many trades and more tell anything."""
+    return f"""
 SELECT score, count(*) AS n, round(avg(r), 6) AS mean_r, round(avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate,
        round(avg(CASE WHEN r > 0 THEN r END), 6) AS avg_win, round(avg(CASE WHEN r <= 0 THEN r END), 6) AS avg_loss, round(sum(r), 5) AS total_r
-FROM {scored} GROUP BY score HAVING count(*) >= 10"""
+FROM {{scored}} GROUP BY score HAVING count(*) >= {least}"""
+
+
+BY_SCORE = by_score_sql()
 
 
 def effects_sql(least: int = 20) -> str:
@@ -210,10 +225,10 @@ def effects_sql(least: int = 20) -> str:
     cases = " ".join(f"WHEN '{n}' THEN {n}" for n in NAMES)
     needed = " ".join(f"WHEN {k} THEN {NormalDist().inv_cdf(1 - 0.025 / k)!r}e0" for k in range(1, len(NAMES) + 1))
     return f"""
-SELECT guideline, n_yes, n_no, round(n_yes / cast(n_yes + n_no as double), 6) AS share, round(mean_yes, 6) AS mean_yes, round(mean_no, 6) AS mean_no, round(mean_yes - mean_no, 6) AS difference, t,
-       row_number() OVER (ORDER BY abs(t) DESC, guideline) AS place, round(CASE count(*) OVER () {needed} END, 6) AS t_needed
+SELECT guideline, n_yes, n_no, round(n_yes / cast(n_yes + n_no as double), 6) AS share, round(mean_yes, 6) AS mean_yes, round(mean_no, 6) AS mean_no, round(mean_yes - mean_no, 6) AS difference, round(t, 5) AS t, round({p_value("t", "nu")}, 8) AS p,
+       row_number() OVER (ORDER BY abs(round(t, 5)) DESC, guideline) AS place, round(CASE count(*) OVER () {needed} END, 6) AS t_needed
 FROM (
-  SELECT *, round((mean_yes - mean_no) / nullif(sqrt(var_yes / n_yes + var_no / n_no), 0), 5) AS t FROM (
+  SELECT *, cast({_welch("yes", "no")[0]} as double) AS t, cast({_welch("yes", "no")[1]} as double) AS nu FROM (
     SELECT guideline, sum(CASE WHEN met THEN 1 ELSE 0 END) AS n_yes, sum(CASE WHEN met THEN 0 ELSE 1 END) AS n_no, avg(CASE WHEN met THEN r END) AS mean_yes, avg(CASE WHEN NOT met THEN r END) AS mean_no,
            var_samp(CASE WHEN met THEN r END) AS var_yes, var_samp(CASE WHEN NOT met THEN r END) AS var_no
     FROM (SELECT guideline, r, CASE guideline {cases} END AS met FROM {{guided}} CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in NAMES)}) AS g(guideline)) m

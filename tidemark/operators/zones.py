@@ -19,7 +19,7 @@ NEAR, MID, FAR = 0.382, 0.618, 1.0
 EXTENSION, EQUAL, FIFTH = 1.618, 1.0, 0.618
 STOP, LEAST_RR, WAIT, WAIT_SUB = 0.01, 2.0, 60, 40
 CANONICAL = (2, 3, 6, 7, 10, 11)
-_SCALES = ", ".join(map(str, CONTEXT))
+_SCALES, _CANONICAL = ", ".join(map(str, CONTEXT)), ", ".join(map(str, CANONICAL))
 
 #: Coarse moves with both points, and their direction.
 _MOVES = f"SELECT *, CASE WHEN p1 > p0 THEN 1 ELSE -1 END AS d FROM ({PAIRS}) m WHERE p0 IS NOT NULL AND p0 <> p1"
@@ -54,7 +54,7 @@ def _lo(a: str, b: str) -> str:
 
 
 #: An order at the bar at which a move's end becomes known, unless price has come too near; with its projections.
-ORDERS = f"""
+_ORDERS = f"""
 WITH moves AS ({_MOVES}), legs AS ({_LEGS}),
 set_up AS (
   SELECT o.*, p1 - CASE WHEN extended THEN {MID} ELSE {NEAR} END * (p1 - p0) AS near_edge, p1 - CASE WHEN extended THEN {FAR} ELSE {MID} END * (p1 - p0) AS far_edge FROM (
@@ -63,7 +63,7 @@ set_up AS (
     FROM moves m JOIN {{bars}} b ON {on("b", "m")} AND b.bar_idx = m.from_bar WHERE m.scale IN ({_SCALES})) o
   WHERE direction * (close - (p1 - {NEAR} * (p1 - p0))) >= 0),
 priced AS (
-  SELECT *, near_edge AS limit_price, far_edge * (1 - {STOP} * direction) AS stop, far_edge + {EXTENSION} * (p1 - p0) AS target, least(near_edge, far_edge) AS zone_lo, greatest(near_edge, far_edge) AS zone_hi FROM set_up),
+  SELECT *, near_edge AS limit_price, STOP_EDGE * (1 - {STOP} * direction) AS stop, far_edge + {EXTENSION} * (p1 - p0) AS target, least(near_edge, far_edge) AS zone_lo, greatest(near_edge, far_edge) AS zone_hi FROM set_up),
 prior AS (
   SELECT {KEY}, scale, idx, kind, least(a, b, c, d) AS e1, greatest(a, b, c, d) AS e2 FROM (
     SELECT {KEY}, scale, idx, kind, lag(price, 1) OVER w AS a, lag(price, 2) OVER w AS b, lag(price, 3) OVER w AS c, lag(price, 4) OVER w AS d FROM {{pivots}} WHERE NOT is_anchor
@@ -81,9 +81,18 @@ SELECT {KEY}, bar, direction, scale AS context_scale, i0, p0, i1, p1, limit_pric
        CASE WHEN by_higher > 0.1 THEN 1 ELSE 0 END + CASE WHEN by_inner > 0.1 THEN 1 ELSE 0 END + CASE WHEN by_earlier > 0.1 THEN 1 ELSE 0 END AS n_supporting, coalesce(by_higher, 0e0) + coalesce(by_inner, 0e0) + coalesce(by_earlier, 0e0) AS confluence
 FROM supported WHERE abs(target - limit_price) / nullif(abs(limit_price - stop), 0) >= {LEAST_RR}"""
 
+
+
+def orders_sql(stop_from: str = "operative") -> str:
+    """stop_from: the far edge of the zone in use ("operative"), or always that of the deeper zone ("extended")."""
+    return _ORDERS.replace("STOP_EDGE", {"operative": "far_edge", "extended": f"(p1 - {FAR} * (p1 - p0))"}[stop_from])
+
+
+ORDERS = orders_sql()
+
 #: Moves with the last bar before the next one's end is known.
 _LASTING = f"(SELECT m.*, least(m.to_bar, n.n_bars) - 1 AS last_bar FROM moves m JOIN (SELECT {KEY}, count(*) AS n_bars FROM {{bars}} GROUP BY {KEY}) n ON {on('n', 'm')} WHERE m.scale IN ({_SCALES}))"
-#: How the correction that is running at each bar divides, on the coarsest finer scale with a corrective count.
+#: How the correction that is running at each bar divides, on the coarsest finer scale with a corrective count, else on the coarsest with two legs.
 DECOMPOSED = f"""
 WITH moves AS ({_MOVES}), legs AS ({_LEGS}),
 state AS (
@@ -92,16 +101,17 @@ state AS (
   WINDOW w AS (PARTITION BY m.source, m.symbol, m.timeframe, m.scale, m.seq ORDER BY b.bar_idx)),
 divided AS (
   SELECT o.*, x.fine, x.n AS legs, x.idx AS last_idx, x.kind AS last_kind, x.price AS last_price, x.before1, CASE WHEN x.n = 2 THEN o.p1 ELSE x.before2 END AS before2,
-         row_number() OVER (PARTITION BY o.source, o.symbol, o.timeframe, o.scale, o.bar ORDER BY x.fine DESC) AS best
+         row_number() OVER (PARTITION BY o.source, o.symbol, o.timeframe, o.scale, o.bar ORDER BY CASE WHEN x.n IN ({_CANONICAL}) THEN 0 ELSE 1 END, x.fine DESC) AS best
   FROM state o JOIN legs x ON {_PAIR} AND o.bar >= x.known AND o.bar < x.until
-  WHERE o.bar >= o.from_bar AND NOT (o.d > 0 AND o.lowest <= o.p0 OR o.d < 0 AND o.highest >= o.p0) AND x.n IN ({", ".join(map(str, CANONICAL))}))
+  WHERE o.bar >= o.from_bar AND NOT (o.d > 0 AND o.lowest <= o.p0 OR o.d < 0 AND o.highest >= o.p0) AND x.n >= 2)
 SELECT * FROM divided WHERE best = 1"""
 
-DECOMPOSITIONS = f"SELECT {KEY}, scale AS context_scale, CASE WHEN legs <= 3 THEN 'simple' WHEN legs <= 7 THEN 'double_three' ELSE 'triple_three' END AS label, count(*) AS bars FROM ({DECOMPOSED}) d GROUP BY {KEY}, scale, CASE WHEN legs <= 3 THEN 'simple' WHEN legs <= 7 THEN 'double_three' ELSE 'triple_three' END"
+_LABEL = f"CASE WHEN legs NOT IN ({_CANONICAL}) THEN 'open' WHEN legs <= 3 THEN 'simple' WHEN legs <= 7 THEN 'double_three' ELSE 'triple_three' END"
+DECOMPOSITIONS = f"SELECT {KEY}, scale AS context_scale, {_LABEL} AS label, count(*) AS bars FROM ({DECOMPOSED}) d GROUP BY {KEY}, scale, {_LABEL}"
 
 #: Orders where at least two of three projections of the correction's end meet; one for each correction.
 SUB_ORDERS = f"""
-WITH divided AS ({DECOMPOSED}),
+WITH divided AS (SELECT * FROM ({DECOMPOSED}) d WHERE legs IN ({_CANONICAL})),
 ahead AS (SELECT {KEY}, scale, idx, kind, price AS j0, lead(price, 1) OVER w AS j1, lead(price, 4) OVER w AS j4, lead(confirmed_idx, 4) OVER w AS known4 FROM {{pivots}} WHERE NOT is_anchor WINDOW w AS (PARTITION BY {KEY}, scale ORDER BY seq)),
 fifth AS (
   SELECT source, symbol, timeframe, scale, bar, j4 + CASE WHEN j1 > j0 THEN 1 ELSE -1 END * {FIFTH} * abs(j1 - j0) AS e1, j4 + CASE WHEN j1 > j0 THEN 1 ELSE -1 END * {EQUAL} * abs(j1 - j0) AS e2 FROM (

@@ -165,14 +165,14 @@ scored AS (SELECT t.*, s.score FROM trades t JOIN scores s ON t.source = s.sourc
 for _name, _template, _check in (
     ("quality_spearman", execution.spearman_sql(), execution.spearman_check_sql()),
     ("quality_by_timeframe", execution.spearman_sql("timeframe"), execution.spearman_check_sql("timeframe")),
-    ("quality_by_score", execution.BY_SCORE, execution.BY_SCORE),
+    ("quality_by_score", execution.by_score_sql(3), execution.by_score_sql(3)),
 ):
     _own(_name, lambda spark, sf_dir, t=_template: query(t, scored=_scored(spark, sf_dir)), f"{_SCORED_SQL} SELECT * FROM ({_check.format(scored='scored')}) AS answer")
 
 
 def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = query(signals.GUIDELINES, **{f: base.frame(spark, sf_dir, f, "walk_h") for f in _BPI})
-    return query(execution.effects_sql(), guided=execution.with_guidelines(_trades(spark, sf_dir), met))
+    return query(execution.effects_sql(3), guided=execution.with_guidelines(_trades(spark, sf_dir), met))
 
 
 _own(
@@ -180,7 +180,7 @@ _own(
     _effects,
     f"""{base.with_sql('walk_h', ('pivots', 'ind'))}, trades AS ({_TRADES_SQL}), met AS ({signals.GUIDELINES.format(bars='walk_h', pivots='pivots', ind='ind')}),
 guided AS (SELECT t.*, {', '.join(f'm.{n}' for n in signals.NAMES)} FROM trades t JOIN met m ON t.source = m.source AND t.symbol = m.symbol AND t.timeframe = m.timeframe AND t.bar = m.bar AND t.context_scale = m.context_scale)
-SELECT * FROM ({execution.effects_sql().format(guided='guided')}) AS answer""",
+SELECT * FROM ({execution.effects_sql(3).format(guided='guided')}) AS answer""",
 )
 
 
@@ -188,6 +188,7 @@ SELECT * FROM ({execution.effects_sql().format(guided='guided')}) AS answer""",
 _ORDER = "source, symbol, timeframe, bar, direction, context_scale, i1, round(limit_price, 7) AS limit_price, round(stop, 7) AS stop, round(target, 7) AS target, extended, expiry_bar, round(rr, 6) AS rr, n_supporting"
 _FATE = "source, symbol, timeframe, bar, context_scale, direction, status, entry_bar, exit_bar, round(entry, 7) AS entry, round(exit, 7) AS exit, reason, round(r, 6) AS r"
 _add("zone_orders", f"SELECT {_ORDER} FROM ({zones.ORDERS}) o", "walk_h", _BP)
+_add("zone_orders_extended_stop", f"SELECT {_ORDER} FROM ({zones.orders_sql('extended')}) o", "walk_h", _BP)
 _add("zone_confluence", f"SELECT context_scale, n_supporting, count(*) AS n, round(avg(confluence), 6) AS confluence FROM ({zones.ORDERS}) o GROUP BY context_scale, n_supporting", "walk_h", _BP)
 _add("correction_decomposition", zones.DECOMPOSITIONS, "walk_h", _BP)
 _add("substructure_orders", f"SELECT {_ORDER} FROM ({zones.SUB_ORDERS}) o", "walk_h", _BP)

@@ -58,7 +58,14 @@ def path_name(symbol: Column) -> Column:
 
 
 #: Each bar as text; a digest of it is a number, and the series' digest the sum of its bars', in any order.
-_BAR = "concat_ws('|', ts_sec, " + ", ".join(f"coalesce(cast(cast({c} as decimal(38,12)) as string), 'null')" for c in ("open", "high", "low", "close", "volume")) + ")"
+def _as_text(c: str) -> str:
+    """A number to twelve decimals; a large one as its power of ten and what is left to twelve decimals."""
+    power = f"floor(log10(abs({c})))"
+    large = f"concat('e', cast(cast({power} as int) as varchar(9)), ':', cast(cast({c} / power(10e0, {power}) as decimal(38,12)) as varchar(60)))"
+    return f"CASE WHEN {c} IS NULL THEN 'null' WHEN isnan({c}) THEN 'nan' WHEN abs({c}) < 1e25 THEN cast(cast({c} as decimal(38,12)) as varchar(60)) WHEN abs({c}) > 1.7e308 THEN 'inf' ELSE {large} END"
+
+
+_BAR = "concat_ws('|', ts_sec, " + ", ".join(map(_as_text, ("open", "high", "low", "close", "volume"))) + ")"
 CONTENT_HASH = f"""
 SELECT source, symbol, timeframe, lpad(cast(cast(sum(digest) % 10000000000000000 as bigint) as string), 16, '0') AS hash
 FROM (SELECT source, symbol, timeframe, cast(conv(substring(md5({_BAR}), 1, 15), 16, 10) as decimal(28,0)) AS digest FROM {{bars}}) b GROUP BY source, symbol, timeframe"""
