@@ -47,13 +47,17 @@ def p_value(t: str, nu: str) -> str:
 
     t, nu: columns of type double.
     """
-    a, b = f"({nu} / 2)", "0.5e0"
-    # both sides come from t itself, so that neither loses digits
-    x, rest = f"({nu} / ({nu} + {t} * {t}))", f"({t} * {t} / ({nu} + {t} * {t}))"
-    steps = f"cast(80 + 4 * sqrt({nu}) as int)"
+    a, b, x, rest, steps = "v.a", "0.5e0", "v.x", "v.rest", "v.steps"
 
     def text(fraction, log_gamma) -> str:
         near, far = _beta(fraction, log_gamma, a, b, x, rest, steps), _beta(fraction, log_gamma, b, a, rest, x, steps)
-        return f"(CASE WHEN {t} IS NULL OR {nu} IS NULL OR {nu} <= 0 THEN NULL WHEN {t} = 0 THEN 1e0 WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {near} ELSE 1 - {far} END)"
-
-    return form(text(_spark_fraction, _log_gamma), text(_duck_fraction, lambda v: f"lgamma({v})"))
+        return f"CASE WHEN v.a IS NULL OR v.x IS NULL THEN NULL WHEN {rest} = 0 THEN 1e0 WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {near} ELSE 1 - {far} END"
+
+    # both sides come from t itself, so that neither loses digits; they are bound once for the many places that name them
+    bound = {"a": f"CASE WHEN {nu} > 0 THEN {nu} / 2 END", "x": f"CASE WHEN {nu} > 0 THEN {nu} / ({nu} + {t} * {t}) END", "rest": f"CASE WHEN {nu} > 0 THEN {t} * {t} / ({nu} + {t} * {t}) END", "steps": f"cast(80 + 4 * sqrt(CASE WHEN {nu} > 0 THEN {nu} ELSE 1e0 END) as int)"}
+    in_spark = ", ".join(f"'{k}', {v}" for k, v in bound.items())
+    in_duck = ", ".join(f"'{k}': {v}" for k, v in bound.items())
+    return form(
+        f"transform(array(named_struct({in_spark})), v -> {text(_spark_fraction, _log_gamma)})[0]",
+        f"list_transform([{{{in_duck}}}], lambda v: {text(_duck_fraction, lambda y: f'lgamma({y})')})[1]",
+    )

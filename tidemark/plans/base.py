@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import indicators
@@ -10,8 +11,10 @@ from tidemark.operators import hits, lattice
 from tidemark.plans import duck
 from tidemark.plans.frames import with_view
 from tidemark.sources import bars
+from tidemark.streaming.replay import shared_dir
 
 _kept: dict[tuple, DataFrame] = {}
+_folders: dict[str, str] = {}
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +25,41 @@ _BARS = {"walk_d": bars.walk_d, "walk_i": bars.walk_i, "walk_h": _hours}
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A frame that several queries read is computed once a session; Spark drops it to disk where memory is short."""
+    """A frame that several queries read is computed once a session and written to the shared folder.
+
+    So later plans begin with a scan (a cached frame would carry its whole plan into every plan that reads it), and no
+    lost executor makes it be computed anew. It ends with forget().
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = with_view(make().persist(StorageLevel.MEMORY_AND_DISK))
+        _kept[key] = with_view(stored(make()))
     return _kept[key]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{frames_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def frames_dir(spark: SparkSession) -> str:
+    """Where this application's frames are; a local session without spark.checkpoint.dir has a folder of its own."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/tidemark-frames/{app}"
+    return _folders[app]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the frames that this application has written; results that still read them end with them."""
+    app = spark.sparkContext.applicationId
+    at = spark._jvm.org.apache.hadoop.fs.Path(frames_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for key in [k for k in _kept if k[0] == app]:
+        del _kept[key]
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str, view: str) -> DataFrame:
     own = lambda: kept(spark, sf_dir, view, lambda: _BARS[view](spark, sf_dir))
     if name == "bars":
