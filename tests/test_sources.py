@@ -9,7 +9,7 @@ import pytest
 from tests.test_points import frame, series
 from tidemark.functions import table
 from tidemark.operators import lattice
-from tidemark.sources import rest
+from tidemark.sources import catalog, rest
 from tidemark.streaming import points
 
 
@@ -52,21 +52,6 @@ def test_table_function(spark):
     assert {tuple(r) for r in got.select(*key).collect()} == {tuple(r) for r in lattice.build(bars).select(*key).collect()}
 
 
-def test_hypotheses_and_orders_end(spark, tmp_path):
-    schema = "source string, symbol string, timeframe string, bar_idx int, is_bar boolean, high double, low double, id string, direction int, dead double, limit_price double, expiry_bar int"
-    bar = lambda i, h, lo: ("t", "S", "1d", i, True, float(h), float(lo), None, None, None, None, None)
-    new = lambda i, name, d, dead, limit=None, expiry=None: ("t", "S", "1d", i, False, None, None, name, d, float(dead), limit, expiry)
-    first = [new(0, "up", 1, 90), new(0, "down", -1, 120), new(0, "buy", 1, 130, 95.0, 5), new(0, "late", 1, 130, 50.0, 1), bar(0, 200, 1), bar(1, 110, 100)]
-    second = [bar(2, 119, 94), bar(3, 121, 89)]
-    for rows in (first, second):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = points.ends(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = {(r.id, r.what, r.bar_idx) for r in spark.read.schema(points.ENDS).parquet(str(tmp_path / "out")).collect()}
-    assert got == {("buy", "filled", 2), ("late", "expired", 2), ("up", "invalid", 3), ("down", "invalid", 3)}
-
-
 def test_closed_bars(spark, tmp_path):
     import datetime as dt
 
@@ -80,3 +65,24 @@ def test_closed_bars(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts_sec").collect()
     # the last bar is still open
     assert [(r.open, r.high, r.low, r.close) for r in got] == [(10.0, 12.0, 10.0, 12.0), (9.0, 9.0, 9.0, 9.0)]
+
+
+def test_two_writers_lose_no_entry_of_the_manifest(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "bars")
+    entry = lambda symbols, at: spark.createDataFrame([("s", x, "1d", at) for x in symbols], "source string, symbol string, timeframe string, fetched_at int")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: catalog.record(entry([f"S{k}", "both"], k), root), range(4)))
+    found = catalog.recorded(spark, root)
+    assert {(r.symbol, r.fetched_at) for r in found.collect()} == {("S0", 0), ("S1", 1), ("S2", 2), ("S3", 3), ("both", 3)}
+    # a later column joins; earlier entries lack it
+    catalog.record(entry(["S1"], 9).selectExpr("*", "'x' AS cluster"), root)
+    assert {(r.symbol, r.cluster) for r in catalog.recorded(spark, root).collect()} >= {("S1", "x"), ("S0", None)}
+    assert catalog.as_json(found.filter("symbol = 'both'")).first().manifest == '{"s/both/1d":{"source":"s","symbol":"both","timeframe":"1d","fetched_at":3}}'
+
+
+def test_digest_of_very_large_numbers(spark):
+    rows = [("t", s, "1d", i, i, x, x, x, x, v) for s, x, v in (("a", 1e30, 1e300), ("b", 1.5e30, 1e300), ("c", 1e30, None)) for i in range(2)]
+    bars = spark.createDataFrame(rows, "source string, symbol string, timeframe string, bar_idx int, ts_sec bigint, open double, high double, low double, close double, volume double")
+    assert len({r.hash for r in catalog.content_hash(bars).collect()}) == 3

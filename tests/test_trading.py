@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from tidemark.operators import execution, integrity, ratios, risk, zones
@@ -141,7 +142,56 @@ def test_small_figures(spark):
 
 def test_clusters(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", 0.7)], "symbol_a string, symbol_b string, rho double")
-    assert risk.clusters(pairs) == {"a": 0, "b": 0, "c": 1}
+    named = pairs.selectExpr("'x' AS source_a", "symbol_a", "'x' AS source_b", "symbol_b", "'1d' AS timeframe", "rho")
+    # c goes with b, but b leads nothing
+    assert {r.symbol: r.leader_symbol for r in risk.clusters(named).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_clusters_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    names = [(s, f"{i:02}") for s in "xy" for i in range(12)]
+    rho = {(a, b): float(rng.uniform(-1, 1)) for i, a in enumerate(names) for b in names[i + 1 :]}
+    pairs = spark.createDataFrame([(*a, *b, "1d", r) for (a, b), r in rho.items()], "source_a string, symbol_a string, source_b string, symbol_b string, timeframe string, rho double")
+    leaders, want = [], {}
+    for s in names:
+        want[s] = next((x for x in leaders if rho[x, s] >= 0.5), s)
+        leaders += [s] if want[s] == s else []
+    got = {(r.source, r.symbol): (r.leader_source, r.leader_symbol) for r in risk.clusters(pairs, 0.5).collect()}
+    assert got == want and len(leaders) > 3
+
+
+def test_paths_against_a_loop():
+    """Outcomes by arrays are those of playing result by result."""
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        rules = risk.Rules(target=rng.choice([0.03, 0.1]), drawdown=rng.choice([0.04, 0.1]), daily=rng.choice([0.02, 0.05]), days=6)
+        days = np.sort(rng.integers(1, 7, rng.integers(0, 30)))
+        results = np.where(rng.random(len(days)) < 0.4, 2.0, -1.0)
+        curve = top = 1.0
+        want, day_of, opened = ("open", 6), None, 1.0
+        for x, day in zip(results, days, strict=True):
+            if day != day_of:
+                day_of, opened = day, curve
+            curve *= 1 + 0.01 * x
+            top = max(top, curve)
+            ended = [n for n, hit in (("drawdown", curve <= top * (1 - rules.drawdown)), ("daily", curve <= opened * (1 - rules.daily)), ("pass", curve >= 1 + rules.target)) if hit]
+            if ended:
+                want = ended[0], int(day)
+                break
+        assert risk.outcome(results, days, 0.01, rules) == want
+
+
+def test_correlations_by_blocks_are_those_of_all_bars(spark, monkeypatch):
+    from tidemark.plans.frames import query as run
+
+    monkeypatch.setattr(risk, "MOMENT_BITS", 3)
+    rng = np.random.default_rng(6)
+    rows = [("t", s, "1d", i, 86_400 * (i + lag), 1.0, 1.0, 1.0, float(np.exp(rng.normal())), 1.0) for s, n, lag in (("a", 90, 0), ("b", 70, 3), ("c", 2, 0), ("d", 60, 500)) for i in range(n)]
+    bars = spark.createDataFrame(rows, "source string, symbol string, timeframe string, bar_idx int, ts_sec bigint, open double, high double, low double, close double, volume double")
+    for align in ("tail", "ts"):
+        want = {tuple(r)[:6]: r.rho for r in run(risk.correlations_sql(align), bars=bars).collect()}
+        got = {tuple(r)[:6]: r.rho for r in risk.correlations(bars, align).collect()}
+        assert set(got) == set(want) and all((want[k] is None or want[k] != want[k]) and got[k] is None or got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
 def test_book(spark):

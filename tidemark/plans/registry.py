@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source, symbol, timeframe, ts_se
 for _name, _template in (("report", integrity.ISSUES), ("verdict", integrity.VERDICT), ("flatlines", integrity.FLATLINES), ("gaps_top3", integrity.WORST_GAPS), ("splits", integrity.SPLIT_DAYS), ("examples", integrity.EXAMPLES)):
     _own(f"integrity_{_name}", lambda spark, sf_dir, t=_template: query(t, raw=_dirty(spark, sf_dir)), f"{_DIRTY_SQL} SELECT * FROM ({_template.format(raw='raw')}) AS answer")
 _add("catalog_manifest", catalog.MANIFEST, "walk_i")
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded in two parts, the first twice, and read back."""
+    root = f"{base.frames_dir(spark)}/store-{uuid4().hex}"
+    entries = catalog.manifest(base.frame(spark, sf_dir, "bars", "walk_i")).withColumn("fetched_at", F.lit(1))
+    early = F.col("symbol") < "m"
+    for part in (entries.filter(early).withColumn("n_bars", F.lit(0).cast("long")), entries.filter(~early), entries.filter(early).withColumn("fetched_at", F.lit(2))):
+        catalog.record(part, root)
+    return catalog.recorded(spark, root).drop("fetched_at")
+
+
+_QUERIES["catalog_manifest"] = _manifest
 _add("catalog_usable", catalog.usable_sql(1000, ("click",)), "walk_i")
 _add("catalog_usable_timeframes", catalog.usable_sql(100, (), ("1h", "4h")), "walk_h")
 _own("universe_holdout_anti", lambda spark, sf_dir: spark.sql(catalog.TRAINING), catalog.TRAINING_SQL)
@@ -285,13 +299,22 @@ _own("gbt_importances", lambda spark, sf_dir: features.importances(features.data
 # ---- risk ----
 _add("correlation_pairs", risk.CORRELATIONS, "walk_d")
 _add("correlation_pairs_by_time", risk.correlations_sql("ts"), "walk_d")
+_QUERIES["correlation_pairs"] = lambda spark, sf_dir: risk.correlations(base.frame(spark, sf_dir, "bars", "walk_d"))
+_QUERIES["correlation_pairs_by_time"] = lambda spark, sf_dir: risk.correlations(base.frame(spark, sf_dir, "bars", "walk_d"), "ts")
+#: The series here are nearly independent, so a threshold that parts them is low.
+_APART = 0.03
+_own(
+    "correlation_clusters",
+    lambda spark, sf_dir: risk.clusters(risk.correlations(base.frame(spark, sf_dir, "bars", "walk_d")), _APART),
+    f"{base.with_sql('walk_d', ())} {risk.clusters_check_sql(risk.CORRELATIONS.format(bars='walk_d'), _APART)}",
+)
 _add("challenge_no_edge", risk.NO_EDGE, "walk_h", ())
 _STATES = "(SELECT * FROM (VALUES (0, 0e0, 0e0, 0, 0e0), (0, 0e0, 0e0, 3, 0.8e0), (6, 0e0, 0e0, 0, 0e0), (2, 0.035e0, 0e0, 0, 0e0), (2, 0.01e0, 0.015e0, 1, 0.2e0), (1, 0.05e0, 0e0, 0, 1e0)) AS v(n_open, heat, cluster_heat, losses, drawdown_used))"
 _add("risk_allowance", risk.allowance_sql(_STATES), "walk_h", ())
 _on_trades("required_r", risk.REQUIRED)
 
 
-def _challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _challenge(spark: SparkSession, sf_dir: str, rules: risk.Rules | tuple[risk.Rules, ...] = risk.Rules()) -> DataFrame:
     """All finished limit orders, drawn as often a day as they came."""
     found = risk.results(_in_turn(spark, sf_dir, zones.ORDERS).filter("reason is not null")).toPandas()
     seconds = base.frame(spark, sf_dir, "bars", "walk_h").agg(F.max("ts_sec") - F.min("ts_sec")).first()[0] or 0
@@ -299,10 +322,11 @@ def _challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
     if n < 20:  # too few on the smallest tables
         return spark.createDataFrame([], "risk double, p_pass double, p_fail double, p_daily double, p_open double, median_days double")
     a_day = n / max(seconds / 31_557_600, 1e-9) / 252
-    return risk.challenge(spark, found.r.tolist(), risk.Rules(), list(risk.RISKS), max(a_day, 0.05), counts=found.n.tolist())
+    return risk.challenge(spark, found.r.tolist(), rules, list(risk.RISKS), max(a_day, 0.05), counts=found.n.tolist())
 
 
 _own("challenge_mc", _challenge)
+_own("challenge_two_phases", lambda spark, sf_dir: _challenge(spark, sf_dir, risk.two_phases()))
 _own("challenge_best_risk", lambda spark, sf_dir: risk.best_risk(_challenge(spark, sf_dir)))
 
 

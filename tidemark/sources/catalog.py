@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,30 @@ def upsert(manifest: DataFrame, entries: DataFrame) -> DataFrame:
     return latest.select("e.*")
 
 
+_ENTRY = ["source", "symbol", "timeframe"]
+
+
+def record(entries: DataFrame, root: str) -> None:
+    """Puts entries (KEY, fetched_at and more) into the manifest stored beside the bars.
+
+    The manifest is a log: each writer adds a folder of its own, published by its commit, so two at once lose no entry.
+    """
+    entries.withColumn("recorded_at", F.current_timestamp()).write.parquet(f"{root.rstrip('/')}_manifest/recorded_by={uuid.uuid4().hex}")
+
+
+def recorded(spark: SparkSession, root: str) -> DataFrame:
+    """The stored manifest: of several entries for a series the one fetched last, then the one recorded last."""
+    log = spark.read.option("mergeSchema", "true").parquet(f"{root.rstrip('/')}_manifest")
+    latest = log.groupBy(*_ENTRY).agg(F.max_by(F.struct(*log.columns), F.struct("fetched_at", "recorded_at", "recorded_by")).alias("e"))
+    return latest.select("e.*").drop("recorded_at", "recorded_by")
+
+
+def as_json(manifest: DataFrame) -> DataFrame:
+    """One row: the manifest as a JSON object, its keys source/symbol/timeframe in order. A row a series, so it fits."""
+    entry = F.struct(F.concat_ws("/", *_ENTRY).alias("key"), F.struct(*manifest.columns).alias("value"))
+    return manifest.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("manifest"))
+
+
 def path_name(symbol: Column) -> Column:
     """A symbol as part of a path. "A/B" and "A=B" fall together."""
     return F.replace(F.replace(F.replace(symbol, F.lit("/"), F.lit("_")), F.lit("^"), F.lit("idx_")), F.lit("="), F.lit("_"))

@@ -22,7 +22,7 @@ def fetch(spark: SparkSession, source: str, symbols: list[str], timeframe: str,
 
 
 def ingest(fetched: DataFrame, root: str, fetched_at: int) -> DataFrame:
-    """Stores the bars of sound series and reports on all: bars, range, errors, warnings, ok, fetched_at, cluster."""
+    """Stores the bars of sound series, records all in the stored manifest, and reports on them: bars, range, errors, warnings, ok, fetched_at, cluster."""
     kept = fetched.persist()
     verdict = integrity.verdict(kept.withColumn("ingest_seq", F.col("bar_idx")))
     keys = bars.SERIES
@@ -30,7 +30,9 @@ def ingest(fetched: DataFrame, root: str, fetched_at: int) -> DataFrame:
     report = catalog.manifest(kept).join(verdict, keys, "left").fillna({"errors": 0, "warnings": 0, "ok": True}).join(clusters, "symbol", "left").withColumn("fetched_at", F.lit(fetched_at))
     sound = report.filter("ok").select(*keys)
     catalog.save(kept.join(sound, keys, "left_semi"), root)
-    return report
+    catalog.record(report, root)
+    kept.unpersist()
+    return catalog.recorded(kept.sparkSession, root).filter(F.col("fetched_at") == fetched_at)
 
 
 def available(manifest: DataFrame) -> DataFrame:

@@ -80,12 +80,12 @@ class Waiting(StatefulProcessor):
         pass
 
 
-def ends(events: DataFrame, late: str = "0 seconds") -> DataFrame:
+def ends(events: DataFrame, late: str = "1 minute") -> DataFrame:
     """What becomes of hypotheses and limit orders, bar by bar; what a timer ends has no bar.
 
     events: source, symbol, timeframe, ts (event time), bar_idx, is_bar, high, low (of bars), id, direction, dead (the price that ends
     it), limit_price (null: a hypothesis), expiry_bar, deadline_sec (epoch seconds; null: waits for ever). An order counts from the bar
-    after its own. Rows with neither bar nor id only move the clock.
+    after its own. Rows with neither bar nor id only move the clock. late: how far behind the latest event rows may come.
     """
     timed = events.withWatermark("ts", late).select(*SERIES, "ts", *_COLUMNS)
     return timed.groupBy(*SERIES).transformWithStateInPandas(Waiting(), ENDS, "append", "eventTime")
