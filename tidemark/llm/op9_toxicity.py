@@ -98,11 +98,13 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) ->
     if not len(toxic) or not len(unlabelled):
         return Classifier({}, 5.0 if len(toxic) else -5.0)
     # weights of buckets that no text holds would stay 0
-    present = np.unique(np.concatenate([np.asarray(r, np.int64) for r in (*toxic, *unlabelled)]))
     place = np.zeros(BUCKETS, np.int64)
+    for r in (*toxic, *unlabelled):
+        place[np.asarray(r, np.int32)] = 1
+    present = np.flatnonzero(place)
     place[present] = np.arange(len(present))
     k = len(present)
-    entries = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), place[np.concatenate([np.asarray(r, np.int64) for r in rows])], len(rows))
+    entries = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), place[np.concatenate([np.asarray(r, np.int32) for r in rows])], len(rows))
     prior = min(max(prior, 1e-4), 0.9)
     risk = Risk(entries(toxic), entries(unlabelled), k, prior)
     value = evidence(risk)
