@@ -8,12 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.student import p_value
 from tidemark.operators.signals import NAMES, signals_sql
+from tidemark.operators.turns import with_turns
 from tidemark.plans.frames import KEY, in_block, on, query, scattered, spread
 
 
@@ -62,19 +62,9 @@ SELECT {KEY}, bar, context_scale, trigger_scale, direction, entry_bar, exit_bar,
 _TRADES = f"{KEY}, bar, context_scale, trigger_scale, direction, entry_bar, exit_bar, entry, exit, stop, reason, r"
 
 
-def _greedy(trades: pd.DataFrame) -> pd.DataFrame:
-    """In order of the bar, then of the scale: skips what would begin before the last kept trade has ended."""
-    keep, busy = [], -1
-    trades = trades.sort_values(["bar", "context_scale"], kind="stable")
-    for first, last in zip(trades.entry_bar, trades.exit_bar, strict=True):
-        keep.append(first > busy)
-        busy = last if keep[-1] else busy
-    return trades[keep]
-
-
 def one_at_a_time(trades: DataFrame) -> DataFrame:
-    """The trades that a single position a series allows. Candidates are few against bars, so a series fits a task."""
-    return trades.groupBy(*KEY.split(", ")).applyInPandas(_greedy, trades.schema)
+    """The trades that a single position a series allows, in order of the bar, then of the scale."""
+    return with_turns(trades, "entry_bar", "exit_bar").filter("taken").select(*trades.columns)
 
 
 def greedy_sql(trades: str, first: str = "entry_bar") -> str:

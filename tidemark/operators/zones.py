@@ -5,14 +5,13 @@ A zone is a closed range of prices. Bands are parts of a move that a correction
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import hits
 from tidemark.operators.signals import CONTEXT, PAIRS, pair_as_of
+from tidemark.operators.turns import with_turns
 from tidemark.plans.frames import KEY, as_of, form, in_block, on, query, scattered, spread
-from tidemark.sources.bars import SERIES
 
 #: The bands, the target's and the pending leg's ratios, the stop's distance, how long orders wait.
 NEAR, MID, FAR = 0.382, 0.618, 1.0
@@ -206,20 +205,11 @@ SELECT o.source, o.symbol, o.timeframe, o.bar, o.context_scale, o.direction, con
 FROM ({ORDERS}) o JOIN {{bars}} b ON {on("b", "o")} AND b.bar_idx = o.bar"""
 
 
-def _in_turn(orders: pd.DataFrame) -> pd.DataFrame:
-    """Skips orders that are placed while the last trade still runs."""
-    orders, busy, status = orders.sort_values(["bar", "context_scale"], kind="stable").copy(), -1, []
-    for bar, last, own in zip(orders.bar, orders.exit_bar, orders.status, strict=True):
-        status.append(own if bar > busy else "skipped")
-        if bar > busy and not pd.isna(last):
-            busy = int(last)
-    orders["status"] = status
-    orders.loc[orders.status == "skipped", ["entry_bar", "exit_bar", "entry", "exit", "reason", "r"]] = None
-    return orders
-
-
 def in_turn(fates: DataFrame) -> DataFrame:
-    return fates.groupBy(*KEY.split(", ")).applyInPandas(_in_turn, fates.schema)
+    """Orders that are placed while the last trade still runs are skipped."""
+    gone = {"status": F.lit("skipped"), **{c: F.lit(None) for c in ("entry_bar", "exit_bar", "entry", "exit", "reason", "r")}}
+    kept = {c: F.when(F.col("taken"), F.col(c)).otherwise(other) for c, other in gone.items()}
+    return with_turns(fates, "bar", "exit_bar").withColumns(kept).select(*fates.columns)
 
 
 def in_turn_sql(fates: str) -> str:
