@@ -106,11 +106,13 @@ def _names(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c not in {*_KEYS, "end_sec", "label", "label_excess", "label_fwd", "label_xs"}]
 
 
-def _vectors(rows: DataFrame, label: str) -> DataFrame:
+def _vectors(rows: DataFrame, label: str, structure: bool = True) -> DataFrame:
+    """structure: with the features of turning points; a row that lacks any feature is left out either way."""
     from pyspark.ml.feature import VectorAssembler
 
     features = _names(rows)
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows.dropna(subset=[*features, label])).select(*_KEYS, *(["end_sec"] if "end_sec" in rows.columns else []), "features", F.col(label).alias("y"))
+    used = features if structure else [f for f in features if f in _TREND_NAMES]
+    return VectorAssembler(inputCols=used, outputCol="features").transform(rows.dropna(subset=[*features, label])).select(*_KEYS, *(["end_sec"] if "end_sec" in rows.columns else []), "features", F.col(label).alias("y"))
 
 
 def _trees(max_iter: int, seed: int):
@@ -153,13 +155,13 @@ def importances(rows: DataFrame, label: str = "label_excess", max_iter: int = 8,
 _TREND_NAMES = ("ret_5", "ret_20", "ret_60", "ret_120", "atr_rel", "atr_trend", "rsi", "macd_hist_norm", "dist_ma50", "dist_ma200", "vol_rel", "squeeze_on", "dist_high60", "dist_low60")
 
 
-def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 5, max_iter: int = 8, seed: int = 1, least_train: int = 500, least_test: int = 100) -> DataFrame:
+def walk_forward(rows: DataFrame, label: str = "label_excess", n_folds: int = 5, max_iter: int = 8, seed: int = 1, least_train: int = 500, least_test: int = 100, structure: bool = True) -> DataFrame:
     """Predictions of gradient-boosted trees for each test fold, trained on rows whose labels end before it begins.
 
-    rows: a dataset. Folds with fewer rows than least_train or least_test are left out. Rows without a feature or the label are left out. The loop over folds is the driver's,
+    rows: a dataset. structure: with all features, else with those of trend alone. Folds with fewer rows than least_train or least_test are left out. Rows without a feature or the label are left out. The loop over folds is the driver's,
     each fit is Spark's.
     """
-    keys, vectors = _KEYS, _vectors(rows, label).persist()
+    keys, vectors = _KEYS, _vectors(rows, label, structure).persist()
     n = vectors.count()
     placed = _in_order(vectors, max(1, n // (n_folds + 1))).persist()
     begins = {r.fold: r.t for r in placed.groupBy("fold").agg(F.min("ts_sec").alias("t")).collect()}
@@ -179,3 +181,36 @@ SELECT fold, count(*) AS n, corr(rank_p, rank_y) AS rho, avg(y) AS mean_all, avg
 FROM (SELECT p.*, c.cut, c.middle, rank() OVER (PARTITION BY p.fold ORDER BY prediction) AS rank_p, rank() OVER (PARTITION BY p.fold ORDER BY y) AS rank_y
       FROM {predicted} p JOIN (SELECT fold, percentile_cont(0.9) WITHIN GROUP (ORDER BY prediction) AS cut, percentile_cont(0.5) WITHIN GROUP (ORDER BY prediction) AS middle FROM {predicted} GROUP BY fold) c ON c.fold = p.fold) r GROUP BY fold"""
 
+
+def _top(predicted: str) -> str:
+    """Predictions with is_top: whether they are in the tenth of all folds that is predicted best."""
+    cut = f"SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY prediction) AS cut FROM {predicted} c"
+    return f"SELECT p.*, p.prediction >= c.cut AS is_top, p.prediction >= c.middle AS is_upper FROM {predicted} p CROSS JOIN ({cut.replace(' AS cut', ' AS cut, percentile_cont(0.5) WITHIN GROUP (ORDER BY prediction) AS middle')}) c"
+
+
+def _judged(predicted: str, name: str) -> str:
+    """How good a model is over all its folds; values are ranked within a fold and the correlation is weighed by the folds' sizes."""
+    rho = f"SELECT sum(n * rho) / sum(CASE WHEN rho IS NOT NULL THEN n END) AS rho FROM (SELECT fold, count(*) AS n, corr(rank_p, rank_y) AS rho FROM (SELECT fold, rank() OVER (PARTITION BY fold ORDER BY prediction) AS rank_p, rank() OVER (PARTITION BY fold ORDER BY y) AS rank_y FROM {predicted} p) r GROUP BY fold) f"
+    means = f"SELECT count(*) AS n, avg(y) AS mean_all, avg(CASE WHEN is_upper THEN y END) AS mean_upper_half, avg(CASE WHEN is_top THEN y END) AS mean_top, var_samp(CASE WHEN is_top THEN y END) AS var_top, sum(CASE WHEN is_top THEN 1 ELSE 0 END) AS n_top FROM ({_top(predicted)}) t"
+    return f"(SELECT m.*, f.rho FROM ({means}) m CROSS JOIN ({rho}) f) {name}"
+
+
+#: What features of structure add to those of trend: {both} against {trend}, predictions of the same folds; one row, without predictions none.
+FEATURE_SETS = f"""
+SELECT b.n, a.rho AS rho_trend, b.rho AS rho_both, a.mean_all, a.mean_upper_half AS upper_half_trend, b.mean_upper_half AS upper_half_both, a.mean_top AS top_trend, b.mean_top AS top_both, b.mean_top - a.mean_top AS difference,
+       (b.mean_top - a.mean_top) / nullif(sqrt(a.var_top / nullif(a.n_top, 0) + b.var_top / nullif(b.n_top, 0)), 0) AS t
+FROM {_judged("{trend}", "a")} CROSS JOIN {_judged("{both}", "b")} WHERE b.n > 0"""
+
+
+def controls_sql(one_class: tuple[str, ...], least: int = 30) -> str:
+    """Whether the best predictions stand out in both directions and in both classes of symbols: top tenth against all of the part.
+
+    {predicted}: symbol, direction, y, prediction. one_class: the symbols of the first class. Parts with fewer than least
+    rows at the top are left out.
+    """
+    symbols = ", ".join("'" + s.replace("'", "''") + "'" for s in one_class)
+    parts = f"explode(array(struct('direction' AS control, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS part), struct('class' AS control, CASE WHEN symbol IN ({symbols}) THEN 'one' ELSE 'other' END AS part)))"
+    return f"""
+SELECT control, part, n, n_top, mean_top, mean_all, mean_top - mean_all AS lift, (mean_top - mean_all) / nullif(sqrt(var_top / n_top + var_all / n), 0) AS t FROM (
+  SELECT c.control, c.part, count(*) AS n, sum(CASE WHEN is_top THEN 1 ELSE 0 END) AS n_top, avg(CASE WHEN is_top THEN y END) AS mean_top, avg(y) AS mean_all, var_samp(CASE WHEN is_top THEN y END) AS var_top, var_samp(y) AS var_all
+  FROM (SELECT y, is_top, {parts} AS c FROM ({_top("{predicted}")}) p) s GROUP BY c.control, c.part) g WHERE n_top >= {least}"""

@@ -94,6 +94,12 @@ SELECT {KEY}, bar_idx, ts_sec, least(greatest(exp(lc + lo), exp(lc + ll)), exp(l
   WINDOW v AS (PARTITION BY b.source, b.symbol, b.timeframe ORDER BY b.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x"""
 
 
+def surrogates_sql(draws: int = 3) -> str:
+    """Several surrogates of each series, each with a seed and a source of its own."""
+    columns = "symbol, timeframe, bar_idx, ts_sec, open, high, low, close, volume"
+    return " UNION ALL ".join(f"SELECT concat(source, '/', '{k}') AS source, {columns} FROM ({surrogate_sql(seed=k)}) s{k}" for k in range(1, draws + 1))
+
+
 def wave_ratios(pivots: DataFrame) -> DataFrame:
     return query(RATIOS, pivots=pivots)
 

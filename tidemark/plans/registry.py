@@ -254,7 +254,7 @@ _on_alone("placebo_control", zones.CONTROL, "", fates=(zones.ORDERS, {}), moved=
 _add("chart_points", charts.chart_sql(200), "walk_h", _BP)
 
 # ---- surrogate series and what their turning points give ----
-_SURROGATE = f"SELECT source, symbol, timeframe, bar_idx, ts_sec, round(open, 3) AS open, round(high, 3) AS high, round(low, 3) AS low, round(close, 3) AS close, volume FROM ({ratios.surrogate_sql()}) s"
+_SURROGATE = f"SELECT source, symbol, timeframe, bar_idx, ts_sec, round(open, 3) AS open, round(high, 3) AS high, round(low, 3) AS low, round(close, 3) AS close, volume FROM ({ratios.surrogates_sql()}) s"
 
 
 def _lift(template: str) -> tuple:
@@ -282,19 +282,22 @@ _add("fold_membership", features.folds_sql(), "walk_h", ("ind",))
 _SQL["fold_membership"] = f"{base.with_sql('walk_h', ('ind',))} SELECT * FROM ({features.folds_sql(whole=True).format(ind='ind')}) AS answer"
 
 
-def _walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.dataset(base.frame(spark, sf_dir, "ind", "walk_h"), base.frame(spark, sf_dir, "pivots", "walk_h"))
-    return query(features.REPORT, predicted=features.walk_forward(rows))
+def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.kept(spark, sf_dir, "dataset", lambda: features.dataset(base.frame(spark, sf_dir, "ind", "walk_h"), base.frame(spark, sf_dir, "pivots", "walk_h")))
 
 
-def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.dataset(base.frame(spark, sf_dir, "ind", "walk_h"), base.frame(spark, sf_dir, "pivots", "walk_h"))
-    return query(features.REPORT, predicted=features.holdout(rows, ("click",)))
+def _predicted(spark: SparkSession, sf_dir: str, structure: bool = True) -> DataFrame:
+    """Predictions of the walk-forward with all features, or with those of trend alone; folds may be as small as fold_membership's."""
+    return base.kept(spark, sf_dir, f"predicted {structure}", lambda: features.walk_forward(_dataset(spark, sf_dir), structure=structure, least_train=100, least_test=20))
 
 
-_own("gbt_walk_forward", _walk_forward)
-_own("gbt_holdout", _holdout)
-_own("gbt_importances", lambda spark, sf_dir: features.importances(features.dataset(base.frame(spark, sf_dir, "ind", "walk_h"), base.frame(spark, sf_dir, "pivots", "walk_h"))))
+#: The symbols that count as a class of their own; all others are the other class.
+_CLASS = ("click", "view")
+_own("gbt_walk_forward", lambda spark, sf_dir: query(features.REPORT, predicted=_predicted(spark, sf_dir)))
+_own("gbt_holdout", lambda spark, sf_dir: query(features.REPORT, predicted=features.holdout(_dataset(spark, sf_dir), ("click",))))
+_own("gbt_importances", lambda spark, sf_dir: features.importances(_dataset(spark, sf_dir)))
+_own("gbt_feature_sets", lambda spark, sf_dir: query(features.FEATURE_SETS, trend=_predicted(spark, sf_dir, False), both=_predicted(spark, sf_dir)))
+_own("gbt_controls", lambda spark, sf_dir: query(features.controls_sql(_CLASS, 10), predicted=_predicted(spark, sf_dir, False)))
 
 # ---- risk ----
 _add("correlation_pairs", risk.CORRELATIONS, "walk_d")
