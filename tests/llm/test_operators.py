@@ -618,6 +618,20 @@ def test_more_formats_are_found_and_user_columns_stay(spark):
         assert len(own) == len(r.v) and [c for c in own if not c.isalnum()] == [c for c in r.v if not c.isalnum()]
 
 
+def test_spellings_are_linked_and_letters_stay_letters(spark):
+    values = ["5.1.2024", "00:1A:2B:3C:4D:5E", "0044 20 7946 0958", "(020) 7946 0958", "password: hunter2", "sk-abcdEFGH0123456789xyzXYZ", "ghp_" + "a1B2" * 9, "gb82west12345698765432", "GB82WEST12345698765432", "A@X.com", "a@x.com", "Ͱͱ@x.gr"]
+    kept = ["32.1.2024", "1.2.3", "gb83west12345698765432", "password: please", "skip-abc", "5.1.2024x"]
+    docs = spark.createDataFrame([(v, f"on {v} off") for v in values + kept], "v string, text string")
+    new = {r.v: (r.text[3:-4], r.n_found) for r in op8_pii.with_pseudonyms(docs).collect()}
+    assert all((new[v][0].lower() != v.lower()) == (new[v][1] == 1) == (v in values) for v in values + kept), new
+    assert new["A@X.com"] == new["a@x.com"] and new["gb82west12345698765432"][0].upper() == new["GB82WEST12345698765432"][0]
+    assert datetime.datetime.strptime(new["5.1.2024"][0], "%d.%m.%Y") and new["0044 20 7946 0958"][0].startswith("0044 ") and new["(020) 7946 0958"][0].startswith("(0")
+    assert all(c.isalpha() for c in new["Ͱͱ@x.gr"][0].split("@")[0]) and new["sk-abcdEFGH0123456789xyzXYZ"][0].startswith("sk-")
+    (at,) = op8_pii.with_pseudonyms(spark.createDataFrame([("at 2024-01-05T10:00:00 on 2024-01-05",)], "text string")).collect()
+    first, last = re.fullmatch(r"at (\S+)T10:00:00 on (\S+)", at.text).groups()
+    assert first == last != "2024-01-05" and at.n_found == 2
+
+
 def _plain_feistel(value, key):
     """The permutation of digits and letters as a loop."""
     alphabets = ["0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else c for c in value]

@@ -5,8 +5,8 @@ modulo 97, addresses and dates by their ranges. A valid one is replaced by a key
 within its own format (a Feistel network), so equal values have equal pseudonyms in all documents, and
 different values different ones. Check digits are made anew, so pseudonyms are valid as well.
 
-Characters: the digits and letters of a value, each within its own alphabet (a letter beyond ASCII: the 16 code points
-of its row in the code chart), are cut in halves; in turn, each half is shifted by a keyed hash of the other. Separators don't count and stay in place. Ranges (dates,
+Characters: the digits and letters of a value, each within its own alphabet (a letter beyond ASCII: the letters
+of its row of 16 in the code chart), are cut in halves; in turn, each half is shifted by a keyed hash of the other. Separators don't count and stay in place. Ranges (dates,
 social security numbers): the value's number in its range is permuted on a slightly larger square, again
 until it falls into the range.
 
@@ -32,17 +32,18 @@ WALK = 40
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 SECRET = r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s?[=:]\s?["'][A-Za-z0-9+/_.=-]{12,}["'])"""
 #: Without quotes a secret needs a digit; keys that tell themselves by how they begin need no name.
-BARE = r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s?[=:]\s?(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{15,}[A-Za-z0-9+/_-])"""
-ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"
+BARE = r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s?[=:]\s?(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{15,}[A-Za-z0-9+/_-]|(?<![\p{L}\p{N}])(?:password|passwd)\s?[=:]\s?(?=[^\s"'<>,;]*[0-9])[^\s"'<>,;]{6,})"""
+ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}])"
+DEVICE = r"(?<![\p{L}\p{N}:-])(?i:[0-9a-f]{2}(?:(?::[0-9a-f]{2}){5}|(?:-[0-9a-f]{2}){5}))(?![\p{L}\p{N}:-])"
 ADDRESS_6 = r"(?<![\p{L}\p{N}:])(?i:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){1,5}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,3})?)(?![\p{L}\p{N}:])"
 ADDRESS = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])"
-PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+(.,-])0\d{2,4}[ /-]\d{5,8}(?![\p{L}\p{N}])"
+PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+(.,-])0\d{2,4}[ /-]\d{5,8}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+(.,-])(?:\(0\d{2,4}\) ?\d{3,4}[ -]?\d{3,4}|00\d{2}[ .-]\d{2,4}(?:[ .-]?\d{2,4}){2,3})(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-DATE = r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}/-])"
+DATE = r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{N}/-]|(?!T\d{2}:)\p{L})"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\p{L}\p{N}])"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
+IBAN = r"(?<![\p{L}\p{N}])(?:[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)|[a-z]{2}\d{2}[a-z0-9]{11,30})(?![\p{L}\p{N}])"
 #: In this order; where two begin at one place, the first is taken.
-ANY = "|".join((EMAIL, SECRET, BARE, ACCESS_KEY, IBAN, ADDRESS_6, ADDRESS, DATE, SSN, CARD, PHONE))
+ANY = "|".join((EMAIL, SECRET, BARE, ACCESS_KEY, IBAN, ADDRESS_6, DEVICE, ADDRESS, DATE, SSN, CARD, PHONE))
 
 #: What no candidate lacks.
 _NEEDED = "[0-9@]|[=:]\\s?[\"']"
@@ -73,7 +74,8 @@ def _alphabet(c: Column, hexa: Column) -> Column:
     digit, small, large = c.rlike("^[0-9]$"), c.rlike("^[a-z]$"), c.rlike("^[A-Z]$")
     # a letter beyond ASCII (and within the base plane, where a code is two bytes): its row of the code chart
     code = F.hex(F.encode(c, "UTF-16BE"))
-    row = F.decode(F.unhex(F.array_join(F.transform(F.split(F.lit("0123456789ABCDEF"), ""), lambda x: F.concat(F.substring(code, 1, 3), x)), "")), "UTF-16BE")
+    of_row = F.transform(F.split(F.lit("0123456789ABCDEF"), ""), lambda x: F.decode(F.unhex(F.concat(F.substring(code, 1, 3), x)), "UTF-16BE"))
+    row = F.array_join(F.filter(of_row, lambda x: x.rlike("^\\p{L}$")), "")
     beyond = c.rlike("^[\\p{L}&&[^A-Za-z]]$") & (F.length(code) == 4)
     return F.when(hexa & c.rlike("^[0-9a-f]$"), F.lit("0123456789abcdef")).when(beyond, row).when(digit, F.lit("0123456789")).when(small, F.lit("abcdefghijklmnopqrstuvwxyz")).when(large, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
 
@@ -164,7 +166,7 @@ def _address(value: Column, key: str) -> Column:
 
 def _day(value: Column) -> Column:
     """The day that value names, null if there is none; of day and month the one that fits comes first."""
-    forms = (("^....-", "yyyy-MM-dd"), ("^../", "dd/MM/yyyy"), ("^../", "MM/dd/yyyy"), (r"^..\.", "dd.MM.yyyy"))
+    forms = (("^....-", "yyyy-MM-dd"), ("^../", "dd/MM/yyyy"), ("^../", "MM/dd/yyyy"), (r"\.", "d.M.yyyy"))
     return F.coalesce(*(F.when(value.rlike(p), F.to_date(F.try_to_timestamp(value, F.lit(f)))) for p, f in forms))
 
 
@@ -173,7 +175,7 @@ def _date(value: Column, key: str) -> Column:
     month_first = F.try_to_timestamp(value, F.lit("dd/MM/yyyy")).isNull()
     return _let(
         F.date_add(F.lit(FIRST_DAY).cast("date"), number.cast("int")),
-        lambda d: F.when(value.rlike("^....-"), F.date_format(d, "yyyy-MM-dd")).when(value.rlike(r"^..\."), F.date_format(d, "dd.MM.yyyy"))
+        lambda d: F.when(value.rlike("^....-"), F.date_format(d, "yyyy-MM-dd")).when(value.rlike(r"^..\...\."), F.date_format(d, "dd.MM.yyyy")).when(value.contains("."), F.date_format(d, "d.M.yyyy"))
         # a day up to 12 first would be read the other way round; such a text may stand for two days either way
         .when(month_first, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy")),
     )
@@ -191,8 +193,9 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    own = F.substring_index(value, "@", 1)
-    return F.concat(permuted(own, key + "email"), F.lit("@"), F.substring_index(value, "@", -1))
+    """Case doesn't count, so all ways to write an address are linked."""
+    low = F.when(F.length(F.lower(value)) == F.length(value), F.lower(value)).otherwise(value)
+    return F.concat(permuted(F.substring_index(low, "@", 1), key + "email"), F.lit("@"), F.substring_index(low, "@", -1))
 
 
 def _secret(value: Column, key: str) -> Column:
@@ -207,29 +210,40 @@ def _bare(value: Column, key: str) -> Column:
     return F.concat(head, permuted(own, key + "secret", own.rlike("^[0-9a-f]+$")))
 
 
+def _known_key(value: Column, key: str) -> Column:
+    head = F.regexp_extract(value, "^(?:AKIA|ASIA|gh[a-z]_|sk-)", 0)
+    return F.concat(head, permuted(F.substr(value, F.length(head) + 1, F.length(value)), key + "access"))
+
+
+def _phone(value: Column, key: str) -> Column:
+    """The country's digits and the 0 of a long-distance call stay."""
+    head = F.regexp_extract(value, r"^(?:\+\d{1,3}|00\d{2}|\(?0)?", 0)
+    rest = F.substr(value, F.length(head) + 1, F.length(value))
+    return F.concat(head, _put_back(rest, permuted(_digits(rest), key + "phone"), "^[0-9]$"))
+
+
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of a candidate; null if it isn't valid."""
     d = _digits(value)
     octets = F.forall(F.split(value, r"\."), lambda x: F.coalesce(x.try_cast("int") <= 255, F.lit(False)))
     day = _day(value)
+    # an IBAN in small letters is linked with that in capitals
+    upper = F.upper(F.replace(value, F.lit(" "), F.lit("")))
+    in_order = _mod97(F.concat(F.substr(upper, F.lit(5)), F.substr(upper, F.lit(1), F.lit(4)))) == 1
     return (
         F.when(value.contains("@"), _email(value, key))
         .when(value.rlike("[\"']$"), _secret(value, key))
         .when(value.rlike(_whole(BARE)), _bare(value, key))
-        .when(value.rlike(_whole(ACCESS_KEY)), F.concat(F.substring(value, 1, 4), permuted(F.substr(value, F.lit(5), F.length(value)), key + "access")))
+        .when(value.rlike(_whole(ACCESS_KEY)), _known_key(value, key))
+        .when(value.rlike(_whole(DEVICE)), permuted(F.lower(value), key + "device", F.lit(True)))
         .when(value.rlike(_whole(ADDRESS_6)), permuted(F.lower(value), key + "address6", F.lit(True)))
         .when(value.rlike(_whole(ADDRESS)), F.when(octets, _address(value, key)))
         .when(value.rlike(_whole(DATE)), F.when((day >= F.lit(FIRST_DAY).cast("date")) & (F.datediff(day, F.lit(FIRST_DAY).cast("date")) < DAYS), _date(value, key)))
         .when(value.rlike(_whole(SSN)), F.when(~value.rlike("^(?:000|666|9..)-|-00-|-0000$"), _ssn(value, key)))
-        .when(value.rlike("^[A-Z]"), F.when(_mod97(F.concat(F.substr(F.replace(value, F.lit(" "), F.lit("")), F.lit(5)), F.substr(F.replace(value, F.lit(" "), F.lit("")), F.lit(1), F.lit(4)))) == 1, _iban(value, key)))
+        .when(value.rlike("^[A-Z]"), F.when(in_order, _iban(value, key)))
+        .when(value.rlike("^[a-z]"), F.when(in_order, F.lower(_iban(upper, key))))
         .when(value.rlike(_whole(CARD)), F.when((_luhn_sum(d, 0) % 10 == 0) & ~d.rlike("^0+$"), _card(value, key)))
-        .when(
-            value.rlike(_whole(PHONE)),
-            # the country's digits stay
-            F.when(value.startswith("0"), F.concat(F.lit("0"), _put_back(F.substr(value, F.lit(2), F.length(value)), permuted(F.substr(d, F.lit(2), F.length(d)), key + "phone"), "^[0-9]$"))).when(value.startswith("+"), F.concat(F.regexp_extract(value, r"^\+\d{1,3}", 0), _put_back(F.regexp_replace(value, r"^\+\d{1,3}", ""), permuted(_digits(F.regexp_replace(value, r"^\+\d{1,3}", "")), key + "phone"), "^[0-9]$"))).otherwise(
-                _put_back(value, permuted(d, key + "phone"), "^[0-9]$")
-            ),
-        )
+        .when(value.rlike(_whole(PHONE)), _phone(value, key))
     )
 
 
@@ -237,7 +251,7 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY, column: str = "text") -> Da
     """docs with the text's personal data replaced, and n_found, how many values were (replacing that column).
 
     A null text stays null and has 0; an empty one stays empty. What isn't valid stays as it is, as does
-    all else. Rows are worked on one by one: repeated rows stay so, an empty table gives an empty one.
+    all else. Of a text of any length each value by itself is worked on. Rows are worked on one by one: repeated rows stay so, an empty table gives an empty one.
     """
     text = F.col(column)
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
