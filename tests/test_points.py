@@ -114,3 +114,52 @@ def test_frames_of_several_series_do_not_mix(spark):
     for one, symbol in ((a, "A"), (b, "B")):
         assert {tuple(r) for r in both.filter(f"symbol = '{symbol}'").collect()} == {tuple(r) for r in lattice.build(one).collect()}
     assert query("SELECT count(DISTINCT symbol) AS n FROM {p}", p=both).first().n == 2
+
+
+def whole(data) -> set:
+    """Points of one series by the kernel alone, numbered by scale."""
+    seen, out = {}, set()
+    for scale, *point in kernel.turning_points(*(data[c].tolist() for c in (1, 2, 3))):
+        seen[scale] = seen.get(scale, -1) + 1
+        out.add((scale, seen[scale], *point))
+    return out
+
+
+def calm_after_a_shock(n: int = 600):
+    """A wide bar, then hardly any movement: the coarse scales' extreme stays far behind, over many blocks."""
+    close = 50 + 0.01 * np.sin(np.arange(n) / 3)
+    close[40:44] = 80.0
+    return close, close + 0.02, close - 0.02, close, np.ones(n)
+
+
+@pytest.mark.parametrize("bits", [4, 5, 7])
+def test_blocks_give_the_points_of_the_whole(spark, bits):
+    flat = (np.full(200, 5.0),) * 5
+    kinds = {"walk": series(1000, 21), "calm": calm_after_a_shock(), "flat": flat, "rising": (np.arange(1.0, 400.0),) * 5, "short": series(15, 22), "two": series(2, 23), "one": series(1, 24)}
+    from functools import reduce
+
+    every = reduce(lambda a, b: a.unionByName(b), (frame(spark, data, name) for name, data in kinds.items())).repartition(3)
+    got = {name: set() for name in kinds}
+    rows = lattice.build(every, bits).collect()
+    for r in rows:
+        got[r.symbol].add(tuple(r)[3:])
+    assert len(rows) == sum(map(len, got.values()))
+    for name, data in kinds.items():
+        assert got[name] == whole(data), name
+
+
+def test_a_series_without_a_name_and_an_empty_table(spark):
+    data = series(100, 25)
+    named = frame(spark, data).selectExpr("cast(null as string) AS source", "* except (source)")
+    assert {tuple(r)[3:] for r in lattice.build(named, 4).collect()} == whole(data)
+    assert lattice.build(named.limit(0), 4).collect() == []
+
+
+def test_states_do_not_grow(spark):
+    lattice_, sizes = kernel.Lattice(), []
+    for high, low, close in zip(*(series(3000, 26)[c].tolist() for c in (1, 2, 3)), strict=True):
+        lattice_.feed(high, low, close, kernel.WARMUP)
+        sizes.append(len(lattice_.state()))
+    assert max(sizes[1500:]) < 1200
+    again = kernel.Lattice.of(lattice_.state())
+    assert again.state() == lattice_.state()

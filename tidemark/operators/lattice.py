@@ -2,29 +2,136 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators import kernel
 from tidemark.plans.frames import KEY, on, query
 from tidemark.sources.bars import SERIES
 
-PIVOTS = "source string, symbol string, timeframe string, scale int, seq int, idx int, price double, kind int, confirmed_idx int, is_anchor boolean"
-
-
-def _pivots(bars: pd.DataFrame) -> pd.DataFrame:
-    bars = bars.sort_values("bar_idx")
-    found = kernel.turning_points(bars.high.tolist(), bars.low.tolist(), bars.close.tolist())
-    out = pd.DataFrame(found, columns=["scale", "idx", "price", "kind", "confirmed_idx", "is_anchor"])
-    out["seq"] = out.groupby("scale").cumcount()
-    for c in SERIES:
-        out[c] = bars[c].iloc[0]
-    return out[[*SERIES, "scale", "seq", "idx", "price", "kind", "confirmed_idx", "is_anchor"]]
-
-
-def build(bars: DataFrame) -> DataFrame:
-    """Turning points of every series at all scales; one shuffle by series. seq counts a scale's points."""
-    return bars.select(*SERIES, "bar_idx", "high", "low", "close").groupBy(*SERIES).applyInPandas(_pivots, PIVOTS)
+#: Bars in a block, as a power of two; at least 4, so that a series' first block tells whether it is shorter than the warm-up.
+BITS = 12
+POINT = ("scale", "idx", "price", "kind", "confirmed_idx", "is_anchor")
+_RAN = "source string, symbol string, timeframe string, block int, place int, scale int, idx int, price double, kind int, confirmed_idx int, is_anchor boolean, began string, ended string"
+_FED = (*SERIES, "part", "block", "bar_idx", "high", "low", "close", "state")
+
+
+class _Run:
+    """Consecutive blocks of a series, fed bar by bar from a state, or from the series' beginning where there is none."""
+
+    def __init__(self, key: tuple, state: str | None):
+        self.key, self.began, self.block = key, state, None
+        self.lattice = kernel.Lattice.of(state) if state else kernel.Lattice()
+        self.first: list[tuple] | None = None if state else []  # bars held back until it is known how long the warm-up is
+        self.counts: Counter[int] = Counter()
+
+    def take(self, block: int, *bar: float) -> list[tuple]:
+        out = self._left() if self.block not in (None, block) else []
+        self.block = block
+        if self.first is None:
+            return out + self._points(kernel.WARMUP, bar)
+        self.first.append(bar)
+        return out + (self._begin() if len(self.first) == kernel.WARMUP + 2 else [])
+
+    def end(self) -> list[tuple]:
+        out = self._begin() if self.first else []
+        return out + (self._left() if self.block is not None else [])
+
+    def _begin(self) -> list[tuple]:
+        held, self.first = self.first, None
+        start = kernel.start_of(len(held))
+        return [row for bar in held for row in self._points(start, bar)]
+
+    def _points(self, start: int, bar: tuple) -> list[tuple]:
+        at, high, low, close = bar
+        out = []
+        for scale, *point in self.lattice.feed(high, low, close, start, at):
+            out.append((*self.key[:3], self.block, self.counts[scale], scale, *point, None, None))
+            self.counts[scale] += 1
+        return out
+
+    def _left(self) -> list[tuple]:
+        """A block's last row: the states in which it began and ended."""
+        began, self.began = self.began, self.lattice.state()
+        self.counts.clear()
+        return [(*self.key[:3], self.block, *[None] * 7, began, self.began)]
+
+
+def _feed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by series, part and bar; a part's state comes before its bars. Nothing is held but the current state."""
+    run = None
+    for batch in batches:
+        out: list[tuple] = []
+        for *key, block, bar, high, low, close, state in batch.itertuples(index=False, name=None):
+            if run is None or run.key != tuple(key):
+                out += run.end() if run else []
+                run = _Run(tuple(key), state)
+            if state is None:
+                out += run.take(block, bar, high, low, close)
+        yield _frame(out)
+    if run:
+        yield _frame(run.end())
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    columns = [c.split()[0] for c in _RAN.split(", ")]
+    return pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in ("place", "scale", "idx", "kind", "confirmed_idx")} | {"is_anchor": "boolean"})
+
+
+def _run(rows: DataFrame) -> DataFrame:
+    """_FED's columns in, each part run by one task."""
+    return rows.select(*_FED).repartition(*SERIES, "part").sortWithinPartitions(*SERIES, "part", "bar_idx").mapInPandas(_feed, _RAN)
+
+
+def _only(rows: DataFrame, parts: DataFrame, how: str) -> DataFrame:
+    """Rows whose series and part are among some (left_semi) or aren't (left_anti); a null is a name like any other."""
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*SERIES, "part")]
+    return rows.alias("r").join(parts.alias("p"), same, how)
+
+
+def build(bars: DataFrame, bits: int = BITS) -> DataFrame:
+    """Turning points of every series at all scales. seq counts a scale's points. Bars are numbered from 0 on.
+
+    A series is cut into blocks, which run at the same time: first each as if the series began with it, then each from the
+    state in which the block before it ended. A reversal forgets what came before it, so nearly always that state is right
+    already. Where it wasn't, the block runs again, together with its neighbours in runs twice as long each time, so that
+    log2 of a series' blocks is the most rounds there can be. Once every block has begun as the one before it has ended, the points
+    are those of one run over the whole series, to the bit. Bars stream through a run, however long it is.
+    """
+    from tidemark.plans.base import stored
+
+    bars = bars.select(*SERIES, F.shiftright("bar_idx", bits).alias("block"), F.col("bar_idx").cast("int").alias("bar_idx"), "high", "low", "close")
+    rows = bars.withColumn("part", F.col("block")).withColumn("state", F.lit(None).cast("string"))
+    ran, width = stored(_run(rows)), 0
+    while True:
+        blocks = ran.filter("ended IS NOT NULL").select(*SERIES, "block", "began", "ended")
+        blocks = query(f"SELECT *, lag(ended) OVER (PARTITION BY {KEY} ORDER BY block) AS before FROM {{blocks}}", blocks=blocks)
+        part = F.shiftright("block", width).alias("part")
+        wrong = blocks.filter("before IS NOT NULL AND (began IS NULL OR began <> before)")
+        again = stored(wrong.select(*SERIES, part).distinct())
+        if not again.head(1):
+            break
+        # a part begins as the block before it has ended; the series' first has no such block
+        states = blocks.select(*SERIES, part, "block", "before").groupBy(*SERIES, "part").agg(F.min_by("before", "block").alias("state"))
+        states = _only(states.filter("state IS NOT NULL"), again, "left_semi").selectExpr(*SERIES, "part", "-1 AS block", "-1 AS bar_idx", "0D AS high", "0D AS low", "0D AS close", "state")
+        more = _only(rows.withColumn("part", part), again, "left_semi").select(*_FED)
+        kept = _only(ran.withColumn("part", part), again, "left_anti").select(*ran.columns)
+        ran, width = stored(kept.unionByName(_run(more.unionByName(states)))), width + 1
+    return query(_NUMBERED, ran=ran)
+
+
+#: Points numbered over blocks: those of the blocks before come first.
+_NUMBERED = f"""
+SELECT p.source, p.symbol, p.timeframe, p.scale, cast(p.place + b.before as int) AS seq, p.idx, p.price, p.kind, p.confirmed_idx, p.is_anchor
+FROM {{ran}} p JOIN (
+  SELECT {KEY}, scale, block, coalesce(sum(count(*)) OVER (PARTITION BY {KEY}, scale ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM {{ran}} WHERE ended IS NULL GROUP BY {KEY}, scale, block) b
+ON p.source <=> b.source AND p.symbol <=> b.symbol AND p.timeframe <=> b.timeframe AND b.scale = p.scale AND b.block = p.block
+WHERE p.ended IS NULL"""
 
 
 def visible_at(pivots: DataFrame, bar: int) -> DataFrame:

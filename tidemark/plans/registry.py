@@ -107,6 +107,7 @@ _add("ind_macd", indicators.MACD, "walk_d", ("ind",))
 _POINTS = "source, symbol, timeframe, scale, seq, idx, price, kind, confirmed_idx, is_anchor"
 _add("pivots_level0", f"SELECT {_POINTS} FROM {{pivots}} WHERE scale = 0", "walk_i", _P)
 _add("pivots_all_levels", f"SELECT {_POINTS} FROM {{pivots}}", "walk_i", _P)
+_own("pivots_by_blocks", lambda spark, sf_dir: lattice.build(base.frame(spark, sf_dir, "bars", "walk_i"), 6), _SQL["pivots_all_levels"])
 _add("pivots_with_times", lattice.FRAME, "walk_h", ("bars", "pivots"))
 _add("lattice_summary", lattice.SUMMARY, "walk_h", _P)
 _add("lattice_violations", lattice.VIOLATIONS, "walk_i", _P)
