@@ -134,7 +134,8 @@ def test_token_counts_are_the_librarys(awkward, empty, texts, monkeypatch):
     for chunk in (5, 64, 1 << 12):
         monkeypatch.setattr(op2_tokens, "CHUNK", chunk)
         assert [t.total(x) for x in samples] == [len(library.encode(x)) for x in samples]
-    monkeypatch.setattr(op2_tokens, "MOST_KEPT", 50)  # states are dropped again and again
+    monkeypatch.setattr(op2_tokens, "MOST_KEPT", 50)  # states are dropped again and again, also within a text
+    monkeypatch.setattr(op2_tokens, "TREE", 3)
     assert [t.total(x) for x in samples[:300]] == [len(library.encode(x)) for x in samples[:300]]
     rows = op2_tokens.with_token_counts(awkward, public_tokenizers.path(op2_tokens.MODEL)).collect()
     assert all(r.n_tokens == len(library.encode(r.text or "")) and r.n_bytes == len((r.text or "").encode()) and r.over_limit == (r.n_tokens > 4096) for r in rows)
@@ -514,6 +515,13 @@ def test_pages_as_they_are_seen(spark):
     ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>wide<td>d</table>", "a  b\n   c\nwide  d"),
     ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>yes</table>", "  yes"),
     ("<p>Pick <select><option>a<option>b<optgroup label=G><option>c</select> now", "Pick\na\nb\nG\nc\nnow"), ("<g>seen</g><svg>no</svg>", "seen"), ("<dialog open>seen</dialog><dialog>no</dialog>", "seen"),
+    ("<style>@media screen and (min-width:600px){.x{display:none}} @media (max-width:600px){.y{display:none}} @media not print{.z{display:none}}</style><p class=x>no<p class=y>yes<p class=z>no", "yes"),
+    ("<style>@supports (display:grid){@media all{.x{display:none}} .y{visibility:hidden}} @keyframes k{from{display:none}} p{color:red}</style><p class=x>no<p class=y>no<p>yes", "yes"),
+    ("<style>@import 'a.css'; @font-face{src:url(x)} .x{display:none}</style><p class=x>no<p>yes", "yes"),
+    ("<style>.menu b{display:none} ul>i{display:none} h1+p{display:none}</style><div class=menu><u><b>no</b>yes</u></div><b>b</b><ul><i>no</i><li><i>in</i></ul><h1>t</h1><p>no<p>end", "yes\nb\n\n- in\n\nt\n\nend"),
+    ("<style>[hidden-now]{display:none} a[rel='x y'],i[rel=x]{display:none}</style><b hidden-now>no</b><i rel=x>no</i><i rel=z>yes</i>", "yes"),
+    ("<style>.a .b > .c{display:none}</style><div class=a><div class=b><div><p class=c>yes</div><p class=c>no</div></div><div class=b><p class=c>too</div>", "yes\n\ntoo"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"), ("<input placeholder=Name><input type=submit placeholder=no value=Go>", "NameGo"),
 ])
 def test_no_visible_text_is_cut(page, want):
     assert op7_html.rendered(page) == want

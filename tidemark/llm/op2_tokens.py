@@ -11,13 +11,13 @@ the automaton is deterministic, and the emissions along any prefix sum to its co
 
 There are many states, few of which a text meets: they are numbered and their transitions compiled as they are
 first needed, from the pieces and their ranks alone, and each Python worker keeps them up to a bound,
-beyond which it begins anew; this changes no count.
+beyond which it begins anew, also within a text; this changes no count.
 
 A text is cut into chunks. A chunk's map takes the state in which it is entered to the state in which it is left and
 the tokens in between. Where two characters stand side by side in no piece, the state is the first one, however
 the chunk was entered: a map is the characters before the first such place, the tokens from there to the last
 one, and the state at the chunk's end. Maps compose associatively, in a tree of logarithmic depth, whose
-top gives the text's count. What runs between two such places emit is kept like a transition, by its characters.
+top gives the count; of a long text, 16 chunks at a time from the state in which those before it end. What runs between two such places emit is kept like a transition, by its characters.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ from tidemark.llm.common import documents, whole_text
 
 MODEL = "piece_bpe_32k.model"
 CHUNK = 1 << 12
-#: So many transitions, and so many runs' emissions, are kept by a Python worker.
+#: Chunks whose maps are composed in one tree; a longer text is taken so many at a time.
+TREE = 16
+#: So many transitions, and so many runs' emissions, are kept by a Python worker between two trees; one tree adds at most
+#: about as many as it has characters.
 MOST_KEPT = 400_000
 LONGEST_KEPT = 48
 LIMIT = 4096
@@ -123,6 +126,15 @@ class Transducer:
         self.table: dict[tuple[int, str], tuple[int, int]] = {}
         self.emits: dict[str, int] = {"\n": 1}
 
+    def _begin_anew(self, state: int) -> int:
+        """Forgets all but one state; its new number."""
+        key = self.states[state]
+        self._forget()
+        number = self.number.setdefault(key, len(self.states))
+        if number == len(self.states):
+            self.states.append(key)
+        return number
+
     # ---- compiling ----
 
     def merged(self, text: str) -> list[str]:
@@ -213,13 +225,18 @@ class Transducer:
         """The tokens of a whole text, chunk by chunk."""
         if not text:
             return 0
-        if len(self.table) > MOST_KEPT or len(self.emits) > MOST_KEPT:
-            self._forget()  # between two texts: maps hold states' numbers
         text = SPACE + text.replace(" ", SPACE)
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:  # the upward half of the scan; its last element is the whole text's map
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.walk(0, maps[0].head)[1] + (maps[0].between or 0)
+        state = count = 0
+        for at in range(0, len(text), TREE * CHUNK):
+            if len(self.table) > MOST_KEPT or len(self.emits) > MOST_KEPT:
+                state = self._begin_anew(state)  # between two trees: maps hold states' numbers
+            part = text[at : at + TREE * CHUNK]
+            maps = [self.chunk_map(part[i : i + CHUNK]) for i in range(0, len(part), CHUNK)]
+            while len(maps) > 1:  # the upward half of the scan; its last element is the map of the whole part
+                maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            into, n = self.walk(state, maps[0].head)
+            state, count = (into, count + n) if maps[0].between is None else (maps[0].state, count + n + maps[0].between)
+        return count
 
 
 #: A run: SPACE characters with what follows up to the next one; a new line is a run by itself.

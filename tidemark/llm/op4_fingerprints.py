@@ -191,7 +191,7 @@ def compared(docs: DataFrame) -> DataFrame:
     Edited: the last third of the code points (rounded down) replaced by the first as many, or all there
     are, of the next document in descending doc_id; null ids come last, rows of equal doc_id go by a hash
     of the text, and behind the last document comes the first. A lone document is its own next. A null
-    text is empty; an empty table gives an empty one; other columns are left out. Texts are read whole, two at a time. Texts are read whole, two at a time.
+    text is empty; an empty table gives an empty one; other columns are left out. Texts are read whole, two at a time.
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
     spark = docs.sparkSession

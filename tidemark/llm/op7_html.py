@@ -2,7 +2,7 @@
 
 A page's tags build a tree, with the end tags that HTML lets authors leave out; what is not shown (head,
 scripts, elements hidden by an attribute, their style, or a rule of the page's own style sheets that names them by
-element, class or id) is left out. The tree is then laid out: blocks on lines of their own, paragraphs
+element, class, id or attribute, alone or within, in or behind others, and holds on a screen) is left out. The tree is then laid out: blocks on lines of their own, paragraphs
 and headings with an empty line around them, list items with their marks and indents, table rows on a line
 with cells aligned in columns, preformatted text as it is.
 """
@@ -38,12 +38,18 @@ CLOSES = {
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_COMMENT, _AT_RULE = re.compile(r"/\*.*?\*/", re.S), re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})")
-_SELECTOR = re.compile(r"(?:[\w-]+|\*)?(?:[.#][\w-]+)*")
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_CSS = re.compile(r"@(?P<at>[\w-]+)(?P<condition>[^{};]*)(?P<opens>[;{])|(?P<selectors>[^{}@;]+)\{(?P<body>[^{}]*)\}|(?P<closes>\})")
+_ONE = re.compile(r"(?:[\w-]+|\*)?(?:[.#][\w-]+|\[[\w-]+(?:=(?:\"[^\"]*\"|'[^']*'|[\w-]+))?\])*")
+_HAS = re.compile(r"\[([\w-]+)(=)?[\"']?([^\"'\]]*)[\"']?\]")
+_BETWEEN = re.compile(r"(\s*[>+]\s*|\s+)")
+#: The screen that media rules are judged by, in pixels.
+SCREEN = {"width": 1280.0, "height": 720.0}
+_SIZE = re.compile(r"(min|max)-(width|height)\s*:\s*([\d.]+)(px|em|rem)?")
 _DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)", re.I)
 #: Inputs whose value a reader sees.
 _TYPED = frozenset(("", "text", "search", "url", "tel", "email", "number", "date", "time", "month", "week", "datetime-local", "submit", "button", "reset"))
+_BUTTONS = frozenset(("submit", "button", "reset"))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -61,37 +67,101 @@ def _declared(style: str) -> dict[str, str]:
     return {k.lower(): v.lower() for k, v in _DECLARED.findall(style)}
 
 
-def _rules(sheets: list[str]) -> list[tuple[tuple[int, int, int], str, frozenset[str], frozenset[str], dict[str, str]]]:
-    """(weight, element, classes, ids, what is declared) of each selector that names just one element; later ones win."""
+def _on_screen(condition: str) -> bool:
+    """Whether one of a media rule's queries holds on the screen; one with a feature that isn't known doesn't."""
+
+    def feature(text: str) -> bool:
+        if m := _SIZE.fullmatch(text):
+            size = float(m[3]) * (1 if m[4] in (None, "px") else 16) if m[3].count(".") < 2 and m[3] != "." else 0.0
+            return SCREEN[m[2]] >= size if m[1] == "min" else SCREEN[m[2]] <= size
+        return re.sub(r"\s", "", text) in ("orientation:landscape", "prefers-color-scheme:light", "color", "hover:hover", "hover", "pointer:fine")
+
+    def one(text: str) -> bool:
+        named = re.match(r"(?:(not|only)\s+)?([a-z]+)?", text)
+        holds = named[2] in (None, "all", "screen") and all(map(feature, map(str.strip, re.findall(r"\(([^()]*)\)", text))))
+        return holds != (named[1] == "not")
+
+    return any(one(q.strip()) for q in condition.lower().split(","))
+
+
+def _rules(sheets: list[str]) -> list[tuple]:
+    """(weight, steps, what is declared) of each selector that counts; later ones win.
+
+    A step: (element, classes, ids, attributes, how it stands to the step before: "" for the first, " " within, ">" in, "+" behind).
+    """
     out = []
     for sheet in sheets:
-        for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", sheet))):
-            if found := _declared(body):
-                for one in map(str.strip, selectors.split(",")):
-                    if one and _SELECTOR.fullmatch(one):
-                        classes, ids = (frozenset(re.findall(rf"{mark}([\w-]+)", one)) for mark in (r"\.", "#"))
-                        name = re.match(r"[\w-]*", one)[0].lower()
-                        out.append(((len(ids), len(classes), bool(name)), name, classes, ids, found))
+        counts = [True]
+        for m in _CSS.finditer(_COMMENT.sub("", sheet)):
+            if m["opens"] == "{":
+                kind, condition = m["at"].lower(), m["condition"].strip()
+                inner = _on_screen(condition) if kind == "media" else kind == "layer" or (kind == "supports" and not condition.lower().startswith("not"))
+                counts.append(counts[-1] and inner)
+            elif m["closes"]:
+                counts = counts[:-1] or [True]
+                counts[0] = True
+            elif m["selectors"] and counts[-1] and (found := _declared(m["body"])):
+                out += [(*one, found) for one in map(_steps, m["selectors"].split(",")) if one]
     return sorted(out, key=lambda r: r[0])
 
 
+def _steps(selector: str) -> tuple | None:
+    parts = _BETWEEN.split(selector.strip())
+    if not all(one and _ONE.fullmatch(one) for one in parts[::2]):
+        return None
+    steps, weight = [], (0, 0, 0)
+    for one, how in zip(parts[::2], ["", *(p.strip() or " " for p in parts[1::2])], strict=True):
+        has = frozenset((k.lower(), v if eq else None) for k, eq, v in _HAS.findall(one))
+        bare = re.sub(r"\[[^\]]*\]", "", one)
+        classes, ids = (frozenset(re.findall(rf"{mark}([\w-]+)", bare)) for mark in (r"\.", "#"))
+        name = re.match(r"[\w-]*", bare)[0].lower()
+        steps.append((name, classes, ids, has, how))
+        weight = tuple(a + b for a, b in zip(weight, (len(ids), len(classes) + len(has), bool(name)), strict=True))
+    return weight, tuple(steps)
+
+
+def _met(rules: list[tuple], node: Node, above: frozenset, parent: frozenset, left: frozenset) -> tuple[frozenset, dict[str, str]]:
+    """The steps (rule, step) that end at an element, and what the rules that do declare.
+
+    above, parent, left: steps that end at any element around it, at the one it is in, at the one before it. So a page costs its
+    elements times its rules' steps, however deep it is.
+    """
+    a, met, found = node.attrs, set(), {}
+    own = frozenset(a.get("class", "").split())
+    for r, (_, steps, says) in enumerate(rules):
+        for i, (name, classes, ids, has, how) in enumerate(steps):
+            if how and (r, i - 1) not in (above if how == " " else parent if how == ">" else left):
+                continue
+            if name in ("", node.name) and classes <= own and ids <= {a.get("id")} and all(k in a and v in (None, a[k]) for k, v in has):
+                if i + 1 < len(steps):
+                    met.add((r, i))
+                else:
+                    found.update(says)
+    return frozenset(met), found
+
+
 def _styled(root: Node, sheets: list[str]) -> None:
     """Sets gone and veil of each element by style sheets and its own style."""
-    rules, work = _rules(sheets), [root]
+    rules, none = _rules(sheets), frozenset()
+    met = _style(rules, root, none, none, none)
+    work = [(root, met, met)]
     while work:
-        node = work.pop()
-        a, found = node.attrs, {}
-        if rules:
-            own = frozenset(a.get("class", "").split())
-            for _, name, classes, ids, says in rules:
-                if name in ("", node.name) and classes <= own and ids <= {a.get("id")}:
-                    found.update(says)
-        if "style" in a:
-            found.update(_declared(a["style"]))
-        node.gone = node.gone or found.get("display") == "none"
-        if "visibility" in found:
-            node.veil = {"hidden": True, "collapse": True, "visible": False}.get(found["visibility"])
-        work += [x for x in node.inner if isinstance(x, Node)]
+        node, above, parent = work.pop()
+        left = none
+        for x in node.inner:
+            if isinstance(x, Node):
+                left = _style(rules, x, above, parent, left)
+                work.append((x, above if left <= above else above | left, left))
+
+
+def _style(rules: list[tuple], node: Node, above: frozenset, parent: frozenset, left: frozenset) -> frozenset:
+    met, found = _met(rules, node, above, parent, left) if rules else (frozenset(), {})
+    if "style" in node.attrs:
+        found = found | _declared(node.attrs["style"])
+    node.gone = node.gone or found.get("display") == "none"
+    if "visibility" in found:
+        node.veil = {"hidden": True, "collapse": True, "visible": False}.get(found["visibility"])
+    return met
 
 
 def tree(page: str) -> Node:
@@ -223,7 +293,8 @@ def _lay(top: Node, out: _Page, keep: bool, veil: bool = False) -> None:
             out.put("" if veil else node.attrs.get("alt", ""), False)
         elif node.name == "input":
             shown = not veil and node.attrs.get("type", "").lower() in _TYPED
-            out.put(node.attrs.get("value", "") if shown else "", False)
+            hint = "" if node.attrs.get("type", "").lower() in _BUTTONS else node.attrs.get("placeholder", "")
+            out.put((node.attrs.get("value", "") or hint) if shown else "", False)
         elif node.name == "table" and _is_grid(node):
             out.end()
             out.gap = True
@@ -251,6 +322,8 @@ def _lay(top: Node, out: _Page, keep: bool, veil: bool = False) -> None:
                     if x.name == "li" and node.name == "ol":
                         start = node.attrs.get("start", "1")
                         count = count + 1 if count else (int(start) if re.fullmatch(r"\d{1,9}", start) else 1) or 1
+                        if re.fullmatch(r"[1-9]\d{0,8}", x.attrs.get("value", "")):
+                            count = int(x.attrs["value"])
                     inner.append(("open", x, keep, count if x.name == "li" else 0, veil))
             work.extend(reversed(inner))
 
