@@ -9,7 +9,8 @@ import pytest
 from tests.test_points import frame, series
 from tidemark.functions import table
 from tidemark.operators import lattice
-from tidemark.sources import catalog, rest
+from tidemark.plans import registry
+from tidemark.sources import bars, catalog, rest
 from tidemark.streaming import points
 
 
@@ -86,3 +87,47 @@ def test_digest_of_very_large_numbers(spark):
     rows = [("t", s, "1d", i, i, x, x, x, x, v) for s, x, v in (("a", 1e30, 1e300), ("b", 1.5e30, 1e300), ("c", 1e30, None)) for i in range(2)]
     bars = spark.createDataFrame(rows, "source string, symbol string, timeframe string, bar_idx int, ts_sec bigint, open double, high double, low double, close double, volume double")
     assert len({r.hash for r in catalog.content_hash(bars).collect()}) == 3
+
+
+def _exchanged(spark, since=-1):
+    """The last stage and the bytes that stages after `since` have written for others."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    found = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteBytes()) for i in range(stages.size())]
+    return max((i for i, _ in found), default=-1), sum(n for i, n in found if i > since)
+
+
+def _items(path, n, orders):
+    """lineitem of n rows in random order, a hundred bars; the fewer orders the more rows tie up to their line number."""
+    import duckdb
+
+    path.mkdir()
+    h = lambda k, mod: f"(hash(i * 31 + {k}) % {mod})::BIGINT"
+    duckdb.execute(
+        f"""COPY (SELECT {h(1, orders)} AS l_orderkey, {h(2, 20_000)} AS l_partkey, {h(3, 1_000)} AS l_suppkey, ({h(4, 7)} + 1)::INTEGER AS l_linenumber, ({h(5, 50)} + 1)::DOUBLE AS l_quantity,
+        {h(6, 10_000_000)} / 100e0 AS l_extendedprice, CASE {h(7, 2)} WHEN 0 THEN 'A' ELSE 'R' END AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '1995-01-01' + to_days({h(8, 50)}::INTEGER) AS l_shipdate
+        FROM range({n}) r(i)) TO '{path}/lineitem.parquet' (FORMAT parquet)"""
+    )
+    return str(path)
+
+
+def test_bars_of_rows_that_tie(spark, tmp_path):
+    import duckdb
+
+    for n, orders in ((20_000, 10**9), (20_000, 300), (20_000, 2)):
+        at = _items(tmp_path / str(orders), n, orders)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet'")
+        walk = bars.walk_d(spark, at)
+        got = sorted(map(tuple, walk.collect()))
+        assert len(got) == 100 and got == sorted(con.execute(f"WITH {bars.WALK_D_SQL} SELECT {', '.join(walk.columns)} FROM walk_d").fetchall())
+
+
+@pytest.mark.parametrize("name", ["bars_walk_d"])
+def test_bars_move_no_more_than_their_order_needs(spark, tmp_path, name):
+    n = 300_000
+    at = _items(tmp_path / "items", n, 10**7)
+    since = _exchanged(spark)[0]
+    assert registry.queries()[name](spark, at).collect()
+    assert 5 * n < _exchanged(spark, since)[1] < 25 * n

@@ -6,7 +6,9 @@ A bar's ts is when it opens; it is complete at ts + its timeframe. Every table o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES = ["source", "symbol", "timeframe"]
@@ -79,16 +81,48 @@ def normalized(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
 # ---- series from the driver's tables ----
 
 
-def _walk(steps: DataFrame, source: str, timeframe: str, order: list[str]) -> DataFrame:
-    """Bars of an integer random walk; steps: symbol, ts_sec (of the bar), step, volume and the order columns.
+def _tied(rows: DataFrame, place: WindowSpec) -> DataFrame:
+    """Adds whether the steps of a row's place differ, so that the sums there depend on their order, and whether the place begins with it."""
+    known, n = F.count("step").over(place), F.count("*").over(place)
+    differ = F.coalesce(F.min("step").over(place) != F.max("step").over(place), F.lit(False)) | (known > 0) & (known < n)
+    return rows.withColumns({"tied": differ, "begins": differ & (F.col("rn") == F.min("rn").over(place))})
+
+
+def _untied(found: DataFrame, rows: DataFrame, made: Callable[[DataFrame], DataFrame], bar: list[str], order: list[str], ties: list[str]) -> DataFrame:
+    """Prices and volume of each bar, with the sums in tied places as ties order them; the sum before a place doesn't depend on that."""
+    from tidemark.plans.base import stored
+
+    before = (F.coalesce("sum", F.lit(0)) - F.coalesce("step", F.lit(0))).alias("sum_before"), (F.col("rn") - 1).alias("rn_before")
+    # a row for each bar (its last) and for each tied place (its first), which has two rows or more
+    kept = stored(found.filter("rn = n or begins").select(*bar, "begins", "o", "h", "l", "c", "volume", *order, *before))
+    prices = kept.filter("not begins").select(*bar, "o", "h", "l", "c", "volume")
+    places = kept.filter("begins").select(*[F.col(c).alias(f"at_{c}") for c in [*bar, *order]], "sum_before", "rn_before")
+    if not places.head(1):
+        return prices
+    again = made(rows.join(places, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in [*bar, *order]]))
+    inside = Window.partitionBy(*bar, *order).orderBy(*ties)
+    total, rn = F.col("sum_before") + F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("rn_before") + F.row_number().over(inside)
+    sums = again.select(*bar, total.alias("sum"), rn.alias("rn")).select(*bar, F.when(F.col("rn") == 1, F.col("sum")), "sum", "sum", F.lit(None), F.lit(None))
+    return prices.union(sums).groupBy(*bar).agg(*[f(c).alias(c) for c, f in {"o": F.max, "h": F.max, "l": F.min, "c": F.max, "volume": F.max}.items()])
 
-    Running sums are taken within a bar and over bars, so no window holds a whole series' rows.
+
+def _walk(rows: DataFrame, value: str, step: Column, volume: Column, source: str, timeframe: str, order: list[str], ties: list[str]) -> DataFrame:
+    """Bars of an integer random walk; rows: symbol, ts_sec (of the bar), order, ties (what orders rows after that) and the value that step and volume are made of.
+
+    Running sums are taken within a bar and over bars, so no window holds a whole series' rows. Rows are exchanged without ties, and step and
+    volume are made behind the exchange; where rows of one place in order have different steps, those alone are read again, with ties.
     """
-    inside = Window.partitionBy("symbol", "ts_sec").orderBy(*order)
-    rows = steps.withColumn("sum", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(inside))
-    per_bar = rows.groupBy("symbol", "ts_sec").agg(
-        F.min_by("sum", "rn").alias("o"), F.max("sum").alias("h"), F.min("sum").alias("l"), F.max_by("sum", "rn").alias("c"), F.sum("volume").alias("volume")
-    )
+    bar = ["symbol", "ts_sec"]
+    made = lambda df: df.withColumns({"step": step, "volume": volume})
+    inside, whole = Window.partitionBy(*bar).orderBy(*order), Window.partitionBy(*bar)
+    found = made(rows.select(*bar, value, *order).repartition(*bar))
+    found = found.withColumns({"sum": F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "rn": F.row_number().over(inside)})
+    if ties:
+        found = _tied(found, Window.partitionBy(*bar, *order))
+    free = F.when(~F.col("tied"), F.col("sum")) if ties else F.col("sum")
+    prices = {"o": F.max(F.when(F.col("rn") == 1, free)), "h": F.max(free), "l": F.min(free), "c": F.sum("step"), "volume": F.sum("volume"), "n": F.max("rn")}
+    found = found.withColumns({c: x.over(whole) for c, x in prices.items()})
+    per_bar = _untied(found, rows, made, bar, order, ties) if ties else found.filter("rn = n").select(*bar, "o", "h", "l", "c", "volume")
     before = F.coalesce(F.sum("c").over(Window.partitionBy("symbol").orderBy("ts_sec").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = per_bar.withColumn("before", before)
     base = placed.agg((2 * F.max(F.greatest(F.abs(F.col("before") + F.col("h")), F.abs(F.col("before") + F.col("l"))))).alias("base"))
@@ -103,21 +137,21 @@ def _walk(steps: DataFrame, source: str, timeframe: str, order: list[str]) -> Da
 def walk_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of six series from lineitem, by return flag and line status."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    steps = items.select(
-        F.concat("l_returnflag", "l_linestatus").alias("symbol"), (F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400) * 86400).alias("ts_sec"), (2 * F.col("l_quantity") - 51).cast("long").alias("step"), F.col("l_quantity").alias("volume"), *order
+    order, ties = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rows = items.select(
+        F.concat("l_returnflag", "l_linestatus").alias("symbol"), (F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400) * 86400).alias("ts_sec"), *order, *ties
     )
-    return _walk(steps, "lineitem", "1d", order)
+    return _walk(rows, "l_quantity", (2 * F.col("l_quantity") - 51).cast("long"), F.col("l_quantity"), "lineitem", "1d", order, ties)
 
 
 def walk_i(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarter-hourly bars of five series from events, by type."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cents = F.round(F.col("value") * 100).cast("long")
-    steps = events.select(
-        F.col("event_type").alias("symbol"), (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900) * 900).alias("ts_sec"), F.when(F.col("event_id") % 2 == 0, cents).otherwise(-cents).alias("step"), F.lit(1).alias("volume"), "ts", "event_id"
+    order, cents = ["ts", "event_id"], F.round(F.col("value") * 100).cast("long")
+    rows = events.select(
+        F.col("event_type").alias("symbol"), (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900) * 900).alias("ts_sec"), F.when(F.col("event_id") % 2 == 0, cents).otherwise(-cents).alias("step"), *order
     )
-    return _walk(steps, "events", "15m", ["ts", "event_id"])
+    return _walk(rows, "step", F.col("step"), F.lit(1), "events", "15m", order, [])
 
 
 def _walk_sql(steps: str, source: str, timeframe: str, order: str, name: str) -> str:
