@@ -124,7 +124,7 @@ def test_bars_of_rows_that_tie(spark, tmp_path):
         assert len(got) == 100 and got == sorted(con.execute(f"WITH {bars.WALK_D_SQL} SELECT {', '.join(walk.columns)} FROM walk_d").fetchall())
 
 
-@pytest.mark.parametrize("name", ["bars_walk_d", "correlation_clusters"])
+@pytest.mark.parametrize("name", ["bars_walk_d", "correlation_clusters", "correlation_pairs_by_time"])
 def test_bars_move_no_more_than_their_order_needs(spark, tmp_path, name):
     n = 300_000
     at = _items(tmp_path / "items", n, 10**7)
