@@ -89,12 +89,16 @@ def test_digest_of_very_large_numbers(spark):
     assert len({r.hash for r in catalog.content_hash(bars).collect()}) == 3
 
 
-def _exchanged(spark, since=-1):
-    """The last stage and the bytes that stages after `since` have written for others."""
+def _stages(spark):
     sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
     sc.listenerBus().waitUntilEmpty()
     stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-    found = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteBytes()) for i in range(stages.size())]
+    return [stages.apply(i) for i in range(stages.size())]
+
+
+def _exchanged(spark, since=-1):
+    """The last stage and the bytes that stages after `since` have written for others."""
+    found = [(s.stageId(), s.shuffleWriteBytes()) for s in _stages(spark)]
     return max((i for i, _ in found), default=-1), sum(n for i, n in found if i > since)
 
 
@@ -131,3 +135,19 @@ def test_bars_move_no_more_than_their_order_needs(spark, tmp_path, name):
     since = _exchanged(spark)[0]
     assert registry.queries()[name](spark, at).collect()
     assert 5 * n < _exchanged(spark, since)[1] < 25 * n
+
+
+@pytest.mark.parametrize("name", ["bars_walk_d", "correlation_clusters"])
+def test_a_task_orders_a_bounded_number_of_rows(spark, tmp_path, monkeypatch, name):
+    import duckdb
+
+    monkeypatch.setattr(bars, "TASK_ROWS", 5_000)
+    n, since = 100_000, _exchanged(spark)[0]
+    at = _items(tmp_path / "items", n, 10**7)
+    got = registry.queries()[name](spark, at)
+    rows = sorted(map(tuple, got.collect()))
+    tasks = [s.numTasks() for s in _stages(spark) if s.stageId() > since and s.shuffleReadRecords() >= n]
+    assert tasks and min(tasks) >= n // 5_000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet'")
+    assert rows == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]}) q").fetchall())

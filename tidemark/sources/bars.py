@@ -80,6 +80,17 @@ def normalized(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
 
 # ---- series from the driver's tables ----
 
+#: Rows that a task puts in order, about: few enough to stay in its memory.
+TASK_ROWS = 1 << 20
+
+
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows exchanged by the columns, over as many tasks as their number asks for, however few the session's shuffles have."""
+    spark, n = rows.sparkSession, rows.count()
+    if n <= TASK_ROWS:
+        return rows.repartition(*by)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS)), *by)
+
 
 def _tied(rows: DataFrame, place: WindowSpec) -> DataFrame:
     """Adds whether the steps of a row's place differ, so that the sums there depend on their order, and whether the place begins with it."""
@@ -109,13 +120,13 @@ def _untied(found: DataFrame, rows: DataFrame, made: Callable[[DataFrame], DataF
 def _walk(rows: DataFrame, value: str, step: Column, volume: Column, source: str, timeframe: str, order: list[str], ties: list[str]) -> DataFrame:
     """Bars of an integer random walk; rows: symbol, ts_sec (of the bar), order, ties (what orders rows after that) and the value that step and volume are made of.
 
-    Running sums are taken within a bar and over bars, so no window holds a whole series' rows. Rows are exchanged without ties, and step and
-    volume are made behind the exchange; where rows of one place in order have different steps, those alone are read again, with ties.
+    Running sums are taken within a bar and over bars, so no window holds a whole series' rows. Rows are exchanged without ties, so many to a task that
+    their order needs no spill, and step and volume are made behind the exchange; where rows of one place in order have different steps, those alone are read again, with ties.
     """
     bar = ["symbol", "ts_sec"]
     made = lambda df: df.withColumns({"step": step, "volume": volume})
     inside, whole = Window.partitionBy(*bar).orderBy(*order), Window.partitionBy(*bar)
-    found = made(rows.select(*bar, value, *order).repartition(*bar))
+    found = made(_dealt(rows.select(*bar, value, *order), bar))
     found = found.withColumns({"sum": F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "rn": F.row_number().over(inside)})
     if ties:
         found = _tied(found, Window.partitionBy(*bar, *order))
