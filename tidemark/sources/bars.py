@@ -81,7 +81,7 @@ def normalized(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
 # ---- series from the driver's tables ----
 
 #: Rows that a task puts in order, about: few enough to stay in its memory.
-TASK_ROWS = 1 << 20
+TASK_ROWS = 1 << 21
 
 
 def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
