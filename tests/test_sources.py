@@ -151,3 +151,37 @@ def test_a_task_orders_a_bounded_number_of_rows(spark, tmp_path, monkeypatch, na
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet'")
     assert rows == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]}) q").fetchall())
+
+
+@pytest.mark.parametrize("name", ["bars_walk_d", "correlation_clusters", "correlation_pairs_by_time"])
+def test_a_few_tied_places_exchange_no_rows(spark, tmp_path, name):
+    import duckdb
+
+    n = 300_000
+    at = _items(tmp_path / "items", n, 10**7)
+    tied = f"SELECT 1 FROM '{at}/lineitem.parquet' GROUP BY l_returnflag, l_shipdate, l_orderkey, l_linenumber HAVING min(l_quantity) < max(l_quantity)"
+    assert duckdb.execute(f"SELECT count(*) FROM ({tied})").fetchone()[0] > 0
+    most, since = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _exchanged(spark)[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        assert registry.queries()[name](spark, at).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert 5 * n < _exchanged(spark, since)[1] < 25 * n
+
+
+def test_many_tied_places_are_shuffled(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(bars, "SENT_PLACES", 10)
+    at = _items(tmp_path / "items", 20_000, 300)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet'")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        walk = bars.walk_d(spark, at)
+        got = sorted(map(tuple, walk.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert len(got) == 100 and got == sorted(con.execute(f"WITH {bars.WALK_D_SQL} SELECT {', '.join(walk.columns)} FROM walk_d").fetchall())

@@ -82,6 +82,8 @@ def normalized(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
 
 #: Rows that a task puts in order, about: few enough to stay in its memory.
 TASK_ROWS = 1 << 21
+#: Tied places that are sent to every task (some MB); where there are more, they are joined by a shuffle.
+SENT_PLACES = 100_000
 
 
 def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -100,7 +102,10 @@ def _tied(rows: DataFrame, place: WindowSpec) -> DataFrame:
 
 
 def _untied(found: DataFrame, rows: DataFrame, made: Callable[[DataFrame], DataFrame], bar: list[str], order: list[str], ties: list[str]) -> DataFrame:
-    """Prices and volume of each bar, with the sums in tied places as ties order them; the sum before a place doesn't depend on that."""
+    """Prices and volume of each bar, with the sums in tied places as ties order them; the sum before a place doesn't depend on that.
+
+    Places are sent to the rows by their number, not by what Spark takes for their size: it would else exchange all rows, with ties, for a few places.
+    """
     from tidemark.plans.base import stored
 
     before = (F.coalesce("sum", F.lit(0)) - F.coalesce("step", F.lit(0))).alias("sum_before"), (F.col("rn") - 1).alias("rn_before")
@@ -108,13 +113,15 @@ def _untied(found: DataFrame, rows: DataFrame, made: Callable[[DataFrame], DataF
     kept = stored(found.filter("rn = n or begins").select(*bar, "begins", "o", "h", "l", "c", "volume", *order, *before))
     prices = kept.filter("not begins").select(*bar, "o", "h", "l", "c", "volume")
     places = kept.filter("begins").select(*[F.col(c).alias(f"at_{c}") for c in [*bar, *order]], "sum_before", "rn_before")
-    if not places.head(1):
+    n = places.limit(SENT_PLACES + 1).count()
+    if not n:
         return prices
-    again = made(rows.join(places, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in [*bar, *order]]))
+    again = made(rows.join(F.broadcast(places) if n <= SENT_PLACES else places, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in [*bar, *order]]))
     inside = Window.partitionBy(*bar, *order).orderBy(*ties)
     total, rn = F.col("sum_before") + F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("rn_before") + F.row_number().over(inside)
     sums = again.select(*bar, total.alias("sum"), rn.alias("rn")).select(*bar, F.when(F.col("rn") == 1, F.col("sum")), "sum", "sum", F.lit(None), F.lit(None))
-    return prices.union(sums).groupBy(*bar).agg(*[f(c).alias(c) for c, f in {"o": F.max, "h": F.max, "l": F.min, "c": F.max, "volume": F.max}.items()])
+    # written, since what follows reads it twice
+    return stored(prices.union(sums).groupBy(*bar).agg(*[f(c).alias(c) for c, f in {"o": F.max, "h": F.max, "l": F.min, "c": F.max, "volume": F.max}.items()]))
 
 
 def _walk(rows: DataFrame, value: str, step: Column, volume: Column, source: str, timeframe: str, order: list[str], ties: list[str]) -> DataFrame:
