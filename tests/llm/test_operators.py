@@ -727,6 +727,36 @@ def test_overlaps_are_those_of_all_windows(spark):
         assert {(r.doc_id, r.item_id): (r.doc_start, r.matched) for r in op10_decontamination.overlaps(frame, bench, most).collect()} == want
 
 
+def test_overlaps_of_a_long_text_that_repeats_items(spark):
+    """Some 150,000 hits in either text: with the whole text beside each of them they would hold tens of GB, and the session has 4."""
+    items = {1: [f"w{i}" for i in range(30)], 2: [f"w{i}" for i in range(30)], 3: [f"v{i}" for i in range(9)]}
+    words = ["before"] * 3 + items[1] * 667 + items[3]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (3, "before " * 20_000)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    want = {(d, n): at for d in (1, 2) for n, at in ((1, (3, 13)), (2, (3, 13)), (3, (len(words) - 9, 9)))}
+    for most in (10**6, 0):
+        assert {(r.doc_id, r.item_id): (r.doc_start, r.matched) for r in op10_decontamination.overlaps(frame, bench, most).collect()} == want
+    assert [r.doc_id for r in op10_decontamination.without_overlaps(frame, bench).collect()] == [3]
+
+
+def test_overlaps_do_not_depend_on_how_texts_are_cut(spark, monkeypatch):
+    rng = random.Random(12)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 4, 5, 7, 12, 13, 30)}
+    docs = {}
+    for n, item in items.items():
+        for d in range(8):
+            words = [w if rng.random() < 0.8 else "changed" for w in item[rng.choice([0, 0, n // 3]) :]]
+            docs[100 * n + d] = ["z"] * rng.choice([0, 9, 31]) + words * rng.choice([1, 2]) + ["end"] * rng.choice([0, 2, 40])
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    found = lambda most: Counter(op10_decontamination.overlaps(frame, bench, most).collect())
+    want = found(10**6)
+    assert len(want) > 20
+    for places in (1, 7, 16):
+        monkeypatch.setattr(op10_decontamination, "PIECE", places)
+        assert found(10**6) == want and found(0) == want
+
+
 def test_overlaps_of_awkward_rows(spark, awkward, empty):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
     assert Counter((r.doc_id, r.item_id) for r in op10_decontamination.overlaps(awkward, bench).collect()) == Counter([(1, 1), (7, 1)])

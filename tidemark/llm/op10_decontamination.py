@@ -11,9 +11,14 @@ windows of all documents with all items. Shorter items have masks of their own,
 Items of fewer than SHORTEST tokens stand in texts by chance; they are found only in documents that have
 nothing else.
 
+A text is cut into pieces of PIECE places, each with the words around it that a window can reach, and a hit keeps
+only the words around its place: a generated stage holds all hits of its input row at once, so with the whole
+text beside each of them a long text that repeats an item would need memory by the square of its length.
+
 The benchmark's seeds are broadcast only where a count shows that they are few; then a document's seeds
-are made, looked up and verified in one stage, and nothing but overlaps is shuffled. Where they are many,
-seeds are joined by a shuffle, and the texts of the hits fetched by a second join; rows are the same.
+are made, looked up and verified in one stage, and nothing but overlaps is shuffled. A place's seed is looked up first and
+its items are joined after that, so a piece's hits are few, however many items share a seed. Where seeds are many,
+they are joined by a shuffle, and the pieces of the hits fetched by a second join; rows are the same.
 """
 
 from __future__ import annotations
@@ -33,6 +38,9 @@ MASKS = {
 }
 SHORTEST = min(MASKS)
 WINDOW = 13
+REACH = WINDOW - 1
+#: Places of a text in one row.
+PIECE = 1024
 #: Seeds of the benchmark, a few dozen bytes each, that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 300_000
 DIFFER = 4  # one token in so many may differ
@@ -47,13 +55,18 @@ def _places(mask: str) -> list[int]:
     return [i for i, x in enumerate(mask) if x == "1"]
 
 
-def _seed(words: Column, at: Column, mask: str) -> Column:
-    return F.xxhash64(F.lit(mask), *(F.get(words, at + p) for p in _places(mask)))
+def _codes(words: Column) -> Column:
+    """Hashes of the words, so that each word is hashed once and not for every mask and place that it counts in."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _seed(codes: Column, at: Column, mask: str) -> Column:
+    return F.xxhash64(F.lit(mask), *(F.get(codes, at + p) for p in _places(mask)))
 
 
-def _seeds(words: Column, at: Column, n: Column, masks: list[str]) -> Column:
+def _seeds(codes: Column, at: Column, n: Column, masks: list[str]) -> Column:
     """The seeds at a place; null where a mask reaches beyond the end."""
-    return F.array(*(F.when(at + len(m) <= n, _seed(words, at, m)) for m in masks))
+    return F.array(*(F.when(at + len(m) <= n, _seed(codes, at, m)) for m in masks))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -77,15 +90,37 @@ def _item_seeds(items: DataFrame, sets: list[int]) -> DataFrame:
     own = F.array_max(F.filter(F.array(*(F.lit(k) for k in MASKS)), lambda k: k <= F.col("n")))
     parts = [items.filter(F.col("n") < SHORTEST).select(_whole_seed(F.col("item")).alias("seed"), F.col("n").alias("span"), "item_id", F.lit(0).alias("item_at"))]
     for k in sets:
-        placed = items.filter(own == k).select("item_id", "item", "n", at)
-        found = placed.select("item_id", "item_at", F.posexplode(_seeds(F.col("item"), F.col("item_at"), F.col("n"), list(MASKS[k]))).alias("m", "seed")).filter("seed is not null")
+        placed = items.filter(own == k).select("item_id", _codes(F.col("item")).alias("codes"), "n", at)
+        found = placed.select("item_id", "item_at", F.posexplode(_seeds(F.col("codes"), F.col("item_at"), F.col("n"), list(MASKS[k]))).alias("m", "seed")).filter("seed is not null")
         parts.append(found.select("seed", F.get(F.array(*(F.lit(len(m)) for m in MASKS[k])), F.col("m")).alias("span"), "item_id", "item_at"))
     return reduce(DataFrame.union, parts)
 
 
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, n, first, words, codes): a row for PIECE places of a text from `start` on; n is the text's
+    number of words. `words` begins REACH words before (or at the text's first), at place `first`, and ends REACH behind."""
+    rows = docs.select("doc_id", F.md5(whole_text()).alias("text_key"), tokens(whole_text()).alias("words"))
+    rows = rows.withColumns({"n": F.size("words"), "codes": _codes(F.col("words"))})
+
+    def piece(start: Column) -> Column:
+        first = F.greatest(start - REACH, F.lit(0))
+        part = [F.slice(c, first + 1, start - first + PIECE + REACH).alias(c) for c in ("words", "codes")]
+        return F.struct(start.alias("start"), first.alias("first"), *part)
+
+    cut = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE)), piece))
+    return rows.select("doc_id", "text_key", "n", F.explode(cut).alias("piece")).select("doc_id", "text_key", "piece.start", "n", "piece.first", "piece.words", "piece.codes")
+
+
+def _near(at: Column) -> list[Column]:
+    """The words around a place of a piece, and where among them it is."""
+    own = at - F.col("first")
+    begin = F.greatest(own - REACH, F.lit(0))
+    return [F.slice("words", begin + 1, own - begin + WINDOW).alias("near"), (own - begin).alias("near_at")]
+
+
 def _best(words: Column) -> Column:
-    """The most equal tokens in a window of `width` that holds the hit; doc place `at` is item place `item_at`."""
-    at, item_at, span, n, width = (F.col(c) for c in ("at", "item_at", "span", "n", "width"))
+    """The most equal tokens in a window of `width` that holds the hit; place `near_at` of the words is item place `item_at`."""
+    at, item_at, span, n, width = (F.col(c) for c in ("near_at", "item_at", "span", "n", "width"))
     starts = F.sequence(F.greatest(F.lit(0), item_at + span - width), F.least(item_at, n - width))
     equal = lambda a: F.size(F.filter(F.sequence(a, a + width - 1), lambda k: F.get(words, at - item_at + k) == F.get(F.col("item"), k)))
     return F.array_max(F.transform(starts, equal))
@@ -106,21 +141,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_B
     masks = list(dict.fromkeys(m for k in sets for m in MASKS[k]))
     seeds = stored(_item_seeds(items, sets), "seeds")
     items = items.withColumn("width", F.least(F.lit(WINDOW), F.col("n")))
-    rows = docs.select("doc_id", F.md5(whole_text()).alias("text_key"), tokens(whole_text()).alias("words"))
-    placed = rows.withColumn("at", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))))
-    n, at = F.size("words"), F.col("at")
-    of_masks = _seeds(F.col("words"), at, n, masks) if masks else F.array().cast("array<bigint>")
-    short = F.when((at == 0) & (n < SHORTEST), _whole_seed(F.col("words")))
+    pieces = _pieces(docs)
+    placed = pieces.withColumn("at", F.explode(F.sequence("start", F.least(F.col("start") + PIECE, F.col("n")) - 1)))
+    own, at = F.col("at") - F.col("first"), F.col("at")
+    of_masks = _seeds(F.col("codes"), own, F.size("codes"), masks) if masks else F.array().cast("array<bigint>")
+    short = F.when((at == 0) & (F.col("n") < SHORTEST), _whole_seed(F.col("words")))
     seeded = placed.withColumn("seed", F.explode(F.array_append(of_masks, short))).filter("seed is not null")
     shift = (at - F.col("item_at")).alias("shift")
-    if seeds.count() <= most_broadcast:
-        each = seeded.join(F.broadcast(seeds), "seed").withColumn("shift", shift).join(F.broadcast(items), "item_id")
+    if few := seeds.count() <= most_broadcast:
+        hits = seeded.join(F.broadcast(seeds.select("seed")), "seed", "left_semi").select("doc_id", "text_key", "at", "seed", *_near(at))
+        each = hits.join(F.broadcast(seeds), "seed").withColumn("shift", shift)
     else:
-        found = seeded.select("doc_id", "text_key", "at", "seed").join(seeds, "seed").select("doc_id", "text_key", "at", "item_id", shift, "item_at", "span").distinct()
-        hits = stored(found, "hits").withColumnsRenamed({"doc_id": "d", "text_key": "t"})
-        texts = rows.dropDuplicates(["doc_id", "text_key"])
-        each = hits.join(texts, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(items, "item_id")
-    verified = each.withColumn("matched", _best(F.col("words"))).filter(F.col("matched") >= F.col("width") - F.floor(F.col("width") / DIFFER))
+        found = seeded.select("doc_id", "text_key", "start", "at", "seed").join(seeds, "seed").select("doc_id", "text_key", "start", "at", "item_id", shift, "item_at", "span").distinct()
+        hits = stored(found, "hits").withColumnsRenamed({"doc_id": "d", "text_key": "t", "start": "s"})
+        texts = pieces.drop("n", "codes").dropDuplicates(["doc_id", "text_key", "start"])
+        same = (F.col("text_key") == F.col("t")) & (F.col("start") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))
+        each = hits.join(texts, same).select("doc_id", "text_key", "item_id", "shift", "item_at", "span", *_near(at))
+    matched = each.join(F.broadcast(items) if few else items, "item_id").withColumn("matched", _best(F.col("near")))
+    verified = matched.filter(F.col("matched") >= F.col("width") - F.floor(F.col("width") / DIFFER))
     return verified.groupBy("doc_id", "text_key", "item_id").agg(F.min("shift").alias("doc_start"), F.max("matched").alias("matched"))
 
 
